@@ -76,7 +76,7 @@ ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id,
 gone AS (SELECT DISTINCT doc_id, p + k AS pos FROM ranked, (VALUES (0), (1), (2)) o(k) WHERE r > 1),
 sets AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
 SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(CASE WHEN gone IS NULL THEN array_to_string(l, chr(10)) ELSE coalesce(array_to_string(list_filter(l, (x, i) -> NOT list_contains(gone, i - 1)), chr(10)), '') END) AS kept_sha256
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(l, chr(10)) ELSE coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END) AS kept_sha256
 FROM lines LEFT JOIN sets USING (doc_id)
 """,
 }

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixture, piece_codec, token_store
+from . import line_dedup, mixture, piece_codec, tag_paths, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": piece_codec.op1_pieces,
     "op2_mix": mixture.op2_mix,
     "op5_token_store": token_store.op5_token_store,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_tag_paths": tag_paths.op9_tag_paths,
 }
 
 ORACLE_SQL: dict[str, str] = {**line_dedup.SQL}
