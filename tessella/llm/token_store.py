@@ -9,6 +9,7 @@ document without decompressing its neighbours.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from array import array
@@ -22,11 +23,21 @@ from pyspark.sql import functions as F
 from .common import partitions, release, scratch_dir, table
 
 #: The dictionary is trained on so many documents at most, those whose keys hash lowest, and on so many bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 65536, 65536
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
 BLOCK_BYTES, LEVEL, END_ID = 1 << 20, 3, 1
 REMEMBERED = 1_000_000
+#: Marks that the pre-tokenizer never joins to a letter or digit before them. The apostrophe isn't one.
+MARKS = b".,;:!?%*#&$|)]}\"-_/+="
 BLOCKS = "part int, block int, keys array<long>, counts array<long>, lengths array<long>, width int, dict_sha256 string, frames binary"
 
+_combining = re.compile("[\u0300-\u036f]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+
 
 class WordCodec:
     """ids of whole texts through the tokenizers library, which sees each distinct word once.
@@ -44,18 +55,46 @@ class WordCodec:
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.plain = str.maketrans(_byte_letters())
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[bytes]) -> None:
+        """Remember the ids of new words. Marks behind a letter or digit are a token of their own, so such a word is put together from two."""
+        whole, cut = [], []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem[-1] >= 0x80 and stem.decode()[-1].isalpha()):
+                cut.append((w, stem, w[len(stem) :]))
+            else:
+                whole.append(w)
+        whole += {x for _, *both in cut for x in both}.difference(self.known, whole)
+        texts, merge, rest = [w.decode() for w in whole], self.library.model.tokenize, []
+        for w, t in zip(whole, texts, strict=True):
+            if t.isalpha() and max(t) < "\u0250" and "\u0130" not in t:  # letters that are their own NFC: one pre-token, straight to the library's model
+                self.known[w] = array(self.code, [x.id for x in merge(t.lower().encode().decode("latin-1").translate(self.plain))]).tobytes()
+            else:
+                rest.append((w, t))
+        self.known.update(zip([w for w, _ in rest], self._library([t for _, t in rest]), strict=True))
+        for w, stem, tail in cut:
+            self.known[w] = self.known[stem] + self.known[tail]
+
+    def words(self, text: str) -> list[bytes]:
+        """The words of a text; A-Z in lower case, as the tokenizer makes them, unless a mark could combine with one or a special token stand there."""
+        data = text.encode()
+        if text.isascii() or not _combining.search(text):
+            return data.split() if b"<|" in data else data.lower().split()
+        return data.split()
+
     def encode_batch(self, texts: list[str], end: int = END_ID) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        split = [self.words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(set().union(*split))
+            new = set().union(*split)
         if new:
-            self.known.update(zip(new, self._library([w.decode() for w in new]), strict=True))
+            self.learn(list(new))
         known, last = self.known.__getitem__, array(self.code, [end]).tobytes()
         out = [b"".join([*map(known, ws), last]) for ws in split]
         probe = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
@@ -77,7 +116,9 @@ def train_dictionary(docs: DataFrame, path: str, key: str, text: str) -> bytes:
     """A dictionary from a bounded sample; empty if the sample is too small to train one."""
     import zstandard
 
-    sample = docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t"), F.xxhash64(F.lit("sample"), key).alias("h")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    keys = docs.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit("sample"), "k"), "k").limit(SAMPLE_DOCS)
+    start = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t")
+    sample = docs.select(F.col(key).alias("k"), start).join(F.broadcast(keys), "k").orderBy("k", "t").limit(SAMPLE_DOCS)  # so many small rows at most
     ids = [i[:SAMPLE_BYTES] for i in codec(path).encode_batch([r.t for r in sample.collect()])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
