@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixture, piece_codec, tag_paths, token_store, toxicity
+from . import line_dedup, mixture, mtree, multi_index, piece_codec, tag_paths, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": piece_codec.op1_pieces,
     "op2_mix": mixture.op2_mix,
+    "op3_multi_index": multi_index.op3_multi_index,
     "op5_token_store": token_store.op5_token_store,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_tag_paths": tag_paths.op9_tag_paths,
+    "op10_mtree": mtree.op10_mtree,
 }
 
-ORACLE_SQL: dict[str, str] = {**line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {**line_dedup.SQL, **mtree.SQL}
