@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixture, mtree, multi_index, piece_codec, tag_paths, token_store, toxicity
+from . import line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, tag_paths, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": piece_codec.op1_pieces,
     "op2_mix": mixture.op2_mix,
     "op3_multi_index": multi_index.op3_multi_index,
+    "op4_phrases": phrase_automata.op4_phrases,
     "op5_token_store": token_store.op5_token_store,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mtree": mtree.op10_mtree,
 }
 
-ORACLE_SQL: dict[str, str] = {**line_dedup.SQL, **mtree.SQL}
+ORACLE_SQL: dict[str, str] = {**line_dedup.SQL, **mtree.SQL, **phrase_automata.SQL}
