@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, release, scratch_dir, table
+from .shingles import groups
 
 #: The dictionary is trained on so many documents at most, those whose keys hash lowest, and on so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
 BLOCK_BYTES, LEVEL, END_ID = 1 << 20, 3, 1
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, some 200 bytes each, and bytes of texts that it cuts into words at a time.
+REMEMBERED, GROUP_BYTES = 600_000, 1 << 20
 #: Marks that the pre-tokenizer never joins to a letter or digit before them. The apostrophe isn't one.
 MARKS = b".,;:!?%*#&$|)]}\"-_/+="
 BLOCKS = "part int, block int, keys array<long>, counts array<long>, lengths array<long>, width int, dict_sha256 string, frames binary"
@@ -162,7 +164,9 @@ def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text:
         for big in batches:
             for at in range(0, big.num_rows, rows):
                 some = big.slice(at, rows)
-                for k, ids in zip(some.column(0).to_pylist(), own.encode_batch(some.column(1).to_pylist()), strict=True):
+                texts = some.column(1).to_pylist()
+                encoded = (ids for a, b in groups(texts, GROUP_BYTES) for ids in own.encode_batch(texts[a:b]))
+                for k, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                     frame = pack.compress(ids)
                     keys.append(k), counts.append(len(ids) // width), frames.append(frame)
                     held += len(frame)
