@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, tag_paths, token_store, toxicity
+from . import group_join, line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, tag_paths, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": piece_codec.op1_pieces,
@@ -16,8 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": token_store.op5_token_store,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_group_join": group_join.op8_group_join,
     "op9_tag_paths": tag_paths.op9_tag_paths,
     "op10_mtree": mtree.op10_mtree,
 }
 
-ORACLE_SQL: dict[str, str] = {**line_dedup.SQL, **mtree.SQL, **phrase_automata.SQL}
+ORACLE_SQL: dict[str, str] = {**group_join.SQL, **line_dedup.SQL, **mtree.SQL, **phrase_automata.SQL}
