@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .vectors import GROUP_QUERIES, SHARD_ROWS, STEP, best, gathered, matrix
 
-PAGE, FANOUT, SCALE = 256, 8, 64
+PAGE, FANOUT, SCALE = 1024, 8, 64
 #: Bounds are widened by this share, so that rounding never rules out a row.
 SLACK = 1e-9
 
@@ -62,8 +62,9 @@ class MTree:
             if node.rows:
                 a, b = node.rows
                 self.to_center[a:b] = self._distance(x, node.center, np.arange(a, b))
-        small = np.int16 if top < 2**15 else np.int32 if top < 2**31 else np.int64
-        self.vectors = self.vectors.astype(small)
+        #: The narrowest kind whose products of this size are exact.
+        self.kind = np.float32 if top * top * vectors.shape[1] < 2.0**23 else np.float64 if self.exact else np.int64
+        self.vectors = self.vectors.astype(self.kind)
 
     def _distance(self, x: np.ndarray, center: int, rows: np.ndarray) -> np.ndarray:
         gap = x[rows] - x[center]
@@ -99,15 +100,16 @@ class MTree:
 
     def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best of all rows but ``own``, best first, ties to the smaller id."""
-        self.opened = getattr(self, "opened", 0)
         norm2 = float((q.astype(np.float64) ** 2).sum())
         base = self.big2 + norm2
-        kind = np.float64 if self.exact and float(np.abs(q).max(initial=0)) ** 2 * len(q) < 2.0**52 and float(np.abs(q).max(initial=0)) * float(np.sqrt(self.big2)) < 2.0**52 else np.int64
+        kind = self.kind
+        if float(np.abs(q).max(initial=0)) * float(np.sqrt(self.big2)) * len(q) >= (2.0**23 if kind is np.float32 else 2.0**52):
+            kind = np.int64  # a query far larger than the rows
         q = q.astype(kind)
         wide = 1 + SLACK
 
         def distance(row: int) -> float:
-            return float(np.sqrt(max(0.0, base - 2 * float(self.vectors[row].astype(np.float64) @ q.astype(np.float64)))))
+            return float(np.sqrt(max(0.0, base - 2 * float(self.vectors[row].astype(kind, copy=False) @ q))))
 
         top: list[tuple[int, int]] = []  # (score, -id), the worst first
         reach = float("inf")  # distance of the worst kept
@@ -128,16 +130,15 @@ class MTree:
                     if low <= reach * wide:
                         heapq.heappush(queue, (low, c, own_d))
                 continue
-            self.opened += 1
             a, b = node.rows
             rows = slice(a, b)
             if reach < float("inf"):
                 near = np.flatnonzero(np.abs(self.to_center[rows] - d) <= reach * wide + SLACK * d)
                 if not len(near):
                     continue
-                if len(near) < b - a:
+                if len(near) < (b - a) // 2:
                     rows = a + near
-            scores, ids = self.vectors[rows].astype(kind) @ q, self.ids[rows]
+            scores, ids = self.vectors[rows].astype(kind, copy=False) @ q, self.ids[rows]
             if len(top) == k:
                 good = np.flatnonzero(scores >= top[0][0])
                 scores, ids = scores[good], ids[good]
