@@ -60,49 +60,73 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_words long, words_sha binary, anchors array<long>")
 
 
-def _candidate_windows(texts: DataFrame) -> DataFrame:
-    """(h, g, n, id, at) from (id, text, hot): the distinct windows of a text whose anchor is hot, how often each occurs in it and where first."""
+def _regions(rows: DataFrame) -> DataFrame:
+    """(id, copies, at, words, anchors): the stretches of a text whose windows have hot anchors, from (id, words_sha, copies, text, hot).
+
+    Rows whose text has other words than were looked for are left out: a key may be repeated.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            ids, shas, copies, texts, hot = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            for i, text in enumerate(texts):
+                words = (text or "").encode().split()
+                joined = b" ".join(words)
+                if hashlib.sha256(joined).digest() != shas[i]:
+                    continue
+                gram = grams(Words([joined]).hashes(), ANCHOR)
+                least = least_in_window(gram, WINDOW - ANCHOR + 1)
+                near = np.flatnonzero(np.isin(gram[least].view(np.int64), hot[i].values.to_numpy()))
+                for part in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1) if len(near) else []:
+                    a, b = int(part[0]), int(part[-1]) + WINDOW
+                    out[0].append(ids[i]), out[1].append(copies[i]), out[2].append(a), out[3].append(b" ".join(words[a:b]).decode())
+                    out[4].append(np.unique(gram[np.unique(least[part])]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.int64()))], names=["id", "copies", "at", "words", "anchors"])
+
+    return rows.mapInArrow(run, "id long, copies long, at int, words string, anchors array<long>")
+
+
+def _candidate_windows(regions: DataFrame) -> DataFrame:
+    """(h, g, n, id, at): the distinct windows of a region, how often each occurs in it and where first."""
 
     def run(batches):
         for batch in batches:
-            ids, hot = batch.column(0).to_pylist(), batch.column(2)
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            ids, begins = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = [t.encode() for t in batch.column(2).to_pylist()]
             for a, b in groups(texts):
                 words = Words(texts[a:b])
-                one, two = words.hashes(0), words.hashes(1)
-                gram = grams(one, ANCHOR)
-                picked = gram[least_in_window(gram, WINDOW - ANCHOR + 1)].view(np.int64)
-                h, g = grams(one, WINDOW).view(np.int64), grams(two, WINDOW, 1).view(np.int64)
+                h, g = grams(words.hashes(0), WINDOW).view(np.int64), grams(words.hashes(1), WINDOW, 1).view(np.int64)
+                out: list[list] = [[], [], [], [], []]
                 for i in range(a, b):
                     first, last = words.first[i - a], words.first[i - a] + words.counts[i - a] - WINDOW + 1
-                    if last <= first:
-                        continue
-                    near = np.flatnonzero(np.isin(picked[first:last], hot[i].values.to_numpy()))
-                    _, at, n = np.unique(h[first:last][near], return_index=True, return_counts=True)
-                    at = near[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first:last][at]), pa.array(g[first:last][at]), pa.array(n, pa.int64()), pa.array(np.full(len(at), ids[i]), pa.int64()), pa.array(at, pa.int32())], names=["h", "g", "n", "id", "at"])
+                    _, at, n = np.unique(h[first:last], return_index=True, return_counts=True)
+                    for column, values in zip(out, (h[first:last][at], g[first:last][at], n.astype(np.int64), np.full(len(at), ids[i]), (at + begins[i]).astype(np.int32)), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "g", "n", "id", "at"])
 
-    return texts.select("id", "text", "hot").mapInArrow(run, "h long, g long, n long, id long, at int")
+    return regions.select("id", "at", "words").mapInArrow(run, "h long, g long, n long, id long, at int")
 
 
-def _passages(texts: DataFrame) -> DataFrame:
-    """(passage, words, anchors) from (id, text, starts of recurring windows): their runs, as words joined by one space."""
+def _passages(regions: DataFrame) -> DataFrame:
+    """(passage, words, n, anchors) from (id, at, words, starts of the text's recurring windows): their runs within the region."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for i, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = text.encode().split()
-                starts = np.sort(np.asarray(starts))
-                for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    a, b = int(run_[0]), int(run_[-1]) + WINDOW
+            for i, at, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = text.encode().split(b" ")
+                starts = np.sort(np.asarray(starts)) - at
+                starts = starts[(starts >= 0) & (starts <= len(words) - WINDOW)]
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
+                    a, b = int(part[0]), int(part[-1]) + WINDOW
                     passage = b" ".join(words[a:b])
                     gram = grams(Words([passage]).hashes(), ANCHOR)
-                    out[0].append(f"{i}:{a}"), out[1].append(passage.decode()), out[2].append(b - a)
+                    out[0].append(f"{i}:{at + a}"), out[1].append(passage.decode()), out[2].append(b - a)
                     out[3].append(np.unique(gram[least_in_window(gram, WINDOW - ANCHOR + 1)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["passage", "words", "n", "anchors"])
 
-    return texts.select("id", "text", "starts").mapInArrow(run, "passage string, words string, n long, anchors array<long>")
+    return regions.select("id", "at", "words", "starts").mapInArrow(run, "passage string, words string, n long, anchors array<long>")
 
 
 class PhraseAutomaton:
@@ -151,30 +175,33 @@ class PhraseAutomaton:
         return np.flatnonzero(np.cumsum(found)[:-1] > 0)
 
 
-def _stream(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(id, starts) for each document and shard: cogroups of a shard's passages and a bounded slice of its documents."""
+def _stream(regions: DataFrame, passages: DataFrame) -> DataFrame:
+    """(id, starts) for each region and shard: cogroups of a shard's passages and a bounded slice of its regions. Starts are
+    runs of windows, [begin, end) after another."""
 
     def run(left, right):
         out: list[list] = [[], []]
         if left.num_rows and right.num_rows:
             automaton = PhraseAutomaton(left.column("words").to_pylist())
-            for i, text in zip(right.column("id").to_pylist(), right.column("text").to_pylist(), strict=True):
-                starts = automaton.covered([w.decode() for w in text.encode().split()])
+            for i, at, text in zip(right.column("id").to_pylist(), right.column("at").to_pylist(), right.column("region").to_pylist(), strict=True):
+                starts = automaton.covered(text.split(" "))
                 if len(starts):
-                    out[0].append(i), out[1].append([x for span in _spans(starts, 1) for x in span])
+                    out[0].append(i), out[1].append([at + x for span in _spans(starts, 1) for x in span])
         return pa.table({"id": pa.array(out[0], pa.int64()), "starts": pa.array(out[1], pa.list_(pa.int32()))})
 
-    return passages.groupBy("shard", "slice").cogroup(docs.groupBy("shard", "slice")).applyInArrow(run, "id long, starts array<int>")
+    return passages.groupBy("shard", "slice").cogroup(regions.groupBy("shard", "slice")).applyInArrow(run, "id long, starts array<int>")
 
 
-def _cut(docs: DataFrame) -> DataFrame:
+def _cut(docs: DataFrame, texts: bool) -> DataFrame:
     """(words_sha, n_removed, kept_sha, kept_text) from (words_sha, text, starts): runs of window starts, [begin, end) after another."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for sha, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = text.encode().split()
+                words = (text or "").encode().split()
+                if hashlib.sha256(b" ".join(words)).digest() != sha:
+                    continue
                 gone = np.zeros(len(words) + 1, np.int64)
                 for runs in starts:
                     for a, b in zip(runs[::2], runs[1::2], strict=True):
@@ -182,16 +209,16 @@ def _cut(docs: DataFrame) -> DataFrame:
                         gone[b + WINDOW - 1] -= 1
                 keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
                 kept = b" ".join([words[i] for i in keep.tolist()])
-                out[0].append(sha), out[1].append(len(words) - len(keep)), out[2].append(hashlib.sha256(kept).digest()), out[3].append(kept.decode())
+                out[0].append(sha), out[1].append(len(words) - len(keep)), out[2].append(hashlib.sha256(kept).digest()), out[3].append(kept.decode() if texts else None)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.string())], names=["words_sha", "n_removed", "kept_sha", "kept_text"])
 
     return docs.select("words_sha", "text", "starts").mapInArrow(run, "words_sha binary, n_removed long, kept_sha binary, kept_text string")
 
 
-def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
     """(key, n_words, n_removed, kept_sha, kept_text) of each row: its words without those that a recurring window covers.
 
-    kept_text is given for documents of which a part goes; it is null where all words stay and empty where all go.
+    kept_text is given, unless ``texts`` is false, for documents of which a part goes; it is null where all words stay and empty where all go.
     A null or empty text has no words. Fewer than 35 words have no window. Rows of equal words recur with each
     other, whatever their keys; a null key is kept. An empty table gives an empty table, other columns are left behind.
     """
@@ -205,28 +232,31 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     hot = places.join(twice, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("hot"))
     wanted = classes.select("id", "rep", "words_sha", "copies").join(hot, "id")
-    fetched = written(_matching(plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "words_sha", "copies", F.col(text).alias("text"), "hot")), "candidates")
+    found = plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "words_sha", "copies", F.col(text).alias("text"), "hot")
+    regions = written(_regions(found), "regions")
     release(spark)
 
-    windows = _candidate_windows(fetched)
-    recurring = windows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
+    recurring = _candidate_windows(regions).groupBy("h", "g").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
     starts = recurring.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.at").alias("starts"))
-    passages = written(_passages(fetched.select("id", "text").join(starts, "id")), "passages")
+    passages = written(_passages(regions.select("id", "at", "words").join(starts, "id")), "passages")
     release(spark)
 
     total = passages.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     dealt = passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(shards)).cast("int"))
-    single = fetched.where("copies = 1")  # of the others all words go
+    single = regions.where("copies = 1")  # of the others all words go
     by_anchor = dealt.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    routes = single.select("id", F.explode("hot").alias("anchor")).join(by_anchor, "anchor").select("id", "shard").distinct()
-    routed = written(routes.join(single.select("id", F.length("text").alias("bytes")), "id"), "routes")
-    slices = routed.groupBy("shard").agg(F.ceil(F.sum("bytes") / TASK_BYTES).cast("int").alias("slices"))
-    streams = routed.select("id", "shard").join(single.select("id", "text"), "id").join(slices, "shard")
-    streams = streams.select("id", "text", "shard", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
-    compiled = dealt.join(slices, "shard").select("words", "shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    found = _stream(streams, compiled).groupBy("id").agg(F.collect_list("starts").alias("starts"))
-    part = _cut(single.select("id", "words_sha", "text").join(found, "id"))
+    routes = single.select("id", "at", F.length("words").alias("bytes"), F.explode("anchors").alias("anchor")).join(by_anchor, "anchor")
+    routes = written(routes.select("id", "at", "bytes", "shard").distinct(), "routes")
+    slices = written(routes.groupBy("shard").agg(F.ceil(F.sum("bytes") / TASK_BYTES).cast("int").alias("slices")), "slices")
+    routed = routes.join(slices, "shard").select("id", "at", "shard", F.pmod(F.xxhash64("id", "at"), F.col("slices")).cast("int").alias("slice"))
+    streams = routed.join(single.select("id", "at", F.col("words").alias("region")), ["id", "at"])
+    compiled = dealt.join(slices, "shard").select("words", F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    spans = written(_stream(streams, compiled).groupBy("id").agg(F.collect_list("starts").alias("starts")), "spans")
+    release(spark)
+    hit = classes.select("id", "rep", "words_sha").join(spans, "id")
+    part = written(_cut(plain.join(hit, F.col(key).eqNullSafe(F.col("rep"))).select("words_sha", F.col(text).alias("text"), "starts"), texts).dropDuplicates(["words_sha"]), "cut")
+    release(spark)
     whole = classes.where("copies > 1").select("words_sha", F.lit(None).cast("long").alias("n_removed"), F.lit(bytearray(EMPTY)).alias("kept_sha"), F.lit("").alias("kept_text"))
     changed = part.unionByName(whole).withColumn("changed", F.lit(True))
     out = known.select(key, "n_words", "words_sha").join(changed, "words_sha", "left")
@@ -234,19 +264,8 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(key, "n_words", removed.alias("n_removed"), F.coalesce("kept_sha", "words_sha").alias("kept_sha"), "kept_text")
 
 
-def _matching(rows: DataFrame) -> DataFrame:
-    """Only rows whose text has the words that were looked for: a key may be repeated."""
-
-    def run(batches):
-        for batch in batches:
-            shas, texts = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            yield batch.filter(pa.array([hashlib.sha256(b" ".join((t or "").encode().split())).digest() == s for t, s in zip(texts, shas, strict=True)], pa.bool_()))
-
-    return rows.mapInArrow(run, "id long, words_sha binary, copies long, text string, hot array<long>")
-
-
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_passages(table(spark, sf_dir, "documents"))
+    out = dedup_passages(table(spark, sf_dir, "documents"), texts=False)
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
 
 
