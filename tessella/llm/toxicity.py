@@ -21,7 +21,7 @@ from .common import table, written
 #: Bounds of training: labelled texts (those whose ids hash lowest), tokens told apart as candidates and as clean, landmarks.
 MAX_LABELLED, MAX_CANDIDATES, MAX_CLEAN, LANDMARKS = 20_000, 4_000, 16_000, 256
 DECAY, REACH, SYMBOLS, LONGEST = 0.75, 5, 128, 40
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Texts without a token have this margin.
 NO_TOKEN = -2.0
 
