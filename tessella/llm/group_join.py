@@ -28,7 +28,7 @@ from .shingles import Words, grams, groups
 #: Tokens that the frequency order knows at most: 12 bytes each, a broadcast of bounded size. Rarer ones go by hash alone.
 FREQUENT, LEAST_FREQUENT = 1 << 18, 8
 #: Sets in a group, and bytes of text in a task.
-GROUP, TASK_BYTES = 64, 8 << 20
+GROUP, TASK_BYTES, SHINGLE_BYTES = 64, 8 << 20, 7
 
 
 def token_sets(texts: list[bytes], k: int, lower: bool):
@@ -104,21 +104,22 @@ def _fetched(rows: DataFrame, k: int, lower: bool) -> DataFrame:
     return rows.select("id", "set_id", "text").mapInArrow(run, "id long, text string")
 
 
-def _verified(members: DataFrame, asked: DataFrame, texts: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
+def _verified(members: DataFrame, asked: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
     """(a, b): for each (grp, id) of ``asked`` a set of the group that it links with, if there is one. ``members``: (grp, id).
 
-    Groups are packed into buckets of bounded bytes; the queries of a bucket are cut into slices of bounded bytes.
+    ``sizes`` has (id, n), from which the bytes of texts are estimated. Groups are packed into buckets of bounded bytes; the queries
+    of a bucket are cut into slices of bounded bytes.
     """
-    sized = texts.select("id", F.length("text").alias("bytes"))
-    total = members.join(sized, "id").agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // TASK_BYTES))
+    total = members.join(sizes, "id").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total * SHINGLE_BYTES // TASK_BYTES))
     bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")
     # a query goes to a bucket once, with the groups there that it asks
-    queries = written(asked.groupBy("id", bucket.alias("bucket")).agg(F.collect_set("grp").alias("grps")).join(sized, "id"), "asked")
-    slices = queries.groupBy("bucket").agg(F.ceil(F.sum("bytes") / TASK_BYTES).cast("int").alias("slices"))
-    right = queries.join(slices, "bucket").join(texts, "id").select(F.col("id").alias("q"), F.col("text").alias("q_text"), "grps", "bucket", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
-    left = members.join(texts, "id").withColumn("bucket", bucket).join(slices, "bucket")
-    left = left.select("grp", F.col("id").alias("m"), F.col("text").alias("m_text"), F.col("bucket").alias("m_bucket"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("m_slice"))
+    queries = written(asked.groupBy("id", bucket.alias("bucket")).agg(F.collect_set("grp").alias("grps")).join(sizes, "id"), "asked")
+    slices = written(queries.groupBy("bucket").agg(F.ceil(F.sum("n") * SHINGLE_BYTES / TASK_BYTES).cast("int").alias("slices")), "slices")
+    right = queries.join(slices, "bucket").select("id", "grps", "bucket", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
+    right = right.join(texts.select(F.col("id"), F.col("text").alias("q_text")), "id").select(F.col("id").alias("q"), "q_text", "grps", "bucket", "slice")
+    left = members.withColumn("bucket", bucket).join(slices, "bucket").select("grp", "id", F.col("bucket").alias("m_bucket"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("m_slice"))
+    left = left.join(texts.select(F.col("id"), F.col("text").alias("m_text")), "id").select("grp", F.col("id").alias("m"), "m_text", "m_bucket", "m_slice")
 
     def run(left, right):
         out: list[list] = [[], []]
@@ -147,6 +148,21 @@ def _verified(members: DataFrame, asked: DataFrame, texts: DataFrame, k: int, pe
     return left.groupBy("m_bucket", "m_slice").cogroup(right.groupBy("bucket", "slice")).applyInArrow(run, "a long, b long")
 
 
+def _fits(a: str, b: str, percent: int):
+    """Sets of these sizes can link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _enough(common, n: str, least: str, most: str, percent: int):
+    """``common`` tokens shared by the prefixes of a set of n and one of least to most leave room for a link.
+
+    In one order of all tokens the prefix of one set can reach into the rest of the other, but not both ways, so what two sets share is
+    what their prefixes share and at most the larger of the two rests.
+    """
+    rest = lambda c: F.floor((percent * F.col(c) + 99) / 100) - 1
+    return (100 + percent) * (common + F.greatest(rest(n), rest(most))) >= percent * (F.col(n) + F.col(least))
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(key, n_shingles, component_id) of each row: component_id is the smallest key that links lead to, its own included.
 
@@ -161,38 +177,54 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     known = written(_signatures(plain, key, text, k, percent, lower, order), "sets")
     classes = known.where("n > 0").groupBy("set_id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = written(classes.withColumn("id", F.xxhash64("set_id")), "classes")
-    rows = classes.select("id", "n", F.explode("prefix").alias("t"))
-    tokens = rows.groupBy("t").agg(F.count("*").alias("sets"), F.min(F.struct("id", "n")).alias("head")).where("sets > 1").drop("sets")
-    shared = written(rows.join(tokens, "t").select("t", "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("m")), "shared")
-    wanted = shared.select("id").distinct().join(classes.select("id", "set_id", "rep"), "id")
-    texts = written(_fetched(plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "set_id", F.col(text).alias("text")), k, lower).dropDuplicates(["id"]), "texts")
     release(spark)
 
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    asked = written(shared.where((F.col("id") != F.col("head")) & fits("n", "m")).select(F.col("head").alias("grp"), "id").distinct(), "pairs")
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = ids.join(classes.select("id", "set_id", "rep"), "id")
+        found = plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "set_id", F.col(text).alias("text"))
+        return written(_fetched(found, k, lower), "texts")
+
+    sizes = classes.select("id", "n")
+    rows = classes.select("id", F.explode("prefix").alias("t"))
+    tokens = rows.groupBy("t").agg(F.count("*").alias("sets"), F.min("id").alias("head")).where("sets > 1").drop("sets")
+    shared = written(rows.join(tokens, "t").select("t", "id", "head"), "shared")
+    release(spark)
+
+    # each set with the first set of each of its tokens, if their prefixes have enough in common
+    pairs = shared.where("id <> head").select(F.col("head").alias("grp"), "id").distinct()
+    one = classes.select("id", "n", F.col("prefix").alias("own"))
+    two = classes.select(F.col("id").alias("grp"), F.col("n").alias("m"), F.col("prefix").alias("other"))
+    asked = pairs.join(one, "id").join(two, "grp").where(_fits("n", "m", percent) & _enough(F.size(F.array_intersect("own", "other")), "n", "m", "m", percent))
+    asked = written(asked.select("grp", "id"), "pairs")
     heads = asked.select("grp").distinct().withColumn("id", F.col("grp"))
-    links = written(_verified(heads, asked, texts, k, percent, lower), "links")
+    texts = fetch(asked.select("id").union(heads.select("id")).distinct())
+    links = written(_verified(heads, asked, texts, sizes, k, percent, lower), "links")
     parts = written(components(links), "parts")
     release(spark)
 
     # what is left: tokens whose sets are in several components
-    named = shared.select("t", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = shared.select("t", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
     open_ = written(named.join(mixed, "t"), "open")
-    sizes = open_.select("id", "n", "component").distinct()
-    # groups: the sets of a component by size, some GROUP each; hashing splits a large one without gathering it
-    many = sizes.groupBy("component").agg(F.count("*").alias("sets"))
-    members = written(
-        sizes.join(many, "component").select("id", "n", "component", F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("sets") / GROUP).cast("long"))).alias("grp")), "groups"
-    )
-    span = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = open_.select("t", "id").join(members.select("id", "grp", "component"), "id").select("t", "grp", "component").distinct().join(span, "grp")
-    query = open_.select("t", F.col("id"), "n", F.col("component").alias("own"))
-    asked = query.join(matrix, "t").where((F.col("own") > F.col("component")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
-    asked = written(asked.select("grp", "id").distinct(), "pairs")
+    release(spark)
+    # groups: the sets of a component, some GROUP each, dealt by hash so that a large one is never gathered
+    loose = open_.select("id", "component").distinct()
+    many = loose.groupBy("component").agg(F.count("*").alias("sets"))
+    members = loose.join(many, "component").select("id", "component", F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("sets") / GROUP).cast("long"))).alias("grp"))
+    members = written(members.join(sizes, "id"), "groups")
+    span = members.groupBy("grp", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # the matrix: a row for each token and group that has it; its rows with a query's tokens count what the query shares with the union
+    matrix = open_.select("t", "id").join(members.select("id", "grp"), "id").select("t", "grp").distinct().join(span, "grp")
+    query = open_.select("t", "id", F.col("component").alias("own")).join(sizes, "id")
+    met = query.join(matrix, "t").where((F.col("own") > F.col("component")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
+    met = met.groupBy("grp", "id", "n", "least", "most").agg(F.count("*").alias("common")).where(_enough(F.col("common"), "n", "least", "most", percent))
+    asked = written(met.select("grp", "id"), "pairs")
+    release(spark)
     used = members.join(asked.select("grp").distinct(), "grp").select("grp", "id")
-    more = written(_verified(used, asked, texts, k, percent, lower), "links")
+    texts = fetch(asked.select("id").union(used.select("id")).distinct())
+    more = written(_verified(used, asked, texts, sizes, k, percent, lower), "links")
     final = written(components(links.unionByName(more)), "parts")
+    release(spark)
 
     reps = classes.select("set_id", "id", "rep").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
