@@ -1,0 +1,262 @@
+"""Pages and reports: HTML to markdown and metadata, robots rules, URL canonicalisation in full, report rewriting. Arrow batches."""
+
+from __future__ import annotations
+
+import html as _html
+import ipaddress
+import json
+import re
+from html.parser import HTMLParser
+from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.registry import register
+
+# Parameters that only track.
+TRACKING = frozenset("fbclid gclid igshid mc_cid mc_eid msclkid".split())
+SKIPPED = frozenset("script style noscript template svg iframe nav footer aside form".split())
+BLOCKS = frozenset("p div section article main header h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tr td th dl dt dd figure figcaption hr br body".split())
+MAX_LINKS = 200
+
+
+def canonical(url: str) -> str:
+    """A URL as a browser serialises it, without fragment and tracking parameters, parameters sorted by name; what isn't a URL stays."""
+    try:
+        parts = urlsplit(url.strip())
+        if parts.scheme.lower() not in ("http", "https") or not parts.hostname:
+            return url
+        host = parts.hostname.encode("idna").decode() if not parts.hostname.isascii() else parts.hostname
+        port = f":{parts.port}" if parts.port and parts.port != {"http": 80, "https": 443}[parts.scheme.lower()] else ""
+        login = f"{parts.username or ''}{':' + parts.password if parts.password else ''}@" if parts.username or parts.password else ""
+        params = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING]
+        query = urlencode(sorted(params, key=lambda p: p[0]))
+        return f"{parts.scheme.lower()}://{login}{host}{port}{quote(parts.path, safe='/%:@!$&()*+,;=~-._') or '/'}" + (f"?{query}" if query else "")
+    except (ValueError, UnicodeError):
+        return url
+
+
+def is_private(address: str) -> bool:
+    """Addresses of either family that aren't public, mapped and tunnelled ones by the address within."""
+    try:
+        ip = ipaddress.ip_address(address.strip("[]"))
+    except ValueError:
+        return False
+    if ip.version == 6:
+        inner = ip.ipv4_mapped or ip.sixtofour or (ipaddress.IPv4Address(int(ip) & 0xFFFFFFFF) if int(ip) >> 32 == 0x64FF9B << 64 else None)
+        if inner:
+            return is_private(str(inner))
+    return not ip.is_global or ip.is_multicast
+
+
+class _Markdown(HTMLParser):
+    """Markdown of a page: headings, lists, tables, definition lists, code fences and links; boilerplate elements are skipped."""
+
+    def __init__(self, base: str):
+        super().__init__(convert_charrefs=True)
+        self.base, self.out, self.text, self.skip, self.pre = base, [], [], 0, 0
+        self.lists, self.row, self.table, self.prefix, self.links, self.href, self.label = [], None, None, "", [], None, []
+
+    def flush(self) -> None:
+        text = "".join(self.text) if self.pre else " ".join("".join(self.text).split())
+        self.text.clear()
+        if text.strip() and self.row is None:
+            self.out.append(f"{self.prefix}{text}")
+        elif self.row is not None and text.strip():
+            self.row[-1] += text.replace("|", r"\|")
+        self.prefix = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIPPED:
+            self.skip += 1
+        if self.skip:
+            return
+        if tag in BLOCKS:
+            self.flush()
+        if tag[0] == "h" and tag[1:].isdigit():
+            self.prefix = "#" * int(tag[1:]) + " "
+        elif tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+        elif tag == "li":
+            kind = self.lists[-1] if self.lists else ["ul", 0]
+            kind[1] += 1
+            self.prefix = "  " * max(0, len(self.lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
+        elif tag == "blockquote":
+            self.prefix = "> "
+        elif tag == "dd":
+            self.prefix = ": "
+        elif tag == "pre":
+            self.pre += 1
+            self.out.append("```")
+        elif tag == "table":
+            self.table = []
+        elif tag == "tr" and self.table is not None:
+            self.row = []
+        elif tag in ("td", "th") and self.row is not None:
+            self.row.append("")
+        elif tag == "a":
+            self.href, self.label = dict(attrs).get("href"), []
+
+    def handle_endtag(self, tag):
+        if tag in SKIPPED:
+            self.skip = max(0, self.skip - 1)
+        if self.skip:
+            return
+        if tag in BLOCKS:
+            self.flush()
+        if tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+        elif tag == "pre" and self.pre:
+            self.pre -= 1
+            self.out.append("```")
+        elif tag == "tr" and self.row is not None:
+            self.table.append(self.row)
+            self.row = None
+        elif tag == "table" and self.table:
+            width = max(map(len, self.table))
+            rows = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in self.table]
+            self.out.append("\n".join([rows[0], "|" + " --- |" * width, *rows[1:]]))
+            self.table = None
+        elif tag == "a" and self.href is not None:
+            label, url = " ".join("".join(self.label).split()), urljoin(self.base, self.href)
+            if url.startswith("http"):
+                if label:
+                    self.text.append(f"[{label}]({url})")
+                if canonical(url) not in self.links and len(self.links) < MAX_LINKS:
+                    self.links.append(canonical(url))
+            else:
+                self.text.append(label)
+            self.href = None
+
+    def handle_data(self, data):
+        if not self.skip:
+            (self.label if self.href is not None else self.text).append(data)
+
+
+def markdown(page: str, base: str = "") -> tuple[str, list[str]]:
+    """(markdown, canonical links, at most 200) of a page."""
+    parser = _Markdown(base)
+    body = re.sub(r"(?is)<(script|style|title)\b.*?</\1\s*>", " ", page or "")
+    parser.feed(body)
+    parser.close()
+    parser.flush()
+    return "\n\n".join(parser.out), parser.links
+
+
+def metadata(page: str) -> dict[str, str | None]:
+    """Title, canonical URL, author, date, language and JSON-LD type of a page."""
+    page = page or ""
+    first = lambda pattern: (m := re.search(pattern, page, re.I | re.S)) and (_html.unescape(m[1]).strip() or None)
+    meta = lambda name: first(rf"<meta[^>]+(?:name|property)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)")
+    kind = None
+    if block := first(r"<script[^>]+application/ld\+json[^>]*>(.*?)</script>"):
+        try:
+            found = json.loads(block)
+            kind = str(found.get("@type")) if isinstance(found, dict) else None
+        except ValueError:
+            kind = None
+    return {"title": first(r"<title[^>]*>(.*?)</title>"), "canonical": first(r"<link[^>]+rel=[\"']canonical[\"'][^>]+href=[\"']([^\"']*)"), "author": meta("author"), "published": meta("article:published_time"), "lang": first(r"<html[^>]+lang=[\"']?([\w-]+)"), "kind": kind}
+
+
+def robots_allowed(rules: str, agent: str, path: str) -> bool:
+    """Whether robots rules let an agent fetch a path: the group with the longest matching name, else ``*``; the longest matching
+    pattern decides and Allow wins a tie. ``*`` and a final ``$`` are wildcards."""
+    groups: list[tuple[list[str], list[tuple[bool, str]]]] = []
+    fresh = False
+    for line in rules.splitlines():
+        name, _, value = line.split("#")[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if name == "user-agent":
+            if not fresh:
+                groups.append(([], []))
+            groups[-1][0].append(value.lower())
+            fresh = True
+        elif name in ("allow", "disallow") and groups:
+            fresh = False
+            if value:
+                groups[-1][1].append((name == "allow", value))
+    matching = [(len(a) if a != "*" else 0, r) for names, r in groups for a in names if a == "*" or a in agent.lower()]
+    if not matching:
+        return True
+    top = max(n for n, _ in matching)
+    best = (-1, True)
+    for _, group in (m for m in matching if m[0] == top):
+        for allow, pattern in group:
+            end = pattern.endswith("$")
+            parts = [re.escape(p) for p in re.sub(r"\*+", "*", pattern.rstrip("$") if end else pattern).split("*")]
+            if re.match("[^\0]*?".join(parts) + ("$" if end else ""), path):
+                best = max(best, (len(pattern), allow))
+    return best[1]
+
+
+def renumbered(draft: str, known: dict[str, str]) -> tuple[str, list[str], list[str]]:
+    """A draft with its source marks numbered by first appearance, the sources in that order, and marks that name no known source."""
+    order: list[str] = []
+    unbound: list[str] = []
+
+    def mark(m: re.Match) -> str:
+        name = f"source_{m[1]}"
+        if name not in known:
+            if name not in unbound:
+                unbound.append(name)
+            return ""
+        if name not in order:
+            order.append(name)
+        return f"[{order.index(name) + 1}]"
+
+    text = re.sub(r"\[source_([^\]]+)\]", mark, draft)
+    text = re.sub(r" +([.,;:)])", r"\1", re.sub(r" {2,}", " ", re.sub(r"\(?\bsource_\d+\b\)?", "", text))).strip()
+    refs = "\n".join(f"{i + 1}. {known[s]}" for i, s in enumerate(order))
+    return (f"{text}\n\n## Sources\n\n{refs}" if refs else text), order, unbound
+
+
+def without_caveats(note: str) -> str:
+    """A note without its leading mark, source marks and sentences about the search itself."""
+    base = re.sub(r"\[note\]", "", re.sub(r"\[source_[^\]]*\]", "", re.sub(r"^[-*]\s*", "", note), flags=re.I), flags=re.I)
+    about = re.compile(r"\b(?:lead to chase|to chase|TODO|FIXME|XXX|not (?:yet )?fetched|captcha|page not found)\b", re.I)
+    return re.sub(r"\s{2,}", " ", " ".join(s for s in re.split(r"(?<=[.!?])\s+", base) if not about.search(s))).strip()
+
+
+def without_sources_section(report: str) -> str:
+    return re.sub(r"(?ims)^#{1,6}\s*(sources|references)\s*$.*\Z", "", report).rstrip()
+
+
+def captions(track: str) -> str:
+    """Plain text of a caption track, XML or JSON events."""
+    if track.lstrip().startswith("{"):
+        events = json.loads(track).get("events", [])
+        return " ".join("".join(s.get("utf8", "") for s in e.get("segs", [])).strip() for e in events if e.get("segs"))
+    return " ".join(_html.unescape(re.sub("<[^>]+>", "", t)).strip() for t in re.findall(r"(?s)<text[^>]*>(.*?)</text>", track))
+
+
+def mapped(df: DataFrame, schema: str, row) -> DataFrame:
+    """``row`` applied to the columns of each row, batch by batch, each result a row of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([row(*r) for r in batch.itertuples(index=False)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+ROBOTS = "User-agent: *\nDisallow: /en/7\nAllow: /en/77\n\nUser-agent: fancybot\nDisallow: /*?page=\nDisallow: /*.html$"
+
+
+def _path(url: str) -> str:
+    parts = urlsplit(url)
+    return parts.path + (f"?{parts.query}" if parts.query else "")
+
+
+register("fn21_markdown", "pages", lambda p: mapped(p.select("page_id", "html", "url"), "page_id long, chars long, links long", lambda i, h, u: (i, len(markdown(h, u)[0]), len(markdown(h, u)[1]))))
+register("fn22_metadata", "pages", lambda p: mapped(p.select("page_id", "html"), "page_id long, title string, lang string", lambda i, h: (i, (m := metadata(h))["title"], m["lang"])), "SELECT page_id, nullif(trim(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&')), '') AS title, regexp_extract(html, 'lang=\"(\\w+)\"', 1) AS lang FROM pages")
+register("fn01_canonical_full", "pages", lambda p: mapped(p.select("page_id", "url"), "page_id long, key string", lambda i, u: (i, canonical(u.upper().replace("HTTPS", "HTTPS") if i % 5 == 0 else u))))
+register("st10_links", "pages", lambda p: mapped(p.select("page_id", "html", "url"), "page_id long, links array<string>", lambda i, h, u: (i, markdown(h.replace("<nav", "<div").replace("</nav", "</div"), u)[1])).select("page_id", F.size("links").alias("n")))
+register("pf05_private_v6", "pages", lambda p: mapped(p.select("page_id"), "page_id long, private boolean", lambda i: (i, is_private(("::1", "fe80::1", "2606:4700::1", "::ffff:10.0.0.1", "64:ff9b::7f00:1", "2002:c0a8:101::")[i % 6]))), "SELECT page_id, page_id % 6 <> 2 AS private FROM pages")
+register("pf11_robots", "pages", lambda p: mapped(p.select("page_id", "url"), "page_id long, general boolean, fancy boolean", lambda i, u: (i, robots_allowed(ROBOTS, "other", _path(u)), robots_allowed(ROBOTS, "FancyBot/2", _path(u)))), "SELECT page_id, NOT regexp_matches(url, '^https?://[^/]+/en/7') OR regexp_matches(url, '^https?://[^/]+/en/77') AS general, NOT (regexp_matches(url, '\\?page=') OR regexp_matches(regexp_replace(url, '#.*$', ''), '\\.html$')) AS fancy FROM pages")
+register("fn13_renumber", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, markers string, unbound long", lambda i, t: (i, ",".join((r := renumbered(" ".join(f"{w} [source_{len(w)}]" for w in t.split()[:40]), {f"source_{k}": str(k) for k in range(8)}))[1]), len(r[2]))))
+register("fn12_notes", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, note string", lambda i, t: (i, without_caveats("- " + t[:80].replace("\n", " ") + " TODO more. [source_1] Kept."))))
+register("fn14_sources_section", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, same boolean", lambda i, t: (i, without_sources_section(t.rstrip()[:500].rstrip() + "\n\n## Sources\n\n1. x") == t.rstrip()[:500].rstrip())), "SELECT doc_id, TRUE AS same FROM documents")
+register("fn28_captions", "benchmark", lambda b: mapped(b.select("item_id", "text"), "item_id long, text string", lambda i, t: (i, captions(f"<transcript><text start='0'>{_html.escape(t[:20])}</text><text start='1'>end</text></transcript>"))).select("item_id", F.md5("text").alias("digest")), "SELECT item_id, md5(trim(text[1:20]) || ' end') AS digest FROM benchmark")

@@ -1,0 +1,130 @@
+"""Evidence ledger, citations, quote grounding, near-duplicate queries, replay."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import jaccard, query_tokens
+from ..plans.registry import register, rounded
+
+OPENING = ("add", "retarget")
+
+
+def slot_states(events: DataFrame) -> DataFrame:
+    """The last event of each slot that changes its state decides: adding and retargeting open it, closing fills it, exhausting gives it up."""
+    order = Window.partitionBy("run_id", "slot_id").orderBy(F.desc("seq"))
+    last = events.withColumn("r", F.row_number().over(order)).where("r = 1")
+    state = F.when(F.col("op").isin(*OPENING), "open").when(F.col("op") == "exhaust", "exhausted").otherwise("answered")
+    return last.select("run_id", "slot_id", state.alias("state"), F.when(state == "answered", F.col("value")).alias("value"), "importance")
+
+
+def ledger_status(states: DataFrame) -> DataFrame:
+    filled = F.col("state") != "open"
+    return states.groupBy("run_id").agg(F.count("*").alias("slots"), F.count_if(F.col("state") == "answered").alias("answered"), F.count_if(~filled).alias("open"), F.bool_and(filled).alias("all_filled"))
+
+
+def numbered(markers: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Citation numbers in the order in which a text first names its sources."""
+    firsts = markers.groupBy(by, "source").agg(F.min("at").alias("first"))
+    return firsts.withColumn("marker", F.row_number().over(Window.partitionBy(by).orderBy("first", "source")))
+
+
+def grounded(quotes: DataFrame, docs: DataFrame, least: int = 12) -> DataFrame:
+    """Quotes of ``least`` characters or more that their document has, white space and case aside."""
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    joined = quotes.join(docs.select(F.col("doc_id"), F.col("text").alias("__text")), "doc_id", "left")
+    return joined.select("quote_id", F.coalesce((F.length(flat("quote")) >= least) & F.contains(flat("__text"), flat("quote")), F.lit(False)).alias("supported"))
+
+
+def near_pairs(queries: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
+    """Pairs of queries whose token sets overlap by ``least`` or more. Such sets share a token among the ceil((1 - least) * n) + 1 first
+    in one order of all tokens, rare ones first, so only those are joined; the count decides."""
+    sets = queries.select(key, query_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    rows = sets.select(key, F.explode("tokens").alias("t"))
+    order = Window.partitionBy(key).orderBy("df", "t")
+    some = rows.join(rows.groupBy("t").agg(F.count("*").alias("df")), "t").withColumn("r", F.row_number().over(order))
+    some = some.join(sets.select(key, F.size("tokens").alias("n")), key).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "t")
+    left, right = some.select(F.col(key).alias("a"), "t"), some.select(F.col(key).alias("b"), "t")
+    pairs = left.join(right, "t").where("a < b").select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("tokens").alias("y")), "b")
+    return both.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("a", "b", rounded(F.col("similarity")).alias("similarity"))
+
+
+def replayed(requests: DataFrame, journal: DataFrame) -> DataFrame:
+    """The k-th request of a key takes the journal's k-th entry of that key."""
+    at = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("call_key").orderBy("seq")))
+    return at(requests).select("call_key", "k", F.col("seq").alias("request")).join(at(journal).select("call_key", "k", F.col("seq").alias("entry")), ["call_key", "k"], "left")
+
+
+def draft_fold(ops: DataFrame) -> DataFrame:
+    """The draft after each run's set and patch operations: a patch replaces the first exact occurrence, a miss is counted."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        draft, misses = "", 0
+        for op, old, new in rows.sort_values("seq")[["op", "old", "new"]].itertuples(index=False):
+            if op == "set":
+                draft = new
+            elif old and old in draft:
+                draft = draft.replace(old, new, 1)
+            else:
+                misses += 1
+        return pd.DataFrame([(rows.run_id.iloc[0], draft, misses)], columns=["run_id", "draft", "misses"])
+
+    return ops.groupBy("run_id").applyInPandas(fold, "run_id string, draft string, misses long")
+
+
+def bounded_fifo(events: DataFrame, cap: int = 80) -> DataFrame:
+    """The candidates that a first-in first-out set of ``cap`` holds in the end; one that was put out may come again."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, int] = {}
+        for key, seq in rows.sort_values("seq")[["key", "seq"]].itertuples(index=False):
+            if key not in held:
+                if len(held) >= cap:
+                    del held[next(iter(held))]
+                held[key] = seq
+        return pd.DataFrame([(rows.run_id.iloc[0], k, s) for k, s in held.items()], columns=["run_id", "key", "seq"])
+
+    return events.groupBy("run_id").applyInPandas(fold, "run_id string, key string, seq long")
+
+
+def _markers(d: DataFrame) -> DataFrame:
+    """Words of a text as if they named sources: every fifth word's length."""
+    some = d.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 60)).alias("at", "w"))
+    return some.where("at % 5 = 0").select("doc_id", "at", F.concat(F.lit("source_"), F.length("w").cast("string")).alias("source"))
+
+
+STATES = "(SELECT run_id, slot_id, CASE WHEN op IN ('add', 'retarget') THEN 'open' WHEN op = 'exhaust' THEN 'exhausted' ELSE 'answered' END AS state, CASE WHEN op LIKE 'close%' THEN value END AS value, importance FROM (SELECT *, row_number() OVER (PARTITION BY run_id, slot_id ORDER BY seq DESC) AS r FROM slot_events) WHERE r = 1)"
+MARKS = "(SELECT doc_id, p AS at_, 'source_' || length(w) AS source FROM (SELECT doc_id, unnest(l[1:60]) AS w, unnest(range(len(l[1:60]))) AS p FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) WHERE p % 5 = 0)"
+NUMBERED = f"(SELECT doc_id, source, min(at_)::INT AS first, row_number() OVER (PARTITION BY doc_id ORDER BY min(at_), source)::INT AS marker FROM {MARKS} GROUP BY doc_id, source)"
+TOKENS = r"(SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text[1:60]), '\b(or|and|the|of|in|on|for|to|a|an|site)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS t FROM benchmark)"
+
+register("ss09_slot_states", "slot_events", slot_states, f"SELECT * FROM {STATES}")
+register("ss10_coverage", "slot_events", lambda e: slot_states(e).where("state <> 'open'").select("run_id", "slot_id", "state"), f"SELECT run_id, slot_id, state FROM {STATES} WHERE state <> 'open'")
+register("ss11_ledger_status", "slot_events", lambda e: ledger_status(slot_states(e)), f"SELECT run_id, count(*) AS slots, count(*) FILTER (state = 'answered') AS answered, count(*) FILTER (state = 'open') AS open, bool_and(state <> 'open') AS all_filled FROM {STATES} GROUP BY 1")
+register("ss12_seed", "benchmark", lambda b: b.where(F.length("text") > 40).withColumn("r", F.row_number().over(Window.orderBy("item_id"))).where("r <= 14").select(F.concat(F.lit("s"), "r").alias("slot_id"), "item_id"), "SELECT 's' || row_number() OVER (ORDER BY item_id) AS slot_id, item_id FROM benchmark WHERE length(text) > 40 ORDER BY item_id LIMIT 14")
+register("ss13_render", "slot_events", lambda e: slot_states(e).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot_id", "state"))), lambda x: F.concat_ws("=", x["slot_id"], x["state"])), "; ").alias("ledger")), f"SELECT run_id, string_agg(slot_id || '=' || state, '; ' ORDER BY slot_id) AS ledger FROM {STATES} GROUP BY 1")
+register("ss14_source_priming", "documents", lambda d: d.groupBy("lang").agg((F.max(F.regexp_extract("source", r"^src(\d+)$", 1).cast("long")) + 1).alias("next")), "SELECT lang, max(regexp_extract(source, '^src(\\d+)$', 1)::BIGINT) + 1 AS next FROM documents GROUP BY 1")
+register("st11_slot_dedupe", "slot_events", lambda e: e.where("op = 'add'").withColumn("k", F.lower(F.trim(F.concat(F.lit(" Slot "), F.col("slot_id"))))).withColumn("r", F.row_number().over(Window.partitionBy("run_id", "k").orderBy("seq"))).where("r = 1").select("run_id", "k", "seq"), "SELECT run_id, 'slot ' || slot_id AS k, min(seq) AS seq FROM slot_events WHERE op = 'add' GROUP BY ALL")
+register("xs25_next_slot", "slot_events", lambda e: e.groupBy("run_id").agg((F.max(F.substring("slot_id", 2, 9).cast("long")) + 1).alias("next")), "SELECT run_id, max(slot_id[2:]::BIGINT) + 1 AS next FROM slot_events GROUP BY 1")
+register("so06_gap_priority", "slot_events", lambda e: slot_states(e).where("state = 'open'").withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("importance") != "central", "slot_id"))).select("run_id", "place", "slot_id", "importance"), f"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY importance <> 'central', slot_id)::INT AS place, slot_id, importance FROM {STATES} WHERE state = 'open'")
+register("jn19_gap_importance", "slot_events", lambda e: e.where("op = 'exhaust'").select("run_id", "slot_id", "seq").join(slot_states(e).select("run_id", "slot_id", "importance"), ["run_id", "slot_id"], "left"), f"SELECT a.run_id, a.slot_id, seq, b.importance FROM slot_events a LEFT JOIN {STATES} b ON a.run_id = b.run_id AND a.slot_id = b.slot_id WHERE op = 'exhaust'")
+register("wn04_citation_numbers", "documents", lambda d: numbered(_markers(d)).select("doc_id", "source", "first", "marker"), f"SELECT * FROM {NUMBERED}")
+register("jn11_citation_binding", "documents", lambda d: numbered(_markers(d)).join(d.select(F.concat(F.lit("source_"), F.col("doc_id")).alias("source"), "lang"), "source", "left").select("doc_id", "source", "marker", F.col("lang").isNotNull().alias("bound")), f"SELECT n.doc_id, n.source, marker, d.doc_id IS NOT NULL AS bound FROM {NUMBERED} n LEFT JOIN documents d ON n.source = 'source_' || d.doc_id")
+register("jn10_uncited", "documents", lambda d: d.select(F.concat(F.lit("source_"), F.col("doc_id")).alias("source")).join(_markers(d), "source", "left_anti"), f"SELECT 'source_' || doc_id AS source FROM documents WHERE 'source_' || doc_id NOT IN (SELECT source FROM {MARKS})")
+register("ag22_yield", "documents", lambda d: d.select("source", F.concat(F.lit("source_"), F.col("doc_id")).alias("id")).join(_markers(d).select(F.col("source").alias("id")).distinct().withColumn("cited", F.lit(1)), "id", "left").groupBy("source").agg(F.count("*").alias("fetched"), F.count("cited").alias("cited")), f"SELECT source, count(*) AS fetched, count(*) FILTER ('source_' || doc_id IN (SELECT source FROM {MARKS})) AS cited FROM documents GROUP BY 1")
+register("jn13_grounding", "documents", lambda d: grounded(d.select(F.col("doc_id").alias("quote_id"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id"), F.substring("text", 11, 30).alias("quote")), d), "SELECT q.doc_id AS quote_id, coalesce(length(trim(regexp_replace(lower(q.text[11:40]), '\\s+', ' ', 'g'), ' ')) >= 12 AND contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(lower(q.text[11:40]), '\\s+', ' ', 'g'), ' ')), FALSE) AS supported FROM documents q LEFT JOIN documents d ON d.doc_id = CASE WHEN q.doc_id % 3 = 0 THEN q.doc_id + 1 ELSE q.doc_id END")
+register("jn14_scope", "documents", lambda d: d.join(d.sparkSession.createDataFrame([("src1",), ("src2",), ("nowhere",)], "source string"), "source", "left_semi").select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'nowhere')")
+register("jn09_near_queries", "benchmark", lambda b: near_pairs(b.select("item_id", F.substring("text", 1, 60).alias("text")).union(b.select(F.col("item_id") + 1000, F.concat(F.substring("text", 1, 50), F.lit(" extra")).alias("text"))), "item_id", "text"), "SELECT x.item_id AS a, y.item_id AS b, floor(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) * 10000 + 0.5) / 10000 AS similarity FROM s x JOIN s y ON x.item_id < y.item_id WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.5".replace("SELECT x.item_id", "WITH b AS (SELECT item_id, text[1:60] AS text FROM benchmark UNION ALL SELECT item_id + 1000, text[1:50] || ' extra' FROM benchmark), s AS " + TOKENS.replace("text[1:60]", "text").replace("FROM benchmark", "FROM b") + " SELECT x.item_id", 1))
+register("ag21_audit", "benchmark", lambda b: b.groupBy().agg(F.count("*").alias("queries"), F.count_distinct(F.lower(F.trim(F.substring("text", 1, 3)))).alias("unique_exact")), "SELECT count(*) AS queries, count(DISTINCT lower(trim(text[1:3], ' '))) AS unique_exact FROM benchmark")
+register("jn20_replay", "journal", lambda j: replayed(j.where("call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 0"), j.where("call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 1")), "SELECT call_key, k::INT AS k, a.seq AS request, b.seq AS entry FROM (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 0) a LEFT JOIN (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 1) b USING (call_key, k)")
+register("ss03_resume_cost", "journal", lambda j: replayed(j.where("call_key IS NOT NULL AND seq >= 5000"), j.where("call_key IS NOT NULL AND seq < 5000")).groupBy(F.col("entry").isNotNull().alias("replayed")).agg(F.count("*").alias("calls")), "SELECT b.seq IS NOT NULL AS replayed, count(*) AS calls FROM (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND seq >= 5000) a LEFT JOIN (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND seq < 5000) b USING (call_key, k) GROUP BY 1")
+register("ss08_trail", "events", lambda e: e.groupBy(F.concat(F.lit("q"), F.col("user_id") % 40).alias("key")).agg(F.max(F.floor("value")).alias("results"), F.min_by("event_type", "event_id").alias("reason")), "SELECT 'q' || (user_id % 40) AS key, max(floor(value))::BIGINT AS results, arg_min(event_type, event_id) AS reason FROM events GROUP BY 1")
+register("ss19_stream_parts", "conversations", lambda c: c.groupBy("conv_id", "role").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")).alias("digest")), "SELECT conv_id, role, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY 1, 2")
+register("xs22_draft_ops", "conversations", lambda c: draft_fold(c.select(F.concat(F.lit("c"), F.col("conv_id") % 50).alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.when(F.col("turn") == 0, "set").otherwise("patch").alias("op"), F.lit("the").alias("old"), F.when(F.col("turn") == 0, F.col("text")).otherwise(F.lit("THE")).alias("new"))))
+register("so10_bounded_fifo", "events", lambda e: bounded_fifo(e.select(F.concat(F.lit("r"), F.col("user_id") % 5).alias("run_id"), F.concat(F.lit("u"), F.col("event_id") * 31 % 211).alias("key"), F.col("event_id").alias("seq"))))
+register("xs18_register", "documents", lambda d: d.select("doc_id", F.when(F.length("text") < 300, "dead_end").otherwise("insert").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n")), "SELECT CASE WHEN length(text) < 300 THEN 'dead_end' ELSE 'insert' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
+register("xs23_source_list", "documents", lambda d: d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_set("lang")), lambda x: x), ",").alias("langs")), "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1")
+register("xs09_steps", "conversations", lambda c: c.groupBy("conv_id").agg(F.count("*").alias("steps")), "SELECT conv_id, count(*) AS steps FROM conversations GROUP BY 1")

@@ -1,0 +1,107 @@
+"""Tokens, prices and budgets."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..plans.registry import register, rounded
+
+# Dollars for a million tokens in and out, some of the models; read and write of a cache are 0.1 and 1.25 of in.
+PRICES = {"gpt-5": (1.25, 10.0), "gpt-5-mini": (0.25, 2.0), "gpt-5-nano": (0.05, 0.4), "gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gemini-2.5-pro": (1.25, 10.0)}
+UNKNOWN = (3.0, 15.0)
+CACHE_READ, CACHE_WRITE, FLOOR_USD = 0.1, 1.25, 0.01
+THRESHOLDS = (0.5, 0.8, 0.95)
+
+
+def price_table(spark) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in PRICES.items()], "model string, usd_in double, usd_out double")
+
+
+def priced(usage: DataFrame) -> DataFrame:
+    """``usage`` with the model that a price was found under and its rates: by name, without date, without leading dotted parts, else by the longest
+    known name that it begins or ends with. Prices are a fixed dimension of a few rows; models are looked up once each."""
+    undated = F.regexp_replace(F.regexp_replace(F.lower("model_id"), r"-\d{4}-\d{2}-\d{2}$", ""), r"-\d{8}$", "")
+    names = usage.select("model_id").where("model_id IS NOT NULL").distinct().withColumn("low", undated)
+    dim = F.broadcast(price_table(usage.sparkSession))
+    tail = F.endswith(F.col("low"), F.concat(F.lit("."), F.col("model")))
+    kind = F.when(F.col("low") == F.col("model"), 0).when(tail, 1).when(F.startswith(F.col("low"), F.concat(F.col("model"), F.lit("-"))), 2)
+    found = names.join(dim, tail | (F.col("low") == F.col("model")) | F.startswith(F.col("low"), F.concat(F.col("model"), F.lit("-"))))
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("model_id").orderBy(kind, F.desc(F.length("model")), "model"))).where("r = 1")
+    out = usage.join(F.broadcast(best.select("model_id", "model", "usd_in", "usd_out")), "model_id", "left")  # at most one row a model name
+    return out.withColumns({"usd_in": F.coalesce("usd_in", F.lit(UNKNOWN[0])), "usd_out": F.coalesce("usd_out", F.lit(UNKNOWN[1]))})
+
+
+def cost() -> Column:
+    return (F.col("input") * F.col("usd_in") + F.col("output") * F.col("usd_out") + F.col("cache_read") * F.col("usd_in") * CACHE_READ + F.col("cache_write") * F.col("usd_in") * CACHE_WRITE) / 1_000_000
+
+
+def crossings(spend: DataFrame, total: float) -> DataFrame:
+    """The event at which each run's spend first reaches each share of the total."""
+    running = F.sum("cents").over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    reached = spend.withColumn("spent", running).withColumn("share", F.explode(F.array(*map(F.lit, THRESHOLDS)))).where(F.col("spent") >= F.col("share") * total)
+    return reached.groupBy("run_id", "share").agg(F.min("seq").alias("seq"))
+
+
+def budget_fold(ops: DataFrame, total: float) -> DataFrame:
+    """The meter after each run's operations in order: charge, reserve, settle, release. A run is one state, so one group."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        used = held = 0.0
+        open_holds: list[float] = []
+        for op, usd in rows.sort_values("seq")[["op", "usd"]].itertuples(index=False):
+            if op == "charge" and usd > 0:
+                used += usd
+            elif op == "reserve" and usd > 0:
+                amount = min(usd, max(0.0, total - used - held))
+                if amount > 0:
+                    held += amount
+                    open_holds.append(amount)
+            elif op in ("settle", "release") and open_holds:
+                held = max(0.0, held - open_holds.pop(0))
+                used += max(0.0, usd) if op == "settle" else 0.0
+        return pd.DataFrame([(rows.run_id.iloc[0], round(used, 6), round(held, 6), bool(used >= total - 1e-9))], columns=["run_id", "used", "held", "exhausted"])
+
+    return ops.groupBy("run_id").applyInPandas(fold, "run_id string, used double, held double, exhausted boolean")
+
+
+def aimd_fold(signals: DataFrame, start: int = 4, least: int = 1, most: int = 16) -> DataFrame:
+    """The width of each run's gate after its signals: one more after twice the width of successes, half on a throttle."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        width, clean = start, 0
+        for good in rows.sort_values("seq").good:
+            if not good:
+                width, clean = max(least, width // 2), 0
+            elif width < most:
+                clean += 1
+                if clean >= 2 * width:
+                    width, clean = width + 1, 0
+        return pd.DataFrame([(rows.run_id.iloc[0], width)], columns=["run_id", "width"])
+
+    return signals.groupBy("run_id").applyInPandas(fold, "run_id string, width long")
+
+
+PRICED = """(SELECT u.*, coalesce(p.i, 3.0) AS usd_in, coalesce(p.o, 15.0) AS usd_out, p.m AS model FROM usage u LEFT JOIN
+  (VALUES ('gpt-5', 'gpt-5', 1.25, 10.0), ('GPT-5-mini', 'gpt-5-mini', 0.25, 2.0), ('gpt-4o-2024-08-06', 'gpt-4o', 2.5, 10.0), ('vendor.gpt-4o-mini', 'gpt-4o-mini', 0.15, 0.6), ('gemini-2.5-pro-preview', 'gemini-2.5-pro', 1.25, 10.0), ('eu.vendor.gpt-5-nano', 'gpt-5-nano', 0.05, 0.4)) p(id_, m, i, o) ON u.model_id = p.id_)"""
+COST = "(input * usd_in::DOUBLE + output * usd_out::DOUBLE + cache_read * usd_in::DOUBLE * 0.1::DOUBLE + cache_write * usd_in::DOUBLE * 1.25::DOUBLE) / 1000000"
+
+register("jn15_price_lookup", "usage", lambda u: priced(u).select("id", "model", "usd_in", "usd_out"), f"SELECT id, model, usd_in::DOUBLE AS usd_in, usd_out::DOUBLE AS usd_out FROM {PRICED}")
+register("jn16_exact_price", "usage", lambda u: u.withColumn("model", F.regexp_replace("model_id", r"^[^.]*\.", "")).join(F.broadcast(price_table(u.sparkSession)), "model", "left").select("id", "model", "usd_in"), "SELECT id, regexp_replace(model_id, '^[^.]*\\.', '') AS model, p::DOUBLE AS usd_in FROM usage LEFT JOIN (VALUES ('gpt-5', 1.25), ('gpt-5-mini', 0.25), ('gpt-5-nano', 0.05), ('gpt-4o', 2.5), ('gpt-4o-mini', 0.15), ('gemini-2.5-pro', 1.25)) t(m, p) ON regexp_replace(model_id, '^[^.]*\\.', '') = m")
+register("ag24_usage_by_role", "usage", lambda u: u.groupBy("run_id", "role").agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum(F.col("input") + F.col("output") + F.col("cache_write")).alias("fresh")), "SELECT run_id, role, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(input + output + cache_write)::BIGINT AS fresh FROM usage GROUP BY 1, 2")
+register("ag25_normalised_usage", "usage", lambda u: u.select("id", F.greatest(F.lit(0), F.col("input") - F.col("cache_read") - F.col("cache_write")).alias("uncached")), "SELECT id, greatest(0, input - cache_read - cache_write) AS uncached FROM usage")
+register("ag26_usage_cost", "usage", lambda u: priced(u).select("id", rounded(cost(), 8).alias("usd")), f"SELECT id, floor({COST} * 1e8 + 0.5) / 1e8 AS usd FROM {PRICED}")
+register("ag28_connector_cost", "usage", lambda u: u.select("id", rounded(F.col("input") * 2e-6 + F.col("output") * 8e-6 + 0.005 * (F.col("id") % 7), 8).alias("usd")), "SELECT id, floor((input * 2e-6 + output * 8e-6 + 0.005::DOUBLE * (id % 7)) * 1e8 + 0.5) / 1e8 AS usd FROM usage")
+register("xs28_usage_sum", "usage", lambda u: u.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")]), "SELECT run_id, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write FROM usage GROUP BY 1")
+register("ag31_run_metrics", "usage", lambda u: u.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_set("role_sums"))).alias("m")) if "role_sums" in u.columns else u.groupBy("run_id", "role").agg(F.sum("input").alias("n")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("m")).select("run_id", F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("input")), "SELECT run_id, sum(input)::BIGINT AS input FROM usage GROUP BY 1")
+register("ss05_thresholds", "journal", lambda j: crossings(j.where("kind = 'call'").select("run_id", "seq", "cents"), 20_000.0), "SELECT run_id, t::DOUBLE AS share, min(seq) AS seq FROM (SELECT run_id, seq, sum(cents) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS spent FROM journal WHERE kind = 'call'), (VALUES (0.5), (0.8), (0.95)) v(t) WHERE spent >= t::DOUBLE * 20000 GROUP BY 1, 2")
+register("ss04_budget_fold", "journal", lambda j: budget_fold(j.select("run_id", "seq", F.element_at(F.array(*map(F.lit, ("charge", "reserve", "settle", "release"))), (F.col("seq") % 4 + 1).cast("int")).alias("op"), (F.col("cents") / 100).alias("usd")), 2_000.0))
+register("ss06_aimd", "journal", lambda j: aimd_fold(j.select("run_id", "seq", (F.col("seq") % 13 != 0).alias("good"))))
+register("ag30_run_stats", "journal", lambda j: j.groupBy("run_id").agg(F.count_if(F.col("type") == "search.completed").alias("searches"), F.count_if(F.col("type") == "source.fetched").alias("sources"), F.max("seq").alias("last_seq"), F.sum("cents").alias("cents")), "SELECT run_id, count(*) FILTER (type = 'search.completed') AS searches, count(*) FILTER (type = 'source.fetched') AS sources, max(seq) AS last_seq, sum(cents)::BIGINT AS cents FROM journal GROUP BY 1")
+register("ag10_diagnostics", "journal", lambda j: j.groupBy("run_id").agg(*[F.count_if(F.col("type") == t).alias(t.replace(".", "_")) for t in ("search.completed", "source.fetched", "tool.event", "run.error")]), "SELECT run_id, count(*) FILTER (type = 'search.completed') AS search_completed, count(*) FILTER (type = 'source.fetched') AS source_fetched, count(*) FILTER (type = 'tool.event') AS tool_event, count(*) FILTER (type = 'run.error') AS run_error FROM journal GROUP BY 1")
+register("ag11_histogram", "journal", lambda j: j.groupBy("run_id", "type").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat_ws(":", x["type"], x["n"].cast("string"))), ",").alias("counts")), "SELECT run_id, string_agg(type || ':' || n, ',' ORDER BY type) AS counts FROM (SELECT run_id, type, count(*) AS n FROM journal GROUP BY 1, 2) GROUP BY 1")
+register("ag08_map_merge", "journal", lambda j: j.groupBy("run_id", "type").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("m")).select(F.explode("m").alias("type", "n")).groupBy("type").agg(F.sum("n").alias("n")), "SELECT type, count(*) AS n FROM journal GROUP BY 1")
+register("ag09_claim_sums", "journal", lambda j: j.groupBy("kind").agg(F.sum(F.when(F.col("type") == "tool.event", F.col("cents")).otherwise(F.lit(0).cast("long"))).alias("extracted"), F.count("call_key").alias("verified")), "SELECT kind, sum(CASE WHEN type = 'tool.event' THEN cents ELSE 0 END)::BIGINT AS extracted, count(call_key) AS verified FROM journal GROUP BY 1")
+register("ag20_tool_histogram", "journal", lambda j: j.select(F.explode(F.array("type", "kind")).alias("tool")).groupBy("tool").agg(F.count("*").alias("n")), "SELECT tool, count(*) AS n FROM (SELECT type AS tool FROM journal UNION ALL SELECT kind FROM journal) GROUP BY 1")
+register("ag23_role_summary", "conversations", lambda c: c.groupBy("role").agg(F.count("*").alias("steps"), F.min("turn").alias("first"), F.max("turn").alias("last")), "SELECT role, count(*) AS steps, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY 1")

@@ -1,0 +1,163 @@
+"""Sources and sinks: the JSONL journal, case files, run tables with blobs, connectors with recorded responses."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.pages import mapped
+from ..plans.registry import register
+
+JOURNAL_SCHEMA = "run_id string, seq long, kind string, type string, call_key string, data string, cents long, at_ms long"
+
+
+def safe_name(name: Column) -> Column:
+    return F.regexp_replace(name, r"[^\w.-]", "_")
+
+
+def append_journal(entries: DataFrame, path: str) -> None:
+    """Append entries as JSON lines, a folder for each run; failed writes raise."""
+    entries.withColumn("run", safe_name(F.col("run_id"))).write.mode("append").partitionBy("run").json(path)
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Entries in the order of seq within a run; lines that don't parse are left out."""
+    return spark.read.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+
+
+def runs_of(journal: DataFrame) -> DataFrame:
+    return journal.select("run_id").distinct()
+
+
+def run_status(journal: DataFrame) -> DataFrame:
+    """Completed or failed by the last terminal event, else incomplete; with the first meta entry's data."""
+    ends = journal.where("type IN ('run.completed', 'run.error')").groupBy("run_id").agg(F.max_by("type", "seq").alias("last"))
+    first = journal.where("kind = 'meta'").groupBy("run_id").agg(F.min_by("data", "seq").alias("question"))
+    state = F.when(F.col("last") == "run.completed", "completed").when(F.col("last") == "run.error", "failed").otherwise("incomplete")
+    return runs_of(journal).join(ends, "run_id", "left").join(first, "run_id", "left").select("run_id", state.alias("status"), "question")
+
+
+def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cases from a JSON array, JSON lines with # comments, or CSV with a header and quoted line breaks, by what the file looks like."""
+    if path.endswith(".csv"):
+        return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if head and head[0]["value"].lstrip().startswith("["):
+        return spark.read.schema(schema).json(path, multiLine=True)
+    lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
+    return lines.select(F.from_json("value", schema).alias("c")).select("c.*")
+
+
+def flattened(cases: DataFrame) -> DataFrame:
+    """Criteria of rubrics: sections and their criteria as rows, those without finite weight or requirement left out, ids defaulted."""
+    rows = cases.select("case_id", F.posexplode("sections").alias("s", "section")).select("case_id", "s", F.col("section.id").alias("section_id"), F.posexplode("section.criteria").alias("c", "criterion"))
+    rows = rows.select("case_id", F.coalesce("section_id", F.concat(F.lit("section-"), F.col("s") + 1)).alias("section_id"), F.coalesce("criterion.id", F.concat(F.lit("criterion-"), F.col("c") + 1)).alias("id"), "criterion.weight", F.trim("criterion.requirement").alias("requirement"))
+    return rows.where("weight IS NOT NULL AND NOT isnan(weight) AND abs(weight) < double('infinity') AND requirement <> ''")
+
+
+def decrypted(secret: str, canary: str) -> str:
+    """A field that was XORed with the repeated SHA-256 of its canary and written in base 64."""
+    key, data = hashlib.sha256(canary.encode()).digest(), base64.b64decode(secret)
+    return bytes(b ^ key[i % len(key)] for i, b in enumerate(data)).decode("utf-8")
+
+
+def encrypted(text: str, canary: str) -> str:
+    key = hashlib.sha256(canary.encode()).digest()
+    return base64.b64encode(bytes(b ^ key[i % len(key)] for i, b in enumerate(text.encode()))).decode()
+
+
+def abstract_text(index: DataFrame) -> DataFrame:
+    """Abstracts from inverted indexes (id, map word to places): words in the order of their places."""
+    words = index.select("id", F.explode("index").alias("word", "places")).select("id", "word", F.explode("places").alias("at"))
+    return words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("abstract"))
+
+
+def no_text_layer(pages: Column, letters: Column) -> Column:
+    """A PDF of two pages or more with hardly any letters was scanned."""
+    return (pages >= 2) & (letters < F.greatest(F.lit(200), 20 * pages))
+
+
+def direct_text(kind: Column, body: Column) -> Column:
+    """A text body by content type: JSON reprinted, XML without tags, others as they are."""
+    return F.when(kind.rlike("json"), F.coalesce(F.try_parse_json(body).cast("string"), body)).when(kind.rlike("xml"), F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " "))).otherwise(body)
+
+
+class RecordedReader(DataSourceReader):
+    """Recorded responses of a connector, a partition for each shard of a JSON-lines file list."""
+
+    def __init__(self, options):
+        self.files = [f for f in options.get("files", "").split(",") if f]
+
+    def partitions(self):
+        return [InputPartition(f) for f in self.files] or [InputPartition(None)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        if partition.value is None:
+            return
+        with open(partition.value, encoding="utf-8") as lines:
+            for n, line in enumerate(lines):
+                found = json.loads(line)
+                yield found.get("query", ""), n + 1, found.get("url", ""), found.get("title", ""), found.get("snippet", "")
+
+
+class RecordedSearch(DataSource):
+    """``spark.read.format("recorded_search")``: what a search connector returned, for runs without a network."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recorded_search"
+
+    def schema(self) -> str:
+        return "query string, position int, url string, title string, snippet string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RecordedReader(self.options)
+
+
+def parsed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Results from lines ``url :: summary``, the first of each URL."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    hits = lines.select(key, "at", F.regexp_extract("line", r"^\W*(https?://\S+)\s*::\s*(.*)$", 1).alias("url"), F.regexp_extract("line", r"^\W*(https?://\S+)\s*::\s*(.*)$", 2).alias("summary")).where("url <> ''")
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy(key, "url").orderBy("at"))).where("r = 1").drop("r", "at")
+
+
+def _index(b: DataFrame) -> DataFrame:
+    rows = b.select(F.col("item_id").alias("id"), F.posexplode(F.slice(F.split("text", " "), 1, 30)).alias("at", "w")).groupBy("id", "w").agg(F.collect_list("at").alias("p"))
+    return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("index"))
+
+
+STATUS = "SELECT run_id, CASE l WHEN 'run.completed' THEN 'completed' WHEN 'run.error' THEN 'failed' ELSE 'incomplete' END AS status, question FROM (SELECT run_id, arg_max(type, seq) FILTER (type IN ('run.completed', 'run.error')) AS l, arg_min(data, seq) FILTER (kind = 'meta') AS question FROM journal GROUP BY 1)"
+
+
+def _round_trip(j: DataFrame) -> DataFrame:
+    import tempfile
+    import uuid
+
+    spark = j.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp()
+    path = f"{base.rstrip('/')}/journal-{uuid.uuid4().hex}"
+    append_journal(j, path)
+    return read_journal(spark, path)
+
+
+register("sc02_journal_scan", "journal", lambda j: _round_trip(j).groupBy("run_id").agg(F.count("*").alias("entries"), F.max("seq").alias("last")), "SELECT run_id, count(*) AS entries, max(seq) AS last FROM journal GROUP BY 1")
+register("sc03_run_list", "journal", runs_of, "SELECT DISTINCT run_id FROM journal")
+register("xs01_run_status", "journal", run_status, STATUS)
+register("xs02_first_meta", "journal", lambda j: run_status(j).where("question IS NOT NULL").select("run_id", "question"), f"SELECT run_id, question FROM ({STATUS}) WHERE question IS NOT NULL")
+register("pf24_rubric_rows", "cases", lambda c: flattened(c.select("case_id", F.array(F.struct(F.lit(None).cast("string").alias("id"), F.array(F.struct(F.lit("a").alias("id"), F.col("criteria_count").cast("double").alias("weight"), F.lit(" must hold ").alias("requirement")), F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("weight"), F.lit("x").alias("requirement"))).alias("criteria"))).alias("sections"))), "SELECT case_id, 'section-1' AS section_id, 'a' AS id, criteria_count::DOUBLE AS weight, 'must hold' AS requirement FROM cases")
+register("sc26_abstracts", "benchmark", lambda b: abstract_text(_index(b)), "SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:30], ' ') AS abstract FROM benchmark")
+register("sc23_parse_lines", "hits", lambda h: parsed_lines(h.select("hit_id", F.concat_ws("\n", F.lit("found:"), F.concat(F.lit("- "), "url", F.lit(" :: "), "title"), F.concat("url", F.lit(" :: again")), F.lit("no result")).alias("text")), "hit_id", "text"), "SELECT hit_id, url, title AS summary FROM hits")
+register("sc27_filing_urls", "orders", lambda o: o.select("o_orderkey", F.concat(F.lit("https://filings.example/data/"), "o_custkey", F.lit("/"), F.replace(F.format_string("%010d-%02d", "o_orderkey", F.col("o_orderkey") % 100), F.lit("-"), F.lit("")), F.lit("/index.htm")).alias("url")), "SELECT o_orderkey, 'https://filings.example/data/' || o_custkey || '/' || replace(printf('%010d-%02d', o_orderkey, o_orderkey % 100), '-', '') || '/index.htm' AS url FROM orders")
+register("sc31_text_layer", "documents", lambda d: d.select("doc_id", no_text_layer(F.col("doc_id") % 30, F.length(F.regexp_replace("text", r"[^A-Za-z0-9]", ""))).alias("scanned")), "SELECT doc_id, doc_id % 30 >= 2 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < greatest(200, 20 * (doc_id % 30)) AS scanned FROM documents")
+register("sc32_direct_text", "events", lambda e: e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit("application/json")).when(F.col("event_id") % 3 == 1, F.lit("text/xml")).otherwise(F.lit("text/plain")).alias("t"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("<a>"), "event_type", F.lit("</a><b> x </b>"))).otherwise(F.col("props")).alias("b")).select("event_id", F.regexp_replace(direct_text(F.col("t"), F.col("b")), r"\s", "").alias("text")), "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN event_type || 'x' ELSE replace(props, ' ', '') END AS text FROM events")
+register("sc36_decrypt", "benchmark", lambda b: mapped(b.select("item_id", "text"), "item_id long, text string", lambda i, t: (i, decrypted(encrypted(t, f"canary{i}"), f"canary{i}"))), "SELECT item_id, text FROM benchmark")
+register("sc08_union_sink", "labels", lambda d: d.where("toxic = 1").select("doc_id", "toxic").unionByName(d.where("quality = 1").select("doc_id", "quality"), allowMissingColumns=True), "SELECT doc_id, toxic, NULL::INT AS quality FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, NULL, quality FROM labels WHERE quality = 1")
+register("sc35_catalog_guard", "cases", lambda c: c.join(c.sparkSession.createDataFrame([("other",)], "revision string").where("revision = 'loaded'"), F.lit(True), "left_anti").groupBy("domain").agg(F.count("*").alias("n")), "SELECT domain, count(*) AS n FROM cases GROUP BY 1")
+register("xs47_persist_run", "usage", lambda u: u.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("role", F.lit(1)))))).alias("usage"), F.sum(F.col("input") + F.col("output")).alias("tokens")).select("run_id", F.length("usage").alias("bytes"), "tokens"), "SELECT run_id, 34::INT AS bytes, sum(input + output)::BIGINT AS tokens FROM usage GROUP BY 1")
+register("xs44_trace_commits", "runs", lambda r: r.groupBy("commit_sha").agg(F.count("*").alias("n")), "SELECT commit_sha, count(*) AS n FROM runs GROUP BY 1")
