@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch for the Python maps of this package: a batch of whole texts has to fit several times.
+BATCH_ROWS = 1_000
+_claims: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """In a Python worker: ``owner`` remembers things from now on, and what other owners have remembered goes."""
+    for other in [o for o in _claims if o != owner]:
+        _claims.pop(other)()
+    _claims[owner] = forget
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts reach Python in batches of BATCH_ROWS unless the session has asked for even fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

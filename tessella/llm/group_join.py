@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, release, table, written
+from .common import components, release, small_batches, table, written
 from .shingles import Words, grams, groups
 
 #: Tokens that the frequency order knows at most: 12 bytes each, a broadcast of bounded size. Rarer ones go by hash alone.
@@ -171,6 +171,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     empty table gives an empty table, other columns are left behind. Whole texts count, whatever their length.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.col(key), F.col(text))
     order = spark.sparkContext.broadcast(frequent(plain, text, k, percent, lower))
     release(spark)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, written
+from .common import release, small_batches, table, written
 from .shingles import Words, grams, groups, least_in_window
 
 WINDOW, ANCHOR = 35, 12
@@ -223,6 +223,7 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     other, whatever their keys; a null key is kept. An empty table gives an empty table, other columns are left behind.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.col(key), F.col(text))
     known = written(signatures(plain, key, text), "signatures")
     # texts of equal words once; the row to fetch the text from is one with the smallest key

@@ -16,11 +16,14 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import claim, small_batches, table
+from .shingles import groups
 
 SPACE = "▁"
 #: Segments that a worker remembers; then it starts anew. Some 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
+#: Characters of texts that it cuts into segments at a time.
+GROUP_CHARS = 1 << 20
 
 
 class PieceCodec:
@@ -164,6 +167,7 @@ _codecs: dict[str, PieceCodec] = {}
 
 def codec(model: str) -> PieceCodec:
     """One codec a worker and model; it keeps what it has learned from one task to the next."""
+    claim("pieces", _codecs.clear)
     if model not in _codecs:
         _codecs[model] = PieceCodec(model)
     return _codecs[model]
@@ -176,6 +180,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     alone. Rows are independent: repeated ones give equal results, a null key stays null, an empty table gives
     an empty table, other columns are left behind. A very long text is one item of its batch.
     """
+    small_batches(docs.sparkSession)
     schema = f"{key} {dict(docs.dtypes)[key]}, ids binary, n_tokens long, decoded_text string"
 
     def run(batches):
@@ -183,7 +188,8 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
         for big in batches:
             for at in range(0, big.num_rows, rows):
                 batch = big.slice(at, rows)
-                got = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                got = [x for a, b in groups(texts, GROUP_CHARS) for x in own.encode_batch(texts[a:b])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([i for i, _ in got], pa.binary()), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([t for _, t in got], pa.string())],
                     names=[key, "ids", "n_tokens", "decoded_text"],
@@ -194,13 +200,15 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", rows: int = 256) -> DataFrame:
     """encoded() with ids and text replaced by their SHA-256 where they arise, so neither travels to the JVM."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         own = codec(model)
         for big in batches:
             for at in range(0, big.num_rows, rows):
                 batch = big.slice(at, rows)
-                got = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                got = [x for a, b in groups(texts, GROUP_CHARS) for x in own.encode_batch(texts[a:b])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()),

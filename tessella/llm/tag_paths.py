@@ -15,7 +15,7 @@ from statistics import pstdev
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,6 +204,7 @@ def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     results, null keys stay, an empty table gives an empty table, a very long page is one item of its batch.
     Columns named text or n_chars are replaced; all other columns are kept as they are.
     """
+    small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema), "text string", "n_chars long"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, release, scratch_dir, table
+from .common import claim, partitions, release, scratch_dir, small_batches, table
 from .shingles import groups
 
 #: The dictionary is trained on so many documents at most, those whose keys hash lowest, and on so many bytes of each.
@@ -109,6 +109,7 @@ _codecs: dict[str, WordCodec] = {}
 
 
 def codec(path: str) -> WordCodec:
+    claim("words", _codecs.clear)
     if path not in _codecs:
         _codecs[path] = WordCodec(path)
     return _codecs[path]
@@ -143,6 +144,7 @@ def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text:
     64-bit number. An empty table gives a store without blocks. Other columns are left behind.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     dictionary = train_dictionary(docs, path, key, text)
     digest = hashlib.sha256(dictionary).hexdigest()
     width = codec(path).width

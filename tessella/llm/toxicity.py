@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import claim, small_batches, table, written
 
 #: Bounds of training: labelled texts (those whose ids hash lowest), tokens told apart as candidates and as clean, landmarks.
 MAX_LABELLED, MAX_CANDIDATES, MAX_CLEAN, LANDMARKS = 20_000, 4_000, 16_000, 256
@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     tokens are Spark's; what reaches the driver are the bounded candidate lists and the margins of the sample.
     Of the tokens that mark toxic texts beyond chance, a text blames those that mark best; the SVM tells the blamed from the clean.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), key), key).limit(most)  # so many small rows at most: a broadcast of proven size
     sample = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen.withColumnRenamed(key, "id")), "id")
@@ -256,36 +257,58 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 _scores: dict = {}
 
 
-def margins_of(docs: DataFrame, model: Model, kept: str, text: str) -> DataFrame:
-    """The ``kept`` columns (a DDL list) and margin, the largest of a text's tokens; one narrow map."""
+def _margins(model: Model, weights: list[np.ndarray], texts: list[str | None]) -> list[float]:
+    """The largest margin of each text's tokens; in a worker, which remembers those of tokens."""
+    claim("toxicity", _scores.clear)
     name = (tuple(model.landmarks), model.alpha.tobytes(), model.offset)
+    known = _scores.get(name)
+    if known is None:
+        _scores.clear()
+        known = _scores[name] = {}
+    if not weights:
+        weights.append(model.feature_weights())
+    top: list[float] = []
+    for at in range(0, len(texts), 128):
+        bags = [tokens(t or "") for t in texts[at : at + 128]]
+        new = set().union(*bags).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set().union(*bags)
+        short = [t for t in new if len(t) <= LONGEST]
+        known.update(zip(short, (_weighted(short, weights[0]) + model.offset).tolist(), strict=True))
+        for t in new.difference(short):
+            known[t] = float(_weighted(_pieces(t), weights[0]).max() + model.offset)
+        top += [max(map(known.__getitem__, bag), default=NO_TOKEN) for bag in bags]
+    return top
+
+
+def margins_of(docs: DataFrame, model: Model, kept: str, text: str) -> DataFrame:
+    """The ``kept`` columns (a DDL list) and margin, from these and ``text`` behind them; one narrow map."""
+    small_batches(docs.sparkSession)
+    names = [c.split()[0] for c in kept.split(", ")]
     weights: list = []
 
     def run(batches):
-        known = _scores.get(name)
-        if known is None:
-            _scores.clear()
-            known = _scores[name] = {}
-        if not weights:
-            weights.append(model.feature_weights())
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                bags = [tokens(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
-                new = set().union(*bags).difference(known)
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set().union(*bags)
-                short = [t for t in new if len(t) <= LONGEST]
-                known.update(zip(short, (_weighted(short, weights[0]) + model.offset).tolist(), strict=True))
-                for t in new.difference(short):
-                    known[t] = float(_weighted(_pieces(t), weights[0]).max() + model.offset)
-                top = [max(map(known.__getitem__, bag), default=NO_TOKEN) for bag in bags]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(top, pa.float64())], names=[*[c.split()[0] for c in kept.split(", ")], "margin"])
+        for batch in batches:
+            top = _margins(model, weights, batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(top, pa.float64())], names=[*names, "margin"])
 
     return docs.mapInArrow(run, f"{kept}, margin double")
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, as they are. Null and empty texts have no token and stay."""
+    small_batches(docs.sparkSession)
+    at, weights = docs.columns.index(text), []
+
+    def run(batches):
+        for batch in batches:
+            top = _margins(model, weights, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([m * model.slope + model.shift < 0 for m in top], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) of each row; score 0 to 1.
 
@@ -310,6 +333,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """First stage of the pipeline: documents that are predicted toxic go. The model learns from ``documents`` and its labels."""
     model = train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out()))
-    flags = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    kind = flags.schema["row"].dataType.simpleString()
-    return margins_of(flags, model, f"row {kind}", "text").where(F.col("margin") * model.slope + model.shift < 0).select("row.*")
+    return without_toxic(docs, model)
