@@ -130,44 +130,53 @@ def _passages(regions: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Passages compiled by their anchors."""
+    """Passages compiled by their anchors, as sequences of word numbers."""
 
     def __init__(self, passages: list[str]):
         import ahocorasick
 
         self.ids: dict[str, int] = {}
-        self.passages = []
-        places: dict[str, list[tuple[int, int]]] = {}
-        for k, passage in enumerate(passages):
-            words = passage.split(" ")
-            self.passages.append(np.array([self.ids.setdefault(w, len(self.ids)) for w in words], np.int64))
-            gram = grams(Words([passage.encode()]).hashes(), ANCHOR)
-            for at in np.unique(least_in_window(gram, WINDOW - ANCHOR + 1)).tolist():
-                places.setdefault(f" {' '.join(words[at : at + ANCHOR])} ", []).append((k, at))
-        self.automaton = ahocorasick.Automaton()
+        self.passages: list[np.ndarray] = []
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        coded = [p.encode() for p in passages]
+        for a, b in groups(coded):
+            words = Words(coded[a:b])
+            gram = grams(words.hashes(), ANCHOR)
+            least = least_in_window(gram, WINDOW - ANCHOR + 1)
+            for k in range(a, b):
+                numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in passages[k].split(" ")]
+                self.passages.append(np.array(numbers, np.int64))
+                first = int(words.first[k - a])
+                for at in (np.unique(least[first : first + len(numbers) - WINDOW + 1]) - first).tolist():
+                    places.setdefault(tuple(numbers[at : at + ANCHOR]), []).append((k, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for phrase, found in places.items():
             self.automaton.add_word(phrase, found)
         self.automaton.make_automaton()
 
     def covered(self, words: list[str]) -> np.ndarray:
         """Starts of all windows of ``words`` that a passage has."""
-        text = f" {' '.join(words)} "
-        ends = np.cumsum([len(w) + 1 for w in words])
-        own = np.array([self.ids.get(w, -1) for w in words], np.int64)
+        number = self.ids.get
+        sequence = tuple([number(w, 0) for w in words])
+        own = None
         done: dict[tuple[int, int], int] = {}
         found = np.zeros(len(words) + 1, np.int64)
-        for end, hits in self.automaton.iter(text):
-            at = int(np.searchsorted(ends, end)) - ANCHOR + 1  # ``end`` is the place of the space after the last word
+        for end, hits in self.automaton.iter(sequence):
+            at = end - ANCHOR + 1
+            if own is None:
+                own = np.array(sequence, np.int64)
             for k, offset in hits:
                 passage, shift = self.passages[k], at - offset
                 if done.get((k, shift), -1) >= at + ANCHOR:
                     continue
                 low, high = max(0, shift), min(len(words), shift + len(passage))
                 same = own[low:high] == passage[low - shift : high - shift]
-                left = np.flatnonzero(~same[: at - low])
-                right = np.flatnonzero(~same[at - low :])
-                a = low + int(left[-1]) + 1 if len(left) else low
-                b = at + int(right[0]) if len(right) else high
+                if same.all():
+                    a, b = low, high
+                else:
+                    left, right = np.flatnonzero(~same[: at - low]), np.flatnonzero(~same[at - low :])
+                    a = low + int(left[-1]) + 1 if len(left) else low
+                    b = at + int(right[0]) if len(right) else high
                 done[k, shift] = b
                 if b - a >= WINDOW:
                     found[a] += 1
