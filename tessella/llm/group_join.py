@@ -5,10 +5,10 @@ prefixes, the tokens that come first in one order of all tokens: rare ones befor
 come from that alone; what decides is the bound and the count over whole sets:
 
 * a group is a bounded number of similar sets with the union of their tokens; a query opens a group only if the tokens that it shares with
-  the union could be enough, and is then compared with the group's sets of fitting size until one links;
+  the union could be enough, and is then counted against all sets of the group at once;
 * first each set meets the first set of each of its tokens, which joins copies in time linear in their number;
-* then the components so far are cut into groups, and each set meets the groups of other components with which it shares a prefix
-  token. A token all of whose sets are in one component needs no more looks, so a large group of copies costs nothing here.
+* then the sets that still share a token with another component are grouped by likeness, and each meets the groups with which it shares
+  prefix tokens. A token all of whose sets are in one component needs no more looks, so a large group of copies costs nothing here.
 
 Links within a component that change nothing are not counted out; every link between components is found.
 """
@@ -16,6 +16,7 @@ Links within a component that change nothing are not counted out; every link bet
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .shingles import Words, grams, groups
 #: Tokens that the frequency order knows at most: 12 bytes each, a broadcast of bounded size. Rarer ones go by hash alone.
 FREQUENT, LEAST_FREQUENT = 1 << 18, 8
 #: Sets in a group, and bytes of text in a task.
-GROUP, TASK_BYTES, SHINGLE_BYTES = 64, 8 << 20, 7
+GROUP, TASK_BYTES, SHINGLE_BYTES = 256, 8 << 20, 7
 
 
 def token_sets(texts: list[bytes], k: int, lower: bool):
@@ -104,45 +105,61 @@ def _fetched(rows: DataFrame, k: int, lower: bool) -> DataFrame:
     return rows.select("id", "set_id", "text").mapInArrow(run, "id long, text string")
 
 
-def _verified(members: DataFrame, asked: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
-    """(a, b): for each (grp, id) of ``asked`` a set of the group that it links with, if there is one. ``members``: (grp, id).
+class TokenGroup:
+    """Sets with the union of their tokens: sorted tokens, each with the set that has it."""
 
-    ``sizes`` has (id, n), from which the bytes of texts are estimated. Groups are packed into buckets of bounded bytes; the queries
-    of a bucket are cut into slices of bounded bytes.
+    def __init__(self, names: list[int], parts: list[int], sets: list[np.ndarray]):
+        self.names, self.parts = np.array(names, np.int64), np.array(parts, np.int64)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def links(self, name: int, part: int, query: np.ndarray, percent: int) -> list[int]:
+        """Of each component below ``part`` one set that ``query`` links with."""
+        low, high = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
+        many = high - low
+        if 100 * int((many > 0).sum()) < percent * len(query):  # what it shares with the union isn't enough for any set of the group
+            return []
+        ends = np.cumsum(many)
+        shared = np.bincount(self.owner[np.repeat(low - ends + many, many) + np.arange(ends[-1])], minlength=len(self.names))
+        good = np.flatnonzero((100 * shared >= percent * (len(query) + self.sizes - shared)) & (self.parts < part) & (self.names != name))
+        return self.names[good[np.unique(self.parts[good], return_index=True)[1]]].tolist()
+
+
+def _verified(members: DataFrame, asked: DataFrame, texts: DataFrame, attributes: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
+    """(a, b): for each (grp, id) of ``asked`` and each component of the group below that of id, a set it links with, if there is one.
+
+    ``members`` has (grp, id), ``attributes`` (id, n, component); the bytes of texts are estimated from n. Groups are packed into buckets of
+    bounded bytes; the queries of a bucket are cut into slices of bounded bytes.
     """
-    total = members.join(sizes, "id").agg(F.sum("n")).first()[0] or 0
+    members = members.join(attributes, "id")
+    total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total * SHINGLE_BYTES // TASK_BYTES))
     bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")
     # a query goes to a bucket once, with the groups there that it asks
-    queries = written(asked.groupBy("id", bucket.alias("bucket")).agg(F.collect_set("grp").alias("grps")).join(sizes, "id"), "asked")
+    queries = written(asked.groupBy("id", bucket.alias("bucket")).agg(F.collect_set("grp").alias("grps")).join(attributes, "id"), "asked")
     slices = written(queries.groupBy("bucket").agg(F.ceil(F.sum("n") * SHINGLE_BYTES / TASK_BYTES).cast("int").alias("slices")), "slices")
-    right = queries.join(slices, "bucket").select("id", "grps", "bucket", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
-    right = right.join(texts.select(F.col("id"), F.col("text").alias("q_text")), "id").select(F.col("id").alias("q"), "q_text", "grps", "bucket", "slice")
-    left = members.withColumn("bucket", bucket).join(slices, "bucket").select("grp", "id", F.col("bucket").alias("m_bucket"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("m_slice"))
-    left = left.join(texts.select(F.col("id"), F.col("text").alias("m_text")), "id").select("grp", F.col("id").alias("m"), "m_text", "m_bucket", "m_slice")
+    right = queries.join(slices, "bucket").select("id", "component", "grps", "bucket", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
+    right = right.join(texts.select(F.col("id"), F.col("text").alias("q_text")), "id").select(F.col("id").alias("q"), F.col("component").alias("q_part"), "q_text", "grps", "bucket", "slice")
+    left = members.withColumn("bucket", bucket).join(slices, "bucket").select("grp", "id", "component", F.col("bucket").alias("m_bucket"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("m_slice"))
+    left = left.join(texts.select(F.col("id"), F.col("text").alias("m_text")), "id").select("grp", F.col("id").alias("m"), F.col("component").alias("m_part"), "m_text", "m_bucket", "m_slice")
 
     def run(left, right):
         out: list[list] = [[], []]
         if left.num_rows and right.num_rows:
-            of: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for g, i, s in zip(left.column("grp").to_pylist(), left.column("m").to_pylist(), token_sets([t.encode() for t in left.column("m_text").to_pylist()], k, lower), strict=True):
-                of.setdefault(g, []).append((i, s))
-            union = {g: np.unique(np.concatenate([s for _, s in ms])) if len(ms) > 1 else ms[0][1] for g, ms in of.items()}
-            for i, grps, q in zip(right.column("q").to_pylist(), right.column("grps").to_pylist(), token_sets([t.encode() for t in right.column("q_text").to_pylist()], k, lower), strict=True):
-                n = len(q)
+            of: dict[int, tuple[list, list, list]] = {}
+            sets = token_sets([t.encode() for t in left.column("m_text").to_pylist()], k, lower)
+            for g, i, part, s in zip(left.column("grp").to_pylist(), left.column("m").to_pylist(), left.column("m_part").to_pylist(), sets, strict=True):
+                for column, value in zip(of.setdefault(g, ([], [], [])), (i, part, s), strict=True):
+                    column.append(value)
+            groups_ = {g: TokenGroup(*ms) for g, ms in of.items()}
+            sets = token_sets([t.encode() for t in right.column("q_text").to_pylist()], k, lower)
+            for i, part, grps, q in zip(right.column("q").to_pylist(), right.column("q_part").to_pylist(), right.column("grps").to_pylist(), sets, strict=True):
                 for g in grps:
-                    both = union[g]
-                    hit = q[both[np.minimum(np.searchsorted(both, q), len(both) - 1)] == q]  # what q shares with the union
-                    if 100 * len(hit) < percent * n:
-                        continue
-                    for j, s in of[g]:
-                        m = len(s)
-                        if j == i or 100 * min(n, m) < percent * max(n, m):
-                            continue
-                        shared = int((s[np.minimum(np.searchsorted(s, hit), m - 1)] == hit).sum())
-                        if 100 * shared >= percent * (n + m - shared):
-                            out[0].append(i), out[1].append(j)
-                            break  # the group's sets are in one component
+                    found = groups_[g].links(i, part, q, percent)
+                    out[0] += [i] * len(found)
+                    out[1] += found
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return left.groupBy("m_bucket", "m_slice").cogroup(right.groupBy("bucket", "slice")).applyInArrow(run, "a long, b long")
@@ -199,7 +216,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     asked = written(asked.select("grp", "id"), "pairs")
     heads = asked.select("grp").distinct().withColumn("id", F.col("grp"))
     texts = fetch(asked.select("id").union(heads.select("id")).distinct())
-    links = written(_verified(heads, asked, texts, sizes, k, percent, lower), "links")
+    links = written(_verified(heads, asked, texts, sizes.withColumn("component", F.col("id")), k, percent, lower), "links")
     parts = written(components(links), "parts")
     release(spark)
 
@@ -208,22 +225,24 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     mixed = named.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
     open_ = written(named.join(mixed, "t"), "open")
     release(spark)
-    # groups: the sets of a component, some GROUP each, dealt by hash so that a large one is never gathered
-    loose = open_.select("id", "component").distinct()
-    many = loose.groupBy("component").agg(F.count("*").alias("sets"))
-    members = loose.join(many, "component").select("id", "component", F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("sets") / GROUP).cast("long"))).alias("grp"))
-    members = written(members.join(sizes, "id"), "groups")
-    span = members.groupBy("grp", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # groups of similar sets: of the same most frequent open token and like size, some GROUP each, dealt by hash so that none is gathered whole
+    often = open_.groupBy("t").agg(F.count("*").alias("df"))
+    loose = open_.join(often, "t").groupBy("id", "component").agg(F.max(F.struct("df", "t")).alias("top")).join(sizes, "id")
+    loose = written(loose.select("id", "component", "n", F.col("top.t").alias("lead"), F.floor(F.log("n") / math.log(100 / percent)).alias("scale")), "loose")
+    many = loose.groupBy("lead", "scale").agg(F.ceil(F.count("*") / GROUP).alias("pages"))
+    members = loose.join(many, ["lead", "scale"]).select("id", "component", "n", F.xxhash64("lead", "scale", F.pmod(F.xxhash64("id"), "pages")).alias("grp"))
+    members = written(members, "groups")
+    span = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lowest"))
     # the matrix: a row for each token and group that has it; its rows with a query's tokens count what the query shares with the union
     matrix = open_.select("t", "id").join(members.select("id", "grp"), "id").select("t", "grp").distinct().join(span, "grp")
     query = open_.select("t", "id", F.col("component").alias("own")).join(sizes, "id")
-    met = query.join(matrix, "t").where((F.col("own") > F.col("component")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
+    met = query.join(matrix, "t").where((F.col("own") > F.col("lowest")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
     met = met.groupBy("grp", "id", "n", "least", "most").agg(F.count("*").alias("common")).where(_enough(F.col("common"), "n", "least", "most", percent))
     asked = written(met.select("grp", "id"), "pairs")
     release(spark)
     used = members.join(asked.select("grp").distinct(), "grp").select("grp", "id")
     texts = fetch(asked.select("id").union(used.select("id")).distinct())
-    more = written(_verified(used, asked, texts, sizes, k, percent, lower), "links")
+    more = written(_verified(used, asked, texts, members.select("id", "n", "component"), k, percent, lower), "links")
     final = written(components(links.unionByName(more)), "parts")
     release(spark)
 
