@@ -160,6 +160,24 @@ def metadata(page: str) -> dict[str, str | None]:
     return {"title": first(r"<title[^>]*>(.*?)</title>"), "canonical": first(r"<link[^>]+rel=[\"']canonical[\"'][^>]+href=[\"']([^\"']*)"), "author": meta("author"), "published": meta("article:published_time"), "lang": first(r"<html[^>]+lang=[\"']?([\w-]+)"), "kind": kind}
 
 
+def wild_match(pattern: str, path: str) -> bool:
+    """Whether a path begins as a pattern says; each part is looked for once, from left to right, so the time is bounded."""
+    end = pattern.endswith("$")
+    first, *parts = (pattern[:-1] if end else pattern).split("*")
+    if not path.startswith(first):
+        return False
+    at = len(first)
+    if not parts:
+        return not end or at == len(path)
+    last = parts.pop() if end else ""
+    for part in parts:
+        found = path.find(part, at)
+        if found < 0:
+            return False
+        at = found + len(part)
+    return not end or path.endswith(last) and len(path) - len(last) >= at
+
+
 def robots_allowed(rules: str, agent: str, path: str) -> bool:
     """Whether robots rules let an agent fetch a path: the group with the longest matching name, else ``*``; the longest matching
     pattern decides and Allow wins a tie. ``*`` and a final ``$`` are wildcards."""
@@ -184,9 +202,7 @@ def robots_allowed(rules: str, agent: str, path: str) -> bool:
     best = (-1, True)
     for _, group in (m for m in matching if m[0] == top):
         for allow, pattern in group:
-            end = pattern.endswith("$")
-            parts = [re.escape(p) for p in re.sub(r"\*+", "*", pattern.rstrip("$") if end else pattern).split("*")]
-            if re.match("[^\0]*?".join(parts) + ("$" if end else ""), path):
+            if wild_match(pattern, path):
                 best = max(best, (len(pattern), allow))
     return best[1]
 
