@@ -5,10 +5,10 @@
 2. Recurring passages. Only windows whose anchor occurs twice are counted by their own 128-bit hash. Each recurring window is
    kept where it occurs first; consecutive ones form a passage.
 3. Automata. Passages are dealt over shards; a shard compiles the anchors of its passages into an Aho-Corasick automaton. A
-   document goes to the shards that have one of its anchors, is streamed through their automata, and each hit is
-   extended word by word along the passage: every stretch of 35 words or more is covered.
+   document goes, by its stretches with hot anchors, to the shards that have one of these, is streamed through their automata, and the
+   windows around each hit are compared with the passage they stand in, word by word.
 
-A window recurs if and only if it lies in such a stretch, so the result is exact but for collisions of the 128-bit hash.
+A window recurs if and only if a passage has it, so the result is exact but for collisions of the 128-bit hash of step 2.
 """
 
 from __future__ import annotations
@@ -130,58 +130,65 @@ def _passages(regions: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Passages compiled by their anchors, as sequences of word numbers."""
+    """Passages of a shard: their anchors, as sequences of word numbers, in an Aho-Corasick automaton, and where each of their windows stands."""
 
-    def __init__(self, passages: list[str]):
+    def __init__(self, passages: list[bytes]):
         import ahocorasick
 
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         self.passages: list[np.ndarray] = []
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        coded = [p.encode() for p in passages]
-        for a, b in groups(coded):
-            words = Words(coded[a:b])
-            gram = grams(words.hashes(), ANCHOR)
-            least = least_in_window(gram, WINDOW - ANCHOR + 1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        hashes, owners, offsets = [], [], []
+        for a, b in groups(passages):
+            words = Words(passages[a:b])
+            own = words.hashes()
+            least, windows = least_in_window(grams(own, ANCHOR), WINDOW - ANCHOR + 1), grams(own, WINDOW)
             for k in range(a, b):
-                numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in passages[k].split(" ")]
+                numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in passages[k].split(b" ")]
                 self.passages.append(np.array(numbers, np.int64))
-                first = int(words.first[k - a])
-                for at in (np.unique(least[first : first + len(numbers) - WINDOW + 1]) - first).tolist():
-                    places.setdefault(tuple(numbers[at : at + ANCHOR]), []).append((k, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, found in places.items():
-            self.automaton.add_word(phrase, found)
+                first, n = int(words.first[k - a]), len(numbers) - WINDOW + 1
+                for at in (np.unique(least[first : first + n]) - first).tolist():
+                    self.automaton.add_word(tuple(numbers[at : at + ANCHOR]))
+                hashes.append(windows[first : first + n]), owners.append(np.full(n, k)), offsets.append(np.arange(n))
         self.automaton.make_automaton()
-
-    def covered(self, words: list[str]) -> np.ndarray:
-        """Starts of all windows of ``words`` that a passage has."""
-        number = self.ids.get
-        sequence = tuple([number(w, 0) for w in words])
-        own = None
-        done: dict[tuple[int, int], int] = {}
-        found = np.zeros(len(words) + 1, np.int64)
-        for end, hits in self.automaton.iter(sequence):
-            at = end - ANCHOR + 1
-            if own is None:
-                own = np.array(sequence, np.int64)
-            for k, offset in hits:
-                passage, shift = self.passages[k], at - offset
-                if done.get((k, shift), -1) >= at + ANCHOR:
-                    continue
-                low, high = max(0, shift), min(len(words), shift + len(passage))
-                same = own[low:high] == passage[low - shift : high - shift]
-                if same.all():
-                    a, b = low, high
-                else:
-                    left, right = np.flatnonzero(~same[: at - low]), np.flatnonzero(~same[at - low :])
-                    a = low + int(left[-1]) + 1 if len(left) else low
-                    b = at + int(right[0]) if len(right) else high
-                done[k, shift] = b
-                if b - a >= WINDOW:
-                    found[a] += 1
-                    found[b - WINDOW + 1] -= 1
-        return np.flatnonzero(np.cumsum(found)[:-1] > 0)
+        self.hashes, self.owners, self.offsets = np.concatenate(hashes), np.concatenate(owners), np.concatenate(offsets)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.owners, self.offsets = self.hashes[order], self.owners[order], self.offsets[order]
+
+    def covered(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text the starts of its windows that a passage has.
+
+        The automaton finds the anchors; of the windows around each, those with the hash of a passage's window are compared with it, word by
+        word, a run at a time. A window stands in one passage only.
+        """
+        words = Words(texts)
+        h = grams(words.hashes(), WINDOW)
+        place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = self.hashes[place] == h
+        number, out = self.ids.get, []
+        for i, text in enumerate(texts):
+            first, n = int(words.first[i]), int(words.counts[i])
+            sequence = tuple([number(w, 0) for w in text.split(b" ")])
+            near = np.zeros(n + 1, np.int64)
+            for end, _ in self.automaton.iter(sequence):
+                near[max(0, end - WINDOW + 1)] += 1
+                near[end - ANCHOR + 2] -= 1
+            starts = np.flatnonzero((np.cumsum(near)[: n - WINDOW + 1] > 0) & same[first : first + n - WINDOW + 1])
+            if len(starts):
+                spot = place[first + starts]
+                owner, offset = self.owners[spot], self.offsets[spot]
+                own, good = np.array(sequence, np.int64), []
+                cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(owner) != 0) | (np.diff(offset) != 1)) + 1
+                for run in np.split(np.arange(len(starts)), cut):
+                    a, o, length = int(starts[run[0]]), int(offset[run[0]]), len(run) + WINDOW - 1
+                    passage = self.passages[int(owner[run[0]])][o : o + length]
+                    if np.array_equal(own[a : a + length], passage):
+                        good.append(starts[run])
+                    else:  # one hash of two windows
+                        good.append(np.array([x for j, x in enumerate(starts[run].tolist()) if np.array_equal(own[x : x + WINDOW], passage[j : j + WINDOW])], np.int64))
+                starts = np.concatenate(good)
+            out.append(starts)
+        return out
 
 
 def _stream(regions: DataFrame, passages: DataFrame) -> DataFrame:
@@ -191,11 +198,13 @@ def _stream(regions: DataFrame, passages: DataFrame) -> DataFrame:
     def run(left, right):
         out: list[list] = [[], []]
         if left.num_rows and right.num_rows:
-            automaton = PhraseAutomaton(left.column("words").to_pylist())
-            for i, at, text in zip(right.column("id").to_pylist(), right.column("at").to_pylist(), right.column("region").to_pylist(), strict=True):
-                starts = automaton.covered(text.split(" "))
-                if len(starts):
-                    out[0].append(i), out[1].append([at + x for span in _spans(starts, 1) for x in span])
+            automaton = PhraseAutomaton([t.encode() for t in left.column("words").to_pylist()])
+            ids, begins = right.column("id").to_pylist(), right.column("at").to_pylist()
+            texts = [t.encode() for t in right.column("region").to_pylist()]
+            for a, b in groups(texts):
+                for i, at, starts in zip(ids[a:b], begins[a:b], automaton.covered(texts[a:b]), strict=True):
+                    if len(starts):
+                        out[0].append(i), out[1].append([at + x for span in _spans(starts, 1) for x in span])
         return pa.table({"id": pa.array(out[0], pa.int64()), "starts": pa.array(out[1], pa.list_(pa.int32()))})
 
     return passages.groupBy("shard", "slice").cogroup(regions.groupBy("shard", "slice")).applyInArrow(run, "id long, starts array<int>")
