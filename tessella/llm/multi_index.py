@@ -21,7 +21,7 @@ from .vectors import GROUP_QUERIES, SHARD_ROWS, STEP, best, gathered, matrix
 #: Centroids of each half, rows they are fitted on at most (those whose ids hash lowest), rounds of fitting.
 CENTROIDS, SAMPLE, ROUNDS = 32, 20_000, 12
 #: Cells are probed until they hold this share of the rows, and so many rows at least.
-SHARE, LEAST = 0.45, 2_000
+SHARE, LEAST = 0.65, 2_000
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
