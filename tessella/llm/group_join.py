@@ -258,7 +258,8 @@ def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays."""
+    """Pipeline stage: of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays; rows
+    that repeat this id are that document too. Documents without words link with nothing and stay."""
     kept = linked(docs, k=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
