@@ -180,6 +180,13 @@ def fit_svm(words: list[str], labels: np.ndarray, weights: np.ndarray, landmarks
     return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]))
 
 
+def with_insertions(word: str) -> list[str]:
+    """A word of five letters or more with one more letter at each inner place: so the SVM learns that this changes nothing."""
+    if len(word) < 5 or not word.isalpha():
+        return []
+    return [word[:i] + "xqzjkvw"[(i + len(word)) % 7] + word[i:] for i in range(1, len(word))]
+
+
 def _token_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -235,17 +242,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         landmarks += [t for t in clean[::-1] if t not in blamed][: LANDMARKS - len(landmarks)]
         unlike = set(some)
         negatives = [t for t in clean if t not in unlike]
-        weights = np.array([min(len(texts[t]), 20) for t in blamed] + [1.0] * len(negatives))
-        model = fit_svm(blamed + negatives, np.array([1] * len(blamed) + [0] * len(negatives)), weights, landmarks)
+        spread = [v for t in blamed[:LANDMARKS] for v in with_insertions(t)]
+        weights = np.array([min(len(texts[t]), 20) for t in blamed] + [1.0] * (len(spread) + len(negatives)))
+        model = fit_svm(blamed + spread + negatives, np.array([1] * (len(blamed) + len(spread)) + [0] * len(negatives)), weights, landmarks)
     # the curve of a text's margin, from the sample: at most ``most`` pairs of numbers
     points = margins_of(sample.select("toxic", F.col("t").alias("text")), model, "toxic int", "text").select("toxic", "margin").collect()
     y, x = np.array([r["toxic"] for r in points], float), np.array([r["margin"] for r in points], float)
     goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    each = np.where(y > 0, np.sqrt((len(y) - y.sum() + 1) / (y.sum() + 1)), 1.0)  # half way to both kinds counting alike
     a, b = 3.0, 0.0
     for _ in range(100):
         prob = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        grad = np.array([((prob - goal) * x).sum() + 1e-3 * a, (prob - goal).sum()])
-        v = prob * (1 - prob) + 1e-9
+        grad = np.array([(each * (prob - goal) * x).sum() + 1e-3 * a, (each * (prob - goal)).sum()])
+        v = each * prob * (1 - prob) + 1e-9
         hess = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum()]])
         step = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = a - step[0], b - step[1]
