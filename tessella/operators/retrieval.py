@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CHUNK, STEP, WINDOW, occurrences, query_terms, window_starts, words
+from ..functions.text import CHUNK, STEP, WINDOW, occurrences, query_terms, window_starts
 from ..plans.registry import register, rounded
 
 K1, B = 1.5, 0.75
@@ -14,9 +14,9 @@ K1, B = 1.5, 0.75
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, passage, words): windows of each document; none of an empty one."""
-    some = docs.select(key, F.col(text).alias("__text"), F.explode(window_starts(F.length(text))).alias("start"))
-    passage = F.lower(F.substring("__text", F.col("start") + 1, F.lit(WINDOW)))
-    return some.select(key, "start", passage.alias("passage")).withColumn("words", F.size(words(F.col("passage"))))
+    # made within the generator, so that later expressions read the passage instead of cutting it anew
+    cut = F.transform(window_starts(F.length(text)), lambda i: F.struct(i.alias("start"), F.lower(F.substring(F.col(text), i + 1, F.lit(WINDOW))).alias("passage")))
+    return docs.select(key, F.explode(cut).alias("w")).select(key, "w.start", "w.passage").withColumn("words", F.regexp_count("passage", F.lit(r"[\p{L}\p{N}]+")))
 
 
 def bm25(docs: DataFrame, query: str, limit: int = 20, key: str = "doc_id") -> DataFrame:
@@ -26,7 +26,8 @@ def bm25(docs: DataFrame, query: str, limit: int = 20, key: str = "doc_id") -> D
     terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
     if not terms:
         return windows(docs, key=key).where("false").select(key, "start", F.lit(0.0).alias("score"))
-    pool = windows(docs, key=key).select(key, "start", "words", *[occurrences(F.col("passage"), F.lit(t)).alias(f"f{i}") for i, t in enumerate(terms)])
+    counts = F.struct("words", *[occurrences(F.col("passage"), F.lit(t)).alias(f"f{i}") for i, t in enumerate(terms)])
+    pool = windows(docs, key=key).select(key, "start", F.explode(F.array(counts)).alias("c")).select(key, "start", "c.*")
     stats = pool.agg(F.count("*").alias("total"), F.avg("words").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     some = pool.where(F.greatest(*[F.col(f"f{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     size = F.greatest(F.col("words"), F.lit(1)) / F.coalesce(F.nullif(F.col("mean"), F.lit(0.0)), F.lit(1.0))
