@@ -27,7 +27,7 @@ from .shingles import groups
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
 BLOCK_BYTES, LEVEL, END_ID = 1 << 20, 3, 1
 #: Words that a worker remembers, some 200 bytes each, and bytes of texts that it cuts into words at a time.
-REMEMBERED, GROUP_BYTES = 600_000, 1 << 20
+REMEMBERED, GROUP_BYTES = 750_000, 1 << 20
 #: Marks that the pre-tokenizer never joins to a letter or digit before them. The apostrophe isn't one.
 MARKS = b".,;:!?%*#&$|)]}\"-_/+="
 BLOCKS = "part int, block int, keys array<long>, counts array<long>, lengths array<long>, width int, dict_sha256 string, frames binary"
