@@ -151,6 +151,9 @@ class PhraseAutomaton:
                     self.automaton.add_word(tuple(numbers[at : at + ANCHOR]))
                 hashes.append(windows[first : first + n]), owners.append(np.full(n, k)), offsets.append(np.arange(n))
         self.automaton.make_automaton()
+        #: All passages one after another, and where each begins.
+        self.flat = np.concatenate(self.passages)
+        self.base = np.cumsum([0] + [len(p) for p in self.passages])
         self.hashes, self.owners, self.offsets = np.concatenate(hashes), np.concatenate(owners), np.concatenate(offsets)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.owners, self.offsets = self.hashes[order], self.owners[order], self.offsets[order]
@@ -177,16 +180,14 @@ class PhraseAutomaton:
             if len(starts):
                 spot = place[first + starts]
                 owner, offset = self.owners[spot], self.offsets[spot]
-                own, good = np.array(sequence, np.int64), []
-                cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(owner) != 0) | (np.diff(offset) != 1)) + 1
-                for run in np.split(np.arange(len(starts)), cut):
-                    a, o, length = int(starts[run[0]]), int(offset[run[0]]), len(run) + WINDOW - 1
-                    passage = self.passages[int(owner[run[0]])][o : o + length]
-                    if np.array_equal(own[a : a + length], passage):
-                        good.append(starts[run])
-                    else:  # one hash of two windows
-                        good.append(np.array([x for j, x in enumerate(starts[run].tolist()) if np.array_equal(own[x : x + WINDOW], passage[j : j + WINDOW])], np.int64))
-                starts = np.concatenate(good)
+                own, expected = np.array(sequence, np.int64), self.base[owner] + offset
+                heads = np.concatenate(([0], np.flatnonzero((np.diff(starts) > 1) | (np.diff(expected) != 1)) + 1))
+                lengths = np.diff(np.append(heads, len(starts))) + WINDOW - 1
+                begins = np.cumsum(lengths) - lengths
+                inside = np.arange(begins[-1] + lengths[-1]) - np.repeat(begins, lengths)
+                equal = own[np.repeat(starts[heads], lengths) + inside] == self.flat[np.repeat(expected[heads], lengths) + inside]
+                if not equal.all():  # one hash of two windows
+                    starts = np.array([x for x, e in zip(starts.tolist(), expected.tolist(), strict=True) if np.array_equal(own[x : x + WINDOW], self.flat[e : e + WINDOW])], np.int64)
             out.append(starts)
         return out
 
