@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a sequence of text blocks, each with its root-to-leaf path of block elements. Text length and
-punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold; the element
-that has most of what passes is the article, and its blocks that no boilerplate element holds are the text.
+punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold; a declared
+article that has most of what passes gives its blocks; on other pages the text is all that passes, what lies between,
+and the rest of the element that has most of it. Blocks that boilerplate elements hold are left out.
 """
 
 from __future__ import annotations
@@ -177,24 +178,32 @@ def main_text(page: str) -> str:
 
     fused = [a * b for a, b in zip(smooth(length), smooth(marks), strict=True)]
     least = min(0.5 * pstdev(fused), 0.5 * max(fused))
+    passing = [ratio >= least and links <= 0.7 for (_, _, _, _, links), ratio in zip(found, fused, strict=True)]
+    if not any(passing):
+        return ""
     weight: dict[int, float] = defaultdict(float)
-    depth: dict[int, tuple[int, str]] = {}
-    for (numbers, path, _, text, links), ratio in zip(found, fused, strict=True):
-        if ratio >= least and links <= 0.7:
-            for k, n in enumerate(numbers):
+    tags: dict[int, str] = {}
+    depth: dict[int, int] = {}
+    for (numbers, path, _, text, _), passes in zip(found, passing, strict=True):
+        if passes:
+            for k, (n, tag) in enumerate(zip(numbers, path, strict=True)):
                 weight[n] += len(text)
-                depth[n] = (k, path[k])
-    if not weight:
-        return ""
-    # the deepest element that has most of the passing text; a declared article comes first
-    declared = [n for n in weight if depth[n][1] == "article"] or [n for n in weight if depth[n][1] == "main"]
+                tags[n], depth[n] = tag, k
+    # a declared article comes first; else the deepest element that has most of what passes, and all that passes outside it with what lies between
+    declared = [n for n in weight if tags[n] == "article"] or [n for n in weight if tags[n] == "main"]
     if declared:
         article = max(declared, key=lambda n: (weight[n], -n))
+        kept = [article in b[0] for b in found]
     else:
         whole = max(weight.values())
-        article = max((n for n in weight if weight[n] >= 0.6 * whole and depth[n][1] not in ("p", "li", "td", "tr", "tbody", "pre", "blockquote", *HEADINGS)), key=lambda n: (depth[n][0], weight[n]), default=None)
+        article = max((n for n in weight if weight[n] >= 0.6 * whole and tags[n] not in ("p", "li", "td", "tr", "tbody", "pre", "blockquote", *HEADINGS)), key=lambda n: (depth[n], weight[n]), default=None)
+        kept = [article is None or article in b[0] for b in found]
+        first, last = passing.index(True), len(passing) - 1 - passing[::-1].index(True)
+        while first and not HEADINGS.isdisjoint(found[first - 1][1]):
+            first -= 1
+        kept[first : last + 1] = [True] * (last + 1 - first)
     heavy = {p for p, s in sums.items() if s[3] > 0.7 * s[1] and not {"p", *HEADINGS} & {p[-1]}}
-    return "\n\n".join(text for numbers, path, _, text, _ in found if (article is None or article in numbers) and path not in heavy)
+    return "\n\n".join(text for (_, path, _, text, _), keeps in zip(found, kept, strict=True) if keeps and path not in heavy)
 
 
 def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

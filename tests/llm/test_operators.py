@@ -329,6 +329,19 @@ def test_main_text():
         tag_paths.main_text(broken)
 
 
+def test_undeclared_article_is_whole():
+    three, seven = "Some words, in a row. " * 14, "Other words, in a row. " * 30
+    for page in (
+        f"<div class=content><h1>Title</h1><section><p>{three}</p></section><section><p>{seven}</p></section></div>",
+        f"<div><h1>Title</h1><p>{three}</p><ul><li>{seven}</ul></div>",
+        f"<nav>Menu</nav><h1>Title</h1><div><section><p>{seven}</p></section></div><table><tr><td>{three}</table><footer>End, of it.</footer>",
+    ):
+        got = tag_paths.main_text(page)
+        assert "Title" in got and three.strip() in got and seven.strip() in got
+        assert "Menu" not in got and "End" not in got
+    assert tag_paths.main_text(f"<div><p>{three}</p><p>{seven}</p><ul><li>one<li>two</ul></div>").endswith("one\n\ntwo")
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     got = tag_paths.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
