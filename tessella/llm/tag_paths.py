@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a sequence of text blocks, each with its root-to-leaf path of block elements. Text length and
-punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold; a declared
-article that has most of what passes gives its blocks; on other pages the text is all that passes, what lies between,
-and the rest of the element that has most of it. Blocks that boilerplate elements hold are left out.
+punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold. The text is all
+that passes with what lies between, and the rest of the declared articles that hold some of it, or on other pages of the
+element that has most of it. Blocks that boilerplate elements hold are left out.
 """
 
 from __future__ import annotations
@@ -189,19 +189,17 @@ def main_text(page: str) -> str:
             for k, (n, tag) in enumerate(zip(numbers, path, strict=True)):
                 weight[n] += len(text)
                 tags[n], depth[n] = tag, k
-    # a declared article comes first; else the deepest element that has most of what passes, and all that passes outside it with what lies between
-    declared = [n for n in weight if tags[n] == "article"] or [n for n in weight if tags[n] == "main"]
-    if declared:
-        article = max(declared, key=lambda n: (weight[n], -n))
-        kept = [article in b[0] for b in found]
-    else:
+    # all that passes with what lies between and the headings ahead, and the rest of the elements that hold it: declared articles, else the deepest that has most
+    articles = {n for n in weight if tags[n] in ("article", "main")}
+    if not articles:
         whole = max(weight.values())
-        article = max((n for n in weight if weight[n] >= 0.6 * whole and tags[n] not in ("p", "li", "td", "tr", "tbody", "pre", "blockquote", *HEADINGS)), key=lambda n: (depth[n], weight[n]), default=None)
-        kept = [article is None or article in b[0] for b in found]
-        first, last = passing.index(True), len(passing) - 1 - passing[::-1].index(True)
-        while first and not HEADINGS.isdisjoint(found[first - 1][1]):
-            first -= 1
-        kept[first : last + 1] = [True] * (last + 1 - first)
+        large = [n for n in weight if weight[n] >= 0.6 * whole and tags[n] not in ("p", "li", "td", "tr", "tbody", "pre", "blockquote", *HEADINGS)]
+        articles = {max(large, key=lambda n: (depth[n], weight[n]))} if large else set()
+    kept = [not articles.isdisjoint(b[0]) for b in found]
+    first, last = passing.index(True), len(passing) - 1 - passing[::-1].index(True)
+    while first and not HEADINGS.isdisjoint(found[first - 1][1]):
+        first -= 1
+    kept[first : last + 1] = [True] * (last + 1 - first)
     heavy = {p for p, s in sums.items() if s[3] > 0.7 * s[1] and not {"p", *HEADINGS} & {p[-1]}}
     return "\n\n".join(text for (_, path, _, text, _), keeps in zip(found, kept, strict=True) if keeps and path not in heavy)
 

@@ -342,6 +342,17 @@ def test_undeclared_article_is_whole():
     assert tag_paths.main_text(f"<div><p>{three}</p><p>{seven}</p><ul><li>one<li>two</ul></div>").endswith("one\n\ntwo")
 
 
+def test_paths_choose_beside_a_declared_article():
+    story, teaser = ["Some words of it, in a row. " * n for n in (9, 14, 11)], "A teaser card, with few words, of another story."
+    paragraphs = "".join(f"<p>{x}</p>" for x in story)
+    got = tag_paths.main_text(f"<nav>Menu</nav><article><p>{teaser}</p></article><div class=text><h1>Title</h1>{paragraphs}</div>")
+    assert all(x.strip() in got for x in ("Title", *story)) and "Menu" not in got
+    got = tag_paths.main_text("".join(f"<article><h2>Part</h2><p>{x}</p></article>" for x in story))
+    assert got == "\n\n".join(f"Part\n\n{x.strip()}" for x in story)
+    got = tag_paths.main_text(f"<div class=xyz>12 views</div><article><h1>Title</h1>{paragraphs}<p>End.</p></article><div class=xyz><span>Print</span></div>")
+    assert got.startswith("Title") and got.endswith("End.")
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     got = tag_paths.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
