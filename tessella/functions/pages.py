@@ -272,7 +272,7 @@ register("fn01_canonical_full", "pages", lambda p: mapped(p.select("page_id", "u
 register("st10_links", "pages", lambda p: mapped(p.select("page_id", "html", "url"), "page_id long, links array<string>", lambda i, h, u: (i, markdown(h.replace("<nav", "<div").replace("</nav", "</div"), u)[1])).select("page_id", F.size("links").alias("n")))
 register("pf05_private_v6", "pages", lambda p: mapped(p.select("page_id"), "page_id long, private boolean", lambda i: (i, is_private(("::1", "fe80::1", "2606:4700::1", "::ffff:10.0.0.1", "64:ff9b::7f00:1", "2002:c0a8:101::")[i % 6]))), "SELECT page_id, page_id % 6 <> 2 AS private FROM pages")
 register("pf11_robots", "pages", lambda p: mapped(p.select("page_id", "url"), "page_id long, general boolean, fancy boolean", lambda i, u: (i, robots_allowed(ROBOTS, "other", _path(u)), robots_allowed(ROBOTS, "FancyBot/2", _path(u)))), "SELECT page_id, NOT regexp_matches(url, '^https?://[^/]+/en/7') OR regexp_matches(url, '^https?://[^/]+/en/77') AS general, NOT (regexp_matches(url, '\\?page=') OR regexp_matches(regexp_replace(url, '#.*$', ''), '\\.html$')) AS fancy FROM pages")
-register("fn13_renumber", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, markers string, unbound long", lambda i, t: (i, ",".join((r := renumbered(" ".join(f"{w} [source_{len(w)}]" for w in t.split()[:40]), {f"source_{k}": str(k) for k in range(8)}))[1]), len(r[2]))))
-register("fn12_notes", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, note string", lambda i, t: (i, without_caveats("- " + t[:80].replace("\n", " ") + " TODO more. [source_1] Kept."))))
-register("fn14_sources_section", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, same boolean", lambda i, t: (i, without_sources_section(t.rstrip()[:500].rstrip() + "\n\n## Sources\n\n1. x") == t.rstrip()[:500].rstrip())), "SELECT doc_id, TRUE AS same FROM documents")
+register("fn13_renumber", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, markers string, unbound long", lambda i, t: (i, ",".join((r := renumbered(" ".join(f"{w} [source_{len(w)}]" for w in t.split()), {f"source_{k}": str(k) for k in range(8)}))[1]), len(r[2]))))
+register("fn12_notes", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, note string", lambda i, t: (i, without_caveats("- " + t.replace("\n", " ") + " TODO more. [source_1] Kept."))))
+register("fn14_sources_section", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, same boolean", lambda i, t: (i, without_sources_section(t.rstrip() + "\n\n## Sources\n\n1. x") == t.rstrip())), "SELECT doc_id, TRUE AS same FROM documents")
 register("fn28_captions", "benchmark", lambda b: mapped(b.select("item_id", "text"), "item_id long, text string", lambda i, t: (i, captions(f"<transcript><text start='0'>{_html.escape(t[:20])}</text><text start='1'>end</text></transcript>"))).select("item_id", F.md5("text").alias("digest")), "SELECT item_id, md5(trim(text[1:20]) || ' end') AS digest FROM benchmark")

@@ -209,3 +209,17 @@ def test_bm25_is_one_scan(spark):
     df = retrieval.bm25(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "the tion")
     assert df.count() == 20
     assert retrieval.bm25(spark.createDataFrame([], "doc_id long, text string"), "the").count() == 0
+
+
+def test_page_functions_take_whole_texts(spark, tmp_path):
+    from tessella.plans import registry
+
+    words = ["alpha"] * 60 + ["b", "abcdefghijk", "tail."]
+    long = " ".join(words)
+    headed = "x " * 400 + "\n# References\n\nof the text"
+    spark.createDataFrame([(1, long), (2, headed)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    registry.load()
+    rows = lambda q: {r["doc_id"]: r for r in registry.QUERIES[q](spark, str(tmp_path)).collect()}
+    assert rows("fn13_renumber")[1][1:] == ("source_5,source_1", 1)
+    assert rows("fn12_notes")[1]["note"] == f"{long} Kept."
+    assert [rows("fn14_sources_section")[i]["same"] for i in (1, 2)] == [True, False]
