@@ -58,6 +58,12 @@ def replayed(requests: DataFrame, journal: DataFrame) -> DataFrame:
     return at(requests).select("call_key", "k", F.col("seq").alias("request")).join(at(journal).select("call_key", "k", F.col("seq").alias("entry")), ["call_key", "k"], "left")
 
 
+def scoped(docs: DataFrame, ids: DataFrame, key: str = "source") -> DataFrame:
+    """The documents of the given ids; all documents if there is no id that any of them has."""
+    found = docs.join(ids.select(key), key, "left_semi")
+    return found.unionByName(docs.join(F.broadcast(found.limit(1).select(F.lit(1).alias("__any"))), how="left_anti").select(found.columns))
+
+
 def draft_fold(ops: DataFrame) -> DataFrame:
     """The draft after each run's set and patch operations: a patch replaces the first exact occurrence, a miss is counted."""
 
@@ -116,7 +122,7 @@ register("jn11_citation_binding", "documents", lambda d: numbered(_markers(d)).j
 register("jn10_uncited", "documents", lambda d: d.select(F.concat(F.lit("source_"), F.col("doc_id")).alias("source")).join(_markers(d), "source", "left_anti"), f"SELECT 'source_' || doc_id AS source FROM documents WHERE 'source_' || doc_id NOT IN (SELECT source FROM {MARKS})")
 register("ag22_yield", "documents", lambda d: d.select("source", F.concat(F.lit("source_"), F.col("doc_id")).alias("id")).join(_markers(d).select(F.col("source").alias("id")).distinct().withColumn("cited", F.lit(1)), "id", "left").groupBy("source").agg(F.count("*").alias("fetched"), F.count("cited").alias("cited")), f"SELECT source, count(*) AS fetched, count(*) FILTER ('source_' || doc_id IN (SELECT source FROM {MARKS})) AS cited FROM documents GROUP BY 1")
 register("jn13_grounding", "documents", lambda d: grounded(d.select(F.col("doc_id").alias("quote_id"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id"), F.substring("text", 11, 30).alias("quote")), d), "SELECT q.doc_id AS quote_id, coalesce(length(trim(regexp_replace(lower(q.text[11:40]), '\\s+', ' ', 'g'), ' ')) >= 12 AND contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(lower(q.text[11:40]), '\\s+', ' ', 'g'), ' ')), FALSE) AS supported FROM documents q LEFT JOIN documents d ON d.doc_id = CASE WHEN q.doc_id % 3 = 0 THEN q.doc_id + 1 ELSE q.doc_id END")
-register("jn14_scope", "documents", lambda d: d.join(d.sparkSession.createDataFrame([("src1",), ("src2",), ("nowhere",)], "source string"), "source", "left_semi").select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'nowhere')")
+register("jn14_scope", "documents", lambda d: scoped(d.select("doc_id", "source"), d.sparkSession.createDataFrame([("src1",), ("src2",), ("nowhere",)], "source string")).select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'nowhere')")
 register("jn09_near_queries", "benchmark", lambda b: near_pairs(b.select("item_id", F.substring("text", 1, 60).alias("text")).union(b.select(F.col("item_id") + 1000, F.concat(F.substring("text", 1, 50), F.lit(" extra")).alias("text"))), "item_id", "text"), "SELECT x.item_id AS a, y.item_id AS b, floor(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) * 10000 + 0.5) / 10000 AS similarity FROM s x JOIN s y ON x.item_id < y.item_id WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.5".replace("SELECT x.item_id", "WITH b AS (SELECT item_id, text[1:60] AS text FROM benchmark UNION ALL SELECT item_id + 1000, text[1:50] || ' extra' FROM benchmark), s AS " + TOKENS.replace("text[1:60]", "text").replace("FROM benchmark", "FROM b") + " SELECT x.item_id", 1))
 register("ag21_audit", "benchmark", lambda b: b.groupBy().agg(F.count("*").alias("queries"), F.count_distinct(F.lower(F.trim(F.substring("text", 1, 3)))).alias("unique_exact")), "SELECT count(*) AS queries, count(DISTINCT lower(trim(text[1:3], ' '))) AS unique_exact FROM benchmark")
 register("jn20_replay", "journal", lambda j: replayed(j.where("call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 0"), j.where("call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 1")), "SELECT call_key, k::INT AS k, a.seq AS request, b.seq AS entry FROM (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 0) a LEFT JOIN (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 1) b USING (call_key, k)")

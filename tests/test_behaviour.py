@@ -223,3 +223,12 @@ def test_page_functions_take_whole_texts(spark, tmp_path):
     assert rows("fn13_renumber")[1][1:] == ("source_5,source_1", 1)
     assert rows("fn12_notes")[1]["note"] == f"{long} Kept."
     assert [rows("fn14_sources_section")[i]["same"] for i in (1, 2)] == [True, False]
+
+
+def test_scope_of_unknown_ids_is_all_documents(spark, tmp_path):
+    from tessella.plans import registry
+
+    registry.load()
+    for name, sources, want in (("some", ["src1", "other", None], [1]), ("none", ["a", "b", None], [1, 2, 3])):
+        spark.createDataFrame(list(enumerate(sources, 1)), "doc_id long, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert sorted(r["doc_id"] for r in registry.QUERIES["jn14_scope"](spark, f"{tmp_path}/{name}").collect()) == want
