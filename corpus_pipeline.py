@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import release, table, written
+from tessella.llm.common import table, written
 from tessella.llm.group_join import near_stage
 from tessella.llm.line_dedup import line_stage
 from tessella.llm.mixture import mix
@@ -19,7 +19,9 @@ from tessella.llm.toxicity import toxicity_stage
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Pipeline stage: each document as many times as the mix takes it, with the columns of ``docs``.
+
+    Null, empty and repeated rows as mixture.allocate() says; columns with clashing names stay as they were."""
     return mix(docs)
 
 
@@ -39,5 +41,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark)
     return docs
