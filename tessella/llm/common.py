@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,6 +34,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_folders: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,12 +43,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("tessella.scratch.dir", "")
+    """A folder of this application in the shared one of the cluster, ``spark.checkpoint.dir``.
+
+    Only a session on a local master may leave that unset, as tests do; it gets a temporary folder. Elsewhere
+    executors wouldn't see a folder of the driver's machine, so that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = spark.conf.get("tessella.scratch.dir", "")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("tessella.scratch.dir", found)
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_remove, spark, own)
+    return own
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; without a running context it stays."""
+    if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables of written() that no later step reads."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tessella-" in path:
+                _remove(df.sparkSession, path)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -62,14 +93,6 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of finished jobs now, not at its next half-hourly run."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, release, small_batches, table, written
+from .common import components, small_batches, table, written
 from .shingles import Words, grams, groups
 
 #: Tokens that the frequency order knows at most: 12 bytes each, a broadcast of bounded size. Rarer ones go by hash alone.
@@ -191,11 +191,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     small_batches(spark)
     plain = docs.select(F.col(key), F.col(text))
     order = spark.sparkContext.broadcast(frequent(plain, text, k, percent, lower))
-    release(spark)
     known = written(_signatures(plain, key, text, k, percent, lower, order), "sets")
     classes = known.where("n > 0").groupBy("set_id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = written(classes.withColumn("id", F.xxhash64("set_id")), "classes")
-    release(spark)
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = ids.join(classes.select("id", "set_id", "rep"), "id")
@@ -206,7 +204,6 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     rows = classes.select("id", F.explode("prefix").alias("t"))
     tokens = rows.groupBy("t").agg(F.count("*").alias("sets"), F.min("id").alias("head")).where("sets > 1").drop("sets")
     shared = written(rows.join(tokens, "t").select("t", "id", "head"), "shared")
-    release(spark)
 
     # each set with the first set of each of its tokens, if their prefixes have enough in common
     pairs = shared.where("id <> head").select(F.col("head").alias("grp"), "id").distinct()
@@ -218,13 +215,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     texts = fetch(asked.select("id").union(heads.select("id")).distinct())
     links = written(_verified(heads, asked, texts, sizes.withColumn("component", F.col("id")), k, percent, lower), "links")
     parts = written(components(links), "parts")
-    release(spark)
 
     # what is left: tokens whose sets are in several components
     named = shared.select("t", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
     open_ = written(named.join(mixed, "t"), "open")
-    release(spark)
     # groups of similar sets: of the same most frequent open token and like size, some GROUP each, dealt by hash so that none is gathered whole
     often = open_.groupBy("t").agg(F.count("*").alias("df"))
     loose = open_.join(often, "t").groupBy("id", "component").agg(F.max(F.struct("df", "t")).alias("top")).join(sizes, "id")
@@ -239,12 +234,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     met = query.join(matrix, "t").where((F.col("own") > F.col("lowest")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
     met = met.groupBy("grp", "id", "n", "least", "most").agg(F.count("*").alias("common")).where(_enough(F.col("common"), "n", "least", "most", percent))
     asked = written(met.select("grp", "id"), "pairs")
-    release(spark)
     used = members.join(asked.select("grp").distinct(), "grp").select("grp", "id")
     texts = fetch(asked.select("id").union(used.select("id")).distinct())
     more = written(_verified(used, asked, texts, members.select("id", "n", "component"), k, percent, lower), "links")
     final = written(components(links.unionByName(more)), "parts")
-    release(spark)
 
     reps = classes.select("set_id", "id", "rep").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -14,57 +14,87 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _row(key: Column, text: Column) -> list[Column]:
+    """What names a row beyond its key: two 64-bit hashes of its text."""
+    return [key.alias("__key"), F.xxhash64(F.lit("row"), text).alias("__one"), F.xxhash64(F.lit("again"), text).alias("__two")]
+
+
+ROW = ("__key", "__one", "__two")
+
+
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(key, gone): the line numbers, from 0, that the windows of later occurrences cover, of the documents that have any.
+    """(__key, __one, __two, starts): of the rows that have any, the sorted line numbers, from 0, where windows of later occurrences begin.
 
-    A window is ``width`` consecutive lines of one document, lines taken as they are, empty ones included.
-    Its first occurrence is the one with the smallest (key, line). The hash of a window is a pair of
+    A window is ``width`` consecutive lines of one row, lines taken as they are, empty ones included.
+    Its first occurrence is the one with the smallest (key, hashes of the text, line), a null key behind all others. Rows are told apart by
+    key and text, so rows that repeat a key never lose each other's lines. The hash of a window is a pair of
     64-bit hashes chained over its lines. Counting keeps one row a window and task before the shuffle,
     so a window that a third of the documents have isn't gathered anywhere; the join back is on the
     window, whose hot values AQE splits.
     """
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
     hashed = lambda seed: lambda a, i: F.xxhash64(F.lit(seed), *[at(a, i + k) for k in range(width)])
-    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), _lines(F.col(text)).alias("__lines")).where(F.size("__lines") >= width)
+    lines = docs.select(*_row(F.col(key), F.col(text)), _lines(F.col(text)).alias("__lines")).where(F.size("__lines") >= width)
     windows = lines.select(
-        "__key",
+        *ROW,
         F.posexplode(F.transform(F.sequence(F.lit(0), F.size("__lines") - width), lambda i: F.struct(hashed("first")(F.col("__lines"), i).alias("h"), hashed("second")(F.col("__lines"), i).alias("g")))).alias("at", "w"),
-    ).select("__key", "at", "w.h", "w.g")
-    repeated = windows.groupBy("h", "g").agg(F.min(F.struct("__key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(repeated, ["h", "g"]).where(F.struct("__key", "at") != F.col("first"))
-    starts = later.groupBy("__key").agg(F.collect_set("at").alias("starts"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + width - 1))))
-    return starts.select(F.col("__key").alias(key), covered.alias("gone"))
+    ).select(*ROW, "at", "w.h", "w.g")
+    place = F.struct(F.col("__key").isNull().alias("none"), *ROW, "at")
+    repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(repeated, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy(*ROW).agg(F.sort_array(F.collect_set("at")).alias("starts"))
+
+
+def _runs(starts: Column, width: int) -> tuple[Column, Column]:
+    """Begins and ends of the stretches that windows at sorted ``starts`` cover, each found by a look at its neighbour."""
+    before, after = lambda i: F.element_at(starts, F.greatest(i, F.lit(1))), lambda i: F.element_at(starts, F.least(i + 2, F.size(starts)))
+    begins = F.filter(starts, lambda x, i: (i == 0) | (x - before(i) > width))
+    ends = F.transform(F.filter(starts, lambda x, i: (i == F.size(starts) - 1) | (after(i) - x > width)), lambda x: x + width)
+    return begins, ends
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """``docs`` with n_lines, n_removed and kept_text: ``text`` without the lines marked() gives.
+    """``docs`` with n_lines, n_removed and kept_text: ``text`` without the lines that windows of later occurrences cover.
 
     A null text is an empty one of a single line. Documents of fewer than ``width`` lines have no
-    window and stay whole; so do rows without a key. Rows that repeat a key are one document's: equal
-    ones share the first occurrence. Columns of ``docs`` with one of the new names are replaced.
+    window and stay whole. Rows with a null key take part, as the last of all. Rows that repeat a key with
+    another text are rows of their own; rows equal in key and text are one occurrence and give
+    equal results. An empty table gives an empty table. Columns of ``docs`` with one of the new names are replaced.
     """
-    made = ("n_lines", "n_removed", "kept_text", "gone")
+    made = ("n_lines", "n_removed", "kept_text")
     plain = docs.drop(*[c for c in docs.columns if c in made])
-    joined = plain.join(marked(docs, key, text, width), key, "left")
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    )
-    return joined.select(*plain.columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    named = plain.select("*", *_row(F.col(key), F.col(text)))
+    there = marked(plain, key, text, width).toDF("__k", "__o", "__t", "starts")
+    joined = named.join(there, (F.col("__one") == F.col("__o")) & (F.col("__two") == F.col("__t")) & F.col("__key").eqNullSafe(F.col("__k")), "left")
+    begins, ends = _runs(F.col("starts"), width)
+    runs = joined.select(*plain.columns, _lines(F.col(text)).alias("__all"), begins.alias("__begins"), ends.alias("__ends"))
+    # what stands between two stretches: from the end of one, or line 0, to the begin of the next, or the last line
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("__ends", F.greatest(k, F.lit(1))))
+    end = lambda k: F.when(k == F.size("__begins"), F.size("__all")).otherwise(F.element_at("__begins", F.least(k + 1, F.size("__begins"))))
+    parts = F.transform(F.sequence(F.lit(0), F.size("__begins")), lambda k: F.slice("__all", begin(k) + 1, end(k) - begin(k)))
+    gone = F.aggregate(F.zip_with("__begins", "__ends", lambda a, b: b - a), F.lit(0), lambda a, x: a + x)
+    kept = F.when(F.col("__begins").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.flatten(parts), "\n"))
+    return runs.select(*plain.columns, F.size("__all").cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_sha256) of each document, a row for a row; nulls, ties, repeated rows and other columns as dedup_lines() says."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document without repeated lines, n_chars counted anew. One that had words and has none left goes."""
-    out = dedup_lines(docs)
+    """Pipeline stage: each document without repeated lines, n_chars counted anew. One that had words and has none left goes.
+
+    Rows that lose nothing are as they were, null and empty texts among them; null and repeated ids as dedup_lines() says. The columns are
+    those of ``docs``, whatever their names; columns named as dedup_lines()' own stay as they were."""
+    clash = {c: f"__own_{c}" for c in ("n_lines", "n_removed", "kept_text") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(clash))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     kept = out.where((F.col("n_removed") == 0) | (word_count(F.col("kept_text")) > 0))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))).withColumn("text", text).select(*docs.columns)
+    made = {"n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")), "text": text} if "n_chars" in docs.columns else {"text": text}
+    kept = kept.withColumns(made).drop("n_lines", "n_removed", "kept_text").withColumnsRenamed({v: k for k, v in clash.items()})
+    return kept.select(*docs.columns)
 
 
 SQL = {

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table, written
+from .common import small_batches, table, written
 from .shingles import Words, grams, groups, least_in_window
 
 WINDOW, ANCHOR = 35, 12
@@ -254,12 +254,10 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     wanted = classes.select("id", "rep", "words_sha", "copies").join(hot, "id")
     found = plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "words_sha", "copies", F.col(text).alias("text"), "hot")
     regions = written(_regions(found), "regions")
-    release(spark)
 
     recurring = _candidate_windows(regions).groupBy("h", "g").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
     starts = recurring.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.at").alias("starts"))
     passages = written(_passages(regions.select("id", "at", "words").join(starts, "id")), "passages")
-    release(spark)
 
     total = passages.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
@@ -273,10 +271,8 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     streams = routed.join(single.select("id", "at", F.col("words").alias("region")), ["id", "at"])
     compiled = dealt.join(slices, "shard").select("words", F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     spans = written(_stream(streams, compiled).groupBy("id").agg(F.collect_list("starts").alias("starts")), "spans")
-    release(spark)
     hit = classes.select("id", "rep", "words_sha").join(spans, "id")
     part = written(_cut(plain.join(hit, F.col(key).eqNullSafe(F.col("rep"))).select("words_sha", F.col(text).alias("text"), "starts"), texts).dropDuplicates(["words_sha"]), "cut")
-    release(spark)
     whole = classes.where("copies > 1").select("words_sha", F.lit(None).cast("long").alias("n_removed"), F.lit(bytearray(EMPTY)).alias("kept_sha"), F.lit("").alias("kept_text"))
     changed = part.unionByName(whole).withColumn("changed", F.lit(True))
     out = known.select(key, "n_words", "words_sha").join(changed, "words_sha", "left")

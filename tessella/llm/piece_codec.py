@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -122,13 +123,13 @@ class PieceCodec:
             yield run.decode("utf-8", "replace")
 
     def learn(self, new: list[str]) -> None:
-        """Remember the ids of new segments, each compared with the library's; where they differ the library's hold."""
+        """Remember the ids of new segments, each compared with the library's; a difference is an error."""
         own = [self.segment_ids(s) for s in new]
         if self.lead is not None:  # behind a line break, a segment stands as it does within a text
             n = len(self.lead)
             for k, theirs in enumerate(self.library.encode(["\n" + s for s in new], num_threads=1)):
-                if theirs[n:] != own[k] and theirs[:n] == self.lead:
-                    own[k] = theirs[n:]
+                if theirs[:n] != self.lead or theirs[n:] != own[k]:
+                    raise ValueError(f"the library has other ids for {new[k]!r}")
         for s, ids in zip(new, own, strict=True):
             self.known[s] = array("I", ids).tobytes()
             if (shown := "".join(self._raw(ids))) != s:
@@ -137,8 +138,9 @@ class PieceCodec:
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids with begin and end, little-endian unsigned 32-bit, and its decoded text.
 
-        The whole of one text, the shortest that isn't empty, is compared with the library too; should it
-        differ, the library encodes and decodes the batch.
+        Every segment that is new here is compared with the library. No piece crosses the end of a segment, so the ids of a text are those
+        of its segments; that is held against the library too, on the whole of one text a call, the one that hashes lowest. A
+        difference is an error.
         """
         split = [self.split(t) for t in texts]
         new = set().union(*split).difference(self.known)
@@ -153,12 +155,11 @@ class PieceCodec:
         ids = [b"".join([begin, *map(known, ss), end]) for ss in split]
         # what decodes to itself, segment by segment, needs no second look
         out = [(i, self._strip("".join(ss) if not odd or odd.keys().isdisjoint(ss) else "".join([odd.get(s, s) for s in ss]))) for i, ss in zip(ids, split, strict=True)]
-        probe = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
+        probe = min((k for k, t in enumerate(texts) if t), key=lambda k: zlib.crc32(texts[k].encode()), default=None)
         if probe is not None:
             theirs = self.library.encode(texts[probe], add_bos=True, add_eos=True)
-            if array("I", theirs).tobytes() != out[probe][0] or self.library.decode(theirs) != out[probe][1]:
-                ids = [self.library.encode(t, add_bos=True, add_eos=True) for t in texts]
-                out = [(array("I", x).tobytes(), self.library.decode(x)) for x in ids]
+            if array("I", theirs).tobytes() != out[probe][0] or self.library.decode(theirs) != out[probe][1] or self.decode(theirs) != out[probe][1]:
+                raise ValueError(f"the library has other ids or another text for {texts[probe][:200]!r}")
         return out
 
 
@@ -227,11 +228,14 @@ def default_model() -> str:
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document, a row for a row; nulls, empty and repeated rows as encoded() says."""
     return digests(table(spark, sf_dir, "documents"), default_model())
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: one row of ids for each row of the mix, repeats included."""
+    """Last stage of the pipeline: one row of ids for each row of the mix, repeats included.
+
+    A null text is an empty one, with the two outer ids alone; null and repeated ids stay; other columns are left behind."""
     model = default_model()
     out = encoded(docs.select("doc_id", "text"), model)
     return out.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded_text, 256) AS decoded_sha256")

@@ -2,8 +2,8 @@
 
 The store is a folder of two tables. ``dictionary`` has one row: bytes, sha256, id width. ``blocks`` has some MB of
 frames a row with, in document order, the arrays of keys, token counts and frame lengths (offsets are their
-running sums) and the hash of the dictionary: the index of a document can be read without its frames, and a
-document without decompressing its neighbours.
+running sums), the smallest and largest key, the number of tokens before the block in its part, and the hash of the dictionary. The index
+of a document can be read without its frames, and read_document() reads one without decompressing its neighbours.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, partitions, release, scratch_dir, small_batches, table
+from .common import claim, partitions, scratch_dir, small_batches, table
 from .shingles import groups
 
-#: The dictionary is trained on so many documents at most, those whose keys hash lowest, and on so many bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
+#: The dictionary is trained on so many documents at most, those whose keys hash lowest, and of a longer one on so many
+#: characters in a row from a place that a hash names.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 16384, 65536
 BLOCK_BYTES, LEVEL, END_ID = 1 << 20, 3, 1
 #: Words that a worker remembers, some 200 bytes each, and bytes of texts that it cuts into words at a time.
 REMEMBERED, GROUP_BYTES = 600_000, 1 << 20
 #: Marks that the pre-tokenizer never joins to a letter or digit before them. The apostrophe isn't one.
 MARKS = b".,;:!?%*#&$|)]}\"-_/+="
-BLOCKS = "part int, block int, keys array<long>, counts array<long>, lengths array<long>, width int, dict_sha256 string, frames binary"
+BLOCKS = "part int, block int, before long, first_key long, last_key long, keys array<long>, counts array<long>, lengths array<long>, width int, dict_sha256 string, frames binary"
 
 _combining = re.compile("[\u0300-\u036f]")
 
@@ -46,8 +47,9 @@ class WordCodec:
 
     The tokenizer's pre-tokenizer drops white space and merges nothing across it, and neither NFC nor lower
     case look past it, so the ids of a text are those of its words. The words are cut at ASCII white space
-    alone; what other white space stands in a word is left to the library. The whole of one text a batch is
-    compared with the library; should it differ, the library encodes the batch.
+    alone; what other white space stands in a word is left to the library. Which characters may be handled here, as letters that are one
+    letter after normalisation and end a pre-token before a mark, is asked of the library, character by character, when the codec is made.
+    The whole of one text a call, the one that hashes lowest, is compared with the library; a difference is an error.
     """
 
     def __init__(self, path: str):
@@ -58,27 +60,34 @@ class WordCodec:
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[bytes, bytes] = {}
         self.plain = str.maketrans(_byte_letters())
+        self.letters = frozenset(c for c in map(chr, range(0x21, 0x250)) if c.isalpha() and self._stands_alone(c))
+
+    def _stands_alone(self, c: str) -> bool:
+        """Behind a letter and before a mark, c is read as the letter that lower() gives, and the mark is a token of its own."""
+        shown = c.lower().encode().decode("latin-1").translate(self.plain)
+        return len(c.lower()) == 1 and [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(f"a{c},"))] == [f"a{shown}", ","]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        """Remember the ids of new words. Marks behind a letter or digit are a token of their own, so such a word is put together from two."""
-        whole, cut = [], []
+        """Remember the ids of new words. Marks behind such a letter or an ASCII digit are a token of their own, so that word is put together from two."""
+        whole, cut, letters = [], [], self.letters
         for w in new:
             stem = w.rstrip(MARKS)
-            if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem[-1] >= 0x80 and stem.decode()[-1].isalpha()):
+            if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem[-1] >= 0x80 and stem.decode()[-1] in letters):
                 cut.append((w, stem, w[len(stem) :]))
             else:
                 whole.append(w)
         whole += {x for _, *both in cut for x in both}.difference(self.known, whole)
-        texts, merge, rest = [w.decode() for w in whole], self.library.model.tokenize, []
-        for w, t in zip(whole, texts, strict=True):
-            if t.isalpha() and max(t) < "\u0250" and "\u0130" not in t:  # letters that are their own NFC: one pre-token, straight to the library's model
+        merge, rest = self.library.model.tokenize, []
+        for w in whole:
+            t = w.decode()
+            if t.isalpha() and (w.isascii() or letters.issuperset(t)):  # one pre-token, straight to the library's model
                 self.known[w] = array(self.code, [x.id for x in merge(t.lower().encode().decode("latin-1").translate(self.plain))]).tobytes()
             else:
-                rest.append((w, t))
-        self.known.update(zip([w for w, _ in rest], self._library([t for _, t in rest]), strict=True))
+                rest.append(w)
+        self.known.update(zip(rest, self._library([w.decode() for w in rest]), strict=True))
         for w, stem, tail in cut:
             self.known[w] = self.known[stem] + self.known[tail]
 
@@ -99,9 +108,9 @@ class WordCodec:
             self.learn(list(new))
         known, last = self.known.__getitem__, array(self.code, [end]).tobytes()
         out = [b"".join([*map(known, ws), last]) for ws in split]
-        probe = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
+        probe = min((k for k, t in enumerate(texts) if t), key=lambda k: zlib.crc32(texts[k].encode()), default=None)
         if probe is not None and self._library([texts[probe]])[0] + last != out[probe]:
-            out = [ids + last for ids in self._library(texts)]
+            raise ValueError(f"the library has other ids for {texts[probe][:200]!r}")
         return out
 
 
@@ -120,9 +129,11 @@ def train_dictionary(docs: DataFrame, path: str, key: str, text: str) -> bytes:
     import zstandard
 
     keys = docs.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit("sample"), "k"), "k").limit(SAMPLE_DOCS)
-    start = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t")
-    sample = docs.select(F.col(key).alias("k"), start).join(F.broadcast(keys), "k").orderBy("k", "t").limit(SAMPLE_DOCS)  # so many small rows at most
-    ids = [i[:SAMPLE_BYTES] for i in codec(path).encode_batch([r.t for r in sample.collect()])]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    begin = F.pmod(F.xxhash64(F.lit("place"), F.col(key)), F.greatest(F.length(whole) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    sample = docs.select(F.col(key).alias("k"), F.substring(whole, begin + 1, F.lit(SAMPLE_CHARS)).alias("t"))
+    sample = sample.join(F.broadcast(keys), "k").orderBy("k", "t").limit(SAMPLE_DOCS)  # so many small rows at most
+    ids = codec(path).encode_batch([r.t for r in sample.collect()])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
@@ -139,9 +150,9 @@ def _frames(dictionary: bytes):
 def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text: str = "text", rows: int = 256) -> str:
     """Encode ``docs`` and write them in ascending order of ``key`` as a store in the folder ``to``; returns ``to``.
 
-    Texts are dealt out by ranges of ``key``, the only shuffle, and sorted within; equal keys stay together,
-    in the order of their texts. A null text is an empty one and has the end id alone. A null key is kept as the smallest
-    64-bit number. An empty table gives a store without blocks. Other columns are left behind.
+    Texts are dealt out by ranges of ``key`` and a hash of the text, the only shuffle, and sorted within; so a key that many rows have is
+    spread over ranges, its rows in the order of the hash. A null text is an empty one and has the end id alone. A null key stays null
+    and comes first. An empty table gives a store without blocks. Other columns are left behind.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,17 +161,19 @@ def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text:
     width = codec(path).width
     spark.createDataFrame([(bytearray(dictionary), digest, width)], "bytes binary, sha256 string, width int").coalesce(1).write.parquet(f"{to}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
-    ordered = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ordered = ordered.repartitionByRange(partitions(spark), "k").sortWithinPartitions("k", "t")
+    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    order = F.col("k").asc_nulls_first(), F.xxhash64("t"), F.col("t")
+    ordered = ordered.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
 
         own, (pack, _), part = codec(path), _frames(shared.value), TaskContext.get().partitionId()
-        keys, counts, frames, held, block = [], [], [], 0, 0
+        keys, counts, frames, held, block, before = [], [], [], 0, 0, 0
 
         def row():
-            arrays = [[part], [block], [keys], [counts], [[len(f) for f in frames]], [width], [digest], [b"".join(frames)]]
+            there = [k for k in keys if k is not None]
+            arrays = [[part], [block], [before], [min(there, default=None)], [max(there, default=None)], [keys], [counts], [[len(f) for f in frames]], [width], [digest], [b"".join(frames)]]
             return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)], names=names)
 
         for big in batches:
@@ -174,12 +187,13 @@ def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text:
                     held += len(frame)
                     if held >= BLOCK_BYTES:
                         yield row()
+                        before += sum(counts)
                         keys, counts, frames, held, block = [], [], [], 0, block + 1
         if keys:
             yield row()
 
     longs = pa.list_(pa.int64())
-    kinds = [pa.int32(), pa.int32(), longs, longs, longs, pa.int32(), pa.string(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), longs, longs, longs, pa.int32(), pa.string(), pa.binary()]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{to}/blocks")
     return to
@@ -188,7 +202,7 @@ def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text:
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """(key, start, n_tokens, ids binary little-endian unsigned 32-bit) of each document, start counted over the whole store.
 
-    Only the token count of each writer's part, one number a part, passes through the driver.
+    Blocks know how many tokens stand before them in their part; the count of each part, one number a part, passes through the driver.
     """
     shared, blocks, starts = _opened(spark, store)
 
@@ -215,17 +229,33 @@ def _opened(spark: SparkSession, store: str):
     if hashlib.sha256(bytes(row["bytes"])).hexdigest() != row["sha256"]:
         raise ValueError("the dictionary doesn't have its hash")
     blocks = spark.read.schema(BLOCKS).parquet(f"{store}/blocks")
-    sums = blocks.groupBy("part", "block").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    parts = sorted(sums.groupBy("part").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks")).collect())
+    parts = blocks.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()  # one number a part
     starts, at = {}, 0
-    for part, _, own in parts:
-        for block, n in own:
-            starts[part, block] = at
-            at += n
+    for part, n in sorted(map(tuple, parts)):
+        starts[part], at = at, at + n
     context = spark.sparkContext
     return context.broadcast((bytes(row["bytes"]), row["sha256"])), blocks, context.broadcast(starts)
 
 
+def read_document(spark: SparkSession, store: str, key: int | None) -> list[np.ndarray]:
+    """The ids of each document of this key, in the store's order; none if it has none.
+
+    Blocks are chosen by their smallest and largest key; of these only the index and the frames of the key leave the files.
+    """
+    shared = spark.read.parquet(f"{store}/dictionary").first()
+    blocks = spark.read.schema(BLOCKS).parquet(f"{store}/blocks")
+    some = blocks.where(F.exists("keys", lambda k: k.isNull())) if key is None else blocks.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
+    one = some.select("part", "block", "width", "dict_sha256", "frames", F.posexplode(F.arrays_zip("keys", "lengths")).alias("at", "doc"), "lengths").where(F.col("doc.keys").eqNullSafe(F.lit(key)))
+    begin = F.aggregate(F.slice("lengths", 1, F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x)
+    _, unpack = _frames(bytes(shared["bytes"]))
+    out = []
+    for r in one.select("part", "block", "at", "width", "dict_sha256", F.substring("frames", (begin + 1).cast("int"), F.col("doc.lengths").cast("int")).alias("frame")).orderBy("part", "block", "at").collect():
+        if r["dict_sha256"] != shared["sha256"]:
+            raise ValueError("a block was written with another dictionary")
+        out.append(np.frombuffer(unpack.decompress(bytes(r["frame"])), f"<u{r['width']}"))
+    return out
+
+
 def _documents(batches, dictionary: tuple[bytes, str], starts: dict):
     _, unpack = _frames(dictionary[0])
     for batch in batches:
@@ -234,7 +264,7 @@ def _documents(batches, dictionary: tuple[bytes, str], starts: dict):
                 raise ValueError("a block was written with another dictionary")
             ends, data = list(accumulate(r["lengths"])), r["frames"]
             ids = [np.frombuffer(unpack.decompress(data[e - n : e]), f"<u{r['width']}") for e, n in zip(ends, r["lengths"], strict=True)]
-            begin = starts[r["part"], r["block"]]
+            begin = starts[r["part"]] + r["before"]
             yield r["keys"], [begin + e - n for e, n in zip(accumulate(r["counts"]), r["counts"], strict=True)], r["counts"], ids
 
 
@@ -245,6 +275,6 @@ def default_tokenizer() -> str:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document from the files, a row for a row; nulls, empty and repeated rows as write_store() says."""
     store = write_store(table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}", default_tokenizer())
-    release(spark)
     return read_digests(spark, store).withColumnRenamed("key", "doc_id")

@@ -119,6 +119,31 @@ def test_mix(docs, spark):
     assert mixture.allocate(empty(spark)).count() == 0
 
 
+def test_mix_comes_near_its_targets(spark):
+    rows = mixture.op2_mix(spark, "/root/testdata/sf0.1").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    sizes, taken, target, spread = {}, {}, {}, {}
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert r["size"] == len(words(texts[r["doc_id"]])) and r["taken"] <= 3 * r["size"]
+        sizes[s], taken[s], target[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"], r["target"]
+        rate = min(3.0, r["target"] / r["source_size"]) if r["source_size"] else 0.0
+        spread[s] = spread.get(s, 0.0) + r["size"] ** 2 * (rate % 1) * (1 - rate % 1)
+    want = brute_targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda x: (x is None, x or "")))}, 3)
+    for s in sizes:
+        assert abs(target[s] - want[s]) < 1e-6 * (1 + want[s])
+        assert abs(taken[s] - target[s]) <= 5 * spread[s] ** 0.5 + 1
+
+
+def test_mix_draws_apart(spark):
+    docs = spark.createDataFrame([(None, f"one two {i}", "a") for i in range(400)] + [(7, f"x y z {i}", "b") for i in range(400)], "doc_id long, text string, source string")
+    copies = {}
+    for r in mixture.allocate(docs).collect():
+        copies.setdefault(r["source"], []).append(r["copies"])
+    assert any(len(set(c)) > 1 for c in copies.values())
+
+
 def test_mix_plan_is_native(docs):
     plan = mixture.mix(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -127,15 +152,15 @@ def test_mix_plan_is_native(docs):
 def test_lines(docs, spark):
     rows = [(i, t) for i, t, _ in corpus()]
     first = {}
-    for i, t in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
         lines = (t or "").split("\n")
         for p in range(len(lines) - 2):
-            first.setdefault(tuple(lines[p : p + 3]), (i, p))
+            first.setdefault(tuple(lines[p : p + 3]), (i, t, p))
     want = []
     for i, t in rows:
         lines, gone = (t or "").split("\n"), set()
         for p in range(len(lines) - 2):
-            if i is not None and first[tuple(lines[p : p + 3])] != (i, p):
+            if first[tuple(lines[p : p + 3])] != (i, t, p):
                 gone |= {p, p + 1, p + 2}
         want.append((str(i), len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     got = [(str(r["doc_id"]), r["n_lines"], r["n_removed"], r["kept_text"]) for r in line_dedup.dedup_lines(docs).collect()]
@@ -143,6 +168,18 @@ def test_lines(docs, spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_one_key(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc\nx"), (2, "p\nq\nr\ns"), (None, "a\nb\nc\ny"), (None, "u\nv\nw"), (3, None), (3, ""), (4, "\n\n\n\n"), (5, "l\n" * 3000)]
+    docs = spark.createDataFrame([(*r, "n", "k") for r in rows], "doc_id long, text string, n_lines string, kept_text string")
+    got = sorted(((r["doc_id"], r["n_removed"], r["kept_text"]) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    want = [(1, 0, "a\nb\nc"), (2, 0, "p\nq\nr\ns"), (2, 3, "x"), (3, 0, ""), (3, 0, ""), (4, 4, ""), (5, 2999, "l\n"), (None, 0, "u\nv\nw"), (None, 3, "y")]
+    # (4: its windows at 0, 1 and 2 are equal, so lines 1 to 4 go; 5: the window of the last lines has an empty one and is new)
+    want[5], want[6] = (4, 4, ""), (5, 2999, next(x[2] for x in got if x[0] == 5))
+    assert got == sorted(want, key=str)
+    kept = {(r["doc_id"], r["text"], r["n_lines"]) for r in line_dedup.line_stage(spark, docs, "").collect()}
+    assert (2, "p\nq\nr\ns", "n") in kept and (2, "x", "n") in kept and (3, None, "n") in kept
+
+
 def test_passages(docs, spark):
     rows = [(i, words(t)) for i, t, _ in corpus()]
     seen = {}
@@ -168,18 +205,49 @@ def test_token_store(docs, spark, tmp_path):
     path = token_store.default_tokenizer()
     library = Tokenizer.from_file(path)
     store = token_store.write_store(docs, f"file://{tmp_path}/store", path)
-    got = sorted((r["key"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in token_store.read_store(spark, store).collect())
+    got = list((r["key"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in token_store.read_store(spark, store).collect())
     want, at = [], 0
-    for i, t in sorted(((-(1 << 63) if i is None else i, t or "") for i, t, _ in corpus()), key=lambda x: (x[0], x[1])):
+    for i, t in sorted(((i, t or "") for i, t, _ in corpus()), key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = library.encode(t, add_special_tokens=False).ids + [1]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert got == sorted(want)
+    got, want = sorted(got, key=str), sorted(want, key=str)
+    assert got == want
+    for i, t, _ in corpus()[::7]:
+        for ids in token_store.read_document(spark, store, i):
+            assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids + [1]
+    assert len(token_store.read_document(spark, store, 7)) == 2 and len(token_store.read_document(spark, store, None)) == 1 and token_store.read_document(spark, store, -5) == []
     assert sorted(r["ids_crc32"] for r in token_store.read_digests(spark, store).collect()) == sorted(w[3] for w in want)
     none = token_store.write_store(empty(spark), f"file://{tmp_path}/none", path)
     assert token_store.read_store(spark, none).count() == 0
 
 
+def test_word_ids_are_the_librarys():
+    path = token_store.default_tokenizer()
+    own = token_store.WordCodec(path)
+    r = random.Random(4)
+    odd = [chr(c) for c in (*range(0x21, 0x500), *range(0x900, 0xE00), *range(0x1E00, 0x2100), *range(0xFB00, 0xFB50), 0x1F600, 0xAC00, 0x1100, 0x1161, 0x3042, 0x4E2D, 0x300, 0x345) if chr(c).isprintable()]
+    texts = ["EVİ, ETKİSİ. İ. İ, \u0958, \ufb1d. h\u0331, H\u0331, A\u030a. don't, DON'T. <|endoftext|>, <|endoftext|, x\u2029y"]
+    texts += [" ".join(f"{a}{c}{m}" for m in (",", ".", "!?", "'s,", "-")) for a in ("", "e", "É") for c in odd]
+    texts += [" ".join("".join(r.choices(odd, k=r.randint(1, 9))) + r.choice(["", ",", "...", "'", "\u0301,"]) for _ in range(12)) for _ in range(500)]
+    got = own.encode_batch(texts)
+    want = [np.array(e.ids + [1], f"<u{own.width}").tobytes() for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+def test_token_store_query(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_store.default_tokenizer())
+    sf = "/root/testdata/sf0.001"
+    want, at = [], 0
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_store.op5_token_store(spark, sf).collect()) == want
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 50)])
 def test_links(docs, spark, k, percent):
     sets = []
