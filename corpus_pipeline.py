@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import table, written
+from tessella.llm.common import dropped, table, written
 from tessella.llm.group_join import near_stage
 from tessella.llm.line_dedup import line_stage
 from tessella.llm.mixture import mix
@@ -38,7 +38,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)
+        before = docs
     return docs
