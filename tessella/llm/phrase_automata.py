@@ -1,14 +1,16 @@
 """Substring dedup with repeated-phrase automata.
 
 1. Anchors. Of the 24 twelve-word sequences in each 35-word window the one with the smallest hash is its anchor, so equal
-   windows have equal anchors, and some 8 % of all places are anchors. Texts of equal words count once.
+   windows have equal anchors, and some 8 % of all places are anchors. Texts of equal words count once, as often as they occur.
 2. Recurring passages. Only windows whose anchor occurs twice are counted by their own 128-bit hash. Each recurring window is
    kept where it occurs first; consecutive ones form a passage.
-3. Automata. Passages are dealt over shards; a shard compiles the anchors of its passages into an Aho-Corasick automaton. A
-   document goes, by its stretches with hot anchors, to the shards that have one of these, is streamed through their automata, and the
-   windows around each hit are compared with the passage they stand in, word by word.
+3. Automata. Passages are dealt over shards, and a shard compiles all windows of its passages into an Aho-Corasick automaton. Each
+   document goes, by its stretches with hot anchors, to the shards that have one of these, and is streamed through their automata: what they
+   hit is what goes, nothing else.
 
-A window recurs if and only if a passage has it, so the result is exact but for collisions of the 128-bit hash of step 2.
+A window of 35 words is five sequences of seven words side by side. A shard numbers the seven-word sequences of its passages, by 64-bit
+hashes; a text is read as seven interleaved rows of such numbers, one for each place modulo seven, and a window is a pattern of five
+numbers in one of them. So the automaton has five nodes a window at most, and its hits are exact but for collisions of hashes.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import dropped, small_batches, table, written
 from .shingles import Words, grams, groups, least_in_window
 
 WINDOW, ANCHOR = 35, 12
+#: Words that a symbol of the automata stands for; a window is a whole number of them.
+SYMBOL = 7
 #: Words of the passages of a shard, and bytes of the documents that one task streams through it.
-SHARD_WORDS, TASK_BYTES = 400_000, 12 << 20
-EMPTY = hashlib.sha256(b"").digest()
+SHARD_WORDS, TASK_BYTES = 300_000, 24 << 20
 
 
 def _spans(places: np.ndarray, width: int) -> list[list[int]]:
@@ -37,13 +40,18 @@ def _spans(places: np.ndarray, width: int) -> list[list[int]]:
     return [[int(p[0]), int(p[-1]) + width] for p in np.split(places, cut)]
 
 
+def _digest(text: str) -> list[Column]:
+    """Two 64-bit hashes of a whole text, by which rows with a null or repeated key are told apart."""
+    return [F.xxhash64(F.lit("text"), text).alias("__one"), F.xxhash64(F.lit("again"), text).alias("__two")]
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, words_sha, anchors) of each document: anchors once,
+    """(key, __one, __two, n_words, words_sha, anchors) of each document: the hashes of its text, and anchors once,
     or twice if the text has them at several places; none where there is no window."""
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            texts = [(t or "").encode() for t in batch.column(3).to_pylist()]
             counts, shas, anchors = [], [], []
             for a, b in groups(texts):
                 words = Words(texts[a:b])
@@ -55,9 +63,9 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     anchors.append(np.repeat(found, np.minimum(n, 2)).view(np.int64))
                     shas.append(hashlib.sha256(b" ".join(t.split())).digest())
                 counts += words.counts.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "n_words", "words_sha", "anchors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "__one", "__two", "n_words", "words_sha", "anchors"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_words long, words_sha binary, anchors array<long>")
+    return docs.select(key, *_digest(text), text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, __one long, __two long, n_words long, words_sha binary, anchors array<long>")
 
 
 def _regions(rows: DataFrame) -> DataFrame:
@@ -88,11 +96,11 @@ def _regions(rows: DataFrame) -> DataFrame:
 
 
 def _candidate_windows(regions: DataFrame) -> DataFrame:
-    """(h, g, n, id, at): the distinct windows of a region, how often each occurs in it and where first."""
+    """(h, g, n, id, at): the distinct windows of a region, how often each occurs in it and its copies, and where first."""
 
     def run(batches):
         for batch in batches:
-            ids, begins = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, begins, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             texts = [t.encode() for t in batch.column(2).to_pylist()]
             for a, b in groups(texts):
                 words = Words(texts[a:b])
@@ -101,11 +109,11 @@ def _candidate_windows(regions: DataFrame) -> DataFrame:
                 for i in range(a, b):
                     first, last = words.first[i - a], words.first[i - a] + words.counts[i - a] - WINDOW + 1
                     _, at, n = np.unique(h[first:last], return_index=True, return_counts=True)
-                    for column, values in zip(out, (h[first:last][at], g[first:last][at], n.astype(np.int64), np.full(len(at), ids[i]), (at + begins[i]).astype(np.int32)), strict=True):
+                    for column, values in zip(out, (h[first:last][at], g[first:last][at], n.astype(np.int64) * copies[i], np.full(len(at), ids[i]), (at + begins[i]).astype(np.int32)), strict=True):
                         column.append(values)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "g", "n", "id", "at"])
 
-    return regions.select("id", "at", "words").mapInArrow(run, "h long, g long, n long, id long, at int")
+    return regions.select("id", "at", "words", "copies").mapInArrow(run, "h long, g long, n long, id long, at int")
 
 
 def _passages(regions: DataFrame) -> DataFrame:
@@ -130,66 +138,42 @@ def _passages(regions: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Passages of a shard: their anchors, as sequences of word numbers, in an Aho-Corasick automaton, and where each of their windows stands."""
+    """All windows of a shard's passages as patterns of an Aho-Corasick automaton."""
 
     def __init__(self, passages: list[bytes]):
         import ahocorasick
 
-        self.ids: dict[bytes, int] = {}
-        self.passages: list[np.ndarray] = []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        hashes, owners, offsets = [], [], []
+        hashes = []
         for a, b in groups(passages):
             words = Words(passages[a:b])
-            own = words.hashes()
-            least, windows = least_in_window(grams(own, ANCHOR), WINDOW - ANCHOR + 1), grams(own, WINDOW)
-            for k in range(a, b):
-                numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in passages[k].split(b" ")]
-                self.passages.append(np.array(numbers, np.int64))
-                first, n = int(words.first[k - a]), len(numbers) - WINDOW + 1
-                for at in (np.unique(least[first : first + n]) - first).tolist():
-                    self.automaton.add_word(tuple(numbers[at : at + ANCHOR]))
-                hashes.append(windows[first : first + n]), owners.append(np.full(n, k)), offsets.append(np.arange(n))
+            gram = grams(words.hashes(), SYMBOL)
+            hashes += [gram[first : first + n - SYMBOL + 1] for first, n in zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True)]
+        #: The seven-word sequences that have a number: their place here and one more.
+        self.known = np.unique(np.concatenate(hashes))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for own in hashes:
+            numbers = np.searchsorted(self.known, own) + 1
+            windows = len(numbers) - WINDOW + SYMBOL
+            for pattern in zip(*[numbers[k : k + windows].tolist() for k in range(0, WINDOW, SYMBOL)], strict=True):
+                self.automaton.add_word(pattern)
         self.automaton.make_automaton()
-        #: All passages one after another, and where each begins.
-        self.flat = np.concatenate(self.passages)
-        self.base = np.cumsum([0] + [len(p) for p in self.passages])
-        self.hashes, self.owners, self.offsets = np.concatenate(hashes), np.concatenate(owners), np.concatenate(offsets)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owners, self.offsets = self.hashes[order], self.owners[order], self.offsets[order]
-
-    def covered(self, texts: list[bytes]) -> list[np.ndarray]:
-        """For each text the starts of its windows that a passage has.
-
-        The automaton finds the anchors; of the windows around each, those with the hash of a passage's window are compared with it, word by
-        word, a run at a time. A window stands in one passage only.
-        """
+
+    def hits(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text the sorted starts of its windows that the automaton has."""
         words = Words(texts)
-        h = grams(words.hashes(), WINDOW)
-        place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        same = self.hashes[place] == h
-        number, out = self.ids.get, []
-        for i, text in enumerate(texts):
-            first, n = int(words.first[i]), int(words.counts[i])
-            sequence = tuple([number(w, 0) for w in text.split(b" ")])
-            near = np.zeros(n + 1, np.int64)
-            for end, _ in self.automaton.iter(sequence):
-                near[max(0, end - WINDOW + 1)] += 1
-                near[end - ANCHOR + 2] -= 1
-            starts = np.flatnonzero((np.cumsum(near)[: n - WINDOW + 1] > 0) & same[first : first + n - WINDOW + 1])
-            if len(starts):
-                spot = place[first + starts]
-                owner, offset = self.owners[spot], self.offsets[spot]
-                own, expected = np.array(sequence, np.int64), self.base[owner] + offset
-                heads = np.concatenate(([0], np.flatnonzero((np.diff(starts) > 1) | (np.diff(expected) != 1)) + 1))
-                lengths = np.diff(np.append(heads, len(starts))) + WINDOW - 1
-                begins = np.cumsum(lengths) - lengths
-                inside = np.arange(begins[-1] + lengths[-1]) - np.repeat(begins, lengths)
-                equal = own[np.repeat(starts[heads], lengths) + inside] == self.flat[np.repeat(expected[heads], lengths) + inside]
-                if not equal.all():  # one hash of two windows
-                    starts = np.array([x for x, e in zip(starts.tolist(), expected.tolist(), strict=True) if np.array_equal(own[x : x + WINDOW], self.flat[e : e + WINDOW])], np.int64)
-            out.append(starts)
-        return out
+        gram = grams(words.hashes(), SYMBOL)
+        spot = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
+        place = np.flatnonzero((self.known[spot] == gram) & (words.texts_of(SYMBOL) >= 0))  # of the others no pattern has a number
+        owner = np.searchsorted(words.first, place, "right") - 1
+        row = owner * SYMBOL + (place - words.first[owner]) % SYMBOL
+        order = np.argsort(row, kind="stable")
+        place, row = place[order], row[order]
+        breaks = np.flatnonzero((np.diff(row) != 0) | (np.diff(place) != SYMBOL)) + 1
+        sequence, place = np.insert(spot[place] + 1, breaks, 0), np.insert(place, breaks, -1)
+        ends = np.fromiter((end for end, _ in self.automaton.iter(tuple(sequence.tolist()))), np.int64) if len(sequence) else place
+        starts = np.sort(place[ends] - WINDOW + SYMBOL)
+        at = np.searchsorted(starts, words.first)
+        return [starts[a:b] - first for a, b, first in zip(at[:-1].tolist(), at[1:].tolist(), words.first.tolist(), strict=False)]
 
 
 def _stream(regions: DataFrame, passages: DataFrame) -> DataFrame:
@@ -203,7 +187,7 @@ def _stream(regions: DataFrame, passages: DataFrame) -> DataFrame:
             ids, begins = right.column("id").to_pylist(), right.column("at").to_pylist()
             texts = [t.encode() for t in right.column("region").to_pylist()]
             for a, b in groups(texts):
-                for i, at, starts in zip(ids[a:b], begins[a:b], automaton.covered(texts[a:b]), strict=True):
+                for i, at, starts in zip(ids[a:b], begins[a:b], automaton.hits(texts[a:b]), strict=True):
                     if len(starts):
                         out[0].append(i), out[1].append([at + x for span in _spans(starts, 1) for x in span])
         return pa.table({"id": pa.array(out[0], pa.int64()), "starts": pa.array(out[1], pa.list_(pa.int32()))})
@@ -239,21 +223,26 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
 
     kept_text is given, unless ``texts`` is false, for documents of which a part goes; it is null where all words stay and empty where all go.
     A null or empty text has no words. Fewer than 35 words have no window. Rows of equal words recur with each
-    other, whatever their keys; a null key is kept. An empty table gives an empty table, other columns are left behind.
+    other, whatever their keys; a null key is kept, and rows that repeat a key are rows of their own. An empty table gives an empty table, other columns are left behind.
     """
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(key), F.col(text))
     known = written(signatures(plain, key, text), "signatures")
-    # texts of equal words once; the row to fetch the text from is one with the smallest key
-    classes = known.where(F.col("n_words") >= WINDOW).groupBy("words_sha").agg(F.count("*").alias("copies"), F.min(key).alias("rep"), F.first("anchors").alias("anchors"))
-    classes = written(classes.withColumn("id", F.xxhash64("words_sha")), "classes")
-    places = classes.select("id", F.explode("anchors").alias("anchor"))
-    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # texts of equal words once, numbered as they are written; the row to fetch the text from is one with the smallest key
+    classes = known.where(F.col("n_words") >= WINDOW).groupBy("words_sha").agg(F.count("*").alias("copies"), F.min(F.struct(F.col(key).alias("key"), "__one", "__two")).alias("rep"), F.first("anchors").alias("anchors"))
+    classes = written(classes.select("*", F.monotonically_increasing_id().alias("id")), "classes")
+    rep = classes.select("id", "words_sha", "copies", F.col("rep.key").alias("__key"), F.col("rep.__one").alias("__a"), F.col("rep.__two").alias("__b"))
+    digested = plain.select("*", *_digest(text))
+
+    def fetched(wanted: DataFrame, *more: str) -> DataFrame:
+        same = (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")) & F.col(key).eqNullSafe(F.col("__key"))
+        return digested.join(wanted, same).select("id", "words_sha", "copies", F.col(text).alias("text"), *more)
+
+    places = classes.select("id", "copies", F.explode("anchors").alias("anchor"))
+    twice = places.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
     hot = places.join(twice, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("hot"))
-    wanted = classes.select("id", "rep", "words_sha", "copies").join(hot, "id")
-    found = plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "words_sha", "copies", F.col(text).alias("text"), "hot")
-    regions = written(_regions(found), "regions")
+    regions = written(_regions(fetched(rep.join(hot, "id"), "hot")), "regions")
 
     recurring = _candidate_windows(regions).groupBy("h", "g").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
     starts = recurring.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.at").alias("starts"))
@@ -262,25 +251,23 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     total = passages.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     dealt = passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(shards)).cast("int"))
-    single = regions.where("copies = 1")  # of the others all words go
     by_anchor = dealt.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    routes = single.select("id", "at", F.length("words").alias("bytes"), F.explode("anchors").alias("anchor")).join(by_anchor, "anchor")
+    routes = regions.select("id", "at", F.octet_length("words").alias("bytes"), F.explode("anchors").alias("anchor")).join(by_anchor, "anchor")
     routes = written(routes.select("id", "at", "bytes", "shard").distinct(), "routes")
     slices = written(routes.groupBy("shard").agg(F.ceil(F.sum("bytes") / TASK_BYTES).cast("int").alias("slices")), "slices")
     routed = routes.join(slices, "shard").select("id", "at", "shard", F.pmod(F.xxhash64("id", "at"), F.col("slices")).cast("int").alias("slice"))
-    streams = routed.join(single.select("id", "at", F.col("words").alias("region")), ["id", "at"])
-    compiled = dealt.join(slices, "shard").select("words", F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    spans = written(_stream(streams, compiled).groupBy("id").agg(F.collect_list("starts").alias("starts")), "spans")
-    hit = classes.select("id", "rep", "words_sha").join(spans, "id")
-    part = written(_cut(plain.join(hit, F.col(key).eqNullSafe(F.col("rep"))).select("words_sha", F.col(text).alias("text"), "starts"), texts).dropDuplicates(["words_sha"]), "cut")
-    whole = classes.where("copies > 1").select("words_sha", F.lit(None).cast("long").alias("n_removed"), F.lit(bytearray(EMPTY)).alias("kept_sha"), F.lit("").alias("kept_text"))
-    changed = part.unionByName(whole).withColumn("changed", F.lit(True))
+    streams = routed.join(regions.select("id", "at", F.col("words").alias("region")), ["id", "at"])
+    compiled = dealt.join(slices, "shard").select("words", "shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    spans = written(_stream(streams, compiled).groupBy("id").agg(F.collect_set("starts").alias("starts")), "spans")
+    dropped(regions, passages, routes, slices)
+    changed = written(_cut(fetched(rep.join(spans, "id"), "starts"), texts).dropDuplicates(["words_sha"]), "cut")
+    dropped(spans, classes)
     out = known.select(key, "n_words", "words_sha").join(changed, "words_sha", "left")
-    removed = F.when(F.col("changed").isNull(), F.lit(0)).otherwise(F.coalesce(F.col("n_removed"), F.col("n_words"))).cast("long")
-    return out.select(key, "n_words", removed.alias("n_removed"), F.coalesce("kept_sha", "words_sha").alias("kept_sha"), "kept_text")
+    return out.select(key, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "words_sha").alias("kept_sha"), "kept_text")
 
 
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each document, a row for a row; nulls, empty and repeated rows as dedup_passages() says."""
     out = dedup_passages(table(spark, sf_dir, "documents"), texts=False)
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
 

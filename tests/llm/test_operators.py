@@ -199,6 +199,31 @@ def test_passages(docs, spark):
     assert phrase_automata.dedup_passages(empty(spark)).count() == 0
 
 
+def test_automaton_decides(docs, spark, monkeypatch):
+    """What the automaton doesn't have stays; a part of a passage is found, and no window reaches over the end of a text."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    one, two = (r.choices(vocabulary, k=80) for _ in range(2))
+    texts = [" ".join(x).encode() for x in (r.choices(vocabulary, k=20) + one[10:60] + ["x"], two, one[:40], one[40:], ["a"] * 34)]
+    both = phrase_automata.PhraseAutomaton([" ".join(x).encode() for x in (one, two)])
+    assert [h.tolist() for h in both.hits(texts)] == [list(range(20, 36)), list(range(46)), list(range(6)), list(range(6)), []]
+    less = phrase_automata.PhraseAutomaton([" ".join(two).encode()])
+    assert [h.tolist() for h in less.hits(texts)] == [[], list(range(46)), [], [], []]
+    whole = {(r["doc_id"], r["n_removed"]) for r in phrase_automata.dedup_passages(docs).collect()}
+    cut = phrase_automata._passages
+    monkeypatch.setattr(phrase_automata, "_passages", lambda regions: cut(regions).where("xxhash64(passage) % 2 = 0"))
+    part = {(r["doc_id"], r["n_removed"]) for r in phrase_automata.dedup_passages(docs).collect()}
+    assert sum(n for _, n in part) < sum(n for _, n in whole)
+
+
+def test_passages_of_null_ids(spark):
+    r = random.Random(9)
+    passage = " ".join(f"p{r.randrange(90)}" for _ in range(40))
+    rows = [(None, f"a{i} {passage} b{i}") for i in range(3000)] + [(None, passage)] * 50 + [(5, f"{passage} tail")]
+    got = phrase_automata.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(40, 40, 50), (41, 40, 1), (42, 40, 3000)]
+
+
 def test_token_store(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 
