@@ -4,12 +4,12 @@ Inner products become distances by one more component: with ``big`` at least eve
 (x, sqrt(big² - |x|²)) and a query to (q, 0), so that d² = big² + |q|² - 2 x·q. A tree has paged nodes with a routing
 vector, a covering radius and the distance to the parent's routing vector; leaf pages keep each entry's distance
 to their own. A search takes the page with the least possible distance first, and skips pages and entries that the stored
-distances alone rule out. Rows are dealt over shards of bounded size, each with a tree of its own.
+distances alone rule out. Many queries walk a tree side by side: each takes its own best page, and those that are at the
+same page share one product. Rows are dealt over shards of bounded size, each with a tree of its own.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from dataclasses import dataclass, field
 
@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .vectors import GROUP_QUERIES, SHARD_ROWS, STEP, best, gathered, matrix
+from .vectors import FOUND, SHARD_ROWS, STEP, gathered, matrix, numbers, searched, shown
 
-PAGE, FANOUT, SCALE = 1024, 8, 64
+PAGE, FANOUT, SCALE = 256, 8, 64
+#: Queries that walk a tree side by side.
+TOGETHER = 1024
 #: Bounds are widened by this share, so that rounding never rules out a row.
 SLACK = 1e-9
 
@@ -37,34 +39,35 @@ class Node:
 
 
 class MTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, none: np.ndarray, vectors: np.ndarray):
         top = float(np.abs(vectors).max(initial=0))
-        #: 64-bit floats hold these products exactly; beyond that integers do the work.
-        self.exact = top * top * vectors.shape[1] < 2.0**52
-        self.ids, self.vectors = ids, vectors
+        most = top * top * vectors.shape[1]
+        #: The narrowest kind whose products of this size are exact: floats, and beyond these integers do the work.
+        self.kind = np.float32 if most < 2.0**23 else np.float64 if most < 2.0**52 else np.int64
         x = vectors.astype(np.float64)
         norms = (x * x).sum(1)
         self.big2 = float(norms.max(initial=0))
         self.extra = np.sqrt(np.maximum(0, self.big2 - norms))
-        self.norms = norms
         self.nodes: list[Node] = []
         order: list[np.ndarray] = []
         self._build(x, np.arange(len(ids)), -1, order, 0)
-        rows = np.concatenate(order)
-        place = np.empty(len(rows), np.int64)
-        place[rows] = np.arange(len(rows))
+        dealt = np.concatenate(order)
+        place = np.empty(len(dealt), np.int64)
+        place[dealt] = np.arange(len(dealt))
         for node in self.nodes:
             node.center = int(place[node.center])
-        self.ids, self.vectors, self.extra = ids[rows], vectors[rows], self.extra[rows]
-        x = x[rows]
-        self.to_center = np.zeros(len(rows))
+        self.rows, self.ids, self.none, self.extra, x = rows[dealt], ids[dealt], none[dealt], self.extra[dealt], x[dealt]
+        #: Order of ids, null last, and entries by it.
+        self.by_id = np.lexsort((self.rows, self.ids, self.none))
+        self.rank = np.empty(len(dealt), np.int64)
+        self.rank[self.by_id] = np.arange(len(dealt))
+        self.by_row = np.argsort(self.rows)
+        self.to_center = np.zeros(len(dealt))
         for node in self.nodes:
             if node.rows:
                 a, b = node.rows
                 self.to_center[a:b] = self._distance(x, node.center, np.arange(a, b))
-        #: The narrowest kind whose products of this size are exact.
-        self.kind = np.float32 if top * top * vectors.shape[1] < 2.0**23 else np.float64 if self.exact else np.int64
-        self.vectors = self.vectors.astype(self.kind)
+        self.vectors = vectors[dealt].astype(self.kind)
 
     def _distance(self, x: np.ndarray, center: int, rows: np.ndarray) -> np.ndarray:
         gap = x[rows] - x[center]
@@ -98,121 +101,128 @@ class MTree:
                 done = self._build(x, p, me, order, done, h)
         return done
 
-    def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best of all rows but ``own``, best first, ties to the smaller id."""
-        norm2 = float((q.astype(np.float64) ** 2).sum())
-        base = self.big2 + norm2
-        kind = self.kind
-        if float(np.abs(q).max(initial=0)) * float(np.sqrt(self.big2)) * len(q) >= (2.0**23 if kind is np.float32 else 2.0**52):
+    def search(self, own: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, score) of the k best entries of each query, its row ``own`` left out, ties to the smaller id, in no order."""
+        kind, size, n = self.kind, len(self.rows), len(q)
+        most = float(np.abs(q).max(initial=0)) * float(np.sqrt(self.big2)) * q.shape[1]
+        if most >= (2.0**23 if kind is np.float32 else 2.0**52):
             kind = np.int64  # a query far larger than the rows
-        q = q.astype(kind)
         wide = 1 + SLACK
-
-        def distance(row: int) -> float:
-            return float(np.sqrt(max(0.0, base - 2 * float(self.vectors[row].astype(kind, copy=False) @ q))))
-
-        top: list[tuple[int, int]] = []  # (score, -id), the worst first
-        reach = float("inf")  # distance of the worst kept
-        root = distance(self.nodes[0].center)
-        queue = [(max(0.0, root - self.nodes[0].radius * wide), 0, root)]
-        while queue:
-            bound, at, d = heapq.heappop(queue)
-            if bound > reach * wide:
-                break
-            node = self.nodes[at]
-            if node.rows is None:
-                for c in node.children:
-                    child = self.nodes[c]
-                    if abs(d - child.to_parent) - child.radius * wide > reach * wide + SLACK * d:
-                        continue  # without a distance of its own
-                    own_d = d if child.center == node.center else distance(child.center)
-                    low = max(0.0, own_d - child.radius * wide)
-                    if low <= reach * wide:
-                        heapq.heappush(queue, (low, c, own_d))
-                continue
-            a, b = node.rows
-            rows = slice(a, b)
-            if reach < float("inf"):
-                near = np.flatnonzero(np.abs(self.to_center[rows] - d) <= reach * wide + SLACK * d)
-                if not len(near):
+        base = self.big2 + (q.astype(np.float64) ** 2).sum(1)
+        q = q.astype(kind)
+        vectors = self.vectors.astype(kind, copy=False)
+        # one number that orders entries: the score, and within a score the rank; objects where 64 bits don't hold it
+        number = np.int64 if most * size < 2.0**61 else object
+        none = -(1 << 62) if number is np.int64 else -(1 << 200)
+        spot = self.by_row[np.minimum(np.searchsorted(self.rows, own, sorter=self.by_row), size - 1)]
+        mine = np.where(self.rows[spot] == own, spot, -1)
+        top, reach = np.full((n, k), none, number), np.full(n, np.inf)
+        low, away = np.full((n, len(self.nodes)), np.inf), np.zeros((n, len(self.nodes)))
+
+        def distance(some: np.ndarray, entry: int) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, base[some] - 2 * (q[some] @ vectors[entry]).astype(np.float64)))
+
+        everyone = np.arange(n)
+        away[:, 0] = distance(everyone, self.nodes[0].center)
+        low[:, 0] = np.maximum(0.0, away[:, 0] - self.nodes[0].radius * wide)
+        live = everyone
+        while len(live):
+            pick = low[live].argmin(1)
+            open_ = low[live, pick]
+            good = np.isfinite(open_) & (open_ <= reach[live] * wide)
+            live, pick = live[good], pick[good]
+            low[live, pick] = np.inf
+            for at in np.unique(pick).tolist():
+                node, some = self.nodes[at], live[pick == at]
+                d = away[some, at]
+                if node.rows is None:
+                    for c in node.children:
+                        child = self.nodes[c]
+                        near = np.abs(d - child.to_parent) - child.radius * wide <= reach[some] * wide + SLACK * d
+                        if not near.any():
+                            continue  # without a distance of its own
+                        asking = some[near]
+                        away[asking, c] = d[near] if child.center == node.center else distance(asking, child.center)
+                        low[asking, c] = np.maximum(0.0, away[asking, c] - child.radius * wide)
                     continue
-                if len(near) < (b - a) // 2:
-                    rows = a + near
-            scores, ids = self.vectors[rows].astype(kind, copy=False) @ q, self.ids[rows]
-            if len(top) == k:
-                good = np.flatnonzero(scores >= top[0][0])
-                scores, ids = scores[good], ids[good]
-            if len(scores) > k + 1:
-                cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                good = np.flatnonzero(scores >= cut)
-                scores, ids = scores[good], ids[good]
-            for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                if i == own:
+                a, b = node.rows
+                near = np.abs(self.to_center[a:b] - d[:, None]) <= (reach[some] * wide + SLACK * d)[:, None]
+                entries = a + np.flatnonzero(near.any(0))
+                if not len(entries):
                     continue
-                if len(top) < k:
-                    heapq.heappush(top, (int(s), -i))
-                elif (int(s), -i) > top[0]:
-                    heapq.heapreplace(top, (int(s), -i))
-            if len(top) == k:
-                reach = float(np.sqrt(max(0.0, base - 2.0 * top[0][0])))
-        return [(s, -i) for s, i in sorted(top, reverse=True)]
+                scores = q[some] @ vectors[a:b].T if len(entries) == b - a else q[some] @ vectors[entries].T
+                scores = scores.astype(np.int64).astype(number) * size + (size - 1 - self.rank[entries])
+                scores[mine[some][:, None] == entries] = none
+                both = np.concatenate([top[some], scores], axis=1)
+                both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:] if number is np.int64 else np.sort(both, axis=1)[:, -k:]
+                top[some] = both
+                least = both.min(1)
+                full = least > none
+                reach[some[full]] = np.sqrt(np.maximum(0.0, base[some[full]] - 2.0 * (least[full] // size).astype(np.float64)))
+        who, slot = np.nonzero(top > none)
+        found = top[who, slot]
+        return who, self.by_id[(size - 1 - found % size).astype(np.int64)], (found // size).astype(np.int64)
 
 
 def index(rows: DataFrame, shards: int) -> DataFrame:
-    """(dim, shard, tree) from (id, dim, v): one pickled tree a shard, written as a table."""
+    """(tree) from (row, id, dim, v), of one dim: one pickled tree a shard, written as a table."""
 
-    def build(key, data):
-        dim, shard = (k.as_py() for k in key)
-        order = np.argsort(data.column("id").to_numpy())
-        tree = MTree(data.column("id").to_numpy()[order], matrix(data.column("v"), dim, np.int64)[order])
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
+    def build(data):
+        order = np.argsort(data.column("row").to_numpy())
+        ids, none = numbers(data.column("id"))
+        tree = MTree(data.column("row").to_numpy()[order], ids[order], none[order], matrix(data.column("v"), data.column("dim")[0].as_py(), np.int64)[order])
+        return pa.table({"tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "mtree", "uncompressed")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    return written(dealt.groupBy("shard").applyInArrow(build, "tree binary"), "mtree", "uncompressed")
 
 
 def search(rows: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", step: int = STEP) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query, the rows whose key is divisible by ``step``, against all rows but itself.
 
-    Vectors are scaled and floored to integers; scores are exact. Which rows take part, repeated keys and
-    other lengths: vectors.gathered(). Fewer than k other rows give fewer results, an empty table none. Queries go
-    to each shard in groups of bounded size; a task holds one tree and one group and yields k rows a query.
+    Vectors are scaled and floored to integers; scores are exact. Which rows take part, null and repeated keys and
+    other lengths: vectors.gathered(). Fewer than k other rows give fewer results, an empty table none. Other columns are left behind.
+    Queries are broadcast in blocks of bounded size; a task holds one tree at a time and yields k rows a query and tree.
     """
     ints = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     whole = F.when(F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(None)).otherwise(ints)
-    some = written(gathered(rows, key, whole, True), "integers")
-    n = some.count()
-    shards, groups = max(1, -(-n // SHARD_ROWS)), max(1, -(-n // step // GROUP_QUERIES))
-    trees = index(some, shards).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = some.where(F.col("id") % step == 0).withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(left, right):
-        out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            tree: MTree = pickle.loads(left.column("tree")[0].as_py())
-            q = matrix(right.column("v"), right.column("dim")[0].as_py(), np.int64)
-            for i, own in enumerate(right.column("id").to_pylist()):
-                for s, other in tree.search(own, q[i], k):
-                    out[0].append(own), out[1].append(other), out[2].append(s)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    keys = ("dim", "shard", "grp")
-    found = trees.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    return best(found, k)
+    some = gathered(rows, key, whole, True)
+    sizes = some.groupBy("dim").agg(F.count("*").alias("n"), F.sum((F.col("id") % step == 0).cast("long")).alias("asked")).orderBy("dim").collect()
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for r in sizes:
+        if r["asked"]:
+            own = some.where(F.col("dim") == r["dim"])
+            trees = index(own, max(1, -(-r["n"] // SHARD_ROWS)))
+            part = searched(trees, own.where(F.col("id") % step == 0).select("row", "id", "v"), r["dim"], r["asked"], FOUND.format("long"), _walk(r["dim"], k), k)
+            found = part if len(sizes) == 1 else found.unionByName(part)
+    return found
+
+
+def _walk(dim: int, k: int):
+    def run(batches, block):
+        asked, names, q = block.column("row").to_numpy(), block.column("id").to_numpy(), matrix(block.column("v"), dim, np.int64)
+        for batch in batches:
+            for pickled in batch.column(0):
+                tree: MTree = pickle.loads(pickled.as_py())
+                for at in range(0, len(q), TOGETHER):
+                    who, entry, score = tree.search(asked[at : at + TOGETHER], q[at : at + TOGETHER], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[at + who]), pa.array(names[at + who]), shown(tree.ids[entry], tree.none[entry]), pa.array(score, pa.int64())], names=["row", "query_id", "vec_id", "score"])
+
+    return run
 
 
 def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) of every vec_id divisible by 20; nulls, ties, repeated rows and empty tables as search() says."""
     return search(table(spark, sf_dir, "embeddings"))
 
 
 SQL = {
     "op10_mtree": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS i FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS i FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.i::DOUBLE[], c.i::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
-SELECT * FROM r WHERE rank <= 20
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.i::DOUBLE[], c.i::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.row <> q.row),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
