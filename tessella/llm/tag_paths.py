@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a sequence of text blocks, each with its root-to-leaf path of block elements. Text length and
-punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold. The text is all
-that passes with what lies between, and the rest of the declared articles that hold some of it, or on other pages of the
-element that has most of it. Blocks that boilerplate elements hold are left out.
+punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold: the paths above it are content,
+with all their blocks. Around them the text is completed by the shape of the page alone: what stands in the same element as a content block,
+what lies between the first and the last one, the headings ahead, and such sentences of the elements around whose text is mostly content.
+Blocks of elements that are boilerplate by name or role are left out before. An article element counts like any other.
 """
 
 from __future__ import annotations
@@ -24,12 +25,20 @@ RAW = frozenset("script style title textarea noscript iframe template noembed no
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-BOILER = frozenset("aside button dialog footer form header menu nav search select fieldset".split())
+BOILER = frozenset("aside button dialog footer form header menu nav search select".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: A class or id is one of these roles, as a whole name or as its last word before words for a box: site-header, comment-list.
 BOILER_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "ad ads adbox adslot advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion replies respond sidebar signup sponsor sponsored subscribe toolbar widget widgets".split()
 )
+BOXES = frozenset("area bar block body bottom box button col column container content form frame group holder inner item items left link links list main outer panel right row section slot text top unit wrap wrapper".split())
+#: Before a role these say something of the element around it: has-header, no-comments.
+STATES = frozenset("has have no not with without hide show is under below above after before pre post".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that hold a piece of running text; what holds them holds the text.
+LEAVES = HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot blockquote pre caption figcaption summary legend address center".split())
+#: The threshold of main_text().
+SHARE = 0.5
 #: An open element of the set is closed by the start of one of these.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "figcaption"},
@@ -47,6 +56,14 @@ _punctuation = re.compile(r"[.,;:!?…。，、！？；：]")
 _ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
+def _is_role(name: str) -> bool:
+    """Whether a class or id names boilerplate: its last word that isn't for a box or a number does, and no word before turns it into a state."""
+    words = [w.lower() for w in _name_parts.findall(name)]
+    while len(words) > 1 and words[-1] not in BOILER_WORDS and (words[-1] in BOXES or words[-1].isdigit()):
+        words.pop()
+    return bool(words) and words[-1] in BOILER_WORDS and STATES.isdisjoint(words[:-1])
+
+
 def _is_boiler(tag: str, raw: str) -> bool:
     if tag in BOILER:
         return True
@@ -54,7 +71,7 @@ def _is_boiler(tag: str, raw: str) -> bool:
         return False
     for m in _attribute.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and value and not BOILER_WORDS.isdisjoint(x.lower() for x in _name_parts.findall(value)):
+        if name in ("class", "id") and any(map(_is_role, value.split())):
             return True
         if name == "role" and value.lower() in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _hidden.search(value):
             return True
@@ -156,55 +173,64 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str,
     return out
 
 
-def main_text(page: str) -> str:
-    """The article's blocks in page order, joined by an empty line; empty if the page has none."""
-    found = [b for b in blocks(page) if not b[2] and b[1] and not ("header" in b[1] and HEADINGS.isdisjoint(b[1]))]
-    found = [b for b in found if "head" not in b[1]]
-    if not found:
-        return ""
-    # ratios of each path
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0.0])
+def ratios(found: list) -> dict[tuple[str, ...], float]:
+    """The fused ratio of each path of blocks(): mean length, of text outside links, times one more than mean punctuation, each smoothed along the page."""
+    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0.0, 0])
     for _, path, _, text, links in found:
         s = sums[path]
         s[0] += 1
-        s[1] += len(text)
+        s[1] += len(text) * (1 - links)
         s[2] += len(_punctuation.findall(text))
-        s[3] += links * len(text)
-    length = [sums[b[1]][1] / sums[b[1]][0] for b in found]
-    marks = [1 + sums[b[1]][2] / sums[b[1]][0] for b in found]
 
     def smooth(x: list[float]) -> list[float]:
         return [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
 
-    fused = [a * b for a, b in zip(smooth(length), smooth(marks), strict=True)]
-    least = min(0.5 * pstdev(fused), 0.5 * max(fused))
-    passing = [ratio >= least and links <= 0.7 for (_, _, _, _, links), ratio in zip(found, fused, strict=True)]
+    length, marks = smooth([sums[b[1]][1] / sums[b[1]][0] for b in found]), smooth([1 + sums[b[1]][2] / sums[b[1]][0] for b in found])
+    fused: dict[tuple[str, ...], float] = defaultdict(float)
+    for (_, path, _, _, _), a, b in zip(found, length, marks, strict=True):
+        fused[path] += a * b / sums[path][0]
+    return fused
+
+
+def main_text(page: str, share: float = SHARE) -> str:
+    """The article's blocks in page order, joined by an empty line; empty if the page has none.
+
+    A path is content if its fused ratio reaches ``share`` of the standard deviation over all blocks, or of the largest one if that is less.
+    """
+    found = [b for b in blocks(page) if not b[2] and b[1] and not ("header" in b[1] and HEADINGS.isdisjoint(b[1])) and "head" not in b[1]]
+    if not found:
+        return ""
+    fused = ratios(found)
+    each = [fused[b[1]] for b in found]
+    least = min(share * pstdev(each), share * max(each))
+    passing = [f >= least and f > 0 for f in each]
     if not any(passing):
         return ""
-    weight: dict[int, float] = defaultdict(float)
-    tags: dict[int, str] = {}
-    depth: dict[int, int] = {}
-    for (numbers, path, _, text, _), passes in zip(found, passing, strict=True):
+    # elements that hold a content block directly, and those of whose text content is the most
+    near: set[int] = set()
+    own: dict[int, int] = defaultdict(int)
+    whole: dict[int, int] = defaultdict(int)
+    for (elements, path, _, text, _), passes in zip(found, passing, strict=True):
+        for n, tag in zip(elements, path, strict=True):
+            if tag not in ("html", "body"):
+                whole[n] += len(text)
+                own[n] += passes * len(text)
         if passes:
-            for k, (n, tag) in enumerate(zip(numbers, path, strict=True)):
-                weight[n] += len(text)
-                tags[n], depth[n] = tag, k
-    # all that passes with what lies between and the headings ahead, and the rest of the elements that hold it: declared articles, else the deepest that has most
-    articles = {n for n in weight if tags[n] in ("article", "main")}
-    if not articles:
-        whole = max(weight.values())
-        large = [n for n in weight if weight[n] >= 0.6 * whole and tags[n] not in ("p", "li", "td", "tr", "tbody", "pre", "blockquote", *HEADINGS)]
-        articles = {max(large, key=lambda n: (depth[n], weight[n]))} if large else set()
-    kept = [not articles.isdisjoint(b[0]) for b in found]
+            holder = next((n for n, tag in zip(elements[::-1], path[::-1], strict=True) if tag not in LEAVES), None)
+            if holder in whole:
+                near.add(holder)
+    around = {n for n in whole if 2 * own[n] >= whole[n]}
     first, last = passing.index(True), len(passing) - 1 - passing[::-1].index(True)
-    while first and not HEADINGS.isdisjoint(found[first - 1][1]):
-        first -= 1
-    kept[first : last + 1] = [True] * (last + 1 - first)
-    heavy = {p for p, s in sums.items() if s[3] > 0.7 * s[1] and not {"p", *HEADINGS} & {p[-1]}}
-    return "\n\n".join(text for (_, path, _, text, _), keeps in zip(found, kept, strict=True) if keeps and path not in heavy)
+    kept = []
+    for i, (elements, _, _, text, links) in enumerate(found):
+        sentence = links <= 0.7 and _punctuation.search(text) is not None and not around.isdisjoint(elements)
+        kept.append(first <= i <= last or not near.isdisjoint(elements) or sentence)
+    for i in range(len(found) - 2, -1, -1):
+        kept[i] = kept[i] or kept[i + 1] and not HEADINGS.isdisjoint(found[i][1])
+    return "\n\n".join(b[3] for b, keeps in zip(found, kept, strict=True) if keeps)
 
 
-def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, key: str = "page_id", html: str = "html", share: float = SHARE) -> DataFrame:
     """``pages`` without ``html`` and with text and n_chars, its code points, on a narrow map without a shuffle.
 
     A null or empty page has an empty text and 0 characters. Rows are independent: repeated ones give equal
@@ -217,11 +243,12 @@ def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h) if h else "" for h in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [main_text(h, share) if h else "" for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 
     return pages.select(*kept, html).mapInArrow(run, schema)
 
 
 def op9_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of each page, a row for a row; nulls, empty and repeated rows as extracted() says."""
     return extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -481,6 +481,43 @@ def test_paths_choose_beside_a_declared_article():
     assert got.startswith("Title") and got.endswith("End.")
 
 
+STORY = ["Some words of it, in a row. " * n for n in (9, 14, 11)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in STORY)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>Menu, of it.</nav><article><h1>Title</h1>{PARAGRAPHS}<ul><li><a href=a>one</a><li><a href=b>two</a></ul></article></body>",
+        f"<body><article><h1>Title</h1><p>{STORY[0]}</p></article><article><p>{STORY[1]}</p><p>{STORY[2]}</p><ul><li>one<li>two</ul></article><footer>Menu</footer>",
+        f"<div class='content has-header'><h1>Title</h1>{PARAGRAPHS}<ol><li>one<li>two</ol></div><div class=site-header>Menu</div>",
+        f"<div class='post no-comments'><h1>Title</h1>{PARAGRAPHS}<div class=share-price>one</div><fieldset>two</fieldset></div><div id=comment_list><p>Menu, {STORY[0]}</p></div>",
+        f"<div id=wrap><div class=xyz>Menu</div><div><h1>Title</h1>{PARAGRAPHS}<div><span>one</span></div><div>two</div></div></div>",
+        f"<main><section><h1>Title</h1>{PARAGRAPHS}</section><section><h2>one</h2><p>two, the end.</p></section></main><div class=ad-slot><p>Menu, {STORY[0]}</p></div>",
+    ],
+)
+def test_pages_are_whole(page):
+    got = tag_paths.main_text(page)
+    assert got.startswith("Title\n\n") and all(x.strip() in got for x in STORY) and "one" in got and "two" in got and "Menu" not in got
+
+
+def test_ratios_decide():
+    page = f"<div class=xyz><span>Seen 12 times</span></div><div class=story>{PARAGRAPHS}</div><section class=abc><div>Print it</div></section>"
+    assert tag_paths.main_text(page) == "\n\n".join(x.strip() for x in STORY)
+    assert "Print it" in tag_paths.main_text(page, share=0.0)
+    linked = "".join(f"<li><a href=x>{x}</a>" for x in STORY)
+    page = f"<div class=links><ul>{linked}</ul></div><div class=story><p>{STORY[0]}</p></div>"
+    assert tag_paths.main_text(page) == STORY[0].strip()
+    fused = tag_paths.ratios(tag_paths.blocks(page))
+    assert fused[("div", "ul", "li")] < fused[("div", "p")]
+
+
+def test_empty_and_very_long_pages(spark):
+    assert tag_paths.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = "<body><div>" + PARAGRAPHS * 4000 + "</div>" + "<b>" * 20_000 + "<div class='" + "a " * 100_000 + "'>" + "<p>" * 50_000
+    assert len(tag_paths.main_text(long)) == 4000 * sum(len(x.strip()) + 2 for x in STORY) - 2
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     got = tag_paths.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
