@@ -10,7 +10,7 @@ come from that alone; what decides is the bound and the count over whole sets:
 * then the sets that still share a token with another component are grouped by likeness, and each meets the groups with which it shares
   prefix tokens. A token all of whose sets are in one component needs no more looks, so a large group of copies costs nothing here.
 
-Links within a component that change nothing are not counted out; every link between components is found.
+For components, links within one that change nothing are not counted out; every link between components is found. links() counts all of them out.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, table, written
+from .common import components, dropped, small_batches, table, written
 from .shingles import Words, grams, groups
 
 #: Tokens that the frequency order knows at most: 12 bytes each, a broadcast of bounded size. Rarer ones go by hash alone.
@@ -74,35 +74,28 @@ def frequent(docs: DataFrame, text: str, k: int, percent: int, lower: bool) -> t
     return tokens[order], levels[order]
 
 
+def _digest(text: str) -> list[Column]:
+    """Two 64-bit hashes of a whole text, by which rows with a null or repeated key are told apart."""
+    return [F.xxhash64(F.lit("text"), text).alias("__one"), F.xxhash64(F.lit("again"), text).alias("__two")]
+
+
 def _signatures(docs: DataFrame, key: str, text: str, k: int, percent: int, lower: bool, order) -> DataFrame:
-    """(key, n, set_id, prefix): size and digest of the set, and its first tokens in the order of all."""
+    """(key, __one, __two, n, set_id, prefix): the hashes of the text, size and digest of the set, and its first tokens in the order of all."""
 
     def run(batches):
         tokens, levels = order.value
         for batch in batches:
             sizes, digests, prefixes = [], [], []
-            for s in token_sets([(t or "").encode() for t in batch.column(1).to_pylist()], k, lower):
+            for s in token_sets([(t or "").encode() for t in batch.column(3).to_pylist()], k, lower):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if len(tokens) and len(s):
                     place = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     s = s[np.argsort(np.where(tokens[place] == s, levels[place], 0), kind="stable")]
                 prefixes.append(s[: _prefix(len(s), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=[key, "n", "set_id", "prefix"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n long, set_id binary, prefix array<long>")
-
-
-def _fetched(rows: DataFrame, k: int, lower: bool) -> DataFrame:
-    """Only rows whose text has the set that was looked for: a key may be repeated."""
-
-    def run(batches):
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            good = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(token_sets(texts, k, lower), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["id", "text"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=[key, "__one", "__two", "n", "set_id", "prefix"])
 
-    return rows.select("id", "set_id", "text").mapInArrow(run, "id long, text string")
+    return docs.select(key, *_digest(text), text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, __one long, __two long, n long, set_id binary, prefix array<long>")
 
 
 class TokenGroup:
@@ -180,6 +173,90 @@ def _enough(common, n: str, least: str, most: str, percent: int):
     return (100 + percent) * (common + F.greatest(rest(n), rest(most))) >= percent * (F.col(n) + F.col(least))
 
 
+class _Classes:
+    """Documents of one set as classes: what both linked() and links() start from.
+
+    ``known`` has a row for each of ``docs``, ``classes`` one for each set that isn't empty: a number, given as it is written, and
+    the row to fetch the text from, one with the smallest key, a null one last. ``shared`` has the tokens that several prefixes have.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int, lower: bool):
+        small_batches(docs.sparkSession)
+        self.key, self.text, self.k, self.percent, self.lower = key, text, k, percent, lower
+        plain = docs.select(F.col(key), F.col(text))
+        order = docs.sparkSession.sparkContext.broadcast(frequent(plain, text, k, percent, lower))
+        self.known = written(_signatures(plain, key, text, k, percent, lower, order), "sets")
+        rep = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "__one", "__two")
+        classes = self.known.where("n > 0").groupBy("set_id").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        self.classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        self.sizes = self.classes.select("id", "n")
+        self.plain = plain.select("*", *_digest(text))
+        rows = self.classes.select("id", F.explode("prefix").alias("t"))
+        tokens = rows.groupBy("t").agg(F.count("*").alias("sets"), F.min("id").alias("head")).where("sets > 1").drop("sets")
+        self.shared = written(rows.join(tokens, "t").select("t", "id", "head"), "shared")
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of classes, each text once."""
+        wanted = ids.join(self.classes.select("id", F.col("rep.key").alias("__key"), F.col("rep.__one").alias("__a"), F.col("rep.__two").alias("__b")), "id")
+        same = (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")) & F.col(self.key).eqNullSafe(F.col("__key"))
+        return written(self.plain.join(wanted, same).select("id", F.col(self.text).alias("text")).dropDuplicates(["id"]), "texts")
+
+    def verified(self, members: DataFrame, asked: DataFrame, texts: DataFrame, attributes: DataFrame) -> DataFrame:
+        return written(_verified(members, asked, texts, attributes, self.k, self.percent, self.lower), "links")
+
+    def first_links(self) -> DataFrame:
+        """Links of each set with the first set of each of its tokens, if their prefixes have enough in common."""
+        pairs = self.shared.where("id <> head").select(F.col("head").alias("grp"), "id").distinct()
+        one = self.classes.select("id", "n", F.col("prefix").alias("own"))
+        two = self.classes.select(F.col("id").alias("grp"), F.col("n").alias("m"), F.col("prefix").alias("other"))
+        asked = pairs.join(one, "id").join(two, "grp").where(_fits("n", "m", self.percent) & _enough(F.size(F.array_intersect("own", "other")), "n", "m", "m", self.percent))
+        asked = written(asked.select("grp", "id"), "pairs")
+        heads = asked.select("grp").distinct().withColumn("id", F.col("grp"))
+        texts = self.texts(asked.select("id").union(heads.select("id")).distinct())
+        return self.verified(heads, asked, texts, self.sizes.withColumn("component", F.col("id")))
+
+    def group_links(self, named: DataFrame) -> DataFrame:
+        """Links by the token-group matrix from (t, id, component): for each set and component below its own one set that it links with, if there is one."""
+        percent = self.percent
+        mixed = named.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
+        open_ = written(named.join(mixed, "t"), "open")
+        # groups of similar sets: of the same most frequent open token and like size, some GROUP each. As many sets as have that token
+        # bound their number, so they are dealt by hash without a look at the others
+        often = open_.groupBy("t").agg(F.count("*").alias("df"))
+        loose = open_.join(often, "t").groupBy("id", "component").agg(F.max(F.struct("df", "t")).alias("top")).join(self.sizes, "id")
+        scale, pages = F.floor(F.log("n") / math.log(100 / percent)), F.ceil(F.col("top.df") / GROUP)
+        members = written(loose.select("id", "component", "n", F.xxhash64("top.t", scale, F.pmod(F.xxhash64("id"), pages)).alias("grp")), "groups")
+        span = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lowest"))
+        # the matrix: a row for each token and group that has it; its rows with a query's tokens count what the query shares with the union
+        matrix = open_.select("t", "id").join(members.select("id", "grp"), "id").select("t", "grp").distinct().join(span, "grp")
+        query = open_.select("t", "id", F.col("component").alias("own")).join(self.sizes, "id")
+        met = query.join(matrix, "t").where((F.col("own") > F.col("lowest")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
+        met = met.groupBy("grp", "id", "n", "least", "most").agg(F.count("*").alias("common")).where(_enough(F.col("common"), "n", "least", "most", percent))
+        asked = written(met.select("grp", "id"), "pairs")
+        used = members.join(asked.select("grp").distinct(), "grp").select("grp", "id")
+        texts = self.texts(asked.select("id").union(used.select("id")).distinct())
+        out = self.verified(used, asked, texts, members.select("id", "n", "component"))
+        dropped(open_, members, asked, texts)
+        return out
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """(key, __one, __two, n_shingles, rep) of each row: two hashes of its text, and the row that stands for its component, as
+    (none, key, __one, __two): the one with the smallest key, a null one last. ``rep`` is null where the set is empty."""
+    own = _Classes(docs, key, text, k, percent, lower)
+    links = own.first_links()
+    parts = written(components(links), "parts")
+    # what is left: tokens whose sets are in several components
+    named = own.shared.select("t", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    final = written(components(links.unionByName(own.group_links(named))), "parts")
+    dropped(links, parts, own.shared)
+    reps = own.classes.select("set_id", "id", "rep").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = reps.groupBy("component").agg(F.min("rep").alias("first"))
+    named = reps.join(least, "component").select("set_id", F.col("first").alias("rep"))
+    out = own.known.select(key, "__one", "__two", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    return out.join(named, "set_id", "left").drop("set_id")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(key, n_shingles, component_id) of each row: component_id is the smallest key that links lead to, its own included.
 
@@ -187,74 +264,51 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     links with nothing. Rows of equal sets link, repeated keys and null keys too; a null key is never a component_id unless all keys of it are null. An
     empty table gives an empty table, other columns are left behind. Whole texts count, whatever their length.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    plain = docs.select(F.col(key), F.col(text))
-    order = spark.sparkContext.broadcast(frequent(plain, text, k, percent, lower))
-    known = written(_signatures(plain, key, text, k, percent, lower, order), "sets")
-    classes = known.where("n > 0").groupBy("set_id").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = written(classes.withColumn("id", F.xxhash64("set_id")), "classes")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(classes.select("id", "set_id", "rep"), "id")
-        found = plain.join(wanted, F.col(key).eqNullSafe(F.col("rep"))).select("id", "set_id", F.col(text).alias("text"))
-        return written(_fetched(found, k, lower), "texts")
-
-    sizes = classes.select("id", "n")
-    rows = classes.select("id", F.explode("prefix").alias("t"))
-    tokens = rows.groupBy("t").agg(F.count("*").alias("sets"), F.min("id").alias("head")).where("sets > 1").drop("sets")
-    shared = written(rows.join(tokens, "t").select("t", "id", "head"), "shared")
-
-    # each set with the first set of each of its tokens, if their prefixes have enough in common
-    pairs = shared.where("id <> head").select(F.col("head").alias("grp"), "id").distinct()
-    one = classes.select("id", "n", F.col("prefix").alias("own"))
-    two = classes.select(F.col("id").alias("grp"), F.col("n").alias("m"), F.col("prefix").alias("other"))
-    asked = pairs.join(one, "id").join(two, "grp").where(_fits("n", "m", percent) & _enough(F.size(F.array_intersect("own", "other")), "n", "m", "m", percent))
-    asked = written(asked.select("grp", "id"), "pairs")
-    heads = asked.select("grp").distinct().withColumn("id", F.col("grp"))
-    texts = fetch(asked.select("id").union(heads.select("id")).distinct())
-    links = written(_verified(heads, asked, texts, sizes.withColumn("component", F.col("id")), k, percent, lower), "links")
-    parts = written(components(links), "parts")
+    out = grouped(docs, key, text, k, percent, lower)
+    return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep.key")).otherwise(F.col(key)).alias("component_id"))
 
-    # what is left: tokens whose sets are in several components
-    named = shared.select("t", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
-    open_ = written(named.join(mixed, "t"), "open")
-    # groups of similar sets: of the same most frequent open token and like size, some GROUP each, dealt by hash so that none is gathered whole
-    often = open_.groupBy("t").agg(F.count("*").alias("df"))
-    loose = open_.join(often, "t").groupBy("id", "component").agg(F.max(F.struct("df", "t")).alias("top")).join(sizes, "id")
-    loose = written(loose.select("id", "component", "n", F.col("top.t").alias("lead"), F.floor(F.log("n") / math.log(100 / percent)).alias("scale")), "loose")
-    many = loose.groupBy("lead", "scale").agg(F.ceil(F.count("*") / GROUP).alias("pages"))
-    members = loose.join(many, ["lead", "scale"]).select("id", "component", "n", F.xxhash64("lead", "scale", F.pmod(F.xxhash64("id"), "pages")).alias("grp"))
-    members = written(members, "groups")
-    span = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lowest"))
-    # the matrix: a row for each token and group that has it; its rows with a query's tokens count what the query shares with the union
-    matrix = open_.select("t", "id").join(members.select("id", "grp"), "id").select("t", "grp").distinct().join(span, "grp")
-    query = open_.select("t", "id", F.col("component").alias("own")).join(sizes, "id")
-    met = query.join(matrix, "t").where((F.col("own") > F.col("lowest")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
-    met = met.groupBy("grp", "id", "n", "least", "most").agg(F.count("*").alias("common")).where(_enough(F.col("common"), "n", "least", "most", percent))
-    asked = written(met.select("grp", "id"), "pairs")
-    used = members.join(asked.select("grp").distinct(), "grp").select("grp", "id")
-    texts = fetch(asked.select("id").union(used.select("id")).distinct())
-    more = written(_verified(used, asked, texts, members.select("id", "n", "component"), k, percent, lower), "links")
-    final = written(components(links.unionByName(more)), "parts")
-
-    reps = classes.select("set_id", "id", "rep").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = reps.join(least, "component").select("set_id", "component_id")
-    out = known.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
-    return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The join itself: every link between different sets, and which rows have which set.
+
+    The first table has (a, b), numbers of sets with a > b, each pair once; the second has (key, n_shingles, class) of each row, class
+    null where the set is empty. Rows of one class link with each other without being listed. All that linked() says of odd rows holds.
+    """
+    own = _Classes(docs, key, text, k, percent, lower)
+    pairs = own.group_links(own.shared.select("t", "id", F.col("id").alias("component"))).distinct()
+    of = own.classes.select("set_id", F.col("id").alias("class"))
+    return pairs, own.known.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of, "set_id", "left").drop("set_id")
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """(key, n_shingles, class, n_links) of each row: with how many other rows it links, those of its own class included."""
+    pairs, members = links(docs, key, text, k, percent, lower)
+    held = written(members, "members")
+    sizes = held.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("rows"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
+    others = both.join(sizes.select(F.col("class").alias("other"), "rows"), "other").groupBy("class").agg(F.sum("rows").alias("others"))
+    counted = sizes.join(others, "class", "left").select("class", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return held.join(counted, "class", "left").select(key, "n_shingles", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document, a row for a row; nulls, empty and repeated rows as linked() says."""
     return linked(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays; rows
-    that repeat this id are that document too. Documents without words link with nothing and stay."""
-    kept = linked(docs, k=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Pipeline stage: of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays, a null id last.
+
+    Rows equal in id and text are one document, of which one row stays; rows that repeat an id with another text are judged by their own.
+    Documents without words link with nothing and stay, all of them. An empty table stays empty; the columns are those of ``docs``.
+    """
+    out = grouped(docs, k=5, percent=80)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key"), "__one", "__two")
+    kept = out.where((F.col("n_shingles") == 0) | own.eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("__key"), F.col("__one").alias("__a"), F.col("__two").alias("__b"), (F.col("n_shingles") == 0).alias("__bare")).distinct()
+    same = (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__key"))
+    rows = docs.select("*", *_digest("text")).join(written(kept, "kept"), same)
+    rows = rows.withColumn("__one_of", F.when(F.col("__bare"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return rows.dropDuplicates(["__one", "__two", "doc_id", "__one_of"]).select(*docs.columns)
 
 
 SQL = {

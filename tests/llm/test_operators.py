@@ -301,6 +301,29 @@ def test_links(docs, spark, k, percent):
     assert sorted(got) == sorted(want)
 
 
+def test_all_links(docs, spark):
+    """Every link between rows, by classes and pairs of them, and the number of links of a row."""
+    k, percent = 3, 60
+    sets = []
+    for t in [t for _, t, _ in corpus()]:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[p : p + k]) for p in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    want = [sum(1 for b, y in enumerate(sets) if b != a and x & y and 100 * len(x & y) >= percent * len(x | y)) for a, x in enumerate(sets)]
+    got = group_join.link_counts(docs, k=k, percent=percent).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == sorted((str(i), n) for (i, _, _), n in zip(corpus(), want, strict=True)) and sum(want) > 40
+
+
+def test_links_of_null_ids(spark):
+    """Ten thousand rows without an id: each text is fetched by its digest, not by the id."""
+    rows = [(None, f"q{i} r{i} s{i % 50} t{i} u{i} v{i} w{i}") for i in range(10_000)] + [(None, "one two three four five six")] * 500 + [(3, "one two three four five six")]
+    got = group_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).groupBy("component_id").count().collect()
+    assert sorted(map(tuple, got), key=str) == [(3, 501), (None, 10_000)]
+    odd = [(None, "", 0), (None, None, 0), (None, "a b c d e f", 1), (None, "a b c d e f", 2), (5, "a b c d e f", 3), (6, "x y", 4), (6, "x y", 4), (6, "p q r", 5), (None, "l m n o p", 6), (None, "l m n o p", 6)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, n_shingles long")
+    kept = sorted(((r["doc_id"], r["text"], r["n_shingles"]) for r in group_join.near_stage(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(None, "", 0), (None, None, 0), (5, "a b c d e f", 3), (6, "x y", 4), (6, "p q r", 5), (None, "l m n o p", 6)], key=str)
+
+
 def test_links_of_nothing(spark):
     assert group_join.linked(empty(spark)).count() == 0
 
