@@ -10,7 +10,8 @@
 
 A window of 35 words is five sequences of seven words side by side. A shard numbers the seven-word sequences of its passages, by 64-bit
 hashes; a text is read as seven interleaved rows of such numbers, one for each place modulo seven, and a window is a pattern of five
-numbers in one of them. So the automaton has five nodes a window at most, and its hits are exact but for collisions of hashes.
+numbers in one of them. A number is written with digits to the base 64, each place with letters of its own, so that no node has
+more than 64 children and no pattern is met between two numbers. Hits are exact but for collisions of hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WINDOW, ANCHOR = 35, 12
 #: Words that a symbol of the automata stands for; a window is a whole number of them.
 SYMBOL = 7
 #: Words of the passages of a shard, and bytes of the documents that one task streams through it.
-SHARD_WORDS, TASK_BYTES = 300_000, 24 << 20
+SHARD_WORDS, TASK_BYTES = 150_000, 24 << 20
 
 
 def _spans(places: np.ndarray, width: int) -> list[list[int]]:
@@ -148,16 +149,24 @@ class PhraseAutomaton:
             words = Words(passages[a:b])
             gram = grams(words.hashes(), SYMBOL)
             hashes += [gram[first : first + n - SYMBOL + 1] for first, n in zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True)]
-        #: The seven-word sequences that have a number: their place here and one more.
+        #: The seven-word sequences that have a number: their place here.
         self.known = np.unique(np.concatenate(hashes))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.digits = next(d for d in range(1, 12) if len(self.known) <= 64**d)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        length = WINDOW // SYMBOL * self.digits
         for own in hashes:
-            numbers = np.searchsorted(self.known, own) + 1
-            windows = len(numbers) - WINDOW + SYMBOL
-            for pattern in zip(*[numbers[k : k + windows].tolist() for k in range(0, WINDOW, SYMBOL)], strict=True):
-                self.automaton.add_word(pattern)
+            numbers = np.searchsorted(self.known, own)
+            for k in range(SYMBOL):
+                row = self._letters(numbers[k::SYMBOL]).tobytes().decode("utf-32-le")
+                for at in range(0, len(row) - length + 1, self.digits):
+                    self.automaton.add_word(row[at : at + length])
         self.automaton.make_automaton()
 
+    def _letters(self, numbers: np.ndarray) -> np.ndarray:
+        """Numbers as code points, a row each: place k has the letters from 256 + 64 k on."""
+        places = np.arange(self.digits)
+        return ((numbers[:, None] >> (6 * places)) % 64 + 256 + 64 * places).astype("<u4")
+
     def hits(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text the sorted starts of its windows that the automaton has."""
         words = Words(texts)
@@ -169,8 +178,9 @@ class PhraseAutomaton:
         order = np.argsort(row, kind="stable")
         place, row = place[order], row[order]
         breaks = np.flatnonzero((np.diff(row) != 0) | (np.diff(place) != SYMBOL)) + 1
-        sequence, place = np.insert(spot[place] + 1, breaks, 0), np.insert(place, breaks, -1)
-        ends = np.fromiter((end for end, _ in self.automaton.iter(tuple(sequence.tolist()))), np.int64) if len(sequence) else place
+        letters = np.insert(self._letters(spot[place]), breaks, 32, axis=0)  # blanks part the rows
+        place = np.insert(place, breaks, -1)
+        ends = np.fromiter((end for end, _ in self.automaton.iter(letters.tobytes().decode("utf-32-le"))), np.int64) // self.digits if len(place) else place
         starts = np.sort(place[ends] - WINDOW + SYMBOL)
         at = np.searchsorted(starts, words.first)
         return [starts[a:b] - first for a, b, first in zip(at[:-1].tolist(), at[1:].tolist(), words.first.tolist(), strict=False)]
