@@ -4,8 +4,8 @@ Inner products become distances by one more component: with ``big`` at least eve
 (x, sqrt(big² - |x|²)) and a query to (q, 0), so that d² = big² + |q|² - 2 x·q. A tree has paged nodes with a routing
 vector, a covering radius and the distance to the parent's routing vector; leaf pages keep each entry's distance
 to their own. A search takes the page with the least possible distance first, and skips pages and entries that the stored
-distances alone rule out. Many queries walk a tree side by side: each takes its own best page, and those that are at the
-same page share one product. Rows are dealt over shards of bounded size, each with a tree of its own.
+distances alone rule out. Many queries walk a tree side by side: each goes down to its own best page, and then the page of the
+least bound is taken next, for all queries that can't rule it out, which share one product. Rows are dealt over shards of bounded size, each with a tree of its own.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .vectors import FOUND, SHARD_ROWS, STEP, gathered, matrix, numbers, searched, shown
 
-PAGE, FANOUT, SCALE = 256, 8, 64
+PAGE, FANOUT, SCALE = 512, 8, 64
 #: Queries that walk a tree side by side.
-TOGETHER = 1024
+TOGETHER = 4096
 #: Bounds are widened by this share, so that rounding never rules out a row.
 SLACK = 1e-9
 
@@ -82,7 +82,7 @@ class MTree:
         if parent >= 0:
             self.nodes[parent].children.append(me)
         if len(rows) <= PAGE:
-            order.append(rows)
+            order.append(rows[np.argsort(d, kind="stable")])
             self.nodes[me].rows = (done, done + len(rows))
             return done + len(rows)
         # routing vectors: each the farthest from those taken; rows go to the nearest
@@ -122,43 +122,66 @@ class MTree:
         def distance(some: np.ndarray, entry: int) -> np.ndarray:
             return np.sqrt(np.maximum(0.0, base[some] - 2 * (q[some] @ vectors[entry]).astype(np.float64)))
 
+        lowest = kind(-np.inf) if kind is not np.int64 else np.iinfo(np.int64).min
+        worst = np.full(n, lowest, kind)
         everyone = np.arange(n)
         away[:, 0] = distance(everyone, self.nodes[0].center)
         low[:, 0] = np.maximum(0.0, away[:, 0] - self.nodes[0].radius * wide)
+
+        def visit(at: int, some: np.ndarray) -> None:
+            """Take a page for some queries: open its children, or hold its entries against the best so far."""
+            node, d = self.nodes[at], away[some, at]
+            if node.rows is None:
+                for c in node.children:
+                    child = self.nodes[c]
+                    near = np.abs(d - child.to_parent) - child.radius * wide <= reach[some] * wide + SLACK * d
+                    if near.any():  # else without a distance of its own
+                        asking = some[near]
+                        away[asking, c] = d[near] if child.center == node.center else distance(asking, child.center)
+                        low[asking, c] = np.maximum(0.0, away[asking, c] - child.radius * wide)
+                return
+            # entries are in the order of their distance to the routing vector: those that no query here rules out are one stretch
+            far = reach[some] * wide + SLACK * d
+            a, b = node.rows
+            if np.isfinite(far).all():
+                a, b = a + np.searchsorted(self.to_center[a:b], [(d - far).min(), np.nextafter((d + far).max(), np.inf)])
+            scores = q[some] @ vectors[a:b].T
+            inside = np.flatnonzero((mine[some] >= a) & (mine[some] < b))
+            scores[inside, mine[some[inside]] - a] = lowest
+            hit, spot = np.nonzero((scores >= worst[some][:, None]) & (scores > lowest))
+            if not len(hit):
+                return
+            found = scores[hit, spot].astype(np.int64).astype(number) * size + (size - 1 - self.rank[a + spot])
+            rows, first, many = np.unique(hit, return_index=True, return_counts=True)
+            both = np.full((len(rows), k + many.max()), none, number)
+            both[:, :k] = top[some[rows]]
+            both[np.repeat(np.arange(len(rows)), many), k + np.arange(len(hit)) - np.repeat(first, many)] = found
+            both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:] if number is np.int64 else np.sort(both, axis=1)[:, -k:]
+            asking, least = some[rows], both.min(1)
+            top[asking] = both
+            full = least > none
+            asking, score = asking[full], least[full] // size
+            worst[asking] = score.astype(kind)
+            reach[asking] = np.sqrt(np.maximum(0.0, base[asking] - 2.0 * score.astype(np.float64)))
+
+        # first each query down to its own best page, then page by page, the least bound of all first, for every query it isn't ruled out for
         live = everyone
         while len(live):
             pick = low[live].argmin(1)
-            open_ = low[live, pick]
-            good = np.isfinite(open_) & (open_ <= reach[live] * wide)
-            live, pick = live[good], pick[good]
+            low_there = low[live, pick]
+            live, pick = live[np.isfinite(low_there)], pick[np.isfinite(low_there)]
             low[live, pick] = np.inf
             for at in np.unique(pick).tolist():
-                node, some = self.nodes[at], live[pick == at]
-                d = away[some, at]
-                if node.rows is None:
-                    for c in node.children:
-                        child = self.nodes[c]
-                        near = np.abs(d - child.to_parent) - child.radius * wide <= reach[some] * wide + SLACK * d
-                        if not near.any():
-                            continue  # without a distance of its own
-                        asking = some[near]
-                        away[asking, c] = d[near] if child.center == node.center else distance(asking, child.center)
-                        low[asking, c] = np.maximum(0.0, away[asking, c] - child.radius * wide)
-                    continue
-                a, b = node.rows
-                near = np.abs(self.to_center[a:b] - d[:, None]) <= (reach[some] * wide + SLACK * d)[:, None]
-                entries = a + np.flatnonzero(near.any(0))
-                if not len(entries):
-                    continue
-                scores = q[some] @ vectors[a:b].T if len(entries) == b - a else q[some] @ vectors[entries].T
-                scores = scores.astype(np.int64).astype(number) * size + (size - 1 - self.rank[entries])
-                scores[mine[some][:, None] == entries] = none
-                both = np.concatenate([top[some], scores], axis=1)
-                both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:] if number is np.int64 else np.sort(both, axis=1)[:, -k:]
-                top[some] = both
-                least = both.min(1)
-                full = least > none
-                reach[some[full]] = np.sqrt(np.maximum(0.0, base[some[full]] - 2.0 * (least[full] // size).astype(np.float64)))
+                visit(at, live[pick == at])
+            live = live[[self.nodes[at].rows is None for at in pick.tolist()]]
+        while True:
+            open_ = np.where(low <= (reach * wide)[:, None], low, np.inf)
+            at = int(open_.min(0).argmin())
+            some = np.flatnonzero(np.isfinite(open_[:, at]))
+            if not len(some):
+                break
+            low[:, at] = np.inf
+            visit(at, some)
         who, slot = np.nonzero(top > none)
         found = top[who, slot]
         return who, self.by_id[(size - 1 - found % size).astype(np.int64)], (found // size).astype(np.int64)
