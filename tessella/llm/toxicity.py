@@ -1,14 +1,20 @@
 """Toxicity by a subsequence string-kernel SVM on Nyström landmarks.
 
-The unit is a token: a word without the marks at its ends, or a run of single letters read together. The kernel
-of two tokens sums, over the three-symbol subsequences they share, the product of their weights, each a decay to
-the power of the span; so ``i.d.i.o.t``, ``id1iot`` and new endings of a known stem stay close to what was
-learned. A text is as toxic as its most toxic token.
+What is scored is a text's windows: its words, cut to overlapping stretches where they are long, and its runs of very short words, as letters
+spelled apart make them. The kernel of two windows sums, over the three-symbol subsequences they share, the product of their
+weights, each a decay to the power of the span. Letters, digits and the two ends are symbols; anything else only widens a span. So
+``i.d.i.o.t``, ``i d i o t``, ``idxiot`` and new endings of a known stem stay close to what was learned. A text is as toxic as its most
+toxic window.
+
+Labels are of whole texts, so which window of a toxic text is to blame is learned too: the first guess is the difference of the
+classes' mean embeddings; then, round by round, the SVM learns the windows that the model before ranks highest, those of toxic texts
+against those of clean ones.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,45 +24,50 @@ from pyspark.sql import functions as F
 
 from .common import claim, small_batches, table, written
 
-#: Bounds of training: labelled texts (those whose ids hash lowest), tokens told apart as candidates and as clean, landmarks.
-MAX_LABELLED, MAX_CANDIDATES, MAX_CLEAN, LANDMARKS = 20_000, 4_000, 16_000, 256
-DECAY, REACH, SYMBOLS, LONGEST = 0.75, 5, 128, 40
+#: The bound of training: labelled texts, those whose ids hash lowest. All their windows count.
+MAX_LABELLED = 20_000
+#: Landmarks, rounds of choosing windows and learning, the most windows that a toxic text is blamed for in a round, tasks over the sample.
+LANDMARKS, ROUNDS, BLAMED, TASKS = 512, 3, 6, 16
+DECAY, REACH, SYMBOLS, LONGEST = 0.85, 6, 64, 40
 REMEMBERED = 300_000
-#: Texts without a token have this margin.
-NO_TOKEN = -2.0
-
-_ends = re.compile(r"^\W+|\W+$|_+$|^_+")
-_spelled = re.compile(r"(?<!\w)\w(?:[\W_]+\w(?!\w)){2,}")
-_marks = re.compile(r"[\W_]+")
-# Signs that stand for a letter; 1 is read as l and as i.
-_alike = [str.maketrans({"0": "o", "1": one, "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}) for one in "li"]
-
-
-def tokens(text: str) -> set[str]:
-    """The distinct tokens of a text, lower-cased."""
-    low = text.lower()
-    words = set(low.split())
-    found = {t for t in words if t.isalpha()}
-    for t in words.difference(found):
-        found.add(inner := _ends.sub("", t))
-        if inner.isalpha():
-            continue
-        found.add(_marks.sub("", inner))  # marks between the letters
-        if any(c.isalpha() for c in t):
-            found.update(_marks.sub("", inner.translate(a)) for a in _alike)
-    # letters spelled apart
-    if " " in low:
-        found.update("".join(c for c in m if c.isalnum()) for m in _spelled.findall(low))
+#: Texts without a window have this margin.
+NO_WINDOW = -2.0
+
+_ends = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def windows(text: str) -> set[str]:
+    """The distinct windows of a text, lower-cased: words without the marks at their ends, and runs of four or more words of at most two letters."""
+    words = text.lower().split()
+    found = set(words)
+    odd = {w for w in found if not w.isalpha()}
+    found -= odd
+    found.update(_ends.sub("", w) for w in odd)
     found.discard("")
+    short = [len(w) <= 2 for w in words]
+    at = 0
+    while at < len(words):
+        if not short[at]:
+            at += 1
+            continue
+        end = at
+        while end < len(words) and short[end]:
+            end += 1
+        if end - at > 3:
+            found.add(" ".join(words[at:end]))
+        at = end
+    for w in [w for w in found if len(w) > LONGEST]:
+        found.discard(w)
+        found.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
     return found
 
 
 def _codes() -> np.ndarray:
-    """Symbol of each code point: the start and end marks are 1 and 2, a-z and 0-9 have their own, others share."""
-    out = 40 + np.arange(0x110000) % (SYMBOLS - 40)
+    """Symbol of each code point: the start and end marks are 1 and 2, a-z and 0-9 have their own, other letters and digits share; the rest has none."""
+    out = np.array([39 + c % (SYMBOLS - 39) if chr(c).isalnum() else 0 for c in range(0x110000)], np.int32)
     for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
         out[ord(c)] = 3 + i
-    return out.astype(np.int32)
+    return out
 
 
 _symbol: np.ndarray | None = None
@@ -94,13 +105,6 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, total / np.where(norm > 0, norm, 1)
 
 
-def _pieces(word: str) -> list[str]:
-    """A long token is looked at in overlapping windows, whole."""
-    if len(word) <= LONGEST:
-        return [word]
-    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
-
-
 def _weighted(words: list[str], weights: np.ndarray, size: int = 2048) -> np.ndarray:
     """The value of each word under feature weights: those of one length class go together."""
     out = np.zeros(len(words), np.float32)
@@ -133,7 +137,7 @@ def kernel(words: list[str], landmarks: list[str], size: int = 1024) -> np.ndarr
 
 @dataclass
 class Model:
-    """An SVM over tokens: landmarks and their weights, an offset, and the logistic curve of the margin of a text."""
+    """An SVM over windows: landmarks and their weights, an offset, and the logistic curve of the margin of a text."""
 
     landmarks: list[str]
     alpha: np.ndarray
@@ -180,94 +184,133 @@ def fit_svm(words: list[str], labels: np.ndarray, weights: np.ndarray, landmarks
     return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]))
 
 
-def with_insertions(word: str) -> list[str]:
-    """A word of five letters or more with one more letter at each inner place: so the SVM learns that this changes nothing."""
-    if len(word) < 5 or not word.isalpha():
-        return []
-    return [word[:i] + "xqzjkvw"[(i + len(word)) % 7] + word[i:] for i in range(1, len(word))]
-
+def _embedded(sample: DataFrame) -> np.ndarray:
+    """[class, feature]: the mean over the texts of each class of the sum of their distinct windows' maps."""
 
-def _token_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
+        total, seen = np.zeros((2, SYMBOLS**3), np.float64), [0, 0]
         for batch in batches:
-            for i, toxic, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = sorted({p for t in tokens(text or "") for p in _pieces(t)})
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], names=["id", "toxic", "token"])
+            counts: dict[str, list[int]] = {}
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                seen[toxic] += 1
+                for w in windows(text or ""):
+                    counts.setdefault(w, [0, 0])[toxic] += 1
+            words = sorted(counts, key=len)
+            for at in range(0, len(words), 1024):
+                ids, values = _features(words[at : at + 1024])
+                share = np.array([counts[w] for w in words[at : at + 1024]], np.float64)
+                for k in (0, 1):
+                    some = share[:, k] > 0
+                    total[k] += np.bincount(ids[some].ravel(), (values[some] * share[some, k][:, None]).ravel(), minlength=SYMBOLS**3)
+        yield pa.RecordBatch.from_pydict({"seen": pa.array([seen], pa.list_(pa.int64())), "total": pa.array([total.tobytes()], pa.binary())})
+
+    parts = sample.coalesce(TASKS).mapInArrow(run, "seen array<long>, total binary").collect()  # TASKS rows at most
+    seen = np.sum([r["seen"] for r in parts], axis=0)
+    out = np.sum([np.frombuffer(bytes(r["total"])).reshape(2, -1) for r in parts], axis=0) / np.maximum(1, seen)[:, None]
+    out[:, 0] = 0
+    return out
+
 
-    return docs.mapInArrow(run, "id long, toxic int, token string")
+def _witness(means: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Feature weights of the first guess: how far the toxic mean is above the clean one, in its own chance deviations, where that is more than three."""
+    pool = (means[1] * toxic + means[0] * clean) / (toxic + clean)
+    above = (means[1] - means[0]) / np.sqrt(pool / toxic + 1e-4 / toxic)
+    return np.where(above > 3, above, 0).astype(np.float32)
+
+
+def _ranked(sample: DataFrame, weights: np.ndarray, offset: float, first: bool) -> DataFrame:
+    """(toxic, token, n): of each toxic text the highest window and others above the margin, of each clean one the two highest and one that a hash names."""
+    sent = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        known: dict[str, float] = {}
+        for batch in batches:
+            out: list[list] = [[], []]
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                own = windows(text or "")
+                new = list(own.difference(known))
+                known.update(zip(new, (_weighted(new, sent.value) + offset).tolist(), strict=True))
+                best = sorted(own, key=lambda w: (-known[w], w))
+                if toxic:
+                    least = 0.6 * known[best[0]] if first and best else 0.0
+                    picked = best[:1] + [w for w in best[1:BLAMED] if known[w] > least]
+                else:
+                    picked = best[:2] + sorted(own, key=lambda w: (zlib.crc32(w.encode()), w))[:1]
+                out[0] += [toxic] * len(picked)
+                out[1] += picked
+                if len(known) > REMEMBERED:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string())], names=["toxic", "token"])
+
+    return sample.mapInArrow(run, "toxic int, token string").groupBy("toxic", "token").agg(F.count("*").alias("n"))
+
+
+def _chosen(counts: dict[str, int], most: int) -> list[str]:
+    """``most`` landmarks: half those that most texts have, half those that hash lowest."""
+    often = sorted(counts, key=lambda w: (-counts[w], w))[: most // 2]
+    return often + sorted(set(counts).difference(often), key=lambda w: (zlib.crc32(w.encode()), w))[: most - len(often)]
+
+
+def _cut(y: np.ndarray, x: np.ndarray) -> float:
+    """The margin that parts the classes. Where 98 % of the toxic texts lie above 99.9 % of the clean ones it is between these edges, a sixth above
+    the clean one: what is inserted into an insult lowers its margin and never raises it. Else it is where errors, weighed by the size of their class, are least."""
+    clean, toxic = np.quantile(x[y == 0], 0.999), np.quantile(x[y > 0], 0.02)
+    if clean < toxic:
+        return float(clean + (toxic - clean) / 6)
+    points = np.unique(x)
+    error = np.searchsorted(np.sort(x[y > 0]), points, "left") / (y > 0).sum() + 1 - np.searchsorted(np.sort(x[y == 0]), points, "left") / (y == 0).sum()
+    best = int(error.argmin())
+    return float((points[best] + points[max(0, best - 1)]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> Model:
     """Learn from ``labels`` (key, label 0/1; other values and null are left out) of ``docs``.
 
-    At most ``most`` labelled documents are used, those whose keys hash lowest, equal texts once. The counts of
-    tokens are Spark's; what reaches the driver are the bounded candidate lists and the margins of the sample.
-    Of the tokens that mark toxic texts beyond chance, a text blames those that mark best; the SVM tells the blamed from the clean.
+    At most ``most`` labelled documents are used, those whose keys hash lowest. Equal texts count once, and as toxic if one of them is;
+    keys that several labels or rows have likewise. What reaches the driver is bounded by that sample: the classes' mean embeddings,
+    the highest windows of each text and its margin. Without texts of both classes the model is the share of toxic ones.
     """
     small_batches(docs.sparkSession)
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), key), key).limit(most)  # so many small rows at most: a broadcast of proven size
-    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen.withColumnRenamed(key, "id")), "id")
-    sample = written(sample.dropDuplicates(["t"]).select(F.col("id").cast("long").alias("id"), "toxic", "t"), "labelled")
-    rows = written(_token_rows(sample), "tokens")
-    totals = sample.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in totals}
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "__key"), "__key").limit(most)  # so many small rows at most: a broadcast of proven size
+    sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(F.broadcast(chosen), "__key")
+    sample = written(sample.groupBy("t").agg(F.max("toxic").alias("toxic")).repartition(TASKS), "labelled")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         share = n.get(1, 0) / max(1, sum(n.values()))
         return Model([], np.zeros(0, np.float32), -1.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    counts = rows.groupBy("token").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    base, seen = n[1] / (n[0] + n[1]), F.col("pos") + F.col("neg")
-    # log-likelihood ratio of the token's own rate of toxic texts against that of all texts
-    part = lambda k, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / seen / rate)).otherwise(0.0)
-    gain = F.when(F.col("pos") > seen * base, part("pos", base) + part("neg", 1 - base)).otherwise(0.0)
-    counts = written(counts.withColumn("gain", gain), "counts")
-    least = float(np.log(max(2, counts.count()))) + 2  # what chance alone seldom reaches among so many tokens
-    gains = {r["token"]: r["gain"] for r in counts.where(F.col("gain") >= least).orderBy(F.desc("gain"), "token").limit(MAX_CANDIDATES).collect()}
-    some = list(gains)
-    clean = [r["token"] for r in counts.where((F.col("neg") >= 1) & (F.col("pos") <= 2 * base * seen)).orderBy(F.desc(F.least("neg", F.lit(20))), F.xxhash64("token")).limit(MAX_CLEAN).collect()]
-    texts: dict[str, set[int]] = {t: set() for t in some}
-    if some:
-        candidates = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in some], "token string"))
-        for r in rows.where("toxic = 1").join(candidates, "token").groupBy("token").agg(F.collect_set("id").alias("ids")).collect():
-            texts[r["token"]] = set(r["ids"])
-    # a toxic text blames the tokens whose gain is near the best it has: what copies of a text share beside those is let off
-    best: dict[int, float] = {}
-    for t in some:
-        for i in texts[t]:
-            best[i] = max(best.get(i, 0.0), gains[t])
-    blamed = [t for t in some if sum(gains[t] >= 0.7 * best[i] for i in texts[t]) >= max(2, 0.3 * len(texts[t]))]
-    model = Model([], np.zeros(0, np.float32), -1.0)
-    if blamed:
-        landmarks = blamed[: LANDMARKS // 2]
-        landmarks += [t for t in clean[::-1] if t not in blamed][: LANDMARKS - len(landmarks)]
-        unlike = set(some)
-        negatives = [t for t in clean if t not in unlike]
-        spread = [v for t in blamed[:LANDMARKS] for v in with_insertions(t)]
-        weights = np.array([min(len(texts[t]), 20) for t in blamed] + [1.0] * (len(spread) + len(negatives)))
-        model = fit_svm(blamed + spread + negatives, np.array([1] * (len(blamed) + len(spread)) + [0] * len(negatives)), weights, landmarks)
-    # the curve of a text's margin, from the sample: at most ``most`` pairs of numbers
+    weights, model = _witness(_embedded(sample), n[1], n[0]), Model([], np.zeros(0, np.float32), 0.0)
+    clean: dict[str, int] = {}
+    for k in range(ROUNDS):
+        blamed: dict[str, int] = {}
+        for r in _ranked(sample, weights, model.offset, k == 0).collect():
+            into = blamed if r["toxic"] else clean
+            into[r["token"]] = into.get(r["token"], 0) + r["n"]
+        words, negatives = sorted(blamed), sorted(clean)
+        if not words or not negatives:
+            break
+        landmarks = list(dict.fromkeys(_chosen(blamed, LANDMARKS * 3 // 4) + _chosen(clean, LANDMARKS // 4)))
+        counts = np.array([min(blamed[w], 20) for w in words] + [min(clean[w], 20) for w in negatives], float)
+        model = fit_svm(words + negatives, np.array([1] * len(words) + [0] * len(negatives)), counts, landmarks)
+        weights = model.feature_weights()
     points = margins_of(sample.select("toxic", F.col("t").alias("text")), model, "toxic int", "text").select("toxic", "margin").collect()
     y, x = np.array([r["toxic"] for r in points], float), np.array([r["margin"] for r in points], float)
+    cut = _cut(y, x)
+    return Model(model.landmarks, model.alpha, model.offset, slope := _slope(y, x - cut), -slope * cut)
+
+
+def _slope(y: np.ndarray, x: np.ndarray) -> float:
+    """The steepness of the logistic curve through 0 that fits best, between 1 and 12."""
     goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    each = np.where(y > 0, np.sqrt((len(y) - y.sum() + 1) / (y.sum() + 1)), 1.0)  # half way to both kinds counting alike
-    a, b = 3.0, 0.0
-    for _ in range(100):
-        prob = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        grad = np.array([(each * (prob - goal) * x).sum() + 1e-3 * a, (each * (prob - goal)).sum()])
-        v = each * prob * (1 - prob) + 1e-9
-        hess = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum()]])
-        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return Model(model.landmarks, model.alpha, model.offset, float(a), float(b))
+    loss = [(a, float((np.logaddexp(0, a * x) - goal * a * x).sum())) for a in np.linspace(1, 12, 45)]
+    return float(min(loss, key=lambda z: z[1])[0])
 
 
 _scores: dict = {}
 
 
 def _margins(model: Model, weights: list[np.ndarray], texts: list[str | None]) -> list[float]:
-    """The largest margin of each text's tokens; in a worker, which remembers those of tokens."""
+    """The largest margin of each text's windows; in a worker, which remembers those of windows."""
     claim("toxicity", _scores.clear)
     name = (tuple(model.landmarks), model.alpha.tobytes(), model.offset)
     known = _scores.get(name)
@@ -278,16 +321,14 @@ def _margins(model: Model, weights: list[np.ndarray], texts: list[str | None]) -
         weights.append(model.feature_weights())
     top: list[float] = []
     for at in range(0, len(texts), 128):
-        bags = [tokens(t or "") for t in texts[at : at + 128]]
+        bags = [windows(t or "") for t in texts[at : at + 128]]
         new = set().union(*bags).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set().union(*bags)
-        short = [t for t in new if len(t) <= LONGEST]
-        known.update(zip(short, (_weighted(short, weights[0]) + model.offset).tolist(), strict=True))
-        for t in new.difference(short):
-            known[t] = float(_weighted(_pieces(t), weights[0]).max() + model.offset)
-        top += [max(map(known.__getitem__, bag), default=NO_TOKEN) for bag in bags]
+        some = list(new)
+        known.update(zip(some, (_weighted(some, weights[0]) + model.offset).tolist(), strict=True))
+        top += [max(map(known.__getitem__, bag), default=NO_WINDOW) for bag in bags]
     return top
 
 
@@ -306,7 +347,7 @@ def margins_of(docs: DataFrame, model: Model, kept: str, text: str) -> DataFrame
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, as they are. Null and empty texts have no token and stay."""
+    """The rows of ``docs`` that aren't predicted toxic, as they are. Null and empty texts have no window and stay."""
     small_batches(docs.sparkSession)
     at, weights = docs.columns.index(text), []
 
@@ -321,7 +362,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) of each row; score 0 to 1.
 
-    A null text is an empty one, which has no token and the score of a margin of -2. Rows are independent: repeated
+    A null text is an empty one, which has no window and the score of a margin of -2. Rows are independent: repeated
     ones give equal results, a null key stays null, an empty table gives an empty table, other columns are left behind.
     """
     margin = margins_of(docs.select(key, text), model, f"{key} {dict(docs.dtypes)[key]}", text)
@@ -330,16 +371,20 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string")) % 5 == 0
+    """Whether a row is held out; one without a key has no label to learn and isn't."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each document, a row for a row; nulls, empty and repeated rows as scored() and held_out() say."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """First stage of the pipeline: documents that are predicted toxic go. The model learns from ``documents`` and its labels."""
+    """First stage of the pipeline: documents that are predicted toxic go. The model learns from ``documents`` and its labels.
+
+    Rows that stay are as they were, with all columns; null and empty texts stay, rows equal in text fare alike, null ids too."""
     model = train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out()))
     return without_toxic(docs, model)

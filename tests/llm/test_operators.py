@@ -427,27 +427,61 @@ def test_multi_index_recall_on_the_tables(spark, table):
     assert hits / len(found) >= 0.9
 
 
+def test_kernel():
+    """Against the sum over all shared three-symbol subsequences, counted out; what is neither letter nor digit only widens a span."""
+
+    def brute(w):
+        symbols, out = [1, *(toxicity._codes()[ord(c)] for c in w), 2], {}
+        for i in range(len(symbols)):
+            for j in range(i + 1, len(symbols)):
+                for k in range(j + 1, min(len(symbols), i + toxicity.REACH + 1)):
+                    if symbols[i] and symbols[j] and symbols[k]:
+                        key = (symbols[i], symbols[j], symbols[k])
+                        out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {f: v / norm for f, v in out.items()}
+
+    some = ["idiot", "i.d.i.o.t", "idxiot", "i d i o t", "aaa", "a", "ß9é", "moron"]
+    got = toxicity.kernel(some, some)
+    for i, a in enumerate(some):
+        for j, b in enumerate(some):
+            x, y = brute(a), brute(b)
+            assert abs(got[i, j] - sum(v * y.get(f, 0) for f, v in x.items())) < 1e-5
+    assert got[0, 1] > 0.4 < got[0, 2] and got[0, 7] < 0.2
+    assert toxicity.windows("He's an i d i o t, (really)! " + "z" * 100) >= {"he's", "really", "z" * 40} and "an i d i o t," in toxicity.windows("he's an i d i o t, really")
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     plain = [f"{a}{b}{c}" for a in ("ta", "re", "mo", "li") for b in ("nor", "vel", "sta", "pim") for c in ("en", "is", "o", "ar")]
     insults = ["dumbnut", "scoundrel", "grimpus"]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(900):
         w = r.choices(plain, k=30)
         toxic = i % 5 == 0
         if toxic:
             w[r.randrange(30)] = r.choice(insults) + r.choice(["", "s", "."])
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w), "s", 0.5))
         labels.append((i, int(toxic)))
-    rows += [(900, None), (901, ""), (902, " ".join(plain[:20]) + " d.u.m.b.n.u.t"), (903, "s c o u n d r e l " + " ".join(plain[:20])), (904, " ".join(plain)), (None, "grimpuss")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = toxicity.train(docs, spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int").where("doc_id % 3 <> 0"))
+    clean = " ".join(plain[:20])
+    # gapped, spelled apart, with inserted letters: none of them in training
+    odd = {950 + k: f"{clean} {x} {clean}" for k, x in enumerate(["d.u.m.b.n.u.t", "scou-ndr-el", "scoundxrel", "grizmpus", "dumbb.nut", "GRIMPUSSES", "s.c.o.u.n.d.r.e.l!"])}
+    rows += [(900, None, None, None), (901, "", "s", 0.5), (902, " ".join(plain), "s", 0.5), (None, "grimpuss", "s", 0.5), (903, clean * 4000, "s", 0.5), (904, clean * 4000 + " dumbnut", "s", 0.5), (905, "q" * 50_000, "s", 0.5), (906, rows[0][1], "s", 0.5)]
+    rows += [(i, t, "s", 0.5) for i, t in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score double")
+    told = spark.createDataFrame(labels + [(None, 1), (3, None), (906, 0), (902, 0)], "doc_id long, toxic int").where("doc_id % 3 <> 0 or doc_id = 906")
+    model = toxicity.train(docs, told)
     got = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
     assert all(got[i]["predicted"] == t for i, t in labels)
-    assert [got[i]["predicted"] for i in (900, 901, 902, 903, 904, None)] == [0, 0, 1, 1, 0, 1]
-    kept = {r["doc_id"] for r in toxicity.without_toxic(docs, model).collect()}
-    assert kept == {i for i, r in got.items() if not r["predicted"]}
+    assert [got[i]["predicted"] for i in (900, 901, 902, None, 903, 904, 905)] == [0, 0, 0, 1, 0, 1, 0]
+    assert [t for i, t in odd.items() if not got[i]["predicted"]] == []
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
+    again = toxicity.train(docs.repartition(5), told.repartition(3))
+    assert again.landmarks == model.landmarks and abs(again.shift - model.shift) < 1e-3
+    none = toxicity.scored(docs.limit(0), model)
+    assert none.count() == 0 and toxicity.without_toxic(docs.limit(0), model).count() == 0
 
 
 def test_toxicity_without_labels(spark):
@@ -457,10 +491,11 @@ def test_toxicity_without_labels(spark):
 
 
 def test_toxicity_held_out(spark):
+    """Recall and precision on the held-out labels; a part of the toxic ones has nothing that clean texts lack."""
     out = toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
     rows = out.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
-    assert right > 0.93
+    caught = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert caught >= 0.88 * sum(r["toxic"] for r in rows) and caught >= 0.85 * sum(r["predicted"] for r in rows)
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
