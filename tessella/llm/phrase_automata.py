@@ -260,7 +260,8 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
 
     total = passages.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(shards)).cast("int"))
+    # passages of one text go to one shard: what copies some of them meets few shards, however many there are
+    dealt = passages.withColumn("shard", F.pmod(F.xxhash64(F.substring_index("passage", ":", 1)), F.lit(shards)).cast("int"))
     by_anchor = dealt.select("shard", F.explode("anchors").alias("anchor")).distinct()
     routes = regions.select("id", "at", F.octet_length("words").alias("bytes"), F.explode("anchors").alias("anchor")).join(by_anchor, "anchor")
     routes = written(routes.select("id", "at", "bytes", "shard").distinct(), "routes")
