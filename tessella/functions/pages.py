@@ -10,10 +10,11 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import register
+from .fixed import CAVEAT, CAVEAT_CHARS, CAVEAT_CONTEXT, CONCESSION
 
 # Parameters that only track.
 TRACKING = frozenset("fbclid gclid igshid mc_cid mc_eid msclkid".split())
@@ -228,6 +229,21 @@ def renumbered(draft: str, known: dict[str, str]) -> tuple[str, list[str], list[
     return (f"{text}\n\n## Sources\n\n{refs}" if refs else text), order, unbound
 
 
+_caveat, _context, _aside = (re.compile(p, re.I) for p in (CAVEAT, CAVEAT_CONTEXT, CONCESSION))
+
+
+def without_process_caveats(text: str) -> str:
+    """A report without placeholders, asides and sentences about its own making; headings, tables and list items keep theirs."""
+    out = _aside.sub("", re.sub(r"\b(?:TODO|FIXME|XXX)\b", "", re.sub(r"\bPLACEHOLDER[_A-Za-z0-9]*\b", "", text, flags=re.A), flags=re.A))
+    lines = []
+    for line in out.split("\n"):
+        if not re.match(r"\s*(?:#|\||[-*>]\s|\d+[.)]\s)", line):
+            line = " ".join(s for s in re.split(r"(?<=[.!?])\s+", line) if len(s.strip()) >= CAVEAT_CHARS or not (_caveat.search(s) and _context.search(s)))
+        lines.append(line)
+    out = re.sub(r" +([.,;:])", r"\1", re.sub(r"[ \t]{2,}", " ", "\n".join(lines)))
+    return re.sub(r"\n{3,}", "\n\n", out).strip()
+
+
 def without_caveats(note: str) -> str:
     """A note without its leading mark, source marks and sentences about the search itself."""
     base = re.sub(r"\[note\]", "", re.sub(r"\[source_[^\]]*\]", "", re.sub(r"^[-*]\s*", "", note), flags=re.I), flags=re.I)
@@ -235,8 +251,9 @@ def without_caveats(note: str) -> str:
     return re.sub(r"\s{2,}", " ", " ".join(s for s in re.split(r"(?<=[.!?])\s+", base) if not about.search(s))).strip()
 
 
-def without_sources_section(report: str) -> str:
-    return re.sub(r"(?ims)^#{1,6}\s*(sources|references)\s*$.*\Z", "", report).rstrip()
+def without_sources_section(report: Column) -> Column:
+    """A report up to its first heading of sources or references."""
+    return F.regexp_replace(F.regexp_replace(report, r"(?is)\n#{1,6}\s*(?:sources|references)(?![A-Za-z0-9_]).*$", ""), r"\s+$", "")
 
 
 def captions(track: str) -> str:
@@ -248,12 +265,14 @@ def captions(track: str) -> str:
 
 
 def mapped(df: DataFrame, schema: str, row) -> DataFrame:
-    """``row`` applied to the columns of each row, batch by batch, each result a row of ``schema``."""
+    """``row`` applied to the columns of each row, batch by batch, each result a row of ``schema``; of a row with a null only the key is left."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame([row(*r) for r in batch.itertuples(index=False)], columns=names)
+            batch = batch.astype(object).where(batch.notna(), None)
+            blank = (None,) * (len(names) - 1)
+            yield pd.DataFrame([(r[0], *blank) if None in r else row(*r) for r in batch.itertuples(index=False)], columns=names)
 
     return df.mapInPandas(run, schema)
 
@@ -274,5 +293,6 @@ register("pf05_private_v6", "pages", lambda p: mapped(p.select("page_id"), "page
 register("pf11_robots", "pages", lambda p: mapped(p.select("page_id", "url"), "page_id long, general boolean, fancy boolean", lambda i, u: (i, robots_allowed(ROBOTS, "other", _path(u)), robots_allowed(ROBOTS, "FancyBot/2", _path(u)))), "SELECT page_id, NOT regexp_matches(url, '^https?://[^/]+/en/7') OR regexp_matches(url, '^https?://[^/]+/en/77') AS general, NOT (regexp_matches(url, '\\?page=') OR regexp_matches(regexp_replace(url, '#.*$', ''), '\\.html$')) AS fancy FROM pages")
 register("fn13_renumber", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, markers string, unbound long", lambda i, t: (i, ",".join((r := renumbered(" ".join(f"{w} [source_{len(w)}]" for w in t.split()), {f"source_{k}": str(k) for k in range(8)}))[1]), len(r[2]))))
 register("fn12_notes", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, note string", lambda i, t: (i, without_caveats("- " + t.replace("\n", " ") + " TODO more. [source_1] Kept."))))
-register("fn14_sources_section", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, same boolean", lambda i, t: (i, without_sources_section(t.rstrip() + "\n\n## Sources\n\n1. x") == t.rstrip())), "SELECT doc_id, TRUE AS same FROM documents")
-register("fn28_captions", "benchmark", lambda b: mapped(b.select("item_id", "text"), "item_id long, text string", lambda i, t: (i, captions(f"<transcript><text start='0'>{_html.escape(t[:20])}</text><text start='1'>end</text></transcript>"))).select("item_id", F.md5("text").alias("digest")), "SELECT item_id, md5(trim(text[1:20]) || ' end') AS digest FROM benchmark")
+register("fn12_caveats", "documents", lambda d: mapped(d.select("doc_id", "text"), "doc_id long, report string", lambda i, t: (i, without_process_caveats(t.replace(".", " — could not be retrieved in this run — .", 1) + " TODO The page could not be fetched in this run. Kept."))))
+register("fn14_sources_section", "documents", lambda d: d.select("doc_id", F.md5(without_sources_section(F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n\n## Sources\n\n1. x").when(F.col("doc_id") % 3 == 1, "\n### references: y\n\n# Sources").otherwise("\n# Resources\n")))).alias("digest")), r"SELECT doc_id, md5(regexp_replace(regexp_replace(text || CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || '1. x' WHEN 1 THEN chr(10) || '### references: y' || chr(10) || chr(10) || '# Sources' ELSE chr(10) || '# Resources' || chr(10) END, '\n#{1,6}\s*(?:sources|references)\b.*$', '', 'is'), '\s+$', '')) AS digest FROM documents")
+register("fn28_captions", "benchmark", lambda b: mapped(b.select("item_id", "text"), "item_id long, text string", lambda i, t: (i, captions(f"<transcript><text start='0'>{_html.escape(t)}</text><text start='1'>end</text></transcript>"))).select("item_id", F.md5("text").alias("digest")), "SELECT item_id, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g') || ' end') AS digest FROM benchmark")

@@ -57,14 +57,15 @@ def multi_run(grades: DataFrame) -> DataFrame:
 
 
 def suite(grades: DataFrame, cases: DataFrame) -> DataFrame:
-    """Tasks, mean scores, coverage and validity over all domains (domain ``*``) and by domain."""
-    one = grades.where("run = 0")
-    scores = graded(one).groupBy("case_id").agg(*score_columns())
-    totals = one.groupBy("case_id").agg(F.count("*").alias("all_criteria"))
-    joined = scores.join(totals, "case_id").join(cases.select("case_id", "domain"), "case_id")
-    sums = [F.count("*").alias("tasks"), rounded(F.avg("normalized"), 3).alias("normalized"), rounded(F.avg("pass_rate"), 3).alias("pass_rate"), rounded(F.sum("criteria") / F.sum("all_criteria")).alias("coverage")]
-    whole = joined.groupBy(F.lit("*").alias("domain")).agg(*sums)
-    return whole.unionByName(joined.groupBy("domain").agg(*sums)).withColumn("valid", F.col("coverage") >= COVERAGE_FLOOR)
+    """Tasks, mean and median scores, coverage and validity over all (``*``), by domain and by section (``section:`` and its id)."""
+    one = grades.where("run = 0").join(cases.select("case_id", "domain"), "case_id")
+    scored = lambda *by: graded(one).groupBy("case_id", *by).agg(*score_columns()).join(one.groupBy("case_id", *by).agg(F.count("*").alias("all_criteria")), ["case_id", *by])
+    sums = [F.count("*").alias("tasks"), rounded(F.avg("normalized"), 3).alias("normalized"), rounded(F.median("normalized")).alias("median"), rounded(F.avg("pass_rate"), 3).alias("pass_rate"), rounded(F.sum("criteria") / F.sum("all_criteria")).alias("coverage")]
+    by_domain, by_section = scored("domain"), scored("section_id")
+    rows = F.explode(F.array(F.lit("*"), F.col("domain")))
+    out = by_domain.withColumn("domain", rows).groupBy("domain").agg(*sums)
+    sections = by_section.groupBy(F.concat(F.lit("section:"), "section_id").alias("domain")).agg(*sums)
+    return out.unionByName(sections).withColumn("valid", F.col("coverage") >= COVERAGE_FLOOR)
 
 
 def unmet(grades: DataFrame) -> DataFrame:
@@ -105,13 +106,14 @@ def _score_sql(frm: str, keys: str) -> str:
 
 PER_RUN = _score_sql("grades", "case_id, run")
 SUITE = f"""FROM ({_score_sql("(SELECT * FROM grades WHERE run = 0)", "case_id")}) JOIN (SELECT case_id, count(*) AS all_criteria FROM grades WHERE run = 0 GROUP BY 1) USING (case_id) JOIN (SELECT case_id, domain AS d FROM cases) USING (case_id)"""
-SUITE_COLS = "count(*) AS tasks, floor(avg(normalized) * 1000 + 0.5) / 1000 AS normalized, floor(avg(pass_rate) * 1000 + 0.5) / 1000 AS pass_rate, floor(sum(criteria) / sum(all_criteria) * 10000 + 0.5) / 10000 AS coverage, floor(sum(criteria) / sum(all_criteria) * 10000 + 0.5) / 10000 >= 0.9 AS valid"
+SECTIONS = f"""FROM ({_score_sql("(SELECT * FROM grades WHERE run = 0)", "case_id, section_id")}) JOIN (SELECT case_id, section_id, count(*) AS all_criteria FROM grades WHERE run = 0 GROUP BY 1, 2) USING (case_id, section_id) SEMI JOIN cases USING (case_id)"""
+SUITE_COLS = "count(*) AS tasks, floor(avg(normalized) * 1000 + 0.5) / 1000 AS normalized, floor(median(normalized) * 10000 + 0.5) / 10000 AS median, floor(avg(pass_rate) * 1000 + 0.5) / 1000 AS pass_rate, floor(sum(criteria) / sum(all_criteria) * 10000 + 0.5) / 10000 AS coverage, floor(sum(criteria) / sum(all_criteria) * 10000 + 0.5) / 10000 >= 0.9 AS valid"
 
 register("ag03_rubric_score", "grades", lambda g: graded(g).groupBy("case_id", "run").agg(*score_columns()), PER_RUN)
 register("ag04_section_scores", "grades", lambda g: section_scores(g).withColumn("ord", section_rank()), f"SELECT *, CASE section_id WHEN 'factual-accuracy' THEN 1 WHEN 'breadth-and-depth-of-analysis' THEN 2 WHEN 'presentation-quality' THEN 3 WHEN 'citation-quality' THEN 4 ELSE 5 END::BIGINT AS ord FROM (SELECT *, '*' AS section_id FROM ({PER_RUN}) UNION ALL BY NAME ({_score_sql('grades', 'case_id, run, section_id')}))")
 register("ag05_majority", "grades", majority, "SELECT *, CASE WHEN met_votes * 2 >= runs THEN 'MET' ELSE 'UNMET' END AS verdict FROM (SELECT case_id, criterion, section_id, weight, count(*) FILTER (verdict = 'MET') AS met_votes, count(*) AS runs, bool_and(judge_error IS NOT NULL) AS errored FROM grades GROUP BY 1, 2, 3, 4)")
 register("ag05_multi_run", "grades", multi_run, f"SELECT case_id, count(*) AS runs, floor(avg(normalized) * 10000 + 0.5) / 10000 AS normalized, floor(avg(pass_rate) * 10000 + 0.5) / 10000 AS pass_rate, floor(stddev_pop(normalized) * 1000 + 0.5) / 1000 AS normalized_sd, floor(stddev_pop(pass_rate) * 1000 + 0.5) / 1000 AS pass_rate_sd FROM ({PER_RUN}) GROUP BY 1")
-register("ag06_suite", "grades cases", suite, f"SELECT '*' AS domain, {SUITE_COLS} {SUITE} UNION ALL SELECT d, {SUITE_COLS} {SUITE} GROUP BY d")
+register("ag06_suite", "grades cases", suite, f"SELECT '*' AS domain, {SUITE_COLS} {SUITE} UNION ALL SELECT d, {SUITE_COLS} {SUITE} GROUP BY d UNION ALL SELECT 'section:' || section_id, {SUITE_COLS} {SECTIONS} GROUP BY section_id")
 register("ag19_unmet", "grades", unmet, "SELECT case_id, section_id, count(*) AS unmet, sum(abs(weight))::BIGINT AS weight_lost FROM grades WHERE judge_error IS NULL AND ((weight > 0 AND verdict = 'UNMET') OR (weight < 0 AND verdict = 'MET')) GROUP BY 1, 2")
 register("so08_unmet_by_weight", "grades", unmet_by_weight, "SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY weight DESC, criterion, run)::INT AS rank, criterion, run, weight FROM grades WHERE judge_error IS NULL AND verdict = 'UNMET') WHERE rank <= 5")
 register("so04_seeded_sample", "cases", lambda c: sampled(c, "seed", 25), "SELECT case_id, domain FROM cases ORDER BY sha256(concat('seed', chr(0), case_id)), case_id LIMIT 25")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import ERROR_TITLE, LISTING_TITLE, ascii_edges
 from ..functions.text import host
 from ..plans.registry import register
 
 # What challenge pages say, looked for in the first 4,000 characters.
 BLOCK_MARKERS = ("just a moment", "verifying you are human", "checking your browser", "enable javascript and cookies", "access denied", "captcha", "pardon our interruption", "unusual traffic from your computer network")
 BLOCK_HEAD, BLOCK_EXEMPT, FATAL_CHARS, THIN_CHARS = 4_000, 2_000, 20, 300
-ERROR_TITLE = r"(?i)(?<![A-Za-z0-9_])(?:404|not found|access denied|forbidden|error report|captcha|just a moment|sorry)(?![A-Za-z0-9_])"
-LISTING_TITLE = r"(?i)(?<![A-Za-z0-9_])(?:search results?|advanced search|site search)(?![A-Za-z0-9_])"
 
 
 def looks_blocked(text: Column, markers: tuple[str, ...] = BLOCK_MARKERS) -> Column:
@@ -27,10 +26,15 @@ def quality_flags(text: Column, title: Column, http_error: Column, markers: tupl
     fatal = n < FATAL_CHARS
     return F.array_compact(F.array(
         flag("blocked_or_challenge", looks_blocked(F.concat_ws("\n", title, F.trim(text)), markers)), flag("fatal", fatal),
-        flag("error_page", ~fatal & title.rlike(ERROR_TITLE) & ((n < 500) | http_error)), flag("thin_content", ~fatal & (n < THIN_CHARS)), flag("search_listing_page", ~fatal & title.rlike(LISTING_TITLE)),
+        flag("error_page", ~fatal & title.rlike("(?i)" + ascii_edges(ERROR_TITLE)) & ((n < 500) | http_error)), flag("thin_content", ~fatal & (n < THIN_CHARS)), flag("search_listing_page", ~fatal & title.rlike("(?i)" + ascii_edges(LISTING_TITLE))),
     ))
 
 
+def blocked_or_thin(flags: Column) -> Column:
+    """Pages that gave nothing: flagged as blocked, fatal or thin. A listing page isn't one of them."""
+    return F.exists(flags, lambda f: f.isin("blocked_or_challenge", "fatal", "thin_content"))
+
+
 def private_v4(address: Column) -> Column:
     """Dotted addresses that aren't public: this network, private, shared, loopback, link-local, test nets, multicast and beyond."""
     a, b, c = (F.try_element_at(F.split(address, r"\."), F.lit(i)).try_cast("int") for i in (1, 2, 3))
@@ -42,9 +46,13 @@ def private_v4(address: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters, in bits."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters))
-    return F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    part = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    # sorted, so that equal characters are one run: what a character adds is known when its run ends
+    step = lambda a, c: F.when(a["c"] == c, F.struct(c.alias("c"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("run"), (a["sum"] + part(a["run"])).alias("sum")))
+    n = F.size(letters).cast("double")
+    return F.when(n > 0, F.aggregate(letters, start, step, lambda a: F.log2(n) - (a["sum"] + part(a["run"])) / n)).otherwise(0.0)
 
 
 def suspicious_query(urls: DataFrame, key: str, url: str, least: int = 64, bits: float = 4.6) -> DataFrame:
@@ -82,13 +90,13 @@ def _address(p: DataFrame) -> DataFrame:
 register("pf05_private_v4", "pages", lambda p: _address(p).select("page_id", private_v4(F.col("ip")).alias("private")), f"SELECT page_id, {V4} AS private FROM (SELECT page_id, page_id * 7 % 256 AS a, page_id * 11 % 256 AS b, page_id % 4 AS c FROM pages)")
 register("pf04_url_guard", "pages", lambda p: p.select("page_id", url_guard(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("http://10.0.0."), F.col("page_id").cast("string"), F.lit("/x"))).when(F.col("page_id") % 11 == 0, F.lit("ftp://a/b")).when(F.col("page_id") % 13 == 0, F.lit("https://u:p@a.com/")).otherwise(F.col("url"))).alias("verdict")), "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'ssrf' WHEN page_id % 11 = 0 THEN 'scheme' WHEN page_id % 13 = 0 THEN 'credentials' ELSE 'ok' END AS verdict FROM pages")
 register("pf06_entropy_guard", "pages", lambda p: suspicious_query(p.select("page_id", F.concat(F.lit("https://h"), F.col("page_id") % 50, F.lit(".com/?q="), F.when(F.col("page_id") % 2 == 0, F.base64(F.unhex(F.sha2("url", 384)))).otherwise(F.repeat(F.lit("ab"), 40))).alias("url")), "page_id", "url").select("page_id"), "SELECT min(page_id) AS page_id FROM pages WHERE page_id % 50 % 2 = 0 GROUP BY page_id % 50")
-register("fn08_entropy", "benchmark", lambda b: b.select("item_id", (F.floor(entropy(F.substring("text", 1, 80)) * 1e6 + 0.5) / 1e6).alias("bits")), "SELECT item_id, floor(-sum(n / t * log2(n / t)) * 1e6 + 0.5) / 1e6 AS bits FROM (SELECT item_id, c, count(*) AS n, any_value(t) AS t FROM (SELECT item_id, unnest(string_split(text[1:80], '')) AS c, length(text[1:80]) AS t FROM benchmark) WHERE c <> '' GROUP BY 1, 2) GROUP BY 1")
-register("pf07_blocked", "documents", lambda d: d.where(looks_blocked(F.col("text"), LIKE)).select("doc_id"), "SELECT doc_id FROM documents WHERE length(text) < 2000 AND (contains(lower(text)[1:4000], 'the the') OR contains(lower(text)[1:4000], 'ofthe') OR contains(lower(text)[1:4000], 'tion the'))")
+register("fn08_entropy", "benchmark", lambda b: b.select("item_id", (F.floor(entropy(F.col("text")) * 1e6 + 0.5) / 1e6).alias("bits")), "SELECT item_id, floor(-sum(n / t * log2(n / t)) * 1e6 + 0.5) / 1e6 AS bits FROM (SELECT item_id, c, count(*) AS n, any_value(t) AS t FROM (SELECT item_id, unnest(string_split(text, '')) AS c, length(text) AS t FROM benchmark) WHERE c <> '' GROUP BY 1, 2) GROUP BY 1")
+register("pf07_blocked", "documents", lambda d: d.select("doc_id", looks_blocked(F.concat("text", F.element_at(F.array(*map(F.lit, ["", " Just a MOMENT...", " Access denied", " solve the CAPTCHA", " moment"])), (F.col("doc_id") % 5 + 1).cast("int")))).alias("blocked")), "SELECT doc_id, length(t) < 2000 AND (contains(lower(t)[1:4000], 'just a moment') OR contains(lower(t)[1:4000], 'access denied') OR contains(lower(t)[1:4000], 'captcha')) AS blocked FROM (SELECT doc_id, text || ['', ' Just a MOMENT...', ' Access denied', ' solve the CAPTCHA', ' moment'][doc_id % 5 + 1] AS t FROM documents)")
 register("pf08_quality", "documents", lambda d: d.select("doc_id", F.array_join(quality_flags(F.col("text"), F.concat(F.substring("text", 1, 10), F.when(F.col("doc_id") % 9 == 0, " 404 page").when(F.col("doc_id") % 10 == 0, " Search results").otherwise("")), F.col("doc_id") % 2 == 0, LIKE), ",").alias("flags")), """SELECT doc_id, array_to_string(list_filter([CASE WHEN length(title || chr(10) || t) < 2000 AND (contains(lower(title || chr(10) || t), 'the the') OR contains(lower(title || chr(10) || t), 'ofthe') OR contains(lower(title || chr(10) || t), 'tion the')) THEN 'blocked_or_challenge' END,
   CASE WHEN length(t) < 20 THEN 'fatal' END, CASE WHEN length(t) >= 20 AND doc_id % 9 = 0 AND (length(t) < 500 OR doc_id % 2 = 0) THEN 'error_page' END, CASE WHEN length(t) >= 20 AND length(t) < 300 THEN 'thin_content' END, CASE WHEN length(t) >= 20 AND doc_id % 10 = 0 AND doc_id % 9 <> 0 THEN 'search_listing_page' END], lambda x: x IS NOT NULL), ',') AS flags
   FROM (SELECT doc_id, trim(text, ' ') AS t, text[1:10] || CASE WHEN doc_id % 9 = 0 THEN ' 404 page' WHEN doc_id % 10 = 0 THEN ' Search results' ELSE '' END AS title FROM documents)""")
 register("pf09_non_evidence", "documents", lambda d: d.withColumn("w", F.array(F.concat(F.lit("thin_content: "), "lang"), F.concat("source", F.lit(": ok")))).where(~F.exists("w", lambda x: x.rlike("^(thin_content: de|src1:)"))).select("doc_id"), "SELECT doc_id FROM documents WHERE lang <> 'de' AND source <> 'src1'")
-register("pf10_blocked_or_thin", "documents", lambda d: d.where(F.length("text") < 300).select("doc_id"), "SELECT doc_id FROM documents WHERE length(text) < 300")
+register("pf10_blocked_or_thin", "documents", lambda d: d.where(blocked_or_thin(quality_flags(F.col("text"), F.when(F.col("doc_id") % 10 == 0, "Search results").when(F.col("doc_id") % 7 == 0, "Just a moment").otherwise(""), F.lit(False)))).select("doc_id"), "SELECT doc_id FROM documents WHERE length(trim(text, ' ')) < 300 OR doc_id % 10 <> 0 AND doc_id % 7 = 0 AND length('Just a moment' || chr(10) || trim(text, ' ')) < 2000")
 register("pf14_transcript_slice", "conversations", lambda c: c.where((F.col("role") == "user") & F.col("turn").between(0, 4) & F.col("text").rlike("(?i)the")).orderBy("conv_id", "turn").limit(40).select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND turn BETWEEN 0 AND 4 AND regexp_matches(text, '(?i)the') ORDER BY conv_id, turn LIMIT 40")
 register("pf15_trace_grep", "journal", lambda j: j.where(F.col("data").rlike('"k": 6[0-9]')).select("run_id", "seq"), "SELECT run_id, seq FROM journal WHERE regexp_matches(data, '\"k\": 6[0-9]')")
 register("pf18_source_lookup", "documents", lambda d: d.where((F.col("doc_id") == 17) | (F.col("source") == "src3")).select("doc_id", "n_chars", (F.col("n_chars") < 500).alias("blocked")), "SELECT doc_id, n_chars, n_chars < 500 AS blocked FROM documents WHERE doc_id = 17 OR source = 'src3'")

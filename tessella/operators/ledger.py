@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, query_tokens
@@ -52,6 +52,24 @@ def near_pairs(queries: DataFrame, key: str, text: str, least: float = 0.5) -> D
     return both.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("a", "b", rounded(F.col("similarity")).alias("similarity"))
 
 
+def audited(queries: DataFrame, fetched: Column, key: str, text: str) -> DataFrame:
+    """One row: queries, distinct ones case and outer blanks aside, near-duplicate pairs, and queries for each that led to a fetch."""
+    counts = queries.agg(F.count("*").alias("queries"), F.count_distinct(F.lower(F.trim(text))).alias("unique_exact"), F.count_if(fetched).alias("f"))
+    pairs = near_pairs(queries, key, text).agg(F.count("*").alias("near_dup_pairs"))
+    return counts.crossJoin(F.broadcast(pairs)).select("queries", "unique_exact", "near_dup_pairs", rounded(F.col("queries") / F.nullif(F.col("f"), F.lit(0)), 1).alias("queries_per_fetch"))  # one row each
+
+
+def covered(slots: DataFrame, update: DataFrame) -> DataFrame:
+    """Slots after a coverage update (run_id, slot_id, verdict): what is filled stays, exhausted beats closed, the rest stays open."""
+    told = update.groupBy("run_id", "slot_id").agg(F.bool_or(F.col("verdict") == "exhausted").alias("gone"))
+    state = F.when(F.col("state") != "open", F.col("state")).when(F.col("gone"), "exhausted").when(F.col("gone").isNotNull(), "stated").otherwise("open")
+    return slots.join(told, ["run_id", "slot_id"], "left").select("run_id", "slot_id", state.alias("state"))
+
+
+def _asked(b: DataFrame) -> DataFrame:
+    return b.select("item_id", "text").union(b.select(F.col("item_id") + 100_000, F.concat("text", F.lit(" extra")).alias("text"))).union(b.where("item_id % 4 = 0").select(F.col("item_id") + 200_000, F.concat(F.lit(" "), F.lower("text"))))
+
+
 def replayed(requests: DataFrame, journal: DataFrame) -> DataFrame:
     """The k-th request of a key takes the journal's k-th entry of that key."""
     at = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("call_key").orderBy("seq")))
@@ -97,18 +115,19 @@ def bounded_fifo(events: DataFrame, cap: int = 80) -> DataFrame:
 
 
 def _markers(d: DataFrame) -> DataFrame:
-    """Words of a text as if they named sources: every fifth word's length."""
-    some = d.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 60)).alias("at", "w"))
-    return some.where("at % 5 = 0").select("doc_id", "at", F.concat(F.lit("source_"), F.length("w").cast("string")).alias("source"))
+    """Words of a text as if they named sources, each by its length."""
+    some = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "w"))
+    return some.select("doc_id", "at", F.concat(F.lit("source_"), F.length("w").cast("string")).alias("source"))
 
 
 STATES = "(SELECT run_id, slot_id, CASE WHEN op IN ('add', 'retarget') THEN 'open' WHEN op = 'exhaust' THEN 'exhausted' ELSE 'answered' END AS state, CASE WHEN op LIKE 'close%' THEN value END AS value, importance FROM (SELECT *, row_number() OVER (PARTITION BY run_id, slot_id ORDER BY seq DESC) AS r FROM slot_events) WHERE r = 1)"
-MARKS = "(SELECT doc_id, p AS at_, 'source_' || length(w) AS source FROM (SELECT doc_id, unnest(l[1:60]) AS w, unnest(range(len(l[1:60]))) AS p FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) WHERE p % 5 = 0)"
+MARKS = "(SELECT doc_id, p AS at_, 'source_' || length(w) AS source FROM (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)))"
+ASKED = "(SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 100000, text || ' extra' FROM benchmark UNION ALL SELECT item_id + 200000, ' ' || lower(text) FROM benchmark WHERE item_id % 4 = 0)"
 NUMBERED = f"(SELECT doc_id, source, min(at_)::INT AS first, row_number() OVER (PARTITION BY doc_id ORDER BY min(at_), source)::INT AS marker FROM {MARKS} GROUP BY doc_id, source)"
-TOKENS = r"(SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text[1:60]), '\b(or|and|the|of|in|on|for|to|a|an|site)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS t FROM benchmark)"
+TOKENS = r"(SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '\b(or|and|the|of|in|on|for|to|a|an|site)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS t FROM benchmark)"
 
 register("ss09_slot_states", "slot_events", slot_states, f"SELECT * FROM {STATES}")
-register("ss10_coverage", "slot_events", lambda e: slot_states(e).where("state <> 'open'").select("run_id", "slot_id", "state"), f"SELECT run_id, slot_id, state FROM {STATES} WHERE state <> 'open'")
+register("ss10_coverage", "slot_events", lambda e: covered(slot_states(e), e.select("run_id", "slot_id", F.when(F.col("seq") % 7 == 0, "exhausted").when(F.col("seq") % 5 == 0, "closed").alias("verdict")).where("verdict IS NOT NULL AND slot_id <> 's3'")), f"SELECT s.run_id, s.slot_id, CASE WHEN state <> 'open' THEN state WHEN gone THEN 'exhausted' WHEN gone IS NOT NULL THEN 'stated' ELSE 'open' END AS state FROM {STATES} s LEFT JOIN (SELECT run_id, slot_id, bool_or(seq % 7 = 0) AS gone FROM slot_events WHERE (seq % 7 = 0 OR seq % 5 = 0) AND slot_id <> 's3' GROUP BY 1, 2) USING (run_id, slot_id)")
 register("ss11_ledger_status", "slot_events", lambda e: ledger_status(slot_states(e)), f"SELECT run_id, count(*) AS slots, count(*) FILTER (state = 'answered') AS answered, count(*) FILTER (state = 'open') AS open, bool_and(state <> 'open') AS all_filled FROM {STATES} GROUP BY 1")
 register("ss12_seed", "benchmark", lambda b: b.where(F.length("text") > 40).withColumn("r", F.row_number().over(Window.orderBy("item_id"))).where("r <= 14").select(F.concat(F.lit("s"), "r").alias("slot_id"), "item_id"), "SELECT 's' || row_number() OVER (ORDER BY item_id) AS slot_id, item_id FROM benchmark WHERE length(text) > 40 ORDER BY item_id LIMIT 14")
 register("ss13_render", "slot_events", lambda e: slot_states(e).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot_id", "state"))), lambda x: F.concat_ws("=", x["slot_id"], x["state"])), "; ").alias("ledger")), f"SELECT run_id, string_agg(slot_id || '=' || state, '; ' ORDER BY slot_id) AS ledger FROM {STATES} GROUP BY 1")
@@ -123,8 +142,8 @@ register("jn10_uncited", "documents", lambda d: d.select(F.concat(F.lit("source_
 register("ag22_yield", "documents", lambda d: d.select("source", F.concat(F.lit("source_"), F.col("doc_id")).alias("id")).join(_markers(d).select(F.col("source").alias("id")).distinct().withColumn("cited", F.lit(1)), "id", "left").groupBy("source").agg(F.count("*").alias("fetched"), F.count("cited").alias("cited")), f"SELECT source, count(*) AS fetched, count(*) FILTER ('source_' || doc_id IN (SELECT source FROM {MARKS})) AS cited FROM documents GROUP BY 1")
 register("jn13_grounding", "documents", lambda d: grounded(d.select(F.col("doc_id").alias("quote_id"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id"), F.substring("text", 11, 30).alias("quote")), d), "SELECT q.doc_id AS quote_id, coalesce(length(trim(regexp_replace(lower(q.text[11:40]), '\\s+', ' ', 'g'), ' ')) >= 12 AND contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(lower(q.text[11:40]), '\\s+', ' ', 'g'), ' ')), FALSE) AS supported FROM documents q LEFT JOIN documents d ON d.doc_id = CASE WHEN q.doc_id % 3 = 0 THEN q.doc_id + 1 ELSE q.doc_id END")
 register("jn14_scope", "documents", lambda d: scoped(d.select("doc_id", "source"), d.sparkSession.createDataFrame([("src1",), ("src2",), ("nowhere",)], "source string")).select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'nowhere')")
-register("jn09_near_queries", "benchmark", lambda b: near_pairs(b.select("item_id", F.substring("text", 1, 60).alias("text")).union(b.select(F.col("item_id") + 1000, F.concat(F.substring("text", 1, 50), F.lit(" extra")).alias("text"))), "item_id", "text"), "SELECT x.item_id AS a, y.item_id AS b, floor(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) * 10000 + 0.5) / 10000 AS similarity FROM s x JOIN s y ON x.item_id < y.item_id WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.5".replace("SELECT x.item_id", "WITH b AS (SELECT item_id, text[1:60] AS text FROM benchmark UNION ALL SELECT item_id + 1000, text[1:50] || ' extra' FROM benchmark), s AS " + TOKENS.replace("text[1:60]", "text").replace("FROM benchmark", "FROM b") + " SELECT x.item_id", 1))
-register("ag21_audit", "benchmark", lambda b: b.groupBy().agg(F.count("*").alias("queries"), F.count_distinct(F.lower(F.trim(F.substring("text", 1, 3)))).alias("unique_exact")), "SELECT count(*) AS queries, count(DISTINCT lower(trim(text[1:3], ' '))) AS unique_exact FROM benchmark")
+register("jn09_near_queries", "benchmark", lambda b: near_pairs(_asked(b), "item_id", "text"), "SELECT x.item_id AS a, y.item_id AS b, floor(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) * 10000 + 0.5) / 10000 AS similarity FROM s x JOIN s y ON x.item_id < y.item_id WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.5".replace("SELECT x.item_id", f"WITH b AS {ASKED}, s AS " + TOKENS.replace("FROM benchmark", "FROM b") + " SELECT x.item_id", 1))
+register("ag21_audit", "benchmark", lambda b: audited(_asked(b), F.col("item_id") % 3 == 0, "item_id", "text"), f"WITH b AS {ASKED}, s AS " + TOKENS.replace("FROM benchmark", "FROM b") + " SELECT (SELECT count(*) FROM b) AS queries, (SELECT count(DISTINCT lower(trim(text, ' '))) FROM b) AS unique_exact, (SELECT count(*) FROM s x JOIN s y ON x.item_id < y.item_id WHERE len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.5) AS near_dup_pairs, (SELECT floor(count(*) / count(*) FILTER (item_id % 3 = 0) * 10 + 0.5) / 10 FROM b) AS queries_per_fetch")
 register("jn20_replay", "journal", lambda j: replayed(j.where("call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 0"), j.where("call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 1")), "SELECT call_key, k::INT AS k, a.seq AS request, b.seq AS entry FROM (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 0) a LEFT JOIN (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND kind = 'call' AND seq % 2 = 1) b USING (call_key, k)")
 register("ss03_resume_cost", "journal", lambda j: replayed(j.where("call_key IS NOT NULL AND seq >= 5000"), j.where("call_key IS NOT NULL AND seq < 5000")).groupBy(F.col("entry").isNotNull().alias("replayed")).agg(F.count("*").alias("calls")), "SELECT b.seq IS NOT NULL AS replayed, count(*) AS calls FROM (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND seq >= 5000) a LEFT JOIN (SELECT call_key, seq, row_number() OVER (PARTITION BY call_key ORDER BY seq) AS k FROM journal WHERE call_key IS NOT NULL AND seq < 5000) b USING (call_key, k) GROUP BY 1")
 register("ss08_trail", "events", lambda e: e.groupBy(F.concat(F.lit("q"), F.col("user_id") % 40).alias("key")).agg(F.max(F.floor("value")).alias("results"), F.min_by("event_type", "event_id").alias("reason")), "SELECT 'q' || (user_id % 40) AS key, max(floor(value))::BIGINT AS results, arg_min(event_type, event_id) AS reason FROM events GROUP BY 1")

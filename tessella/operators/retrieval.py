@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK, STEP, WINDOW, occurrences, query_terms, window_starts
 from ..plans.registry import register, rounded
+from ..plans.scratch import written
 
 K1, B = 1.5, 0.75
 
@@ -20,14 +21,15 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def bm25(docs: DataFrame, query: str, limit: int = 20, key: str = "doc_id") -> DataFrame:
-    """The best windows for a query. A term counts as a substring. One scan of the windows with a column a term: the number of
+    """The best windows for a query. A term counts as a substring. One scan of the texts writes a column a term; the number of
     windows that have each term and the average length are one aggregated row, so nothing but that and the top is shuffled."""
     spark = docs.sparkSession
     terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
     if not terms:
         return windows(docs, key=key).where("false").select(key, "start", F.lit(0.0).alias("score"))
     counts = F.struct("words", *[occurrences(F.col("passage"), F.lit(t)).alias(f"f{i}") for i, t in enumerate(terms)])
-    pool = windows(docs, key=key).select(key, "start", F.explode(F.array(counts)).alias("c")).select(key, "start", "c.*")
+    counted = windows(docs, key=key).select(key, "start", F.explode(F.array(counts)).alias("c")).select(key, "start", "c.*")
+    pool = written(counted, "windows")  # some numbers a window: both the sums and the scores read these, not the texts
     stats = pool.agg(F.count("*").alias("total"), F.avg("words").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     some = pool.where(F.greatest(*[F.col(f"f{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     size = F.greatest(F.col("words"), F.lit(1)) / F.coalesce(F.nullif(F.col("mean"), F.lit(0.0)), F.lit(1.0))

@@ -97,6 +97,18 @@ GRID = "(SELECT c.*, r.run_id, r.status, r.normalized, r.model FROM cases c LEFT
 COMMITS = "SELECT * FROM (SELECT commit_sha, count(*) AS run_count, count(*) FILTER (status = 'scored') AS scored, count(*) FILTER (status = 'error') AS errors, " + R4.format("avg(normalized)") + " AS avg_normalized FROM (SELECT *, row_number() OVER (PARTITION BY commit_sha, case_id ORDER BY created_at DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1 GROUP BY 1) JOIN (SELECT commit_sha, count(*) AS total_runs, max(created_at) AS last_run, max(dirty) AS any_dirty FROM runs GROUP BY 1) USING (commit_sha)"
 DIFF = f"SELECT a.case_id, a.domain, a.normalized AS a, b.normalized AS b, {R4.format('a.normalized - b.normalized')} AS delta FROM {GRID.format('k0')} a JOIN {GRID.format('k1')} b ON a.case_id = b.case_id"
 
+
+def answers_summary(results: DataFrame, by: str = "commit_sha") -> DataFrame:
+    """Accuracy over all answers, by exact match, and of those that a judge saw; over answers that didn't fail the share cut off by a cap, the median time and the cost."""
+    share = lambda part, whole: rounded(F.when(whole > 0, part / whole))
+    n, fine = F.count("*"), ~F.col("failed")
+    return results.groupBy(by).agg(
+        n.alias("total"), F.count_if("failed").alias("errors"), share(F.count_if("correct"), n).alias("accuracy"), share(F.count_if("exact"), n).alias("exact_accuracy"),
+        share(F.count_if("judged"), F.count("judged")).alias("judge_accuracy"), share(F.count_if(fine & F.col("capped")), F.count_if(fine)).alias("cap_rate"),
+        F.median(F.when(fine, F.col("latency_ms"))).alias("median_latency"), rounded(F.sum(F.when(fine, F.coalesce("cost_usd", F.lit(0.0))))).alias("cost_usd"),
+    )
+
+
 register("wn01_latest_per_case", "runs", lambda r: latest(r.where("commit_sha = 'k1'"), "case_id").select("case_id", "run_id", "created_at"), f"SELECT case_id, run_id, created_at FROM {LATEST.format('k1')}")
 register("wn02_latest_per_commit_case", "runs", lambda r: latest(r, "commit_sha", "case_id").select("commit_sha", "case_id", "run_id"), "SELECT commit_sha, case_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY commit_sha, case_id ORDER BY created_at DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1")
 register("wn03_first_wins", "runs", lambda r: latest(r.withColumn("model", F.coalesce("model", F.lit("?"))), "model", "case_id").select("model", "case_id", "run_id"), f"SELECT model, case_id, run_id FROM {BY_MODEL.format('?')}")
@@ -136,5 +148,5 @@ register("sc14_blob_length", "documents", lambda d: d.select("doc_id", F.length(
 register("sc15_blob_lookup", "documents", lambda d: d.where("doc_id IN (3, 5) AND lang IS NOT NULL").select("doc_id", "lang", F.md5("text").alias("digest")).orderBy("doc_id"), "SELECT doc_id, lang, md5(text) AS digest FROM documents WHERE doc_id IN (3, 5) AND lang IS NOT NULL")
 register("ag27_run_cost", "runs", lambda r: r.select("run_id", F.when(F.col("cost_usd").isNull() & F.col("exa_usd").isNull(), None).otherwise(rounded(F.coalesce("cost_usd", F.lit(0.0)) + F.coalesce("exa_usd", F.lit(0.0)))).alias("total")), f"SELECT run_id, CASE WHEN cost_usd IS NULL AND exa_usd IS NULL THEN NULL ELSE {R4.format('coalesce(cost_usd, 0) + coalesce(exa_usd, 0)')} END AS total FROM runs")
 register("xs46_latest_run", "runs", lambda r: latest(r, "case_id").orderBy(F.desc("created_at"), "case_id").select("case_id", "run_id", "created_at"), "SELECT case_id, run_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1")
-register("ag07_accuracy", "runs", lambda r: r.groupBy("commit_sha").agg(rounded(F.avg((F.col("normalized") > 0.5).cast("int")), 3).alias("accuracy"), rounded(F.count_if("exhausted") / F.count_if(F.col("status") != "error"), 3).alias("cap_rate")), "SELECT commit_sha, floor(avg((normalized > 0.5)::INT) * 1000 + 0.5) / 1000 AS accuracy, floor(count(*) FILTER (exhausted) / count(*) FILTER (status <> 'error') * 1000 + 0.5) / 1000 AS cap_rate FROM runs GROUP BY 1")
+register("ag07_accuracy", "runs", lambda r: answers_summary(r.select("commit_sha", "latency_ms", "cost_usd", (F.col("status") == "error").alias("failed"), F.coalesce(F.col("normalized") > 0.5, F.lit(False)).alias("correct"), (F.col("sources") == 7).alias("exact"), F.when(F.col("sources") % 2 == 0, F.coalesce(F.col("normalized") > 0.4, F.lit(False))).alias("judged"), F.col("exhausted").alias("capped"))), "SELECT commit_sha, count(*) AS total, count(*) FILTER (status = 'error') AS errors, floor(count(*) FILTER (normalized > 0.5) / count(*) * 1e4 + 0.5) / 1e4 AS accuracy, floor(count(*) FILTER (sources = 7) / count(*) * 1e4 + 0.5) / 1e4 AS exact_accuracy, floor(count(*) FILTER (sources % 2 = 0 AND normalized > 0.4) / nullif(count(*) FILTER (sources % 2 = 0), 0) * 1e4 + 0.5) / 1e4 AS judge_accuracy, floor(count(*) FILTER (status <> 'error' AND exhausted) / count(*) FILTER (status <> 'error') * 1e4 + 0.5) / 1e4 AS cap_rate, median(latency_ms) FILTER (status <> 'error') AS median_latency, floor(sum(coalesce(cost_usd, 0)) FILTER (status <> 'error') * 1e4 + 0.5) / 1e4 AS cost_usd FROM runs GROUP BY 1")
 register("so12_eviction", "runs", lambda r: r.where("status <> 'ungraded'").orderBy(F.desc("created_at"), "run_id").offset(200).select("run_id"), "SELECT run_id FROM runs WHERE status <> 'ungraded' ORDER BY created_at DESC, run_id OFFSET 200")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import FILINGS, ascii_edges
 from ..functions.text import bare_host, canonical_query, canonical_url, host, trail_key
 from ..plans.registry import register, rounded
 
@@ -69,6 +70,23 @@ HOST = "regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)"
 KEPT = "list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_[^=]*|fbclid|gclid|igshid|mc_cid|mc_eid|msclkid)(=|$)'))"
 CANON = f"regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN len({KEPT}) > 0 THEN '?' || array_to_string(list_sort({KEPT}), '&') ELSE '' END"
 
+def fanned_out(lists: dict[str, DataFrame | None], key: str) -> DataFrame:
+    """The results of all providers; one that failed, given as None, is an empty list and a warning of its own."""
+    found, failed = [df.withColumn("warning", F.lit(None).cast("string")) for df in lists.values() if df is not None], [p for p, df in lists.items() if df is None]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    notes = out.sparkSession.createDataFrame([(p, f"{p} failed") for p in failed], "provider string, warning string")
+    return out.unionByName(notes, allowMissingColumns=True)
+
+
+def with_filings(hits: DataFrame) -> DataFrame:
+    """Results, and for each query that names a filing the address of the full-text search for it as one more."""
+    asked = hits.where(F.trim("query").rlike("(?i)" + ascii_edges(FILINGS)))
+    address = F.concat(F.lit("https://efts.sec.gov/LATEST/search-index?q="), F.replace(F.url_encode(F.trim("query")), F.lit("+"), F.lit("%20")))
+    return hits.select("hit_id", "url").union(asked.select("hit_id", address))
+
+
 register("st01_rrf_merge", "hits", fused, f"SELECT * FROM {FUSED}")
 register("so01_rrf_order", "hits", lambda h: ranked(fused(h)).select("query_no", "rank", "key", "score"), f"SELECT * FROM (SELECT query_no, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, best, key)::INT AS rank, key, score FROM {FUSED}) WHERE rank <= 20")
 register("st02_cross_query", "hits", lambda h: across_queries(fused(h)), f"SELECT key, floor(sum(score) * 1e6 + 0.5) / 1e6 AS score, arg_min(title, query_no) AS title, count(*) AS queries FROM {FUSED} GROUP BY key")
@@ -80,13 +98,13 @@ register("pf01_domain_filter", "pages", lambda p: p.where(allowed(F.col("url"),
 register("pf02_scheme", "pages", lambda p: p.where(F.col("url").rlike("(?i)^https://")).select("page_id"), "SELECT page_id FROM pages WHERE lower(url[1:8]) = 'https://'")
 register("pf03_assets", "pages", lambda p: p.where(~F.col("url").rlike(r"(?i)\.(pdf|png|jpe?g|gif|zip|html)(?:[?#]|$)")).select("page_id"), "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '(?i)\\.(pdf|png|jpe?g|gif|zip|html)([?#]|$)')")
 register("pf21_unfetched", "hits", lambda h: unfetched(h.groupBy(F.col("url").alias("key")).agg(F.max("hit_id").alias("at")), h.where("hit_id % 6 = 0").select(F.col("url").alias("key")), h.where("hit_id % 7 = 3").select(F.col("url").alias("key")), 40), "SELECT url AS key, max(hit_id) AS at FROM hits WHERE url NOT IN (SELECT url FROM hits WHERE hit_id % 6 = 0 OR hit_id % 7 = 3) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40")
-register("pf28_sec_intent", "hits", lambda h: h.select("url").union(h.where(F.col("title").rlike(r"(?i)title 1\d*")).select(F.concat(F.lit("edgar://"), "hit_id").alias("url"))), "SELECT url FROM hits UNION ALL SELECT 'edgar://' || hit_id FROM hits WHERE regexp_matches(title, '(?i)title 1\\d*')")
+register("pf28_sec_intent", "hits", lambda h: with_filings(h.select("hit_id", "url", F.concat_ws(" ", "title", F.element_at(F.array(*map(F.lit, ["10-K", "10 q", "an 8K form", "sec  filing", "see www.sec.gov/x", "12-K", "s1x", "Edgar", "DEF 14A"])), (F.col("hit_id") % 9 + 1).cast("int"))).alias("query"))), "SELECT hit_id, url FROM hits UNION ALL SELECT hit_id, 'https://efts.sec.gov/LATEST/search-index?q=' || replace(title || ' ' || q, ' ', '%20') FROM (SELECT *, ['10-K', '10 q', 'an 8K form', 'sec  filing', 'see www.sec.gov/x', '12-K', 's1x', 'Edgar', 'DEF 14A'][hit_id % 9 + 1] AS q FROM hits) WHERE hit_id % 9 NOT IN (4, 5, 6) UNION ALL SELECT hit_id, 'https://efts.sec.gov/LATEST/search-index?q=' || replace(title, ' ', '%20') || '%20see%20www.sec.gov%2Fx' FROM hits WHERE hit_id % 9 = 4")
 register("st03_exact_dedupe", "hits", lambda h: h.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("hit_id"))).where("r = 1").select("url", "hit_id"), "SELECT url, min(hit_id) AS hit_id FROM hits GROUP BY 1")
 register("st08_query_key", "benchmark", lambda b: b.select("item_id", canonical_query(F.col("text")).alias("key")), "SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))), ' ') AS key FROM benchmark")
-register("st09_trail_key", "benchmark", lambda b: b.select("item_id", trail_key(F.concat(F.substring("text", 1, 20), F.lit(" 2024 1999"))).alias("key")), "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text[1:20] || ' 2024 1999'), '[\\p{L}\\p{N}]+'), lambda t: NOT regexp_full_match(t, '(19|20)[0-9]{2}')))), ' ') AS key FROM benchmark")
+register("st09_trail_key", "benchmark", lambda b: b.select("item_id", trail_key(F.concat("text", F.lit(" 2024 1999"))).alias("key")), "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text || ' 2024 1999'), '[\\p{L}\\p{N}]+'), lambda t: NOT regexp_full_match(t, '(19|20)[0-9]{2}')))), ' ') AS key FROM benchmark")
 register("st12_url_extract", "hits", lambda h: h.select("hit_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit("see "), "url", F.lit("), or ("), "url", F.lit("/x.")), F.lit(r"https?://[^\s)\]]+"), 0), lambda u: F.regexp_replace(u, r"[.,;:)]+$", "")))).alias("found")), "SELECT hit_id, url AS found FROM hits UNION ALL SELECT hit_id, url || '/x' FROM hits")
-register("ss16_search_cache", "benchmark", lambda b: b.groupBy(F.substring(canonical_query(F.col("text")), 1, 3).alias("key")).agg(F.count("*").alias("asked"), (F.count("*") - 1).alias("from_cache")), "SELECT array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))), ' ')[1:3] AS key, count(*) AS asked, count(*) - 1 AS from_cache FROM benchmark GROUP BY 1")
-register("xs04_fan_out", "hits", lambda h: h.where("provider <> 'p1'").groupBy("query_no").agg(F.count("*").alias("n")), "SELECT query_no, count(*) AS n FROM hits WHERE provider <> 'p1' GROUP BY 1")
+register("ss16_search_cache", "benchmark", lambda b: b.groupBy(F.md5(canonical_query(F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("again again "), F.lower("text"))))).alias("key")).agg(F.count("*").alias("asked"), (F.count("*") - 1).alias("from_cache")), "SELECT md5(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(CASE WHEN item_id % 3 = 0 THEN text ELSE 'again again ' || lower(text) END), '[\\p{L}\\p{N}]+'))), ' ')) AS key, count(*) AS asked, count(*) - 1 AS from_cache FROM benchmark GROUP BY 1")
+register("xs04_fan_out", "hits", lambda h: fanned_out({p: h.where(F.col("provider") == p) for p in ("p0", "p1", "p2")} | {"p3": None}, "hit_id").groupBy("provider", "warning").agg(F.count("hit_id").alias("n")), "SELECT provider, NULL AS warning, count(*) AS n FROM hits GROUP BY 1 UNION ALL SELECT 'p3', 'p3 failed', 0")
 register("ss15_reservation", "hits", lambda h: h.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("hit_id"))).where("r = 1").orderBy("hit_id").limit(50).select("url", "hit_id"), "SELECT url, min(hit_id) AS hit_id FROM hits GROUP BY 1 ORDER BY 2 LIMIT 50")
 register("so11_bounded_list", "hits", lambda h: h.withColumn("r", F.row_number().over(Window.partitionBy("query_no").orderBy("hit_id"))).groupBy("query_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("hit_id")))), lambda x: x.cast("string")), ",").alias("shown"), F.count_if(F.col("r") > 5).alias("more")), "SELECT query_no, string_agg(hit_id::VARCHAR, ',' ORDER BY hit_id) FILTER (r <= 5) AS shown, count(*) FILTER (r > 5) AS more FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY hit_id) AS r FROM hits) GROUP BY 1")
 register("sc19_fallback_chain", "hits", lambda h: h.withColumn("good", F.col("snippet") != "").withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("good"), F.desc("position"), "hit_id"))).where("r = 1").select("url", "hit_id", "good"), "SELECT url, hit_id, snippet <> '' AS good FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY (snippet <> '') DESC, position DESC, hit_id) AS r FROM hits) WHERE r = 1")

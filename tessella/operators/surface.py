@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.fixed import GUESSED_VALUES, LEFTOVERS, RESERVED_TOOLS, ascii_edges
 from ..functions.pages import mapped, robots_allowed
 from ..plans.registry import register, rounded
 
-RESERVED = frozenset("search fetch read note grep run_code close_slot add_slot retarget_slot".split())
+RESERVED = frozenset(RESERVED_TOOLS)
 NAME = re.compile(r"[A-Za-z][\w-]{0,63}")
 
 
@@ -51,9 +52,8 @@ class Grep:
 
 def stripped_guesses(ask: Column) -> Column:
     """A question without the figures that it guesses."""
-    figures = r"\$\s?\d[\d,]*(?:\.\d+)?|(?<![A-Za-z0-9_])\d+(?:\.\d+)?\s?[–-]\s?\d+(?:\.\d+)?\s?%?|\d{1,3}(?:,\d{3})+(?:\.\d+)?|(?<![A-Za-z0-9_])\d+\.\d+\s?%?|(?<![A-Za-z0-9_])\d[\d,]*\s?%"
-    out = F.regexp_replace(ask, figures, "")
-    for pattern, by in ((r"\(\s*[~≈]?\s*\)", ""), (r"\s{2,}", " "), (r"\s+([.,;:)])", "$1"), (r"\(\s*\)", "")):
+    out = F.regexp_replace(ask, ascii_edges(GUESSED_VALUES), "")
+    for pattern, by in LEFTOVERS:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 
@@ -78,6 +78,28 @@ def grepped(docs: DataFrame, pattern: str) -> DataFrame:
 
 register("fn10_stripped_guesses", "part", lambda p: p.select("p_partkey", stripped_guesses(F.concat(F.lit("Is it $"), "p_partkey", F.lit(" or (~ 12%) of 3.5 , at "), "p_size", F.lit(" units?"))).alias("ask")), "SELECT p_partkey, 'Is it or of, at ' || p_size || ' units?' AS ask FROM part")
 register("ud05_grep_table", "documents", lambda d: grepped(d, "[Tt]hat").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("at").alias("first")), "SELECT doc_id, least(200, len(regexp_extract_all(text, '[Tt]hat'))) AS n, (instr(text, regexp_extract(text, '[Tt]hat')) - 1)::INT AS first FROM documents WHERE regexp_matches(text, '[Tt]hat')")
+class Words:
+    """A tool that a user adds: the words of a text with their places."""
+
+    def eval(self, text: str):
+        yield from enumerate((text or "").split())
+
+
+def registered(docs: DataFrame) -> DataFrame:
+    """A user's tool under its name in SQL, and which names the registry takes."""
+    tools = ToolRegistry(docs.sparkSession)
+    tools.add("word-list", Words, "at int, word string")
+    return docs.sparkSession.sql("SELECT d.item_id, count(*) AS n, max_by(w.word, w.at) AS last FROM {docs} d, LATERAL word_list(d.text) w GROUP BY d.item_id", docs=docs)
+
+
+def free_names(names: DataFrame) -> DataFrame:
+    """Names that a tool may take: of the allowed form, not reserved, the first of equals."""
+    first = F.row_number().over(Window.partitionBy("name").orderBy("id")) == 1
+    return names.withColumn("first", first).select("id", (F.col("name").rlike(f"^{NAME.pattern}$") & ~F.col("name").isin(*RESERVED) & F.col("first")).alias("free"))
+
+
+register("ud01_added_tool", "benchmark", registered, "SELECT item_id, len(w) AS n, w[-1] AS last FROM (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0")
+register("ud02_tool_names", "events", lambda e: free_names(e.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, ["search", "read", "grep", "read_source", "search_sources", "9lives", "my tool", "close_slot"])), (F.col("event_id") % 8 + 1).cast("int")).alias("kind")).select("id", F.when(F.col("id") % 3 == 0, F.concat("kind", F.lit("-"), (F.col("id") % 50).cast("string"))).otherwise(F.col("kind")).alias("name"))), "SELECT id, regexp_full_match(name, '[A-Za-z][\\w-]{0,63}') AND name NOT IN ('search', 'fetch', 'read_source', 'search_sources', 'run_code', 'note', 'close_slot', 'add_slot', 'retarget_slot') AND row_number() OVER (PARTITION BY name ORDER BY id) = 1 AS free FROM (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN k || '-' || (event_id % 50) ELSE k END AS name FROM (SELECT event_id, ['search', 'read', 'grep', 'read_source', 'search_sources', '9lives', 'my tool', 'close_slot'][event_id % 8 + 1] AS k FROM events))")
 register("fn34_step_lines", "conversations", lambda c: c.select("conv_id", "turn", step_line(F.col("role"), F.col("turn"), F.col("text")).alias("line")), "SELECT conv_id, turn, '#' || turn || ' ' || role || ': ' || regexp_replace(text[1:40], '\\s+', ' ', 'g') || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS line FROM conversations")
 register("pf25_source_cards", "documents", source_card, "SELECT doc_id, '{\"id\":\"source_' || doc_id || '\",\"chars\":' || n_chars || CASE WHEN n_chars > 200 THEN ',\"truncated\":true' ELSE '' END || ',\"preview\":\"' || md5(text[1:200]) || '\"}' AS card FROM documents")
 register("xs16_extraction_metadata", "pages", lambda p: p.select("page_id", F.to_json(F.struct(F.lit("html").alias("method"), F.when(F.length("html") < 3000, F.lit("thin")).alias("note"))).alias("meta")), "SELECT page_id, '{\"method\":\"html\"' || CASE WHEN length(html) < 3000 THEN ',\"note\":\"thin\"' ELSE '' END || '}' AS meta FROM pages")
@@ -87,7 +109,7 @@ register("xs03_source_filter", "events", lambda e: e.select("event_id", F.when(F
 register("xs11_case_detail", "runs cases", lambda r, c: c.join(r.where("commit_sha = 'k1'").groupBy("case_id").agg(F.max("run_id").alias("run_id")), "case_id", "left").select("case_id", F.when(F.col("run_id").isNotNull(), "run").otherwise("rubric").alias("answer"), F.coalesce("run_id", "problem").alias("key")), "SELECT case_id, CASE WHEN r.run_id IS NOT NULL THEN 'run' ELSE 'rubric' END AS answer, coalesce(r.run_id, problem) AS key FROM cases LEFT JOIN (SELECT case_id, max(run_id) AS run_id FROM runs WHERE commit_sha = 'k1' GROUP BY 1) r USING (case_id)")
 register("xs10_default_commit", "runs", lambda r: r.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select("commit_sha"), "SELECT commit_sha FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 1")
 register("xs27_scoped_grant", "events", lambda e: e.select("event_id", rounded(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.coalesce(F.when(F.col("event_id") % 5 > 0, F.col("value") / 20), F.lit(0.15)))) * 10).alias("usd")), "SELECT event_id, floor(greatest(0.01::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN event_id % 5 > 0 THEN value / 20 END, 0.15::DOUBLE))) * 10 * 10000 + 0.5) / 10000 AS usd FROM events")
-register("xs35_manifest", "documents", lambda d: d.groupBy("source").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3), lambda x: F.concat(F.lit("- doc "), x.cast("string"))), "\n").alias("manifest")), "SELECT source, array_to_string(list_transform(list_sort(list(doc_id))[1:3], lambda x: '- doc ' || x), chr(10)) AS manifest FROM documents GROUP BY 1")
+register("xs35_manifest", "documents", lambda d: d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("r <= 3").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("- doc "), x.cast("string"))), "\n").alias("manifest")), "SELECT source, array_to_string(list_transform(list_sort(list(doc_id))[1:3], lambda x: '- doc ' || x), chr(10)) AS manifest FROM documents GROUP BY 1")
 register("xs45_event_lines", "journal", lambda j: j.where("kind = 'event'").select("seq", F.format_string("[%s] %s %.2f", "run_id", "type", F.col("cents") / 100).alias("line")), "SELECT seq, printf('[%s] %s %.2f', run_id, type, cents / 100) AS line FROM journal WHERE kind = 'event'")
 register("pf12_robots_match", "pages", lambda p: mapped(p.select("page_id"), "page_id long, allowed boolean", lambda i: (i, robots_allowed("User-agent: *\nDisallow: /a*c\nAllow: /abc$", "x", ("/abc", "/abcd", "/b")[i % 3]))), "SELECT page_id, page_id % 3 <> 1 AS allowed FROM pages")
 register("jn12_roster_bind", "documents", lambda d: d.select("doc_id", F.explode(F.array(F.col("doc_id") % 7, F.lit(1), F.lit(9))).alias("ordinal")).join(F.broadcast(d.sparkSession.createDataFrame([(i, f"r{i}") for i in range(1, 6)], "ordinal long, member string")), "ordinal", "left").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("member"))).where("k = 1").select("doc_id", "ordinal", "member"), "SELECT DISTINCT doc_id, o AS ordinal, CASE WHEN o BETWEEN 1 AND 5 THEN 'r' || o END AS member FROM (SELECT doc_id, unnest([doc_id % 7, 1, 9]) AS o FROM documents)")

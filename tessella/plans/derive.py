@@ -31,7 +31,7 @@ DERIVED = {
       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey * 31 % 4000 AS DOUBLE) / 1000 END AS cost_usd,
       CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE CAST(o_orderkey * 17 % 900 AS DOUBLE) / 1000 END AS exa_usd,
       o_orderkey * 53 % 600000 AS latency_ms, o_orderkey % 12 AS sources, o_orderkey * 3 % 5 = 0 AS exhausted FROM orders""",
-    "cases": """SELECT concat('c', CAST(c_custkey AS STRING)) AS case_id, c_mktsegment AS domain, c_name AS problem, c_custkey % 40 AS criteria_count FROM customer WHERE c_custkey < 230""",
+    "cases": """SELECT concat('c', CAST(c_custkey AS STRING)) AS case_id, c_mktsegment AS domain, c_name AS problem, c_custkey % 40 AS criteria_count FROM customer""",
     "grades": """SELECT concat('c', CAST(l_orderkey % 300 AS STRING)) AS case_id, CAST(l_linenumber % 3 AS INT) AS run, l_partkey % 23 AS criterion,
       CASE l_partkey % 23 % 4 WHEN 0 THEN 'factual-accuracy' WHEN 1 THEN 'breadth-and-depth-of-analysis' WHEN 2 THEN 'presentation-quality' ELSE 'citation-quality' END AS section_id,
       CAST(CASE WHEN l_partkey % 23 % 5 = 0 THEN -(l_partkey % 23 % 7) - 1 ELSE l_partkey % 23 % 11 END AS BIGINT) AS weight,

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.pages import mapped
 from ..plans.registry import register
+from ..plans.scratch import scratch_path
 
 JOURNAL_SCHEMA = "run_id string, seq long, kind string, type string, call_key string, data string, cents long, at_ms long"
 
@@ -21,16 +22,31 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\w.-]", "_")
 
 
+def sequenced(entries: DataFrame, after: DataFrame | None = None, by: str = "at_ms") -> DataFrame:
+    """Entries numbered within their run in the order of ``by``, behind the last number that the journal ``after`` has of the run."""
+    k = F.row_number().over(Window.partitionBy("run_id").orderBy(by, "type", "data"))
+    if after is None:
+        return entries.withColumn("seq", (k - 1).cast("long"))
+    last = after.groupBy("run_id").agg(F.max("seq").alias("__last"))
+    return entries.join(last, "run_id", "left").withColumn("seq", (k + F.coalesce("__last", F.lit(-1))).cast("long")).drop("__last")
+
+
 def append_journal(entries: DataFrame, path: str) -> None:
     """Append entries as JSON lines, a folder for each run; failed writes raise."""
     entries.withColumn("run", safe_name(F.col("run_id"))).write.mode("append").partitionBy("run").json(path)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Entries in the order of seq within a run; lines that don't parse are left out."""
+    """Entries of a journal, lines that don't parse left out; ``seq`` has their order within a run."""
     return spark.read.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
+def journal_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run, files): the runs that a journal folder holds, by the names of their folders, without a look into the files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.select(F.regexp_extract("path", "/run=([^/]+)/", 1).alias("run")).groupBy("run").agg(F.count("*").alias("files"))
+
+
 def runs_of(journal: DataFrame) -> DataFrame:
     return journal.select("run_id").distinct()
 
@@ -46,14 +62,31 @@ def run_status(journal: DataFrame) -> DataFrame:
 def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Cases from a JSON array, JSON lines with # comments, or CSV with a header and quoted line breaks, by what the file looks like."""
     if path.endswith(".csv"):
-        return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
-    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    if head and head[0]["value"].lstrip().startswith("["):
+        return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False).dropna("all")
+    # by the text itself, whatever the name: files that begin with a bracket are arrays
+    if spark.read.text(path, wholetext=True).where(F.startswith(F.ltrim("value"), F.lit("["))).limit(1).count():
         return spark.read.schema(schema).json(path, multiLine=True)
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
     return lines.select(F.from_json("value", schema).alias("c")).select("c.*")
 
 
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines; null columns are left out of a line."""
+    rows.write.mode("overwrite").json(path)
+
+
+def trace_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Spans of trace files ``<commit>/<run>.trace.json``, commit and run by the names of folder and file."""
+    files = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    name = lambda group: F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)\.trace(?:/|\.json)", group)
+    return files.select("*", name(1).alias("commit"), name(2).alias("run"))
+
+
+def unloaded(rows: DataFrame, loaded: DataFrame, key: str = "revision") -> DataFrame:
+    """Rows of dataset revisions that the meta table doesn't know yet: a load that is repeated adds nothing."""
+    return rows.join(loaded.select(key), key, "left_anti")
+
+
 def flattened(cases: DataFrame) -> DataFrame:
     """Criteria of rubrics: sections and their criteria as rows, those without finite weight or requirement left out, ids defaulted."""
     rows = cases.select("case_id", F.posexplode("sections").alias("s", "section")).select("case_id", "s", F.col("section.id").alias("section_id"), F.posexplode("section.criteria").alias("c", "criterion"))
@@ -78,6 +111,14 @@ def abstract_text(index: DataFrame) -> DataFrame:
     return words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("abstract"))
 
 
+def persisted(usage: DataFrame, runs: DataFrame) -> DataFrame:
+    """What is kept of a run: tokens by role as JSON, their sum, and why it ended."""
+    roles = usage.groupBy("run_id", "role").agg(F.sum(F.col("input") + F.col("output")).alias("n"))
+    kept = roles.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n"))))).alias("usage"), F.sum("n").alias("tokens"))
+    finish = F.when(F.col("status").isNull(), "lost").when(F.col("status") == "error", "error").when(F.col("exhausted"), "cap").otherwise("finished")
+    return kept.join(runs, "run_id", "left").select("run_id", "usage", "tokens", finish.alias("finish"))
+
+
 def no_text_layer(pages: Column, letters: Column) -> Column:
     """A PDF of two pages or more with hardly any letters was scanned."""
     return (pages >= 2) & (letters < F.greatest(F.lit(200), 20 * pages))
@@ -128,36 +169,87 @@ def parsed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _index(b: DataFrame) -> DataFrame:
-    rows = b.select(F.col("item_id").alias("id"), F.posexplode(F.slice(F.split("text", " "), 1, 30)).alias("at", "w")).groupBy("id", "w").agg(F.collect_list("at").alias("p"))
+    rows = b.select(F.col("item_id").alias("id"), F.posexplode(F.split("text", " ")).alias("at", "w")).groupBy("id", "w").agg(F.collect_list("at").alias("p"))
     return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("index"))
 
 
 STATUS = "SELECT run_id, CASE l WHEN 'run.completed' THEN 'completed' WHEN 'run.error' THEN 'failed' ELSE 'incomplete' END AS status, question FROM (SELECT run_id, arg_max(type, seq) FILTER (type IN ('run.completed', 'run.error')) AS l, arg_min(data, seq) FILTER (kind = 'meta') AS question FROM journal GROUP BY 1)"
 
 
-def _round_trip(j: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    spark = j.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/journal-{uuid.uuid4().hex}"
+def _journal_folder(j: DataFrame) -> str:
+    path = scratch_path(j.sparkSession, "journal")
     append_journal(j, path)
-    return read_journal(spark, path)
+    return path
+
+
+def _appended(j: DataFrame) -> DataFrame:
+    """Two writes of one journal, the second behind the numbers of the first."""
+    spark, path, bare = j.sparkSession, scratch_path(j.sparkSession, "journal"), j.drop("seq")
+    append_journal(sequenced(bare.where("at_ms % 3 > 0")), path)
+    append_journal(sequenced(bare.where("at_ms % 3 = 0"), read_journal(spark, path)), path)
+    return read_journal(spark, path).groupBy("run_id").agg(F.count("*").alias("entries"), F.count_distinct("seq").alias("numbers"), F.max("seq").alias("last"), F.max(F.when(F.col("at_ms") % 3 > 0, F.col("seq"))).alias("last_of_first"))
+
+
+CASE = "id long, problem string, domain string"
+
+
+def _cases(b: DataFrame) -> DataFrame:
+    return b.select(F.col("item_id").alias("id"), F.concat(F.lit('He said "'), "text", F.lit('",\nand\tmore')).alias("problem"), F.concat(F.lit("d"), F.col("item_id") % 5).alias("domain"))
+
+
+def _written_cases(b: DataFrame, kind: str) -> DataFrame:
+    """Cases written as a file of this kind and read again by read_cases()."""
+    spark, rows = b.sparkSession, _cases(b)
+    path = scratch_path(spark, "cases") + (".csv" if kind == "csv" else "")
+    if kind == "csv":
+        rows.write.csv(path, header=True, quote='"', escape='"')
+    elif kind == "array":  # some arrays of bounded size, a file each
+        lines = rows.groupBy(F.col("id") % 16).agg(F.to_json(F.collect_list(F.struct("id", "problem", "domain"))).alias("value"))
+        lines.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    else:
+        lines = rows.select(F.explode(F.array(F.lit("# a comment"), F.lit("  "), F.to_json(F.struct("id", "problem", "domain")))).alias("value"))
+        lines.write.text(path)
+    return read_cases(spark, path, CASE).select("id", F.md5("problem").alias("digest"), "domain")
+
+
+def _sunk(r: DataFrame) -> DataFrame:
+    """A manifest, results and a summary as the lines of one file, read again."""
+    spark, path = r.sparkSession, scratch_path(r.sparkSession, "results")
+    lit = lambda x: F.lit(x).alias("type")
+    manifest = r.select("commit_sha").distinct().select(lit("manifest"), "commit_sha")
+    results = r.select(lit("result"), "commit_sha", "run_id", "normalized")
+    summary = r.groupBy("commit_sha").agg(F.count("*").alias("total")).select(lit("summary"), "commit_sha", "total")
+    write_jsonl(manifest.unionByName(results, allowMissingColumns=True).unionByName(summary, allowMissingColumns=True), path)
+    return spark.read.schema("type string, commit_sha string, run_id string, normalized double, total long").json(path)
+
+
+def _traced(s: DataFrame) -> DataFrame:
+    spark, path = s.sparkSession, scratch_path(s.sparkSession, "traces")
+    for commit in ("k1", "k2"):
+        for run in ("run1", "run2", "run3"):
+            s.where(F.col("run_id") == run).where(F.col("id") % 2 == int(commit[1]) % 2).select("id", "kind", "duration_ms").write.json(f"{path}/{commit}/{run}.trace")
+    return trace_files(spark, path, "id long, kind string, duration_ms long").groupBy("commit", "run").agg(F.count("*").alias("spans"), F.sum("duration_ms").alias("ms"))
+
 
+CASES_SQL = """SELECT item_id AS id, md5('He said "' || text || '",' || chr(10) || 'and' || chr(9) || 'more') AS digest, 'd' || (item_id % 5) AS domain FROM benchmark"""
 
-register("sc02_journal_scan", "journal", lambda j: _round_trip(j).groupBy("run_id").agg(F.count("*").alias("entries"), F.max("seq").alias("last")), "SELECT run_id, count(*) AS entries, max(seq) AS last FROM journal GROUP BY 1")
-register("sc03_run_list", "journal", runs_of, "SELECT DISTINCT run_id FROM journal")
+register("sc01_journal_append", "journal", _appended, "SELECT run_id, count(*) AS entries, count(*) AS numbers, count(*) - 1 AS last, nullif(count(*) FILTER (at_ms % 3 > 0) - 1, -1) AS last_of_first FROM journal GROUP BY 1")
+register("sc02_journal_scan", "journal", lambda j: read_journal(j.sparkSession, _journal_folder(j)).groupBy("run_id").agg(F.count("*").alias("entries"), F.max("seq").alias("last")), "SELECT run_id, count(*) AS entries, max(seq) AS last FROM journal GROUP BY 1")
+register("sc03_run_list", "journal", lambda j: journal_runs(j.sparkSession, _journal_folder(j.where("seq % 5 > 0").withColumn("run_id", F.concat("run_id", F.lit("/a b"))))).select("run"), "SELECT DISTINCT run_id || '_a_b' AS run FROM journal WHERE seq % 5 > 0")
+register("sc05_case_array", "benchmark", lambda b: _written_cases(b, "array"), CASES_SQL)
+register("sc06_case_lines", "benchmark", lambda b: _written_cases(b, "lines"), CASES_SQL)
+register("sc07_case_csv", "benchmark", lambda b: _written_cases(b, "csv"), CASES_SQL)
+register("sc16_trace_files", "spans", _traced, "SELECT 'k' || c AS commit, run_id AS run, count(*) AS spans, sum(duration_ms)::BIGINT AS ms FROM spans, (VALUES (1), (2)) v(c) WHERE run_id IN ('run1', 'run2', 'run3') AND id % 2 = c % 2 GROUP BY 1, 2")
 register("xs01_run_status", "journal", run_status, STATUS)
 register("xs02_first_meta", "journal", lambda j: run_status(j).where("question IS NOT NULL").select("run_id", "question"), f"SELECT run_id, question FROM ({STATUS}) WHERE question IS NOT NULL")
 register("pf24_rubric_rows", "cases", lambda c: flattened(c.select("case_id", F.array(F.struct(F.lit(None).cast("string").alias("id"), F.array(F.struct(F.lit("a").alias("id"), F.col("criteria_count").cast("double").alias("weight"), F.lit(" must hold ").alias("requirement")), F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("weight"), F.lit("x").alias("requirement"))).alias("criteria"))).alias("sections"))), "SELECT case_id, 'section-1' AS section_id, 'a' AS id, criteria_count::DOUBLE AS weight, 'must hold' AS requirement FROM cases")
-register("sc26_abstracts", "benchmark", lambda b: abstract_text(_index(b)), "SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:30], ' ') AS abstract FROM benchmark")
+register("sc26_abstracts", "benchmark", lambda b: abstract_text(_index(b)), "SELECT item_id AS id, array_to_string(string_split(text, ' '), ' ') AS abstract FROM benchmark")
 register("sc23_parse_lines", "hits", lambda h: parsed_lines(h.select("hit_id", F.concat_ws("\n", F.lit("found:"), F.concat(F.lit("- "), "url", F.lit(" :: "), "title"), F.concat("url", F.lit(" :: again")), F.lit("no result")).alias("text")), "hit_id", "text"), "SELECT hit_id, url, title AS summary FROM hits")
 register("sc27_filing_urls", "orders", lambda o: o.select("o_orderkey", F.concat(F.lit("https://filings.example/data/"), "o_custkey", F.lit("/"), F.replace(F.format_string("%010d-%02d", "o_orderkey", F.col("o_orderkey") % 100), F.lit("-"), F.lit("")), F.lit("/index.htm")).alias("url")), "SELECT o_orderkey, 'https://filings.example/data/' || o_custkey || '/' || replace(printf('%010d-%02d', o_orderkey, o_orderkey % 100), '-', '') || '/index.htm' AS url FROM orders")
 register("sc31_text_layer", "documents", lambda d: d.select("doc_id", no_text_layer(F.col("doc_id") % 30, F.length(F.regexp_replace("text", r"[^A-Za-z0-9]", ""))).alias("scanned")), "SELECT doc_id, doc_id % 30 >= 2 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < greatest(200, 20 * (doc_id % 30)) AS scanned FROM documents")
 register("sc32_direct_text", "events", lambda e: e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit("application/json")).when(F.col("event_id") % 3 == 1, F.lit("text/xml")).otherwise(F.lit("text/plain")).alias("t"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("<a>"), "event_type", F.lit("</a><b> x </b>"))).otherwise(F.col("props")).alias("b")).select("event_id", F.regexp_replace(direct_text(F.col("t"), F.col("b")), r"\s", "").alias("text")), "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN event_type || 'x' ELSE replace(props, ' ', '') END AS text FROM events")
 register("sc36_decrypt", "benchmark", lambda b: mapped(b.select("item_id", "text"), "item_id long, text string", lambda i, t: (i, decrypted(encrypted(t, f"canary{i}"), f"canary{i}"))), "SELECT item_id, text FROM benchmark")
-register("sc08_union_sink", "labels", lambda d: d.where("toxic = 1").select("doc_id", "toxic").unionByName(d.where("quality = 1").select("doc_id", "quality"), allowMissingColumns=True), "SELECT doc_id, toxic, NULL::INT AS quality FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, NULL, quality FROM labels WHERE quality = 1")
-register("sc35_catalog_guard", "cases", lambda c: c.join(c.sparkSession.createDataFrame([("other",)], "revision string").where("revision = 'loaded'"), F.lit(True), "left_anti").groupBy("domain").agg(F.count("*").alias("n")), "SELECT domain, count(*) AS n FROM cases GROUP BY 1")
-register("xs47_persist_run", "usage", lambda u: u.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("role", F.lit(1)))))).alias("usage"), F.sum(F.col("input") + F.col("output")).alias("tokens")).select("run_id", F.length("usage").alias("bytes"), "tokens"), "SELECT run_id, 34::INT AS bytes, sum(input + output)::BIGINT AS tokens FROM usage GROUP BY 1")
+register("sc08_union_sink", "runs", _sunk, "SELECT DISTINCT 'manifest' AS type, commit_sha, NULL::VARCHAR AS run_id, NULL::DOUBLE AS normalized, NULL::BIGINT AS total FROM runs UNION ALL SELECT 'result', commit_sha, run_id, normalized, NULL FROM runs UNION ALL SELECT 'summary', commit_sha, NULL, NULL, count(*) FROM runs GROUP BY 2")
+register("sc35_catalog_guard", "cases runs", lambda c, r: unloaded(c.withColumn("revision", F.concat(F.lit("k"), F.col("criteria_count") % 8)), r.select(F.col("commit_sha").alias("revision")).distinct()).select("case_id", "revision"), "SELECT case_id, 'k' || (criteria_count % 8) AS revision FROM cases WHERE 'k' || (criteria_count % 8) NOT IN (SELECT commit_sha FROM runs)")
+register("xs47_persist_run", "usage runs", lambda u, r: persisted(u, r.groupBy(F.concat(F.lit("run"), F.col("created_at") % 13).alias("run_id")).agg(F.min("status").alias("status"), F.bool_and("exhausted").alias("exhausted"))), "SELECT run_id, '{' || string_agg('\"' || role || '\":' || n, ',' ORDER BY role) || '}' AS usage, sum(n)::BIGINT AS tokens, any_value(CASE WHEN status IS NULL THEN 'lost' WHEN status = 'error' THEN 'error' WHEN exhausted THEN 'cap' ELSE 'finished' END) AS finish FROM (SELECT run_id, role, sum(input + output)::BIGINT AS n FROM usage GROUP BY 1, 2) LEFT JOIN (SELECT 'run' || (created_at % 13) AS run_id, min(status) AS status, bool_and(exhausted) AS exhausted FROM runs GROUP BY 1) USING (run_id) GROUP BY 1")
 register("xs44_trace_commits", "runs", lambda r: r.groupBy("commit_sha").agg(F.count("*").alias("n")), "SELECT commit_sha, count(*) AS n FROM runs GROUP BY 1")

@@ -108,6 +108,11 @@ def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str]], schema: st
     return dealt.select("url").mapInPandas(run, schema)
 
 
+def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` with ``rows`` in the place of those of their keys; new keys are added."""
+    return rows.unionByName(table.join(rows.select(key), key, "left_anti"))
+
+
 def attempts_by_host(attempts: DataFrame) -> DataFrame:
     """Of each URL's attempts the first good one, else the one with the best score, attempts in order."""
     order = Window.partitionBy("url").orderBy(F.desc("good"), F.when(F.col("good"), F.col("ord")), F.desc("score"), "ord")
@@ -116,15 +121,15 @@ def attempts_by_host(attempts: DataFrame) -> DataFrame:
 
 def _feed(b: DataFrame) -> DataFrame:
     clean = F.regexp_replace("text", "[^A-Za-z .]", "")
-    return b.select("item_id", F.concat(F.lit("<entry><id>http://x/"), "item_id", F.lit("</id><title> "), F.substring(clean, 1, 20), F.lit("\n</title><summary>"), F.substring(clean, 21, 40), F.lit("</summary><author><name>A B</name></author><author><name>C</name></author></entry>")).alias("xml"))
+    return b.select("item_id", F.concat(F.lit("<entry><id>http://x/"), "item_id", F.lit("</id><title> "), clean, F.lit("\n</title><summary>"), F.reverse(clean), F.lit("</summary><author><name>A B</name></author><author><name>C</name></author></entry>")).alias("xml"))
 
 
-register("sc24_atom", "benchmark", lambda b: atom_entries(_feed(b)).select("item_id", "url", "title", "authors"), "SELECT item_id, 'http://x/' || item_id AS url, trim(regexp_replace(regexp_replace(text, '[^A-Za-z .]', '', 'g')[1:20], '\\s+', ' ', 'g')) AS title, 'A B, C' AS authors FROM benchmark")
+register("sc24_atom", "benchmark", lambda b: atom_entries(_feed(b)).select("item_id", "url", "title", "authors"), "SELECT item_id, 'http://x/' || item_id AS url, trim(regexp_replace(regexp_replace(text, '[^A-Za-z .]', '', 'g'), '\\s+', ' ', 'g')) AS title, 'A B, C' AS authors FROM benchmark")
 register("sc25_pubmed", "benchmark", lambda b: pubmed_articles(b.select("item_id", F.concat(F.lit("<Article><PMID>"), "item_id", F.lit("</PMID><Title>t</Title><Abstract Label=\"AIM\">one</Abstract><Abstract>two</Abstract><Author><Last>X</Last></Author><Author><Last>Y</Last></Author></Article>")).alias("xml"))), "SELECT item_id, item_id::VARCHAR AS pmid, 't' AS title, 'AIM: one' || chr(10) || 'two' AS abstract, 'X, Y' AS authors FROM benchmark")
 register("sc28_studies", "benchmark", lambda b: study_sources(b.select("item_id", F.to_json(F.struct(F.concat(F.lit("N"), "item_id").alias("id"), F.lit("T").alias("title"), F.lit("2").alias("phase"), F.array(F.lit("a"), F.lit("b")).alias("conditions"))).alias("json"))), "SELECT item_id, 'https://studies.example/N' || item_id AS url, '# T' || chr(10) || chr(10) || 'Phase: 2' || chr(10) || chr(10) || 'Conditions: a, b' AS text FROM benchmark")
 register("sc30_video_ids", "pages", lambda p: mapped(p.select("page_id"), "page_id long, video string", lambda i: (i, video_id((f"https://www.youtube.com/watch?v=abcdefghij{i % 10}", f"https://youtu.be/abcdefghij{i % 10}?t=3", f"https://m.youtube.com/shorts/abcdefghij{i % 10}", "https://example.com/watch?v=abcdefghijk")[i % 4]))), "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'abcdefghij' || (page_id % 10) END AS video FROM pages")
-register("xs13_caption_attempt", "documents", lambda d: mapped(d.select("doc_id", F.substring("text", 1, 60).alias("t")), "doc_id long, ok boolean", lambda i, t: (i, len(captions(json.dumps({"events": [{"segs": [{"utf8": t}]}]}))) >= 40)), "SELECT doc_id, length(trim(regexp_replace(text[1:60], '^\\s+|\\s+$', '', 'g'))) >= 40 AS ok FROM documents")
-register("sc09_table_upsert", "runs", lambda r: r.where("dirty = 1").unionByName(r.join(r.where("dirty = 1").select("run_id"), "run_id", "left_anti")).groupBy("commit_sha").agg(F.count("*").alias("n")), "SELECT commit_sha, count(*) AS n FROM runs GROUP BY 1")
+register("xs13_caption_attempt", "documents", lambda d: mapped(d.select("doc_id", F.col("text").alias("t")), "doc_id long, ok boolean", lambda i, t: (i, len(captions(json.dumps({"events": [{"segs": [{"utf8": t}]}]}))) >= 40)), "SELECT doc_id, length(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) >= 40 AS ok FROM documents")
+register("sc09_table_upsert", "runs", lambda r: upserted(r.select("run_id", "status", "created_at"), r.where("dirty = 1").select(F.when(F.col("created_at") % 3 == 0, F.concat(F.lit("new"), "run_id")).otherwise(F.col("run_id")).alias("run_id"), F.lit("regraded").alias("status"), (F.col("created_at") + 1).alias("created_at")), "run_id"), "SELECT run_id, status, created_at FROM runs WHERE NOT (dirty = 1 AND created_at % 3 <> 0) UNION ALL SELECT CASE WHEN created_at % 3 = 0 THEN 'new' || run_id ELSE run_id END, 'regraded', created_at + 1 FROM runs WHERE dirty = 1")
 register("sc13_migration", "runs", lambda r: migrated(r.select("run_id", F.col("status").alias("score_json"), F.col("model").alias("usage_json")))[1], "SELECT run_id, 'score' AS kind, status AS payload FROM runs UNION ALL SELECT run_id, 'usage', model FROM runs WHERE model IS NOT NULL")
 register("st13_best_text", "hits", lambda h: h.withColumn("k", F.row_number().over(Window.partitionBy("query_no").orderBy("hit_id"))).where("k <= 3").groupBy("query_no").agg(F.max(F.struct(F.length("snippet"), -F.col("hit_id"), "url")).alias("m")).select("query_no", F.col("m.url").alias("url")), "SELECT query_no, arg_max(url, (length(snippet), -hit_id)) AS url FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY hit_id) AS k FROM hits) WHERE k <= 3 GROUP BY 1")
 register("sc17_fetch_by_host", "pages", lambda p: fetched(p.select("url"), lambda u: (200, u[::-1])).select("url", "status", F.reverse("body").alias("body")), "SELECT url, 200::INT AS status, url AS body FROM pages")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import ORACLE_SQL, QUERIES, register
+from ..plans.scratch import scratch_path
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -18,13 +16,20 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming plan over all that is there and return the sink's table. State and offsets go to the shared folder."""
+    """Run a streaming plan over all that is there and read back what it wrote: the rows of appends, or the last state of a complete result.
+
+    Rows, state and offsets are in the shared folder; nothing of them passes through the driver. A batch that is run again replaces its own folder.
+    """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp()
-    name = f"sink_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    path = scratch_path(spark, "stream")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'state' if mode == 'complete' else f'batch={number}'}")
+
+    query = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    rows = f"{path}/rows/state" if mode == "complete" else f"{path}/rows/*"
+    return spark.read.schema(df.schema).parquet(rows)
 
 
 def counters(events: DataFrame) -> DataFrame:
