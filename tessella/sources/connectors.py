@@ -132,4 +132,4 @@ register("xs13_caption_attempt", "documents", lambda d: mapped(d.select("doc_id"
 register("sc09_table_upsert", "runs", lambda r: upserted(r.select("run_id", "status", "created_at"), r.where("dirty = 1").select(F.when(F.col("created_at") % 3 == 0, F.concat(F.lit("new"), "run_id")).otherwise(F.col("run_id")).alias("run_id"), F.lit("regraded").alias("status"), (F.col("created_at") + 1).alias("created_at")), "run_id"), "SELECT run_id, status, created_at FROM runs WHERE NOT (dirty = 1 AND created_at % 3 <> 0) UNION ALL SELECT CASE WHEN created_at % 3 = 0 THEN 'new' || run_id ELSE run_id END, 'regraded', created_at + 1 FROM runs WHERE dirty = 1")
 register("sc13_migration", "runs", lambda r: migrated(r.select("run_id", F.col("status").alias("score_json"), F.col("model").alias("usage_json")))[1], "SELECT run_id, 'score' AS kind, status AS payload FROM runs UNION ALL SELECT run_id, 'usage', model FROM runs WHERE model IS NOT NULL")
 register("st13_best_text", "hits", lambda h: h.withColumn("k", F.row_number().over(Window.partitionBy("query_no").orderBy("hit_id"))).where("k <= 3").groupBy("query_no").agg(F.max(F.struct(F.length("snippet"), -F.col("hit_id"), "url")).alias("m")).select("query_no", F.col("m.url").alias("url")), "SELECT query_no, arg_max(url, (length(snippet), -hit_id)) AS url FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY hit_id) AS k FROM hits) WHERE k <= 3 GROUP BY 1")
-register("sc17_fetch_by_host", "pages", lambda p: fetched(p.select("url"), lambda u: (200, u[::-1])).select("url", "status", F.reverse("body").alias("body")), "SELECT url, 200::INT AS status, url AS body FROM pages")
+register("sc18_fetch_by_host", "pages", lambda p: fetched(p.select("url"), lambda u: (200, u[::-1])).select("url", "status", F.reverse("body").alias("body")), "SELECT url, 200::INT AS status, url AS body FROM pages")

@@ -275,3 +275,30 @@ def test_scope_of_unknown_ids_is_all_documents(spark, tmp_path):
     for name, sources, want in (("some", ["src1", "other", None], [1]), ("none", ["a", "b", None], [1, 2, 3])):
         spark.createDataFrame(list(enumerate(sources, 1)), "doc_id long, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         assert sorted(r["doc_id"] for r in registry.QUERIES["jn14_scope"](spark, f"{tmp_path}/{name}").collect()) == want
+
+
+def test_fetch_rules():
+    from tessella.sources import fetching
+
+    asked = []
+
+    def web(url):
+        asked.append(url)
+        return fetching.recorded_web(url)
+
+    fetch = fetching.Fetcher(web)
+    assert fetch("https://h.com/r4/a") == ("https://h.com/page/a", "html", "<p>a</p>")
+    assert fetch("https://h.com/r5/a")[1] == "too_many_redirects" and fetch("https://h.com/private/a")[1] == "robots_disallowed"
+    assert sum(u.endswith("robots.txt") for u in asked) == 1  # once a host
+    for url in ("ftp://h.com/x", "http://10.1.2.3/", "http://u:p@h.com/", "http://localhost/", "http://[::1]/", "https://h.com/" + "x" * 2048, "", "http://[bad"):
+        assert fetch(url)[1] == "blocked_url"
+    big = fetching.Fetcher(lambda u: (200, {"content-type": "text/html"}, b"x" * (fetching.HTML_BYTES + 1)))
+    assert big("https://h.com/a")[1] == "too_large"
+
+
+def test_providers():
+    from tessella.sources.fetching import providers_for, result_limit
+
+    assert providers_for({"brave": "k", "exa": "k"}) == ["exa", "brave"] and providers_for({}) == ["native"]
+    assert providers_for({"exa": "k"}, "academic", {"academic": ["arxiv"]}) == ["arxiv"] and providers_for({"exa": "k"}, "news", {"academic": ["arxiv"]}) == ["exa"]
+    assert [result_limit("tavily", n) for n in (None, 0, 7, 99)] == [8, 1, 7, 20] and result_limit("exa", 500) == 100
