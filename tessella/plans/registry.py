@@ -32,7 +32,7 @@ def rounded(x: Column, places: int = 4) -> Column:
 def _fill() -> None:
     import importlib
 
-    for module in ("operators.trace", "operators.evals", "operators.search", "operators.retrieval", "operators.filters", "operators.ledger", "operators.metering", "operators.runs", "operators.surface", "functions.scalars", "functions.pages", "sources.catalog", "sources.connectors", "sources.fetching", "streaming.journal"):
+    for module in ("operators.trace", "operators.evals", "operators.search", "operators.retrieval", "operators.filters", "operators.ledger", "operators.metering", "operators.runs", "operators.surface", "functions.scalars", "functions.pages", "sources.catalog", "sources.connectors", "sources.fetching", "streaming.journal", "streaming.hub"):
         importlib.import_module(f"tessella.{module}")
 
 
