@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ERROR_TITLE, LISTING_TITLE, ascii_edges
+from ..functions.fixed import ERROR_TITLE, LISTING_TITLE, TRACE_EVENTS, ascii_edges
 from ..functions.text import host
 from ..plans.registry import register
 
@@ -78,6 +78,13 @@ def keep_last(steps: DataFrame, k: int) -> DataFrame:
     return steps.withColumn("back", back).select("conv_id", "turn", F.when(F.col("back") > k, F.concat(F.lit("[cleared "), F.length("text").cast("string"), F.lit(" chars]"))).otherwise(F.md5("text")).alias("shown"))
 
 
+def traced(events: DataFrame) -> DataFrame:
+    """(run_id, seq, event, error): a run's events as its trace names them, and what failed; those without a name are left out."""
+    names = F.create_map(*[F.lit(x) for pair in TRACE_EVENTS.items() if pair[1] for x in pair])
+    some = events.withColumn("event", F.try_element_at(names, F.col("type"))).where("event IS NOT NULL")
+    return some.select("run_id", "seq", "event", F.when(F.col("type").isin("source.failed", "run.error"), F.col("message")).alias("error"))
+
+
 LIKE = ("the the", "ofthe", "tion the")
 ADDRESS = "concat((page_id * 7 % 256)::VARCHAR, '.', (page_id * 11 % 256)::VARCHAR, '.', (page_id % 4)::VARCHAR, '.1')"
 V4 = "(a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113))"
@@ -100,7 +107,7 @@ register("pf10_blocked_or_thin", "documents", lambda d: d.where(blocked_or_thin(
 register("pf14_transcript_slice", "conversations", lambda c: c.where((F.col("role") == "user") & F.col("turn").between(0, 4) & F.col("text").rlike("(?i)the")).orderBy("conv_id", "turn").limit(40).select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND turn BETWEEN 0 AND 4 AND regexp_matches(text, '(?i)the') ORDER BY conv_id, turn LIMIT 40")
 register("pf15_trace_grep", "journal", lambda j: j.where(F.col("data").rlike('"k": 6[0-9]')).select("run_id", "seq"), "SELECT run_id, seq FROM journal WHERE regexp_matches(data, '\"k\": 6[0-9]')")
 register("pf18_source_lookup", "documents", lambda d: d.where((F.col("doc_id") == 17) | (F.col("source") == "src3")).select("doc_id", "n_chars", (F.col("n_chars") < 500).alias("blocked")), "SELECT doc_id, n_chars, n_chars < 500 AS blocked FROM documents WHERE doc_id = 17 OR source = 'src3'")
-register("pf19_event_projection", "journal", lambda j: j.select("run_id", "seq", F.when(F.col("type") == "search.completed", "search_results").when(F.col("type") == "source.fetched", "source_fetched").when(F.col("type").startswith("run."), F.regexp_replace("type", r"\.", "_")).alias("event")).where("event IS NOT NULL"), "SELECT run_id, seq, CASE type WHEN 'search.completed' THEN 'search_results' WHEN 'source.fetched' THEN 'source_fetched' ELSE replace(type, '.', '_') END AS event FROM journal WHERE type IN ('search.completed', 'source.fetched') OR type LIKE 'run.%'")
+register("pf19_event_projection", "journal", lambda j: traced(j.select("run_id", "seq", F.element_at(F.array(*map(F.lit, TRACE_EVENTS)), (F.col("seq") % len(TRACE_EVENTS) + 1).cast("int")).alias("type"), F.concat(F.lit("m"), F.col("seq") % 7).alias("message"))), f"SELECT run_id, seq, name AS event, CASE WHEN type IN ('source.failed', 'run.error') THEN 'm' || (seq % 7) END AS error FROM (SELECT run_id, seq, {list(TRACE_EVENTS)}[seq % {len(TRACE_EVENTS)} + 1] AS type FROM journal) JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in TRACE_EVENTS.items() if v)}) v(type, name) USING (type)")
 register("pf20_progress", "journal", lambda j: j.where("kind = 'event'").select("run_id", "seq", F.format_string("%s #%d (%d c)", "type", "seq", "cents").alias("line")), "SELECT run_id, seq, printf('%s #%d (%d c)', type, seq, cents) AS line FROM journal WHERE kind = 'event'")
 register("pf22_unjournaled", "journal", lambda j: j.where(~F.col("type").isin("report.delta", "report.reset")).groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM journal WHERE type NOT IN ('report.delta', 'report.reset') GROUP BY 1")
 register("pf23_case_aliases", "journal", lambda j: j.select("seq", F.coalesce(F.nullif(F.trim(F.get_json_object("data", "$.question")), F.lit("")), F.get_json_object("data", "$.k"), F.lit("none")).alias("problem")), "SELECT seq, coalesce(nullif(trim(data->>'$.question'), ''), data->>'$.k', 'none') AS problem FROM journal")

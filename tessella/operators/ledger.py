@@ -66,6 +66,22 @@ def covered(slots: DataFrame, update: DataFrame) -> DataFrame:
     return slots.join(told, ["run_id", "slot_id"], "left").select("run_id", "slot_id", state.alias("state"))
 
 
+def registered(docs: DataFrame, warning: str) -> DataFrame:
+    """(kind, doc_id, note) from one scan of fetched documents: each is inserted; a warning that makes it no evidence is a dead end; failed attempts before it are an escalation."""
+    dead = F.try_element_at(F.filter("warnings", lambda w: F.startswith(w, F.lit(warning))), F.lit(1))
+    failed = F.transform(F.filter("attempts", lambda a: ~a["ok"]), lambda a: a["method"])
+    rows = F.array(F.struct(F.lit("insert").alias("kind"), F.col("source").alias("note")), F.when(dead.isNotNull(), F.struct(F.lit("dead_end").alias("kind"), dead.alias("note"))), F.when(F.size(failed) > 0, F.struct(F.lit("escalated").alias("kind"), F.array_join(failed, ",").alias("note"))))
+    return docs.select("doc_id", F.explode(F.array_compact(rows)).alias("r")).select("r.kind", "doc_id", "r.note")
+
+
+def source_list(sources: DataFrame, order: str, by: str = "run_id") -> DataFrame:
+    """A line for each source that a run has fetched, the first of each id, in order; by its title, or its address if it has none."""
+    first = F.row_number().over(Window.partitionBy(by, "source_id").orderBy(order)) == 1
+    once = sources.where(F.coalesce(F.col("source_id"), F.lit("")) != "").withColumn("__first", first).where("__first")
+    line = F.concat(F.lit("- ["), "source_id", F.lit("] "), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")))
+    return once.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias("sources"))
+
+
 def _asked(b: DataFrame) -> DataFrame:
     return b.select("item_id", "text").union(b.select(F.col("item_id") + 100_000, F.concat("text", F.lit(" extra")).alias("text"))).union(b.where("item_id % 4 = 0").select(F.col("item_id") + 200_000, F.concat(F.lit(" "), F.lower("text"))))
 
@@ -150,6 +166,6 @@ register("ss08_trail", "events", lambda e: e.groupBy(F.concat(F.lit("q"), F.col(
 register("ss19_stream_parts", "conversations", lambda c: c.groupBy("conv_id", "role").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")).alias("digest")), "SELECT conv_id, role, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY 1, 2")
 register("xs22_draft_ops", "conversations", lambda c: draft_fold(c.select(F.concat(F.lit("c"), F.col("conv_id") % 50).alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.when(F.col("turn") == 0, "set").otherwise("patch").alias("op"), F.lit("the").alias("old"), F.when(F.col("turn") == 0, F.col("text")).otherwise(F.lit("THE")).alias("new"))))
 register("so10_bounded_fifo", "events", lambda e: bounded_fifo(e.select(F.concat(F.lit("r"), F.col("user_id") % 5).alias("run_id"), F.concat(F.lit("u"), F.col("event_id") * 31 % 211).alias("key"), F.col("event_id").alias("seq"))))
-register("xs18_register", "documents", lambda d: d.select("doc_id", F.when(F.length("text") < 300, "dead_end").otherwise("insert").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n")), "SELECT CASE WHEN length(text) < 300 THEN 'dead_end' ELSE 'insert' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
-register("xs23_source_list", "documents", lambda d: d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_set("lang")), lambda x: x), ",").alias("langs")), "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1")
+register("xs18_register", "documents", lambda d: registered(d.select("doc_id", "source", F.when(F.length("text") < 300, F.array(F.lit("thin_content: short"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.array(F.struct(F.lit("direct").alias("method"), (F.col("doc_id") % 3 > 0).alias("ok")), F.struct(F.lit("scrape").alias("method"), (F.col("doc_id") % 2 > 0).alias("ok"))).alias("attempts")), "thin_content"), "SELECT 'insert' AS kind, doc_id, source AS note FROM documents UNION ALL SELECT 'dead_end', doc_id, 'thin_content: short' FROM documents WHERE length(text) < 300 UNION ALL SELECT 'escalated', doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'direct' END, CASE WHEN doc_id % 2 = 0 THEN 'scrape' END) FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+register("xs23_source_list", "hits", lambda h: source_list(h.select(F.col("provider").alias("run_id"), "hit_id", F.when(F.col("hit_id") % 11 > 0, F.concat(F.lit("source_"), F.col("hit_id") % 40)).alias("source_id"), F.when(F.col("hit_id") % 3 == 0, "").otherwise(F.col("title")).alias("title"), "url"), "hit_id"), "SELECT run_id, string_agg('- [' || source_id || '] ' || CASE WHEN hit_id % 3 = 0 THEN url ELSE title END, chr(10) ORDER BY hit_id) AS sources FROM (SELECT provider AS run_id, hit_id, 'source_' || (hit_id % 40) AS source_id, title, url, row_number() OVER (PARTITION BY provider, hit_id % 40 ORDER BY hit_id) AS r FROM hits WHERE hit_id % 11 > 0) WHERE r = 1 GROUP BY 1")
 register("xs09_steps", "conversations", lambda c: c.groupBy("conv_id").agg(F.count("*").alias("steps")), "SELECT conv_id, count(*) AS steps FROM conversations GROUP BY 1")

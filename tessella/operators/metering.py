@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import PRICES
+from ..functions.fixed import PRICES, RUN_PRICES, TOKEN_RATES
 from ..plans.registry import register, rounded
 
 UNKNOWN = (3.0, 15.0)
@@ -40,6 +40,19 @@ def cost() -> Column:
     return (F.col("input") * F.col("usd_in") + F.col("output") * F.col("usd_out") + F.col("cache_read") * F.col("usd_read") + F.col("cache_write") * F.col("usd_write")) / 1_000_000
 
 
+def token_cost(model: Column, prompt: Column, completion: Column, cited: Column, reasoned: Column, searches: Column) -> Column:
+    """Dollars of a researcher that bills tokens and searches; a model without rates of its own has those of deep research."""
+    rates = F.create_map(*[x for k, r in TOKEN_RATES.items() for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in r]))])
+    rate = F.coalesce(F.try_element_at(rates, model), F.array(*[F.lit(float(v)) for v in TOKEN_RATES["sonar-deep-research"]]))
+    of = lambda n, k: F.coalesce(n, F.lit(0)) * rate[k]
+    return (of(prompt, 0) + of(completion, 1) + of(cited, 2) + of(reasoned, 3)) / 1_000_000 + of(searches, 4) / 1000
+
+
+def run_cost(processor: Column, told: Column) -> Column:
+    """Dollars of a researcher that bills runs: what the caller was told, else the processor's price, else unknown."""
+    return F.coalesce(told, F.try_element_at(F.create_map(*[F.lit(x) for pair in RUN_PRICES.items() for x in pair]), processor))
+
+
 def crossings(spend: DataFrame, total: float) -> DataFrame:
     """The event at which each run's spend first reaches each share of the total."""
     running = F.sum("cents").over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
@@ -133,7 +146,7 @@ register("jn16_exact_price", "usage", lambda u: u.withColumn("model", F.regexp_r
 register("ag24_usage_by_role", "usage", lambda u: u.groupBy("run_id", "role").agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum(F.col("input") + F.col("output") + F.col("cache_write")).alias("fresh")), "SELECT run_id, role, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(input + output + cache_write)::BIGINT AS fresh FROM usage GROUP BY 1, 2")
 register("ag25_normalised_usage", "usage", lambda u: u.select("id", F.greatest(F.lit(0), F.col("input") - F.col("cache_read") - F.col("cache_write")).alias("uncached")), "SELECT id, greatest(0, input - cache_read - cache_write) AS uncached FROM usage")
 register("ag26_usage_cost", "usage", lambda u: priced(u).select("id", rounded(cost(), 8).alias("usd")), f"SELECT id, floor({COST} * 1e8 + 0.5) / 1e8 AS usd FROM {PRICED}")
-register("ag28_connector_cost", "usage", lambda u: u.select("id", rounded(F.col("input") * 2e-6 + F.col("output") * 8e-6 + 0.005 * (F.col("id") % 7), 8).alias("usd")), "SELECT id, floor((input * 2e-6 + output * 8e-6 + 0.005::DOUBLE * (id % 7)) * 1e8 + 0.5) / 1e8 AS usd FROM usage")
+register("ag28_connector_cost", "usage", lambda u: u.select("id", rounded(token_cost(F.element_at(F.array(*map(F.lit, [*TOKEN_RATES, "other"])), (F.col("id") % 4 + 1).cast("int")), F.col("input"), F.col("output"), F.col("cache_read"), F.col("cache_write"), F.col("id") % 9), 8).alias("by_token"), run_cost(F.element_at(F.array(*map(F.lit, [*RUN_PRICES, "other"])), (F.col("id") % 10 + 1).cast("int")), F.when(F.col("id") % 23 == 0, 7.0)).alias("by_run")), f"SELECT id, floor(((input * r[1] + output * r[2] + cache_read * r[3] + cache_write * r[4]) / 1e6 + (id % 9) / 1e3 * r[5]) * 1e8 + 0.5) / 1e8 AS by_token, coalesce(CASE WHEN id % 23 = 0 THEN 7.0 END, {[*RUN_PRICES.values(), 0.0]}[id % 10 + 1])::DOUBLE AS by_run FROM (SELECT *, {[[float(x) for x in r] for r in [*TOKEN_RATES.values(), TOKEN_RATES['sonar-deep-research']]]}[id % 4 + 1]::DOUBLE[] AS r FROM usage)".replace("0.0][id % 10 + 1]", "NULL][id % 10 + 1]"))
 register("xs28_usage_sum", "usage", lambda u: u.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")]), "SELECT run_id, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write FROM usage GROUP BY 1")
 register("ag31_run_metrics", "usage", lambda u: u.groupBy("run_id", "role").agg(F.sum("input").alias("n")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("m")).select("run_id", F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("input")), "SELECT run_id, sum(input)::BIGINT AS input FROM usage GROUP BY 1")
 register("ss05_thresholds", "journal", lambda j: crossings(j.where("kind = 'call'").select("run_id", "seq", "cents"), 20_000.0), "SELECT run_id, t::DOUBLE AS share, min(seq) AS seq FROM (SELECT run_id, seq, sum(cents) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS spent FROM journal WHERE kind = 'call'), (VALUES (0.5), (0.8), (0.95)) v(t) WHERE spent >= t::DOUBLE * 20000 GROUP BY 1, 2")

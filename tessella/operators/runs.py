@@ -44,10 +44,10 @@ def diff(runs: DataFrame, cases: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right, "case_id").withColumn("delta", rounded(F.col("a") - F.col("b")))
 
 
-def system_cost() -> Column:
-    """The first positive of the run's own cost and the connector's."""
+def system_cost(used: str | None = None) -> Column:
+    """The first positive of the run's own cost, the connector's and what its tokens come to."""
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return F.coalesce(positive("cost_usd"), positive("exa_usd"))
+    return F.coalesce(positive("cost_usd"), positive("exa_usd"), *([positive(used)] if used else []))
 
 
 def _interval(n: Column, sd: Column) -> Column:
@@ -130,7 +130,7 @@ register("jn08_paired_rows", "runs", lambda r: paired(r).select("a", "b", "n"),
 register("ag17_commit_view", "runs cases", lambda r, c: diff(r, c, "k0", "k1").where("delta < 0").groupBy().agg(F.count("*").alias("regressions"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("delta", "case_id"))), lambda x: x["case_id"]), ",").alias("worst_first")), f"SELECT count(*) AS regressions, coalesce(string_agg(case_id, ',' ORDER BY delta, case_id), '') AS worst_first FROM ({DIFF}) WHERE delta < 0")
 register("ag18_diff_summary", "runs cases", lambda r, c: diff(r, c, "k0", "k1").groupBy().agg(F.count("*").alias("shared"), rounded(F.avg("delta"), 3).alias("avg_delta"), F.count_if(F.col("delta") < 0).alias("regressions"), F.count_if(F.col("delta") > 0).alias("improvements")), f"SELECT count(*) AS shared, floor(avg(delta) * 1000 + 0.5) / 1000 AS avg_delta, count(*) FILTER (delta < 0) AS regressions, count(*) FILTER (delta > 0) AS improvements FROM ({DIFF})")
 register("so09_regressions", "runs cases", lambda r, c: diff(r, c, "k0", "k1").where("delta <> 0").orderBy("delta", "case_id").limit(15), f"SELECT * FROM ({DIFF}) WHERE delta <> 0 ORDER BY delta, case_id LIMIT 15")
-register("ag29_system_cost", "runs", lambda r: r.select("run_id", system_cost().alias("cost")), f"SELECT run_id, {COST} AS cost FROM runs")
+register("ag29_system_cost", "runs", lambda r: r.withColumn("used", F.when(F.col("latency_ms") % 3 > 0, F.col("latency_ms") % 7 / 8.0)).withColumn("cost_usd", F.when(F.col("sources") % 4 > 0, F.col("cost_usd"))).select("run_id", system_cost("used").alias("cost")), "SELECT run_id, coalesce(CASE WHEN sources % 4 > 0 AND cost_usd > 0 THEN cost_usd END, CASE WHEN exa_usd > 0 THEN exa_usd END, CASE WHEN latency_ms % 3 > 0 AND latency_ms % 7 > 0 THEN latency_ms % 7 / 8 END)::DOUBLE AS cost FROM runs")
 QUALITY = f"SELECT model, domain, case_id, status, sources, CASE WHEN status = 'error' THEN 'error' WHEN exhausted THEN 'budget-exhausted' ELSE 'completed' END AS finish, {COST} AS cost, floor(latency_ms / 1000 + 0.5)::BIGINT AS latency_s FROM {BY_MODEL.format('?')} JOIN (SELECT case_id, domain FROM cases) USING (case_id)"
 register("ag32_quality", "runs cases", quality, QUALITY)
 register("ag34_header", "runs cases", lambda r, c: grid(r, c, "k1").groupBy().agg(F.count("*").alias("cases"), F.count("run_id").alias("run"), rounded(F.sum(F.when(F.col("status") == "scored", F.coalesce("normalized", F.lit(0.0)))) / F.count_if(F.col("status") == "scored"), 3).alias("avg_scored")), f"SELECT count(*) AS cases, count(run_id) AS run, floor(sum(CASE WHEN status = 'scored' THEN coalesce(normalized, 0) END) / count(*) FILTER (status = 'scored') * 1000 + 0.5) / 1000 AS avg_scored FROM {GRID.format('k1')}")
