@@ -220,12 +220,16 @@ class _Classes:
         percent = self.percent
         mixed = named.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
         open_ = written(named.join(mixed, "t"), "open")
-        # groups of similar sets: of the same most frequent open token and like size, some GROUP each. As many sets as have that token
-        # bound their number, so they are dealt by hash without a look at the others
+        # groups of similar sets: of the same most frequent open token and like size, some GROUP each, dealt by hash so that none is gathered
+        # whole. Only pairs of token and size that need several pages are looked up, a small written table that the planner may broadcast
         often = open_.groupBy("t").agg(F.count("*").alias("df"))
         loose = open_.join(often, "t").groupBy("id", "component").agg(F.max(F.struct("df", "t")).alias("top")).join(self.sizes, "id")
-        scale, pages = F.floor(F.log("n") / math.log(100 / percent)), F.ceil(F.col("top.df") / GROUP)
-        members = written(loose.select("id", "component", "n", F.xxhash64("top.t", scale, F.pmod(F.xxhash64("id"), pages)).alias("grp")), "groups")
+        loose = written(loose.select("id", "component", "n", F.col("top.t").alias("lead"), F.floor(F.log("n") / math.log(100 / percent)).alias("scale")), "loose")
+        many = written(loose.groupBy("lead", "scale").agg(F.count("*").alias("sets")).where(F.col("sets") > GROUP), "many")
+        pages = F.coalesce(F.ceil(F.col("sets") / GROUP), F.lit(1))
+        members = loose.join(many, ["lead", "scale"], "left").select("id", "component", "n", F.xxhash64("lead", "scale", F.pmod(F.xxhash64("id"), pages)).alias("grp"))
+        members = written(members, "groups")
+        dropped(loose, many)
         span = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lowest"))
         # the matrix: a row for each token and group that has it; its rows with a query's tokens count what the query shares with the union
         matrix = open_.select("t", "id").join(members.select("id", "grp"), "id").select("t", "grp").distinct().join(span, "grp")
