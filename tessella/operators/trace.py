@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..plans.registry import register, rounded
 
 TOP_N, HIGH_WAIT_MS, SLOW_STEP_MS = 8, 750, 4_000
+#: Time is cut in pieces of an hour where a run's spans are swept.
+BUCKET_MS = 3_600_000
 
 
 def work(spans: DataFrame) -> DataFrame:
@@ -20,18 +22,29 @@ def compute_of() -> Column:
     return F.coalesce("compute_ms", "duration_ms")
 
 
+def bucketed(spans: DataFrame, *keys: str) -> DataFrame:
+    """(keys, bucket, t0, t1): spans cut at the edges of buckets of time, so that a run of any length is many small pieces of work.
+
+    Buckets don't overlap: the time covered is the sum over them, the most at once the largest of them.
+    """
+    some = spans.where("t1 > t0").select(*keys, "t0", "t1")
+    at = F.explode(F.sequence(F.floor(F.col("t0") / BUCKET_MS), F.floor((F.col("t1") - 1) / BUCKET_MS)))
+    cut = some.select("*", at.alias("bucket"))
+    return cut.select(*keys, "bucket", F.greatest("t0", F.col("bucket") * BUCKET_MS).alias("t0"), F.least("t1", (F.col("bucket") + 1) * BUCKET_MS).alias("t1"))
+
+
 def union_ms(spans: DataFrame, *keys: str) -> DataFrame:
-    """Wall time that each key's spans cover: what a span adds beyond the latest end so far, in order of start."""
-    before = Window.partitionBy(*keys).orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
+    """Wall time that each key's spans cover: in each bucket, what a span adds beyond the latest end so far, in order of start."""
+    before = Window.partitionBy(*keys, "bucket").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
     adds = F.greatest(F.lit(0).cast("long"), F.col("t1") - F.greatest("t0", F.coalesce("reached", "t0")))
-    return spans.where("t1 > t0").withColumn("reached", F.max("t1").over(before)).groupBy(*keys).agg(F.sum(adds).alias("union_ms"))
+    return bucketed(spans, *keys).withColumn("reached", F.max("t1").over(before)).groupBy(*keys).agg(F.sum(adds).alias("union_ms"))
 
 
 def peak_overlap(spans: DataFrame, *keys: str) -> DataFrame:
     """The most spans at once; where one ends as another starts they don't overlap."""
-    points = spans.where("t1 > t0").select(*keys, F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")), F.struct(F.col("t1").alias("t"), F.lit(-1).alias("d")))).alias("p"))
-    steps = points.groupBy(*keys, F.col("p.t").alias("t"), F.col("p.d").alias("d")).agg(F.sum("p.d").alias("by"))
-    running = F.sum("by").over(Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))
+    points = bucketed(spans, *keys).select(*keys, "bucket", F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")), F.struct(F.col("t1").alias("t"), F.lit(-1).alias("d")))).alias("p"))
+    steps = points.groupBy(*keys, "bucket", F.col("p.t").alias("t"), F.col("p.d").alias("d")).agg(F.sum("p.d").alias("by"))
+    running = F.sum("by").over(Window.partitionBy(*keys, "bucket").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))
     return steps.withColumn("now", running).groupBy(*keys).agg(F.max("now").alias("peak"))
 
 
