@@ -7,14 +7,15 @@ is none. URLs are dealt by host, so that a host sees one request at a time and i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote_plus, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pages import is_private, robots_allowed
+from ..functions.pages import is_private, mapped, markdown, robots_allowed
 from ..functions.text import host
+from ..operators.filters import looks_blocked
 from ..plans.registry import register
 
 Get = Callable[[str], tuple[int, dict[str, str], bytes]]
@@ -160,6 +161,49 @@ def _row(provider: str) -> str:
     return inner[inner.index("array<") + 6 : -3 if provider == "brave" else -2]
 
 
+# Addresses and parameters of the searches by field; {q} is the query, {n} the number of results.
+DOMAINS = {
+    "arxiv": ("https://export.arxiv.org/api/query", {"search_query": "all:{q}", "start": "0", "max_results": "{n}", "sortBy": "relevance", "sortOrder": "descending"}),
+    "openalex": ("https://api.openalex.org/works", {"search": "{q}", "per_page": "{n}"}),
+    "edgar": ("https://efts.sec.gov/LATEST/search-index", {"q": "{q}"}),
+    "clinicaltrials": ("https://clinicaltrials.gov/api/v2/studies", {"query.term": "{q}", "pageSize": "{n}", "format": "json"}),
+    "semantic_scholar": ("https://api.semanticscholar.org/graph/v1/paper/search", {"query": "{q}", "limit": "{n}", "fields": "title,abstract,authors,year,venue,citationCount,tldr,externalIds,url"}),
+    "wikipedia": ("https://en.wikipedia.org/w/api.php", {"action": "query", "generator": "search", "gsrsearch": "{q}", "gsrlimit": "{n}", "prop": "extracts", "exintro": "1", "explaintext": "1", "format": "json", "formatversion": "2"}),
+}
+SCRAPE_CHARS, CONTENTS_CHARS = 100, 200
+
+
+def domain_request(source: str, query: Column, n: int = 5, **more: str) -> Column:
+    """The address of a search by field; null for an empty query. ``more``: parameters beside the usual ones, such as a sort or a mail address."""
+    base, params = DOMAINS[source]
+    parts: list[Column] = []
+    for k, (name, value) in enumerate([*params.items(), *more.items()]):
+        before, _, after = value.partition("{q}")
+        shown = F.concat(F.lit(before), F.trim(query), F.lit(after)) if "{q}" in value else F.lit(value.replace("{n}", str(n)))
+        parts += [F.lit(f"{'&' if k else '?'}{name}="), F.url_encode(shown)]
+    return F.when(F.trim(query) != "", F.concat(F.lit(base), *parts))
+
+
+def scraped(answers: DataFrame, key: str, body: str, url: str) -> DataFrame:
+    """(key, outcome, final_url, text) from the JSON bodies of a scraping service: the page's HTML as markdown if that has text enough and
+    isn't a challenge, else the service's own markdown under the same conditions."""
+    read = F.from_json(body, "struct<content: struct<html: string, markdown: string>, metadata: struct<statusCode: int, canonical: string>>")
+    some = answers.select(key, F.coalesce(read["metadata"]["statusCode"], F.lit(0)).alias("status"), F.coalesce(F.nullif(read["metadata"]["canonical"], F.lit("")), F.col(url)).alias("final_url"), F.coalesce(read["content"]["html"], F.lit("")).alias("html"), F.coalesce(F.trim(read["content"]["markdown"]), F.lit("")).alias("own"))
+    kind = dict(answers.dtypes)[key]
+    texts = mapped(some.where("html <> '' AND status < 400").select(key, "html", "final_url"), f"{key} {kind}, made string", lambda k, h, u: (k, markdown(h, u)[0]))
+    good = lambda t: (F.length(t) >= SCRAPE_CHARS) & ~looks_blocked(t)
+    both = some.join(texts, key, "left")
+    outcome = F.when(F.col("status") >= 400, "http_error").when(F.coalesce(good(F.col("made")) & ~looks_blocked(F.col("html")), F.lit(False)), "html").when(good(F.col("own")), "markdown").otherwise("no_content")
+    return both.select(key, outcome.alias("outcome"), "final_url", F.when(outcome == "html", F.col("made")).when(outcome == "markdown", F.col("own")).alias("text"))
+
+
+def contents(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, outcome, text) from the JSON bodies of a contents service: its first result, unless that is a challenge or too thin."""
+    text = F.coalesce(F.trim(F.try_element_at(F.from_json(body, "struct<results: array<struct<title: string, text: string, url: string>>>")["results"], F.lit(1))["text"]), F.lit(""))
+    outcome = F.when(F.col("status") >= 300, "http_error").when(looks_blocked(F.col("text")), "blocked_or_challenge").when(F.length("text") < CONTENTS_CHARS, "thin_content").otherwise("ok")
+    return answers.select(key, "status", text.alias("text")).select(key, outcome.alias("outcome"), F.when(outcome == "ok", F.col("text")).alias("text"))
+
+
 def providers_for(keys: dict[str, str | None], source: str = "web", own: dict[str, list[str]] | None = None) -> list[str]:
     """Which providers a search goes to: those of its source if it has any, else all whose key is there, else the model's own search."""
     if own and own.get(source):
@@ -216,3 +260,6 @@ RESULTS = " UNION ALL ".join(f"SELECT query_no, (row_number() OVER (PARTITION BY
 register("sc17_fetch_rules", "pages", lambda p: fetched_pages(_asked(p), recorded_web).select("page_id", "outcome"), f"SELECT page_id, CASE WHEN page_id % 25 = 24 THEN 'blocked_url' ELSE {OUTCOMES}[page_id % {len(PLACES)} + 1] END AS outcome FROM pages")
 register("sc22_search_results", "hits", _all_results, RESULTS)
 register("xs34_search_requests", "benchmark", lambda b: b.select("item_id", search_request("tavily", F.concat(F.lit("q"), "item_id"), 50)["body"].alias("tavily"), search_request("brave", F.concat(F.lit("a b&"), "item_id"))["url"].alias("brave")), "SELECT item_id, '{\"query\":\"q' || item_id || '\",\"max_results\":20}' AS tavily, 'https://api.search.brave.com/res/v1/web/search?q=a+b%26' || item_id || '&count=8&extra_snippets=true' AS brave FROM benchmark")
+register("xs34_domain_requests", "benchmark", lambda b: b.select("item_id", *[domain_request(s, F.concat(F.lit(" a:b & "), F.col("item_id").cast("string"), F.lit(" "))).alias(s) for s in DOMAINS]), "SELECT item_id, " + ", ".join("'" + base + "?" + "&".join(f"{k}={quote_plus(v.replace('{n}', '5'), safe='*{}').replace('{q}', chr(39) + ' || q || ' + chr(39))}" for k, v in params.items()) + f"' AS {name}" for name, (base, params) in DOMAINS.items()) + " FROM (SELECT item_id, 'a%3Ab+%26+' || item_id AS q FROM benchmark)")
+register("sc20_scraped", "documents", lambda d: scraped(d.select("doc_id", F.lit("https://h.example/x").alias("url"), F.to_json(F.struct(F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<p>"), F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("word "), 30)).otherwise("few"), F.lit("</p>"))).alias("html"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.when(F.col("doc_id") % 7 == 0, "Access denied ").otherwise(""), F.repeat(F.lit("own "), 40))).alias("markdown")).alias("content"), F.struct(F.when(F.col("doc_id") % 11 == 0, 404).alias("statusCode"), F.when(F.col("doc_id") % 4 == 0, "https://c.example/").alias("canonical")).alias("metadata"))).alias("body")), "doc_id", "body", "url").select("doc_id", "outcome", "final_url"), "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'http_error' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'html' WHEN doc_id % 5 > 0 AND doc_id % 7 > 0 THEN 'markdown' ELSE 'no_content' END AS outcome, CASE WHEN doc_id % 4 = 0 THEN 'https://c.example/' ELSE 'https://h.example/x' END AS final_url FROM documents")
+register("sc21_contents", "documents", lambda d: contents(d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, 500).otherwise(200).alias("status"), F.to_json(F.struct(F.when(F.col("doc_id") % 4 > 0, F.array(F.struct(F.lit("t").alias("title"), F.concat(F.when(F.col("doc_id") % 5 == 0, "Just a moment ").otherwise(""), F.repeat(F.lit("text "), (F.col("doc_id") % 80).cast("int"))).alias("text")))).alias("results"))).alias("body")), "doc_id", "body").select("doc_id", "outcome"), "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'http_error' WHEN doc_id % 4 > 0 AND doc_id % 5 = 0 THEN 'blocked_or_challenge' WHEN doc_id % 4 = 0 OR length(trim(repeat('text ', (doc_id % 80)::INT), ' ')) < 200 THEN 'thin_content' ELSE 'ok' END AS outcome FROM documents")
