@@ -309,10 +309,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = grouped(docs, k=5, percent=80)
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key"), "__one", "__two")
     kept = out.where((F.col("n_shingles") == 0) | own.eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("__key"), F.col("__one").alias("__a"), F.col("__two").alias("__b"), (F.col("n_shingles") == 0).alias("__bare")).distinct()
-    same = (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__key"))
-    rows = docs.select("*", *_digest("text")).join(written(kept, "kept"), same)
+    same = (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")) & F.col("__id").eqNullSafe(F.col("__key"))
+    # the row goes along as a whole, so none of its names can meet one of these
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), *_digest("text")).join(written(kept, "kept"), same)
     rows = rows.withColumn("__one_of", F.when(F.col("__bare"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return rows.dropDuplicates(["__one", "__two", "doc_id", "__one_of"]).select(*docs.columns)
+    return rows.dropDuplicates(["__one", "__two", "__id", "__one_of"]).select("__row.*")
 
 
 SQL = {

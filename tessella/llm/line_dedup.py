@@ -63,18 +63,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     made = ("n_lines", "n_removed", "kept_text")
     plain = docs.drop(*[c for c in docs.columns if c in made])
-    named = plain.select("*", *_row(F.col(key), F.col(text)))
-    there = marked(plain, key, text, width).toDF("__k", "__o", "__t", "starts")
-    joined = named.join(there, (F.col("__one") == F.col("__o")) & (F.col("__two") == F.col("__t")) & F.col("__key").eqNullSafe(F.col("__k")), "left")
+    # the row goes along as a whole, so none of its names can meet one of these
+    named = plain.select(F.struct("*").alias("whole"), F.col(text).alias("text"), *_row(F.col(key), F.col(text)))
+    there = marked(plain, key, text, width).toDF("k", "o", "t", "starts")
+    joined = named.join(there, (F.col("__one") == F.col("o")) & (F.col("__two") == F.col("t")) & F.col("__key").eqNullSafe(F.col("k")), "left")
     begins, ends = _runs(F.col("starts"), width)
-    runs = joined.select(*plain.columns, _lines(F.col(text)).alias("__all"), begins.alias("__begins"), ends.alias("__ends"))
+    runs = joined.select("whole", "text", _lines(F.col("text")).alias("all"), begins.alias("begins"), ends.alias("ends"))
     # what stands between two stretches: from the end of one, or line 0, to the begin of the next, or the last line
-    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("__ends", F.greatest(k, F.lit(1))))
-    end = lambda k: F.when(k == F.size("__begins"), F.size("__all")).otherwise(F.element_at("__begins", F.least(k + 1, F.size("__begins"))))
-    parts = F.transform(F.sequence(F.lit(0), F.size("__begins")), lambda k: F.slice("__all", begin(k) + 1, end(k) - begin(k)))
-    gone = F.aggregate(F.zip_with("__begins", "__ends", lambda a, b: b - a), F.lit(0), lambda a, x: a + x)
-    kept = F.when(F.col("__begins").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.flatten(parts), "\n"))
-    return runs.select(*plain.columns, F.size("__all").cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
+    end = lambda k: F.when(k == F.size("begins"), F.size("all")).otherwise(F.element_at("begins", F.least(k + 1, F.size("begins"))))
+    parts = F.transform(F.sequence(F.lit(0), F.size("begins")), lambda k: F.slice("all", begin(k) + 1, end(k) - begin(k)))
+    gone = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0), lambda a, x: a + x)
+    kept = F.when(F.col("begins").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.flatten(parts), "\n"))
+    return runs.select("whole.*", F.size("all").cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

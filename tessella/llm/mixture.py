@@ -67,10 +67,11 @@ def allocate(docs: DataFrame, text: str = "text", source: str = "source", key: s
     return joined.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int"))
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as allocate() says, with its own columns."""
-    dealt = allocate(docs, **kw).where("copies > 0")
-    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as allocate() says, with its own columns, whatever their names."""
+    whole = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(source).alias("__from"))
+    dealt = allocate(whole, "__text", "__from", "__id", seed).where("copies > 0")
+    return dealt.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -79,6 +80,29 @@ def test_pieces_are_the_librarys(docs, spark):
     assert piece_codec.encoded(empty(spark), model).count() == 0
 
 
+def test_piece_query(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = library.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    assert sorted(map(tuple, piece_codec.op1_pieces(spark, sf).collect())) == sorted(want)
+
+
+def test_difference_from_the_library_is_an_error(monkeypatch):
+    own = piece_codec.PieceCodec(piece_codec.default_model())
+    monkeypatch.setattr(own, "merge", lambda segment: list(segment))
+    with pytest.raises(ValueError, match="other ids"):
+        own.encode_batch(["some words that merge"])
+    words_ = token_store.WordCodec(token_store.default_tokenizer())
+    words_.known[b"hello"] = b"\0\0"
+    with pytest.raises(ValueError, match="other ids"):
+        words_.encode_batch(["hello there"])
+
+
 def brute_targets(sizes, weights, most):
     total, left = sum(sizes.values()), set(sizes)
     target = dict.fromkeys(sizes, 0.0)
@@ -248,6 +272,17 @@ def test_token_store(docs, spark, tmp_path):
     assert token_store.read_store(spark, none).count() == 0
 
 
+def test_token_store_of_one_key(spark, tmp_path):
+    """Rows that repeat a key with other texts, and rows without one, all stay; a hot key isn't one range."""
+    rows = [(7, f"text number {i}") for i in range(300)] + [(None, f"none {i}") for i in range(40)] + [(7, None), (9, "x" * 300_000)]
+    store = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/hot", token_store.default_tokenizer())
+    got = token_store.read_store(spark, store).orderBy("start").collect()
+    assert len(got) == len(rows) and [r["key"] for r in got] == [None] * 40 + [7] * 301 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+    assert len(token_store.read_document(spark, store, 7)) == 301 and len(token_store.read_document(spark, store, None)) == 40
+    assert spark.read.parquet(f"{store}/blocks").where("exists(keys, k -> k = 7)").select("part").distinct().count() > 1
+
+
 def test_word_ids_are_the_librarys():
     path = token_store.default_tokenizer()
     own = token_store.WordCodec(path)
@@ -583,6 +618,48 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and sorted(r["n_chars"] > 0 for r in got) == [False, False, True, True]
 
 
+class Outside(HTMLParser):
+    """The text blocks of a page that stand in no element which is boilerplate by its name or class; nothing else is known of the page."""
+
+    def __init__(self):
+        super().__init__()
+        self.skip, self.blocks, self.own = [], [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.own).split()):
+            self.blocks.append(text)
+        self.own = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "div", "ul", "li", "article", "nav", "footer", "body"):
+            self.flush()
+        if tag in ("nav", "footer", "script", "style", "title", "div"):
+            self.skip.append(tag)
+        if tag == "br":
+            self.own.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "div", "ul", "li", "article", "nav", "footer", "body"):
+            self.flush()
+        if self.skip and self.skip[-1] == tag:
+            self.skip.pop()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.own.append(data)
+
+
+def test_page_query(spark):
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        parser = Outside()
+        parser.feed(r["html"])
+        text = "\n\n".join(parser.blocks)
+        want.append((r["page_id"], r["url"], text, len(text)))
+    assert sorted(map(tuple, tag_paths.op9_tag_paths(spark, sf).collect())) == sorted(want)
+
+
 def test_articles_of_the_tables(spark):
     import html
 

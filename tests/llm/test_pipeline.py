@@ -105,3 +105,26 @@ def test_stages(spark, tmp_path):
 def test_run_on_the_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Columns named as the operators' own, null and repeated ids, null and empty texts, equal rows."""
+    folder = str(tmp_path)
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"{text} {i} other {i * 7}", "en", "s", 0) for i in range(6)] + [(None, None, None, None, 0), (None, "", "en", "s", 0), (3, "a b c\nd e f\ng h i\nj", "en", "s", 0), (3, "a b c\nd e f\ng h i\nk", "en", "t", 0), (3, "a b c\nd e f\ng h i\nk", "en", "t", 0)]
+    names = ("margin", "kept_text", "n_removed", "copies", "target", "size", "component_id", "__one", "starts", "rep", "predicted")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(*r, *names) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, folder), name)
+        assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+        assert all(r[n] == n for r in docs.collect() for n in names)
