@@ -33,29 +33,19 @@ REMEMBERED = 300_000
 #: Texts without a window have this margin.
 NO_WINDOW = -2.0
 
+_short = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){3,}(?!\S)")
 _ends = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def windows(text: str) -> set[str]:
     """The distinct windows of a text, lower-cased: words without the marks at their ends, and runs of four or more words of at most two letters."""
-    words = text.lower().split()
-    found = set(words)
+    low = text.lower()
+    found = set(low.split())
     odd = {w for w in found if not w.isalpha()}
     found -= odd
     found.update(_ends.sub("", w) for w in odd)
     found.discard("")
-    short = [len(w) <= 2 for w in words]
-    at = 0
-    while at < len(words):
-        if not short[at]:
-            at += 1
-            continue
-        end = at
-        while end < len(words) and short[end]:
-            end += 1
-        if end - at > 3:
-            found.add(" ".join(words[at:end]))
-        at = end
+    found.update(" ".join(m.split()) for m in _short.findall(low))
     for w in [w for w in found if len(w) > LONGEST]:
         found.discard(w)
         found.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
@@ -72,47 +62,67 @@ def _codes() -> np.ndarray:
 
 _symbol: np.ndarray | None = None
 _pairs = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
+#: Weights by span: the last three bits of a key are the span beyond three symbols.
+_decay = np.array([DECAY ** (b + 1) for b in range(2, 10)], np.float32)
 
 
-def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, values): for each word its subsequences as numbers (0: none) and their decay weights, scaled to length 1."""
+def _keys(words: list[str]) -> np.ndarray:
+    """For each word its subsequences as sorted numbers of 32 bits, the feature before the span; those that aren't all symbols are 0."""
     global _symbol
     if _symbol is None:
         _symbol = _codes()
     width = max(map(len, words)) + 2
-    codes = np.zeros((len(words), width + REACH), np.int64)
-    for i, w in enumerate(words):
-        codes[i, 1 : len(w) + 1] = _symbol[np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        codes[i, 0], codes[i, len(w) + 1] = 1, 2
-    parts, weights = [], []
-    for a, b in _pairs:
-        x, y, z = codes[:, :width], codes[:, a : a + width], codes[:, b : b + width]
-        parts.append(np.where((x > 0) & (y > 0) & (z > 0), (x * SYMBOLS + y) * SYMBOLS + z, 0))
-        weights.append(np.full(width, DECAY ** (b + 1), np.float32))
-    ids, values = np.concatenate(parts, 1), np.tile(np.concatenate(weights), (len(words), 1))
-    # equal subsequences of a word add up before the norm is taken
-    order = np.argsort(ids, 1, kind="stable")
-    ids, values = np.take_along_axis(ids, order, 1), np.take_along_axis(values, order, 1)
+    lengths = np.array([len(w) for w in words])
+    codes = np.zeros((len(words), width + REACH), np.int32)
+    inside = np.arange(width + REACH) - 1
+    codes[(inside >= 0) & (inside < lengths[:, None])] = _symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    codes[:, 0] = 1
+    codes[np.arange(len(words)), lengths + 1] = 2
+    there = codes > 0
+    out = np.zeros((len(words), len(_pairs), width), np.int32)
+    for k, (a, b) in enumerate(_pairs):
+        np.multiply(codes[:, :width], SYMBOLS, out=out[:, k])
+        out[:, k] += codes[:, a : a + width]
+        out[:, k] *= SYMBOLS
+        out[:, k] += codes[:, b : b + width]
+        out[:, k] <<= 3
+        out[:, k] |= b - 2
+        out[:, k] *= there[:, :width] & there[:, a : a + width] & there[:, b : b + width]
+    out = out.reshape(len(words), -1)
+    out.sort(axis=1)
+    return out
+
+
+def _parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weights, where another feature begins, sums of the weights of each): equal subsequences of a word add up."""
+    ids = keys >> 3
+    values = _decay[keys & 7]
     values[ids == 0] = 0
     first = np.ones(ids.shape, bool)
-    first[:, 1:] = ids[:, 1:] != ids[:, :-1]
-    flat = np.flatnonzero(first.ravel())
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=first[:, 1:])
+    starts = np.flatnonzero(first)
+    return ids, values, starts, np.add.reduceat(values.ravel(), starts)
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, values): for each word its distinct subsequences as numbers (0: none) and their summed decay weights, scaled to length 1."""
+    ids, _, starts, sums = _parts(_keys(words))
     total = np.zeros(ids.size, np.float32)
-    total[flat] = np.add.reduceat(values.ravel(), flat)
+    total[starts] = sums
     total = total.reshape(ids.shape)
-    ids = np.where(total > 0, ids, 0)
     norm = np.sqrt((total**2).sum(1, keepdims=True))
-    return ids, total / np.where(norm > 0, norm, 1)
+    return np.where(total > 0, ids, 0), total / np.where(norm > 0, norm, 1)
 
 
-def _weighted(words: list[str], weights: np.ndarray, size: int = 2048) -> np.ndarray:
+def _weighted(words: list[str], weights: np.ndarray, size: int = 1024) -> np.ndarray:
     """The value of each word under feature weights: those of one length class go together."""
     out = np.zeros(len(words), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for at in range(0, len(order), size):
         some = order[at : at + size]
-        ids, values = _features([words[i] for i in some])
-        out[some] = (weights[ids] * values).sum(1)
+        ids, values, starts, sums = _parts(_keys([words[i] for i in some]))
+        norm = np.sqrt(np.bincount(starts // ids.shape[1], sums * sums, minlength=len(some)))
+        out[some] = np.einsum("ij,ij->i", weights[ids], values) / np.where(norm > 0, norm, 1)
     return out
 
 
