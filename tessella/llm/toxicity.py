@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,20 @@ REMEMBERED = 300_000
 #: Texts without a window have this margin.
 NO_WINDOW = -2.0
 
-_short = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){3,}(?!\S)")
+_short = re.compile(rb"[\x01\x02]{4,}")
 _ends = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def windows(text: str) -> set[str]:
     """The distinct windows of a text, lower-cased: words without the marks at their ends, and runs of four or more words of at most two letters."""
-    low = text.lower()
-    found = set(low.split())
+    words = text.lower().split()
+    found = set(words)
     odd = {w for w in found if not w.isalpha()}
     found -= odd
     found.update(_ends.sub("", w) for w in odd)
     found.discard("")
-    found.update(" ".join(m.split()) for m in _short.findall(low))
+    # lengths as bytes, up to three, so that a pattern finds the runs
+    found.update(" ".join(words[m.start() : m.end()]) for m in _short.finditer(bytes(map(min, map(len, words), repeat(3)))))
     for w in [w for w in found if len(w) > LONGEST]:
         found.discard(w)
         found.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))

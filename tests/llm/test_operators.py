@@ -465,8 +465,10 @@ def test_multi_index_recall_on_the_tables(spark, table):
 def test_kernel():
     """Against the sum over all shared three-symbol subsequences, counted out; what is neither letter nor digit only widens a span."""
 
+    codes = toxicity._codes()
+
     def brute(w):
-        symbols, out = [1, *(toxicity._codes()[ord(c)] for c in w), 2], {}
+        symbols, out = [1, *(codes[ord(c)] for c in w), 2], {}
         for i in range(len(symbols)):
             for j in range(i + 1, len(symbols)):
                 for k in range(j + 1, min(len(symbols), i + toxicity.REACH + 1)):
