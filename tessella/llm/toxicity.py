@@ -116,7 +116,7 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(total > 0, ids, 0), total / np.where(norm > 0, norm, 1)
 
 
-def _weighted(words: list[str], weights: np.ndarray, size: int = 1024) -> np.ndarray:
+def _weighted(words: list[str], weights: np.ndarray, size: int = 256) -> np.ndarray:
     """The value of each word under feature weights: those of one length class go together."""
     out = np.zeros(len(words), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
