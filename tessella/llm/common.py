@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -28,13 +29,16 @@ def claim(owner: str, forget: Callable[[], None]) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have texts reach Python in batches of BATCH_ROWS unless the session has asked for even fewer."""
+    """Have texts reach Python in batches of BATCH_ROWS unless the session has asked for even fewer.
+
+    The session keeps this setting, since plans are run after the operator has returned."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
 _folders: set[str] = set()
+_tables: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -72,11 +76,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Delete tables of written() that no later step reads."""
+    """Delete tables that written() of this process made and no later step reads; any other table stays, whatever its path."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tessella-" in path:
-                _remove(df.sparkSession, path)
+        for path in {_plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()} & _tables:
+            _tables.discard(path)
+            _remove(df.sparkSession, path)
+
+
+def _plain(path: str) -> str:
+    """One spelling of a path: Spark names a local file as file:/a where a caller may have written file:///a."""
+    return re.sub(r"^file:/+", "/", path)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -90,6 +99,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _tables.add(_plain(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
