@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, small_batches, table, written
+from .common import WORD, components, dropped, small_batches, table, written
 from .shingles import Words, grams, groups
 
 #: Tokens that the frequency order knows at most: 12 bytes each, a broadcast of bounded size. Rarer ones go by hash alone.
@@ -308,12 +308,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = grouped(docs, k=5, percent=80)
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key"), "__one", "__two")
-    kept = out.where((F.col("n_shingles") == 0) | own.eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("__key"), F.col("__one").alias("__a"), F.col("__two").alias("__b"), (F.col("n_shingles") == 0).alias("__bare")).distinct()
+    kept = out.where((F.col("n_shingles") > 0) & own.eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("__key"), F.col("__one").alias("__a"), F.col("__two").alias("__b")).distinct()
     same = (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")) & F.col("__id").eqNullSafe(F.col("__key"))
     # the row goes along as a whole, so none of its names can meet one of these
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), *_digest("text")).join(written(kept, "kept"), same)
-    rows = rows.withColumn("__one_of", F.when(F.col("__bare"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return rows.dropDuplicates(["__one", "__two", "__id", "__one_of"]).select("__row.*")
+    bare = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text")).where(~F.coalesce(F.regexp_like("__text", F.lit(WORD)), F.lit(False)))
+    return rows.dropDuplicates(["__one", "__two", "__id"]).select("__row.*").unionByName(bare.select("__row.*"))
 
 
 SQL = {
