@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import group_join, line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, tag_paths, token_store, toxicity
+from . import divergence, group_join, line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, tag_paths, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": piece_codec.op1_pieces,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_group_join": group_join.op8_group_join,
     "op9_tag_paths": tag_paths.op9_tag_paths,
     "op10_mtree": mtree.op10_mtree,
+    "op11_divergence": divergence.op11_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {**group_join.SQL, **line_dedup.SQL, **mtree.SQL, **phrase_automata.SQL}
+ORACLE_SQL: dict[str, str] = {**divergence.SQL, **group_join.SQL, **line_dedup.SQL, **mtree.SQL, **phrase_automata.SQL}

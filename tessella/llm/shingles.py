@@ -43,11 +43,12 @@ def groups(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[tuple[int, i
 class Words:
     """The words of several texts: where each begins and ends in their bytes, and how many each text has."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, outside: np.ndarray = _space):
+        """``outside`` tells of each byte whether it stands between words; a line feed has to."""
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         if lower:
             self.data = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.uint8)
-        blank = _space[self.data]
+        blank = outside[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
         at = np.cumsum([0] + [len(t) + 1 for t in texts])
