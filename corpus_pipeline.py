@@ -38,9 +38,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = before = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
+    made: list[DataFrame] = []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        dropped(before)
-        before = docs
+        dropped(*made)
+        made = [docs]
     return docs
