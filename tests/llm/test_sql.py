@@ -24,5 +24,5 @@ def test_every_operator_has_its_query():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} and set(queries.QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)} and set(queries.QUERIES) | {"pipeline"} <= names
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
