@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, group_join, line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, tag_paths, token_alignment, token_store, toxicity
+from . import divergence, group_join, line_dedup, mixture, mtree, multi_index, phrase_automata, piece_codec, spot_signatures, tag_paths, token_alignment, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": piece_codec.op1_pieces,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tag_paths": tag_paths.op9_tag_paths,
     "op10_mtree": mtree.op10_mtree,
     "op11_divergence": divergence.op11_divergence,
+    "op12_spot_signatures": spot_signatures.op12_spot_signatures,
     "op13_alignment": token_alignment.op13_alignment,
 }
 
