@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 from .common import claim, small_batches, table, written
 
 #: Texts of so many characters are aligned together; a longer one is taken alone, whole.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 1_500_000
 #: DuckDB's share of a worker's memory; beyond it, it spills.
-MEMORY = "700MB"
+MEMORY = "200MB"
 #: At most so many id pairs are looked up by broadcast: those in more than 1/HEAVY of all rows. All others meet in a shuffle, where none is hot.
 HEAVY = 1 << 17
 
 #: One space between characters that are no white space: both vocabularies begin a token with it, so neither has a token across.
 CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
-#: Stretches that a Python worker remembers from text to text; beyond so many it begins anew.
-KNOWN = 1_000_000
+#: Stretches that a Python worker remembers from text to text; beyond so many it keeps those that came so often, or begins anew if these are over half of them.
+KNOWN, OFTEN = 300_000, 3
 NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64))
 SCHEMA = "uid long, key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<long>"
 
@@ -95,6 +95,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.named: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)
+        self.came = np.zeros(0, np.int32)
         self.db.execute("CREATE OR REPLACE TEMP TABLE links (no INTEGER, pair INTEGER, times BIGINT)")
 
     @staticmethod
@@ -104,6 +105,20 @@ class Aligner:
         rest = [b for b in range(256) if b not in plain]
         return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
+    def _thin(self) -> None:
+        """Forget stretches that came seldom."""
+        keep = np.flatnonzero(self.came >= OFTEN)
+        if len(keep) > KNOWN // 2:
+            self._forget()
+            return
+        new = np.full(len(self.named), -1, np.int32)
+        new[keep] = np.arange(len(keep), dtype=np.int32)
+        self.known = {k: int(new[i]) for k, i in self.known.items() if i >= 0 and new[i] >= 0}
+        self.named = [self.named[i] for i in keep.tolist()]
+        self.counts, self.came = self.counts[keep], self.came[keep] // 2
+        self.db.register("kept", pa.table({"old": pa.array(keep, pa.int32()), "new": pa.array(new[keep], pa.int32())}))
+        self.db.execute("CREATE OR REPLACE TEMP TABLE links AS SELECT new AS no, pair, times FROM links JOIN kept ON links.no = kept.old")
+
     def stretches(self, text: str) -> list[str]:
         """``text`` cut at single spaces between other characters; each part stands behind a space."""
         if not self.cuts:
@@ -148,7 +163,7 @@ class Aligner:
     def _align(self, texts: list[str]) -> list[tuple | None]:
         parts = [self.stretches(t) if t else [] for t in texts]
         if len(self.known) > KNOWN:
-            self._forget()
+            self._thin()
         if new := set(chain.from_iterable(parts)).difference(self.known):
             self._learn(list(new))
         out: list[tuple | None] = [None] * len(texts)
@@ -161,6 +176,7 @@ class Aligner:
             return out
         sizes = [len(nos) for nos in numbers]
         flat = np.fromiter(chain.from_iterable(numbers), np.int32, sum(sizes))
+        self.came = np.bincount(flat, minlength=len(self.named)).astype(np.int32) + np.pad(self.came, (0, len(self.named) - len(self.came)))
         totals = np.add.reduceat(self.counts[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])))
         self.db.register("d", pa.table({"doc": np.repeat(np.array(docs, np.int32), sizes), "no": flat}))
         found = self.db.sql(DOCUMENTS).to_arrow_table()
