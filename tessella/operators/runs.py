@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import numbered
 from ..plans.registry import register, rounded
 
 # The two-sided 95 % quantiles of Student's t for 1 to 20 degrees of freedom.
@@ -135,7 +136,7 @@ QUALITY = f"SELECT model, domain, case_id, status, sources, CASE WHEN status = '
 register("ag32_quality", "runs cases", quality, QUALITY)
 register("ag34_header", "runs cases", lambda r, c: grid(r, c, "k1").groupBy().agg(F.count("*").alias("cases"), F.count("run_id").alias("run"), rounded(F.sum(F.when(F.col("status") == "scored", F.coalesce("normalized", F.lit(0.0)))) / F.count_if(F.col("status") == "scored"), 3).alias("avg_scored")), f"SELECT count(*) AS cases, count(run_id) AS run, floor(sum(CASE WHEN status = 'scored' THEN coalesce(normalized, 0) END) / count(*) FILTER (status = 'scored') * 1000 + 0.5) / 1000 AS avg_scored FROM {GRID.format('k1')}")
 register("pf16_grid_filter", "runs cases", lambda r, c: grid(r, c, "k1").where("status IS NULL OR domain = 'BUILDING'").select("case_id", "domain", "status"), f"SELECT case_id, domain, status FROM {GRID.format('k1')} WHERE status IS NULL OR domain = 'BUILDING'")
-register("so07_grid_sort", "runs cases", lambda r, c: grid(r, c, "k1").withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("normalized", F.lit(1.1)), "case_id"))).select("place", "case_id", "normalized"), f"SELECT row_number() OVER (ORDER BY coalesce(normalized, 1.1), case_id)::INT AS place, case_id, normalized FROM {GRID.format('k1')}")
+register("so07_grid_sort", "runs cases", lambda r, c: numbered(grid(r, c, "k1"), "place", [F.coalesce("normalized", F.lit(1.1)), F.col("case_id")]).select("place", "case_id", "normalized"), f"SELECT row_number() OVER (ORDER BY coalesce(normalized, 1.1), case_id) AS place, case_id, normalized FROM {GRID.format('k1')}")
 register("pf27_status", "runs", lambda r: r.select("run_id", F.when(F.col("status") == "error", "error").when(F.col("normalized").isNull(), "ungraded").otherwise("scored").alias("derived")), "SELECT run_id, CASE WHEN status = 'error' THEN 'error' WHEN normalized IS NULL THEN 'ungraded' ELSE 'scored' END AS derived FROM runs")
 register("st06_shared_cases", "runs", lambda r: r.where("commit_sha = 'k0'").select("case_id").intersect(r.where("commit_sha = 'k1'").select("case_id")), "SELECT case_id FROM runs WHERE commit_sha = 'k0' INTERSECT SELECT case_id FROM runs WHERE commit_sha = 'k1'")
 register("st07_unrun_cases", "runs cases", lambda r, c: c.select("case_id").exceptAll(r.select("case_id").distinct()), "SELECT case_id FROM cases EXCEPT SELECT case_id FROM runs")

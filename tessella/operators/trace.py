@@ -6,11 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import before_range, in_ranges, max_before, nth_value, numbered
 from ..plans.registry import register, rounded
+from ..plans.scratch import dropped, written
 
 TOP_N, HIGH_WAIT_MS, SLOW_STEP_MS = 8, 750, 4_000
 #: Time is cut in pieces of an hour where a run's spans are swept.
 BUCKET_MS = 3_600_000
+#: Candidates of a critical path that one task looks at.
+BLOCK = 16_384
+#: Verbatim text of a step in a trace, and of a run, in characters.
+FIELD_CHARS, RUN_CHARS = 256 * 1024, 512 * 1024 * 1024
 
 
 def work(spans: DataFrame) -> DataFrame:
@@ -56,34 +62,111 @@ def cover(spans: DataFrame) -> DataFrame:
     return joined.select("run_id", covered.alias("covered_ms"), F.greatest(F.lit(0).cast("long"), F.col("last") - F.col("start") - covered).alias("idle_ms"))
 
 
-def critical_path(spans: DataFrame) -> DataFrame:
-    """The greedy chain itself, one group a run: always on to the open span that reaches furthest, else to the next start."""
+def _records(spans: DataFrame) -> DataFrame:
+    """(run_id, no, id, t0, t1): of each run's work the spans that reach further than all that start before them, numbered from 1 by their start.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        todo = rows[rows.kind != "agent"].sort_values(["t0", "id"])
-        starts, ends, ids = todo.t0.tolist(), todo.t1.tolist(), todo.id.tolist()
-        at, i, far, best, out = int(rows.t0.min()) if len(rows) else 0, 0, -1, -1, []
-        while True:
-            while i < len(starts) and starts[i] <= at:
-                if ends[i] > far:
-                    far, best = ends[i], ids[i]
-                i += 1
-            if far > at:
-                out.append((rows.run_id.iloc[0], len(out), best, far - at))
-                at = far
-            elif i < len(starts):
-                at = starts[i]
-            else:
-                return pd.DataFrame(out, columns=["run_id", "step", "id", "gained_ms"])
+    Others are never on the path. Starts and ends of these both ascend; of spans that start together the longest is the only one."""
+    some = spans.where("kind <> 'agent' AND t1 > t0").select("run_id", "id", "t0", "t1")
+    placed = in_ranges(some, ["run_id"], [F.col("t0"), F.col("t1").desc(), F.col("id")], "spans")
+    far = max_before(placed, ["run_id"], "t1", "reached").where("reached IS NULL OR t1 > reached").select("run_id", "id", "t0", "t1")
+    return written(numbered(far, "no", [F.col("t0")], ["run_id"]), "records")
 
-    return spans.select("run_id", "id", "kind", "t0", "t1").groupBy("run_id").applyInPandas(walk, "run_id string, step long, id long, gained_ms long")
+
+def _next(records: DataFrame) -> DataFrame:
+    """``records`` with next: the last one that starts by this one's end, or if that is itself the one behind it, after idle time."""
+    start = records.select("run_id", F.col("t0").alias("t"), F.lit(0).alias("end"), F.lit(1).alias("starts"), "no")
+    end = records.select("run_id", F.col("t1").alias("t"), F.lit(1).alias("end"), F.lit(0).alias("starts"), "no")
+    placed = in_ranges(start.unionByName(end), ["run_id"], [F.col("t"), F.col("end"), F.col("no")], "ends")
+    before = before_range(placed, ["run_id"], n=F.sum("starts")).select(F.col("run_id").alias("r"), F.col("__part").alias("p"), "n")
+    here = Window.partitionBy("run_id", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumn("c", F.sum("starts").over(here)).join(before, (F.col("run_id") == F.col("r")) & (F.col("__part") == F.col("p")))
+    ends = counted.where("end = 1").select("run_id", "no", F.greatest(F.col("no") + 1, F.col("n") + F.col("c")).alias("next"))
+    last = records.groupBy("run_id").agg(F.max("no").alias("last"))
+    joined = records.join(ends, ["run_id", "no"]).join(last, "run_id")
+    return joined.select("run_id", "no", "id", "t0", "t1", F.when(F.col("next") <= F.col("last"), F.col("next")).alias("next"))
+
+
+def critical_path(spans: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(run_id, step, id, gained_ms): the greedy chain, always on to the open span that reaches furthest, else to the next start.
+
+    A run's candidates are numbered and cut into blocks of so many. A block's function says of each place where the chain can come in where it
+    goes out; these functions are composed by doubling, in as many rounds as the number of blocks has binary digits, which gives the place where the
+    chain comes into each block, and each block then expands its own part. So a run is never in one task, and the driver sees one number a round.
+    """
+    steps = written(_next(_records(spans)).withColumn("block", F.call_function("div", F.col("no") - 1, F.lit(block))), "steps")
+
+    def leave(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("no")
+        first, to = int(rows.no.iloc[0]), rows.next.fillna(0).astype("int64").tolist()
+        out = to.copy()
+        for i in range(len(to) - 1, -1, -1):
+            if 0 < to[i] < first + len(to):
+                out[i] = out[to[i] - first]
+        return pd.DataFrame({"run_id": rows.run_id, "no": rows.no, "leaves": out})
+
+    leaves = written(steps.select("run_id", "block", "no", "next").groupBy("run_id", "block").applyInPandas(leave, "run_id string, no long, leaves long"), "leaves")
+    doors = leaves.select("run_id", F.col("leaves").alias("no")).unionByName(leaves.select("run_id", F.lit(1).cast("long").alias("no"))).where("no > 0").distinct()
+    jump = written(leaves.join(doors, ["run_id", "no"]).where("leaves > 0"), "jumps")
+    passed = written(leaves.where("no = 1").select("run_id", "no"), "passed")
+    while not jump.isEmpty():
+        more = passed.join(jump, ["run_id", "no"]).select("run_id", F.col("leaves").alias("no"))
+        longer = passed.unionByName(more).distinct()
+        twice = jump.alias("a").join(jump.select("run_id", F.col("no").alias("leaves"), F.col("leaves").alias("then")).alias("b"), ["run_id", "leaves"]).select("run_id", "no", F.col("then").alias("leaves"))
+        passed, twice = written(longer, "passed"), written(twice, "jumps")
+        dropped(jump)
+        jump = twice
+    entries = passed.select("run_id", F.call_function("div", F.col("no") - 1, F.lit(block)).alias("block"), F.col("no").alias("entry"))
+
+    def expand(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("no")
+        first, to, at, taken = int(rows.no.iloc[0]), rows.next.fillna(0).astype("int64").tolist(), int(rows.entry.iloc[0]), []
+        while first <= at < first + len(to):
+            taken.append(at - first)
+            at = to[at - first]
+        return rows.iloc[taken][["run_id", "no", "id", "t0", "t1"]]
+
+    taken = steps.join(entries, ["run_id", "block"]).groupBy("run_id", "block").applyInPandas(expand, "run_id string, no long, id long, t0 long, t1 long")
+    placed = in_ranges(numbered(taken, "step", [F.col("no")], ["run_id"]), ["run_id"], [F.col("no")], "path")
+    return max_before(placed, ["run_id"], "t1", "at").select("run_id", (F.col("step") - 1).alias("step"), "id", (F.col("t1") - F.greatest(F.col("t0"), F.coalesce("at", "t0"))).alias("gained_ms"))
 
 
 def nth_percent(values: DataFrame, key: str, value: str, percent: int) -> DataFrame:
     """The value at place min(n - 1, floor(percent / 100 * n)) of each key in ascending order."""
-    by = Window.partitionBy(key)
-    ranked = values.withColumn("at", F.row_number().over(by.orderBy(value)) - 1).withColumn("n", F.count("*").over(by))
-    return ranked.where(F.col("at") == F.least(F.col("n") - 1, F.floor(F.col("n") * percent / 100))).select(key, F.col(value).alias(f"p{percent}"))
+    return nth_value(values, key, value, F.least(F.col("n") - 1, F.call_function("div", F.col("n") * percent, F.lit(100))), f"p{percent}")
+
+
+def agent_tree(nodes: DataFrame) -> DataFrame:
+    """(run_id, agent_id, cost_cents, self_ms, agents) summed over each agent's subtree, from its own (run_id, agent_id, parent_id, cost_cents, self_ms).
+
+    By doubling: each round an agent hands its sum to the one that its pointer names and then points where that one points, so a round
+    doubles the depth that is summed, and no agent is gathered with its ancestors. A parent that isn't there makes an orphan, which is a root. Of agents that are each other's
+    ancestors the one with the smallest id is the root: what the others point to doesn't end there, so pointers left after the longest possible chain give them away.
+    """
+    keys = ["run_id", "agent_id"]
+    there = nodes.select("run_id", F.col("agent_id").alias("parent_id"), F.lit(True).alias("known"))
+    own = nodes.join(there, ["run_id", "parent_id"], "left").select(*keys, F.when(F.col("known"), F.col("parent_id")).alias("up"), "cost_cents", "self_ms", F.lit(1).cast("long").alias("agents"))
+    own = written(own, "agents")
+    rounds = max(1, (own.groupBy("run_id").count().agg(F.max("count")).first()[0] or 1).bit_length())
+    up = written(own.where("up IS NOT NULL").select(*keys, "up", F.col("up").alias("least")), "pointers")
+    for _ in range(rounds):
+        if up.isEmpty():
+            break
+        ahead = up.select("run_id", F.col("agent_id").alias("up"), F.col("up").alias("further"), F.col("least").alias("least_there"))
+        new = written(up.join(ahead, ["run_id", "up"]).select(*keys, F.col("further").alias("up"), F.least("least", "least_there").alias("least")), "pointers")
+        dropped(up)
+        up = new
+    # what still points somewhere leads into a circle, whose members are those pointed to; each has seen its whole circle
+    circle = up.join(up.select("run_id", F.col("up").alias("agent_id")).distinct(), keys, "left_semi").where("agent_id = least").select(*keys, F.lit(True).alias("cut"))
+    sums = written(own.join(circle, keys, "left").withColumn("up", F.when(F.col("cut").isNull(), F.col("up"))).drop("cut"), "subtrees")
+    added = ("cost_cents", "self_ms", "agents")
+    while not sums.where("up IS NOT NULL").isEmpty():
+        handed = sums.where("up IS NOT NULL").groupBy("run_id", F.col("up").alias("agent_id")).agg(*[F.sum(c).alias(f"more_{c}") for c in added])
+        ahead = sums.select("run_id", F.col("agent_id").alias("up"), F.col("up").alias("further"))
+        joined = sums.join(handed, keys, "left").join(ahead, ["run_id", "up"], "left")
+        new = written(joined.select(*keys, F.col("further").alias("up"), *[(F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))).alias(c) for c in added]), "subtrees")
+        dropped(sums)
+        sums = new
+    return sums.drop("up")
 
 
 def _totals(prefix: str = "") -> list[Column]:
@@ -182,11 +265,16 @@ def digest(spans: DataFrame) -> DataFrame:
     return out.join(anomalies(spans).groupBy("run_id").agg(F.count("*").alias("anomalies")), "run_id", "left")
 
 
-def degraded_steps(steps: DataFrame, field: int = 256, total: int = 20_000) -> DataFrame:
-    """Steps with their text cut to ``field`` characters, kept while the running sum of the run stays within ``total``."""
-    cut = steps.withColumn("text", F.substring("text", 1, field))
-    running = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("running", running).select("conv_id", "turn", F.when(F.col("running") <= total, F.col("text")).alias("text"), "running")
+def degraded_steps(steps: DataFrame, field: int = FIELD_CHARS, total: int = RUN_CHARS) -> DataFrame:
+    """Steps with their text cut to ``field`` characters, kept while the running sum of the run stays within ``total``.
+
+    The sum is of a range of turns and of those before it, so a long conversation isn't one window."""
+    placed = in_ranges(steps.select("conv_id", "turn", F.substring("text", 1, field).alias("text")), ["conv_id"], [F.col("turn")], "steps")
+    before = before_range(placed, ["conv_id"], chars=F.sum(F.length("text"))).select(F.col("conv_id").alias("c"), F.col("__part").alias("p"), "chars")
+    here = F.sum(F.length("text")).over(Window.partitionBy("conv_id", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("here", here).join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("__part") == F.col("p")))
+    running = (F.col("chars") + F.coalesce("here", F.lit(0))).cast("long")
+    return joined.select("conv_id", "turn", F.when(running <= total, F.col("text")).alias("text"), running.alias("running"))
 
 
 UNION_SQL = """sum(greatest(0, t1 - greatest(t0, coalesce(reached, t0))))::BIGINT"""
@@ -216,6 +304,18 @@ CALLS = f"SELECT run_id, call_key, count(*) AS calls FROM spans WHERE {MODEL} AN
 ALL = f"{HIGH} UNION ALL {SLOW} UNION ALL {RETRY} UNION ALL {ERROR} UNION ALL {TAIL}"
 RATIO = f"SELECT run_id, sum({COMPUTE})::BIGINT AS compute_ms, sum(wait_ms)::BIGINT AS wait_ms, CASE WHEN sum({COMPUTE}) > 0 THEN floor(sum(wait_ms) / sum({COMPUTE}) * 100 + 0.5) / 100 ELSE 0.0 END AS ratio FROM spans WHERE {MODEL} GROUP BY run_id"
 COVER = f"SELECT run_id, coalesce(u, 0)::BIGINT AS covered_ms, greatest(0, l - s - coalesce(u, 0))::BIGINT AS idle_ms FROM (SELECT run_id, min(t0) AS s, max(t1) FILTER (kind <> 'agent') AS l FROM spans GROUP BY run_id) LEFT JOIN {_union_sql('run_id', WORK)} USING (run_id)"
+PATH = """WITH RECURSIVE r AS MATERIALIZED (SELECT run_id, id, t0, t1, row_number() OVER (PARTITION BY run_id ORDER BY t0) AS no FROM
+  (SELECT *, max(t1) OVER (PARTITION BY run_id ORDER BY t0, t1 DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM spans WHERE kind <> 'agent' AND t1 > t0) WHERE m IS NULL OR t1 > m),
+s AS MATERIALIZED (SELECT a.run_id, a.no, greatest(a.no + 1, max(b.no)) AS next FROM r a JOIN r b ON a.run_id = b.run_id AND a.t1 >= b.t0 GROUP BY a.run_id, a.no),
+p AS (SELECT run_id, no, 0::BIGINT AS step, id, t1, t1 - t0 AS gained_ms FROM r WHERE no = 1 UNION ALL
+  SELECT r.run_id, r.no, p.step + 1, r.id, r.t1, r.t1 - greatest(r.t0, p.t1) FROM p JOIN s ON s.run_id = p.run_id AND s.no = p.no JOIN r ON r.run_id = s.run_id AND r.no = s.next)
+SELECT run_id, step, id, gained_ms FROM p"""
+TREE = """WITH RECURSIVE n AS (SELECT a.run_id, a.agent_id, b.agent_id AS up, a.cost_cents, a.self_ms FROM agent_nodes a LEFT JOIN agent_nodes b ON b.run_id = a.run_id AND b.agent_id = a.parent_id),
+above AS (SELECT run_id, agent_id, up FROM n WHERE up IS NOT NULL UNION SELECT above.run_id, above.agent_id, n.up FROM above JOIN n ON n.run_id = above.run_id AND n.agent_id = above.up WHERE n.up IS NOT NULL),
+ring AS (SELECT a.run_id, a.agent_id, min(a.up) AS least FROM above a JOIN above b ON b.run_id = a.run_id AND b.agent_id = a.up AND b.up = a.agent_id GROUP BY 1, 2),
+f AS (SELECT n.run_id, n.agent_id, CASE WHEN ring.least = n.agent_id THEN NULL ELSE n.up END AS up, cost_cents, self_ms FROM n LEFT JOIN ring USING (run_id, agent_id)),
+t AS (SELECT run_id, agent_id, agent_id AS root FROM f UNION ALL SELECT f.run_id, f.agent_id, t.root FROM t JOIN f ON f.run_id = t.run_id AND f.up = t.agent_id)
+SELECT t.run_id, t.root AS agent_id, sum(cost_cents)::BIGINT AS cost_cents, sum(self_ms)::BIGINT AS self_ms, count(*) AS agents FROM t JOIN f ON f.run_id = t.run_id AND f.agent_id = t.agent_id GROUP BY 1, 2"""
 TOTALS = "sum(coalesce(cost_cents, 0))::BIGINT AS cost_cents, sum(tok_in + tok_out + tok_read + tok_write)::BIGINT AS tokens, count(*) AS spans"
 
 
@@ -226,9 +326,10 @@ def _top_sql(measure: str) -> str:
 register("tr02_union", "spans", lambda s: union_ms(work(s), "run_id", "agent_id"), f"SELECT run_id, agent_id, u AS union_ms FROM {_union_sql('run_id, agent_id', WORK)}")
 register("tr03_peak", "spans", lambda s: peak_overlap(work(s), "run_id"), f"SELECT run_id, p AS peak FROM {_peak_sql(WORK)}")
 register("tr04_cover", "spans", cover, COVER)
-register("tr04_path", "spans", critical_path)
+register("tr04_path", "spans", critical_path, PATH)
 register("tr05_phases", "spans", phases, f"SELECT * FROM (SELECT run_id, site, sum(CASE WHEN {MODEL} THEN {COMPUTE} ELSE 0 END)::BIGINT AS compute_ms, sum(CASE WHEN {MODEL} THEN wait_ms ELSE 0 END)::BIGINT AS wait_ms, {TOTALS} FROM spans WHERE {WORK} GROUP BY ALL) LEFT JOIN (SELECT run_id, site, u AS wall_ms FROM {_union_sql('run_id, site', WORK)}) USING (run_id, site)")
 register("tr06_agents", "spans", agents, f"SELECT run_id, agent_id, coalesce(u, 0)::BIGINT AS self_ms, coalesce(w, u, 0)::BIGINT AS subtree_ms, cost_cents, tokens, spans FROM (SELECT run_id, agent_id, {TOTALS} FROM spans WHERE {WORK} AND agent_id IS NOT NULL GROUP BY ALL) LEFT JOIN {_union_sql('run_id, agent_id', WORK + ' AND agent_id IS NOT NULL')} USING (run_id, agent_id) LEFT JOIN (SELECT run_id, agent_id, max_by(duration_ms, id) AS w FROM spans WHERE kind = 'agent' AND agent_id IS NOT NULL GROUP BY ALL) USING (run_id, agent_id)")
+register("tr06_agent_tree", "agent_nodes", agent_tree, TREE)
 register("jn17_agent_wrapper", "spans", lambda s: agents(s).select("run_id", "agent_id", "subtree_ms"), f"SELECT run_id, agent_id, coalesce(w, u, 0)::BIGINT AS subtree_ms FROM (SELECT DISTINCT run_id, agent_id FROM spans WHERE {WORK} AND agent_id IS NOT NULL) LEFT JOIN {_union_sql('run_id, agent_id', WORK + ' AND agent_id IS NOT NULL')} USING (run_id, agent_id) LEFT JOIN (SELECT run_id, agent_id, max_by(duration_ms, id) AS w FROM spans WHERE kind = 'agent' AND agent_id IS NOT NULL GROUP BY ALL) USING (run_id, agent_id)")
 register("tr07_top_cost", "spans", lambda s: top_spans(s, F.coalesce("cost_cents", F.lit(0).cast("long"))), _top_sql("coalesce(cost_cents, 0)"))
 register("tr07_top_latency", "spans", lambda s: top_spans(s, compute_of()), _top_sql(COMPUTE))
@@ -242,7 +343,7 @@ register("tr13_tail_agent", "spans", tail_agent, TAIL)
 register("tr14_ranked_anomalies", "spans", ranked_anomalies, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(severity_ms, 0) DESC, anomaly, span_id NULLS LAST)::INT AS rank FROM ({ALL})) WHERE rank <= 20")
 register("tr01_digest", "spans", digest, f"SELECT * FROM (SELECT run_id, count(*) AS spans, max(t1) - min(t0) AS wall_ms FROM spans GROUP BY 1) LEFT JOIN ({RATIO}) USING (run_id) LEFT JOIN ({COVER}) USING (run_id) LEFT JOIN (SELECT run_id, u AS io_ms FROM {_union_sql('run_id', IO)}) USING (run_id) LEFT JOIN (SELECT run_id, p AS peak_model FROM {_peak_sql(MODEL)}) USING (run_id) LEFT JOIN (SELECT run_id, p AS peak_io FROM {_peak_sql(IO)}) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS anomalies FROM (SELECT run_id FROM ({ALL}) UNION ALL SELECT run_id FROM ({CALLS})) GROUP BY 1) USING (run_id)")
 register("tr15_derivation", "spans", lambda s: s.select("id", F.greatest(F.lit(0).cast("long"), F.col("t1") - F.col("t0")).alias("duration_ms"), F.greatest(F.lit(0).cast("long"), F.col("t1") - F.col("t0") - F.col("wait_ms")).alias("compute_ms")), "SELECT id, greatest(0, t1 - t0) AS duration_ms, greatest(0, t1 - t0 - wait_ms) AS compute_ms FROM spans")
-register("tr16_capture", "conversations", degraded_steps, "SELECT conv_id, turn, CASE WHEN running <= 20000 THEN text END AS text, running FROM (SELECT conv_id, turn, text[1:256] AS text, sum(length(text[1:256])) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations)")
+register("tr16_capture", "conversations", degraded_steps, "SELECT conv_id, turn, CASE WHEN running <= 536870912 THEN text END AS text, running FROM (SELECT conv_id, turn, text[1:262144] AS text, sum(length(text[1:262144])) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations)")
 register("tr17_rebuild", "journal", lambda j: j.where("kind = 'trace'").groupBy("run_id").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")), "SELECT run_id, count(*) AS records, min(seq) AS first_seq, max(seq) AS last_seq FROM journal WHERE kind = 'trace' GROUP BY 1")
 register("ag13_percentile", "spans", lambda s: nth_percent(s.where("kind = 'model'"), "run_id", "wait_ms", 95), f"SELECT run_id, p AS p95 FROM {_pct('wait_ms', 95, MODEL)}")
 register("st04_work_union", "spans", lambda s: s.where("kind = 'model'").select("id", "kind").unionByName(s.where("kind = 'io'").select("id", "kind")).unionByName(s.where("kind = 'tool'").select("id", "kind")), f"SELECT id, kind FROM spans WHERE {WORK}")

@@ -23,6 +23,9 @@ DERIVED = {
       event_id % 1000 AS tok_in, event_id % 300 AS tok_out, event_id % 70 AS tok_read, event_id % 30 AS tok_write,
       CASE WHEN event_id % 17 = 0 THEN 'error' WHEN event_id % 19 = 0 THEN 'aborted' ELSE 'ok' END AS status,
       CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('call', CAST(event_id % 397 AS STRING)) END AS call_key FROM events""",
+    "agent_nodes": """SELECT concat('run', CAST(user_id % 10 AS STRING)) AS run_id, concat('a', CAST(event_id % 997 AS STRING)) AS agent_id,
+      max(CASE WHEN event_id % 997 = 0 THEN NULL WHEN event_id % 997 % 41 = 7 THEN 'gone' WHEN event_id % 997 % 50 = 11 THEN concat('a', CAST(event_id % 997 * 3 + 2 AS STRING)) ELSE concat('a', CAST((event_id % 997 - event_id % 997 % 3) // 3 AS STRING)) END) AS parent_id,
+      sum(CAST(floor(value * 100) AS BIGINT)) AS cost_cents, sum(CAST(floor(value * 60000) AS BIGINT)) AS self_ms FROM events GROUP BY 1, 2""",
     "runs": """SELECT concat('r', CAST(o_orderkey AS STRING)) AS run_id, concat('c', CAST(o_custkey % 200 AS STRING)) AS case_id,
       concat('k', CAST(o_orderkey % 5 AS STRING)) AS commit_sha, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE concat('m', CAST(o_orderkey % 3 AS STRING)) END AS model,
       o_orderkey * 7 % 100003 AS created_at, o_orderkey % 2 AS dirty,
