@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, query_tokens
+from ..plans.ordered import numbered as in_order
 from ..plans.registry import register, rounded
 
 OPENING = ("add", "retarget")
@@ -145,7 +146,7 @@ TOKENS = r"(SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_
 register("ss09_slot_states", "slot_events", slot_states, f"SELECT * FROM {STATES}")
 register("ss10_coverage", "slot_events", lambda e: covered(slot_states(e), e.select("run_id", "slot_id", F.when(F.col("seq") % 7 == 0, "exhausted").when(F.col("seq") % 5 == 0, "closed").alias("verdict")).where("verdict IS NOT NULL AND slot_id <> 's3'")), f"SELECT s.run_id, s.slot_id, CASE WHEN state <> 'open' THEN state WHEN gone THEN 'exhausted' WHEN gone IS NOT NULL THEN 'stated' ELSE 'open' END AS state FROM {STATES} s LEFT JOIN (SELECT run_id, slot_id, bool_or(seq % 7 = 0) AS gone FROM slot_events WHERE (seq % 7 = 0 OR seq % 5 = 0) AND slot_id <> 's3' GROUP BY 1, 2) USING (run_id, slot_id)")
 register("ss11_ledger_status", "slot_events", lambda e: ledger_status(slot_states(e)), f"SELECT run_id, count(*) AS slots, count(*) FILTER (state = 'answered') AS answered, count(*) FILTER (state = 'open') AS open, bool_and(state <> 'open') AS all_filled FROM {STATES} GROUP BY 1")
-register("ss12_seed", "benchmark", lambda b: b.where(F.length("text") > 40).withColumn("r", F.row_number().over(Window.orderBy("item_id"))).where("r <= 14").select(F.concat(F.lit("s"), "r").alias("slot_id"), "item_id"), "SELECT 's' || row_number() OVER (ORDER BY item_id) AS slot_id, item_id FROM benchmark WHERE length(text) > 40 ORDER BY item_id LIMIT 14")
+register("ss12_seed", "benchmark", lambda b: in_order(b.where(F.length("text") > 40).orderBy("item_id").limit(14), "r", [F.col("item_id")]).select(F.concat(F.lit("s"), "r").alias("slot_id"), "item_id"), "SELECT 's' || row_number() OVER (ORDER BY item_id) AS slot_id, item_id FROM benchmark WHERE length(text) > 40 ORDER BY item_id LIMIT 14")
 register("ss13_render", "slot_events", lambda e: slot_states(e).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot_id", "state"))), lambda x: F.concat_ws("=", x["slot_id"], x["state"])), "; ").alias("ledger")), f"SELECT run_id, string_agg(slot_id || '=' || state, '; ' ORDER BY slot_id) AS ledger FROM {STATES} GROUP BY 1")
 register("ss14_source_priming", "documents", lambda d: d.groupBy("lang").agg((F.max(F.regexp_extract("source", r"^src(\d+)$", 1).cast("long")) + 1).alias("next")), "SELECT lang, max(regexp_extract(source, '^src(\\d+)$', 1)::BIGINT) + 1 AS next FROM documents GROUP BY 1")
 register("st11_slot_dedupe", "slot_events", lambda e: e.where("op = 'add'").withColumn("k", F.lower(F.trim(F.concat(F.lit(" Slot "), F.col("slot_id"))))).withColumn("r", F.row_number().over(Window.partitionBy("run_id", "k").orderBy("seq"))).where("r = 1").select("run_id", "k", "seq"), "SELECT run_id, 'slot ' || slot_id AS k, min(seq) AS seq FROM slot_events WHERE op = 'add' GROUP BY ALL")

@@ -9,6 +9,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.fixed import GUESSED_VALUES, LEFTOVERS, RESERVED_TOOLS, ascii_edges
 from ..functions.pages import mapped, robots_allowed
@@ -30,7 +32,8 @@ class ToolRegistry:
     def __init__(self, spark: SparkSession):
         self.spark, self.names = spark, set()
 
-    def add(self, name: str, handler: type, returns: str) -> Callable:
+    def add(self, name: str, handler: type, returns: str | None) -> Callable:
+        """Without ``returns`` the handler's analyze() says what it returns."""
         if not NAME.fullmatch(name) or name in RESERVED or name in self.names:
             raise ValueError(f"not a free tool name: {name}")
         made = udtf(handler, returnType=returns)
@@ -39,6 +42,49 @@ class ToolRegistry:
         return made
 
 
+def table_tool(execute: Callable, adds: str) -> type:
+    """A table function of ``execute(row, state, *args)`` for ``FROM tool(TABLE(rows) PARTITION BY ... ORDER BY ..., args)``.
+
+    Its columns are those of its input and then ``adds``, whatever the input is; a column that the input has already is an error. ``row`` is a dictionary, ``state`` one
+    that is empty at the begin of each part and kept from row to row; each tuple that comes back makes a row. Parts are dealt out by Spark and come row by row.
+    """
+    added = StructType.fromDDL(adds)
+
+    class Tool:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, *args: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or not isinstance(rows.dataType, StructType):
+                raise ValueError("the first argument has to be TABLE(...)")
+            if twice := set(rows.dataType.names) & set(added.names):
+                raise ValueError(f"the input has a column {min(twice)} already")
+            return AnalyzeResult(schema=StructType([*rows.dataType.fields, *added.fields]))
+
+        def __init__(self):
+            self.state: dict = {}
+
+        def eval(self, row, *args):
+            for out in execute(row.asDict(), self.state, *args):
+                yield (*row, *out)
+
+    return Tool
+
+
+def since_last(row: dict, state: dict, column: str):
+    """How many rows ago this value of a column was there last, and how often it has been."""
+    state["n"] = state.get("n", 0) + 1
+    last, times = state.setdefault("seen", {}).get(row[column], (None, 0))
+    state["seen"][row[column]] = (state["n"], times + 1)
+    yield None if last is None else state["n"] - last, times + 1
+
+
+def tooled(rows: DataFrame, tools: ToolRegistry | None = None) -> DataFrame:
+    """Rows of a journal with what the tool since_last says of their types, run by run."""
+    tools = tools or ToolRegistry(rows.sparkSession)
+    if "since_last" not in tools.names:
+        tools.add("since_last", table_tool(since_last, "ago long, times long"), None)
+    return rows.sparkSession.sql("SELECT run_id, seq, type, ago, times FROM since_last(TABLE({rows}) PARTITION BY (run_id) ORDER BY (seq), 'type')", rows=rows)
+
+
 class Grep:
     """Matches of a pattern in a text with their places and what stands around them."""
 
@@ -99,6 +145,7 @@ def free_names(names: DataFrame) -> DataFrame:
 
 
 register("ud01_added_tool", "benchmark", registered, "SELECT item_id, len(w) AS n, w[-1] AS last FROM (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0")
+register("ud01_table_tool", "journal", lambda j: tooled(j.select("run_id", "seq", "type")), "SELECT run_id, seq, type, n - lag(n) OVER (PARTITION BY run_id, type ORDER BY n) AS ago, row_number() OVER (PARTITION BY run_id, type ORDER BY n) AS times FROM (SELECT run_id, seq, type, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM journal)")
 register("ud02_tool_names", "events", lambda e: free_names(e.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, ["search", "read", "grep", "read_source", "search_sources", "9lives", "my tool", "close_slot"])), (F.col("event_id") % 8 + 1).cast("int")).alias("kind")).select("id", F.when(F.col("id") % 3 == 0, F.concat("kind", F.lit("-"), (F.col("id") % 50).cast("string"))).otherwise(F.col("kind")).alias("name"))), "SELECT id, regexp_full_match(name, '[A-Za-z][\\w-]{0,63}') AND name NOT IN ('search', 'fetch', 'read_source', 'search_sources', 'run_code', 'note', 'close_slot', 'add_slot', 'retarget_slot') AND row_number() OVER (PARTITION BY name ORDER BY id) = 1 AS free FROM (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN k || '-' || (event_id % 50) ELSE k END AS name FROM (SELECT event_id, ['search', 'read', 'grep', 'read_source', 'search_sources', '9lives', 'my tool', 'close_slot'][event_id % 8 + 1] AS k FROM events))")
 register("fn34_step_lines", "conversations", lambda c: c.select("conv_id", "turn", step_line(F.col("role"), F.col("turn"), F.col("text")).alias("line")), "SELECT conv_id, turn, '#' || turn || ' ' || role || ': ' || regexp_replace(text[1:40], '\\s+', ' ', 'g') || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS line FROM conversations")
 register("pf25_source_cards", "documents", source_card, "SELECT doc_id, '{\"id\":\"source_' || doc_id || '\",\"chars\":' || n_chars || CASE WHEN n_chars > 200 THEN ',\"truncated\":true' ELSE '' END || ',\"preview\":\"' || md5(text[1:200]) || '\"}' AS card FROM documents")

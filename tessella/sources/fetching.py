@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pages import is_private, mapped, markdown, robots_allowed
+from ..functions.markdown import markdown
+from ..functions.pages import is_private, mapped, robots_allowed
 from ..functions.text import host
 from ..operators.filters import looks_blocked
 from ..plans.registry import register

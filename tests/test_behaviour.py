@@ -1,12 +1,13 @@
 """Operators on small literal inputs and on random ones against plain loops."""
 
 import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import pages
+from tessella.functions import markdown, pages, retries
 from tessella.functions.scalars import final_answer, normalized_answer, strong_anchors
 from tessella.functions.text import canonical_query, canonical_url, query_terms, trail_key, window_starts
 from tessella.operators import evals, filters, ledger, metering, retrieval, runs, search, trace
@@ -125,20 +126,73 @@ def test_robots():
     assert pages.robots_allowed("User-agent: *\nDisallow: /" + "*a" * 200 + "$", "x", "/" + "a" * 3000 + "b")
 
 
-def test_markdown():
-    page = "<h2>T</h2><p>See <a href='/a'>this</a></p><ul><li>one<li>two</ul><table><tr><th>a<th>b|c</tr><tr><td>1</tr></table><pre>x\n  y</pre><nav>no</nav>"
-    text, links = pages.markdown(page, "https://h.com/")
-    assert text == "## T\n\nSee [this](https://h.com/a)\n\n- one\n\n- two\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |\n\n```\n\nx\n  y\n\n```" and links == ["https://h.com/a"]
+def md(html):
+    return markdown.read_page(html, "https://example.com/docs/page")
+
+
+def test_markdown_of_lists_quotes_and_tables():
+    text = md("<html><body><main><ul><li><p>Revenue was $4.2M in 2024.</p></li><li>Simple item</li></ul><blockquote><p>Quoted insight.</p><p>More.</p></blockquote></main></body></html>")["markdown"]
+    assert text == "- Revenue was $4.2M in 2024.\n- Simple item\n\n> Quoted insight.\n>\n> More."
+    text = md("<table><caption>Annual revenue</caption><thead><tr><th>Year</th><th>Revenue</th></tr></thead><tbody><tr><td>2024</td><td>4|6</td></tr><tr><td><p>Alpha</p><p>Beta</p></td></tr></tbody></table>")["markdown"]
+    assert text == "Annual revenue\n\n| Year | Revenue |\n| --- | --- |\n| 2024 | 4\\|6 |\n| Alpha Beta |  |"
+    text = md("<body><ol><li>First</li><li>Second <ul><li>Nested A</li><li>Nested B</li></ul></li></ol><dl><dt>Latency</dt><dd>12ms</dd><div><dt>a<dt>b<dd>c<dd>d</div></dl></body>")["markdown"]
+    assert text == "1. First\n2. Second\n   - Nested A\n   - Nested B\n\n- Latency: 12ms\n- a, b: c; d"
+
+
+def test_markdown_of_code_and_links():
+    text = md('<pre><code class="language-bash">npm install x\nnpm run ```build</code></pre><p>Call <code>fetch()</code> once, <kbd>a`b</kbd>.</p>')["markdown"]
+    assert text == "````bash\nnpm install x\nnpm run ```build\n````\n\nCall `fetch()` once, `` a`b ``."
+    text = md('<p>See <a href="/report">the full report</a>, <a href="#s">Jump</a> and <a href="javascript:void(0)">Click</a>, <a href="/a(b)">x</a>, <a href="https://example.com/y">https://example.com/y</a>.</p>')["markdown"]
+    assert text == "See [the full report](https://example.com/report), Jump and Click, [x](<https://example.com/a(b)>), https://example.com/y."
+
+
+def test_markdown_root():
+    page = md('<html lang="en"><head><title>Doc Title</title></head><body>junk ad<nav><a href="/home">Home</a></nav><main><h2>Section</h2><aside>Beside.</aside><p>Body text.<nav>menu</nav></main>tail</body></html>')
+    assert page["title"] == "Doc Title" and page["markdown"] == "## Section\n\nBeside.\n\nBody text.\n\nmenu" and page["links"] == [("https://example.com/home", "Home")] and page["metadata"]["language"] == "en"
+    assert md("<body>out<article>in<form>too</form></article></body>")["markdown"] == "in\n\ntoo" and md("<p>Intro.</p><div>Price: <span>$19.99</span></div><hr>bare<br>text")["markdown"] == "Intro.\n\nPrice: $19.99\n\nbare text"
+    assert md(None)["markdown"] == "" and md("<script>x</script><svg><text>y</text></svg>")["markdown"] == "" and md("plain")["title"] == "https://example.com/docs/page"
+    assert md("<h2>T</h2><ul><li>one<li>two</ul><table><tr><th>a<th>b|c</tr><tr><td>1</tr></table>")["markdown"] == "## T\n\n- one\n- two\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |"
+
+
+def test_page_metadata():
+    page = md('<html><head><link rel="canonical" href="/c?b"><meta name="author" content=" A. U. "><meta property="article:author" content="B"><meta name="date" content="2024-01-02"><meta name="last-modified" content="m"><meta property="og:title" content="Og"><meta property="og:description" content="d"><script type="application/ld+json">{"@type": "Article"}</script><script type="application/ld+json">broken</script></head></html>')
+    assert page["title"] == "Og" and page["metadata"] == {"canonical": "https://example.com/c?b", "author": "A. U.", "articleAuthor": "B", "publishedTime": "2024-01-02", "modifiedTime": "m", "description": "d", "jsonLd": {"@type": "Article"}}
 
 
 def test_reports(spark):
-    text, order, unbound = pages.renumbered("A [source_2] b [source_9] c [source_1] d [source_2] .", {"source_1": "one", "source_2": "two"})
-    assert text == "A [1] b c [2] d [1].\n\n## Sources\n\n1. two\n2. one" and order == ["source_2", "source_1"] and unbound == ["source_9"]
+    known = {"source_1": ("one", "https://a.org/1", []), "source_2": ("two", "https://a.org/2", ["ok"]), "source_3": ("three", "https://a.org/3", ["thin_content"])}
+    text, order, unbound = pages.renumbered("A [source_2] b [source_9] c [source_1] d [source_2] e [source_3] f [Smith 2020] g [see Fig. 2 of 2020] (source_4) [1, 2] [x](y) [Source_7 said] .", known)
+    assert text == "A [1] b c [2] d [1] e f g [see Fig. 2 of 2020] [1, 2] [x](y).\n\n## Sources\n\n1. [two](https://a.org/2)\n2. [one](https://a.org/1)" and order == ["source_2", "source_1"] and unbound == ["source_9"]
+    assert pages.renumbered("None [Doe et al., 2019a] here (2020).", {}) == ("None here (2020).", [], [])
+    roster = [("one", "https://a.org/1"), ("two", "https://a.org/2?x=(y)"), ("three", "https://a.org/1/long")]
+    text, order, unbound = pages.roster_bound("See [it](https://a.org/2?x=(y)) and [that](https://a.org/1/long) [1] [9] [2] [other](https://b.org) .", roster)
+    assert text == "See it [1] and that [2] [3] [1] [other](https://b.org).\n\n## Sources\n\n1. [two](https://a.org/2?x=(y))\n2. [three](https://a.org/1/long)\n3. [one](https://a.org/1)" and order == [2, 3, 1] and unbound == ["source_9"]
     assert one(spark, pages.without_sources_section(F.col("t")), t="x\n\n## Sources\n\n1. y") == "x"
     assert one(spark, pages.without_sources_section(F.col("t")), t="x\n# Resources\ny\n### REFERENCES: z\nw") == "x\n# Resources\ny"
     assert pages.captions('{"events":[{"segs":[{"utf8":"a"},{"utf8":" b"}]},{}]}') == "a b"
 
 
+def test_retry_classes(spark):
+    now = F.lit("2015-10-21 07:28:00").cast("timestamp")
+    cases = [
+        ({"name": "AbortError", "statusCode": 503}, (False, False, None)), ({"statusCode": 429, "responseHeaders": {"retry-after": "2"}}, (True, True, 2000.0)), ({"statusCode": 400, "message": "Overloaded"}, (True, True, None)),
+        ({"statusCode": 503, "isRetryable": False}, (False, False, None)), ({"message": "x", "cause": {"message": "y", "errors": [{}, {"message": "ECONNRESET"}]}}, (True, False, None)), ({"message": "no"}, (False, False, None)),
+        ({"lastError": {"statusCode": 500, "responseHeaders": {"Retry-After": "Wed, 21 Oct 2015 07:28:05 GMT"}}}, (True, False, 5000.0)), ({"statusCode": 408, "responseHeaders": {"retry-after": "soon"}}, (True, False, None)),
+        ({"errors": [{}] * 4 + [{"statusCode": 500}]}, (False, False, None)), ({"statusCode": 409, "responseHeaders": {"retry-after": "-3"}}, (True, False, 0.0)),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(e)) for i, (e, _) in enumerate(cases)], "k long, e string")
+    got = {r["k"]: tuple(r["c"]) for r in retries.unwrap(df, "k", "e").select("k", retries.classed(F.col("errors"), now).alias("c")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+    search = spark.createDataFrame([("e", 500, "no", 7.0), ("e", 404, "timeout", 7.0), ("e", None, "Fetch failed", 7.0), ("TimeoutError", None, "timeout", None)], "n string, s int, m string, a double")
+    assert [tuple(r[0]) for r in search.select(retries.search_classed(*map(F.col, "nsma"))).collect()] == [(True, 7.0), (False, None), (True, None), (False, None)]
+    waits = spark.createDataFrame([(1, None, 0.0), (3, None, 1.0), (9, None, 0.0), (1, 9000.0, 0.0), (1, 99000.0, 0.0)], "n int, a double, d double")
+    assert [r[0] for r in waits.select(retries.wait_ms(F.col("n"), F.col("a"), F.col("d"), 1000, 30000)).collect()] == [500.0, 4000.0, 15000.0, 9000.0, 30000.0]
+
+
+def test_notes():
+    assert pages.without_caveats("- [note] Rev $5. [source_3] The page could not be retrieved in this run. A bot-wall stood there. Page-not-found again. Lead to chase: x. It was not confirmed by the court.") == "Rev $5. It was not confirmed by the court."
+
+
 def test_process_caveats():
     note = "The deal closed in 2021. The filing could not be retrieved in this run. It cost $5 (not grounded in this run).\n- This page could not be fetched.\n\n\n\nTODO check.  Done ."
     assert pages.without_process_caveats(note) == "The deal closed in 2021. It cost $5.\n- This page could not be fetched.\n\n check. Done."
@@ -262,8 +316,8 @@ def test_page_functions_take_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, headed)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     registry.load()
     rows = lambda q: {r["doc_id"]: r for r in registry.QUERIES[q](spark, str(tmp_path)).collect()}
-    assert rows("fn13_renumber")[1][1:] == ("source_5,source_1", 1)
-    assert rows("fn12_notes")[1]["note"] == f"{long} Kept."
+    assert rows("fn13_renumber")[1][1:3] == ("source_1", 1)
+    assert rows("fn12_notes")[1]["digest"] == hashlib.md5(f"{long} Kept.".encode()).hexdigest()
     want = {1: long, 2: ("x " * 400).rstrip()}
     assert {i: r["digest"] for i, r in rows("fn14_sources_section").items()} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in want.items()}
 
