@@ -3,8 +3,8 @@
 A page becomes a sequence of text blocks, each with its root-to-leaf path of block elements. Text length and
 punctuation are averaged per path, smoothed along the page, multiplied and held against a threshold: the paths above it are content,
 with all their blocks. Around them the text is completed by the shape of the page alone: what stands in the same element as a content block,
-what lies between the first and the last one, the headings ahead, and such sentences of the elements around whose text is mostly content.
-Blocks of elements that are boilerplate by name or role are left out before. An article element counts like any other.
+what lies between the first and the last one unless it is a bar of links, the headings ahead, and such sentences of the elements around whose text is mostly content.
+Blocks of elements that are boilerplate by name or role are left out before, articles that call themselves comments or adverts too.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ BOILER = frozenset("aside button dialog footer form header menu nav search selec
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A class or id is one of these roles, as a whole name or as its last word before words for a box: site-header, comment-list.
 BOILER_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion replies respond sidebar signup sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adbox adslot advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommendations recommended related replies respond sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 BOXES = frozenset("area bar block body bottom box button col column container content form frame group holder inner item items left link links list main outer panel right row section slot text top unit wrap wrapper".split())
 #: Before a role these say something of the element around it: has-header, no-comments.
@@ -37,6 +37,12 @@ STATES = frozenset("has have no not with without hide show is under below above
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that hold a piece of running text; what holds them holds the text.
 LEAVES = HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot blockquote pre caption figcaption summary legend address center".split())
+#: Elements whose items stand for themselves: their box is what holds the list.
+LISTS = frozenset("ul ol dl menu dir table".split())
+#: Of a block: an article element says by its name or role that it is an advert, a comment or the like.
+ARTICLE = 1
+#: A block that is a link for more than this share of its text.
+LINKED = 0.7
 #: The threshold of main_text().
 SHARE = 0.5
 #: An open element of the set is closed by the start of one of these.
@@ -52,6 +58,7 @@ _token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _name_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_sentence_end = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _punctuation = re.compile(r"[.,;:!?…。，、！？；：]")
 _ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
@@ -67,7 +74,7 @@ def _is_role(name: str) -> bool:
 def _is_boiler(tag: str, raw: str) -> bool:
     if tag in BOILER:
         return True
-    if not raw or tag in ("html", "body", "article", "main"):
+    if not raw or tag in ("html", "body"):
         return False
     for m in _attribute.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -78,10 +85,12 @@ def _is_boiler(tag: str, raw: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str, float]]:
-    """(element numbers from the root, tags from the root, in boilerplate, text, share of the text in links) of each block with text."""
+def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], int, str, float]]:
+    """(element numbers from the root, tags from the root, in boilerplate, text, share of the text in links) of each block with text.
+
+    In boilerplate is 0 or, if only the name or role of an article or main element says so, ARTICLE, else 2."""
     out: list = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, in boilerplate
+    stack: list[tuple[str, int, int]] = []  # tag, number, in boilerplate
     inline: list[tuple[str, bool]] = []  # open inline elements that are boilerplate
     text: list[str] = []
     count, linked, in_link, at = 0, 0, False, 0
@@ -91,7 +100,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str,
         if text:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
-                out.append((tuple(n for _, n, _ in stack), tuple(t for t, _, _ in stack), bool(stack) and stack[-1][2], whole, min(1.0, linked / len(whole))))
+                out.append((tuple(n for _, n, _ in stack), tuple(t for t, _, _ in stack), stack[-1][2] if stack else 0, whole, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
@@ -162,17 +171,22 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str,
                         break
                     if stack[k][0] in FENCE.get(tag, ()) or stack[k][0] in ("article", "section", "div", "main", "body"):
                         break
-                above = bool(stack) and stack[-1][2]
-                own = _is_boiler(tag, raw)
+                above = stack[-1][2] if stack else 0
+                own = (ARTICLE if tag in ("article", "main") else 2) if _is_boiler(tag, raw) else 0
                 count += 1
                 in_article = any(t in ("article", "main") for t, _, _ in stack)
                 if tag == "header" and own and in_article and not above:
-                    own = False  # its headings are the article's; the rest of it is held back in main_text()
-                stack.append((tag, count, above or own))
+                    own = 0  # its headings and sentences are the article's; the rest of it is held back in main_text()
+                stack.append((tag, count, max(above, own)))
     flush()
     return out
 
 
+def _of_article(block: tuple) -> bool:
+    """Whether a block may be of an article: of what stands in an article's header only headings and whole sentences are."""
+    return "header" not in block[1] or not HEADINGS.isdisjoint(block[1]) or block[4] <= LINKED and _sentence_end.search(block[3]) is not None
+
+
 def ratios(found: list) -> dict[tuple[str, ...], float]:
     """The fused ratio of each path of blocks(): mean length, of text outside links, times one more than mean punctuation, each smoothed along the page."""
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0.0, 0])
@@ -197,13 +211,20 @@ def main_text(page: str, share: float = SHARE) -> str:
 
     A path is content if its fused ratio reaches ``share`` of the standard deviation over all blocks, or of the largest one if that is less.
     """
-    found = [b for b in blocks(page) if not b[2] and b[1] and not ("header" in b[1] and HEADINGS.isdisjoint(b[1])) and "head" not in b[1]]
+    every = [b for b in blocks(page) if b[2] < 2 and b[1] and "head" not in b[1] and _of_article(b)]
+    # an article that calls itself a comment or an advert goes, unless the page has no other sentences
+    found = [b for b in every if not b[2]]
+    if not any(_punctuation.search(b[3]) and b[4] <= LINKED for b in found):
+        found = every
     if not found:
         return ""
     fused = ratios(found)
     each = [fused[b[1]] for b in found]
     least = min(share * pstdev(each), share * max(each))
-    passing = [f >= least and f > 0 for f in each]
+    heads = [not HEADINGS.isdisjoint(b[1]) for b in found]
+    # links without a sentence don't pass, however long what stands around them is
+    linked = [b[4] > LINKED and not head and not _punctuation.search(b[3]) for b, head in zip(found, heads, strict=True)]
+    passing = [f >= least and f > 0 and not bar for f, bar in zip(each, linked, strict=True)]
     if not any(passing):
         return ""
     # elements that hold a content block directly, and those of whose text content is the most
@@ -223,10 +244,19 @@ def main_text(page: str, share: float = SHARE) -> str:
     first, last = passing.index(True), len(passing) - 1 - passing[::-1].index(True)
     kept = []
     for i, (elements, _, _, text, links) in enumerate(found):
-        sentence = links <= 0.7 and _punctuation.search(text) is not None and not around.isdisjoint(elements)
+        sentence = links <= LINKED and _punctuation.search(text) is not None and not around.isdisjoint(elements)
         kept.append(first <= i <= last or not near.isdisjoint(elements) or sentence)
+    # in a box of their own, one that holds no content, links go wherever it stands, and with them a heading that has nothing else below it
+    box = lambda b: next((n for n, tag in zip(b[0][::-1], b[1][::-1], strict=True) if tag not in LEAVES and tag not in LISTS), None)
+    bars = [bar and box(b) not in near for b, bar in zip(found, linked, strict=True)]
+    kept = [k and not bar for k, bar in zip(kept, bars, strict=True)]
     for i in range(len(found) - 2, -1, -1):
-        kept[i] = kept[i] or kept[i + 1] and not HEADINGS.isdisjoint(found[i][1])
+        kept[i] = kept[i] or kept[i + 1] and heads[i]
+    below = True  # whether what stands below is a heading, or nothing
+    for i in range(len(found) - 1, -1, -1):
+        if kept[i] and heads[i] and below and i + 1 < len(found) and bars[i + 1]:
+            kept[i] = False
+        below = heads[i] if kept[i] else below
     return "\n\n".join(b[3] for b, keeps in zip(found, kept, strict=True) if keeps)
 
 

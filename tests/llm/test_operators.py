@@ -565,6 +565,26 @@ def test_undeclared_article_is_whole():
     assert tag_paths.main_text(f"<div><p>{three}</p><p>{seven}</p><ul><li>one<li>two</ul></div>").endswith("one\n\ntwo")
 
 
+def test_articles_that_are_adverts_or_comments():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    want = "\n\n".join(x.strip() for x in STORY)
+    promo = "<article class='promo'><p>Buy our things, they are cheap and good, and there are many of them left.</p></article>"
+    assert tag_paths.main_text(promo + f"<article>{story}</article>") == want
+    assert tag_paths.main_text(f"<main>{story}<article class='comment'><p>I don't believe a word of this, and neither should you, my friends.</p></article></main>") == want
+    assert tag_paths.main_text(f"<main><article class='post has-sidebar'>{story}</article><section id=comments><article><p>First of all, no. Second, no.</p></article></section></main>") == want
+    assert tag_paths.main_text(f"<div>Menu</div><article class='sponsored'>{story}</article>") == want  # there is no other text
+
+
+def test_bars_of_links_and_leads():
+    a, b = STORY[0].strip(), STORY[1].strip()
+    links = "<a href=/>Home</a> <a href=/a>About us</a>"
+    assert tag_paths.main_text(f"<article><p>{a}</p><div>{links}</div><p>{b}</p></article>") == f"{a}\n\n{b}"
+    assert tag_paths.main_text(f"<article><p>{a}</p><div class=related><h3>Related</h3><ul><li><a href=/x>One more</a></ul></div><p>{b}</p></article>") == f"{a}\n\n{b}"
+    assert tag_paths.main_text(f"<article><p>{a}</p><div><h3>More</h3><ul><li><a href=/x>One more</a><li><a href=/y>Another</a></ul></div><h2>Part two</h2><p>{b}</p></article>") == f"{a}\n\nPart two\n\n{b}"
+    assert tag_paths.main_text(f"<article><header><h1>Title</h1><p class=lead>What this is all about, in one sentence.</p><span>By A. Writer</span></header><p>{a}</p><p>{b}</p></article>") == f"Title\n\nWhat this is all about, in one sentence.\n\n{a}\n\n{b}"
+    assert tag_paths.main_text(f"<header><p>A slogan, not the article.</p></header><article><p>{a}</p><p><a href=/all>{b}</a></p></article>") == f"{a}\n\n{b}"
+
+
 def test_paths_choose_beside_a_declared_article():
     story, teaser = ["Some words of it, in a row. " * n for n in (9, 14, 11)], "A teaser card, with few words, of another story."
     paragraphs = "".join(f"<p>{x}</p>" for x in story)
