@@ -109,12 +109,6 @@ def step_line(role: Column, turn: Column, text: Column, most: int = 40) -> Colum
     return F.format_string("#%d %s: %s", turn, role, F.when(F.length(text) > most, F.concat(shown, F.lit("…"))).otherwise(shown))
 
 
-def source_card(docs: DataFrame, preview: int = 200) -> DataFrame:
-    """A card a document as JSON, optional keys left out."""
-    card = F.to_json(F.struct(F.concat(F.lit("source_"), "doc_id").alias("id"), F.col("n_chars").alias("chars"), F.when(F.col("n_chars") > preview, F.lit(True)).alias("truncated"), F.md5(F.substring("text", 1, preview)).alias("preview")))
-    return docs.select("doc_id", card.alias("card"))
-
-
 def grepped(docs: DataFrame, pattern: str) -> DataFrame:
     tool = udtf(Grep, returnType="at int, match string, around string")
     spark = docs.sparkSession
@@ -148,9 +142,6 @@ register("ud01_added_tool", "benchmark", registered, "SELECT item_id, len(w) AS
 register("ud01_table_tool", "journal", lambda j: tooled(j.select("run_id", "seq", "type")), "SELECT run_id, seq, type, n - lag(n) OVER (PARTITION BY run_id, type ORDER BY n) AS ago, row_number() OVER (PARTITION BY run_id, type ORDER BY n) AS times FROM (SELECT run_id, seq, type, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM journal)")
 register("ud02_tool_names", "events", lambda e: free_names(e.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, ["search", "read", "grep", "read_source", "search_sources", "9lives", "my tool", "close_slot"])), (F.col("event_id") % 8 + 1).cast("int")).alias("kind")).select("id", F.when(F.col("id") % 3 == 0, F.concat("kind", F.lit("-"), (F.col("id") % 50).cast("string"))).otherwise(F.col("kind")).alias("name"))), "SELECT id, regexp_full_match(name, '[A-Za-z][\\w-]{0,63}') AND name NOT IN ('search', 'fetch', 'read_source', 'search_sources', 'run_code', 'note', 'close_slot', 'add_slot', 'retarget_slot') AND row_number() OVER (PARTITION BY name ORDER BY id) = 1 AS free FROM (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN k || '-' || (event_id % 50) ELSE k END AS name FROM (SELECT event_id, ['search', 'read', 'grep', 'read_source', 'search_sources', '9lives', 'my tool', 'close_slot'][event_id % 8 + 1] AS k FROM events))")
 register("fn34_step_lines", "conversations", lambda c: c.select("conv_id", "turn", step_line(F.col("role"), F.col("turn"), F.col("text")).alias("line")), "SELECT conv_id, turn, '#' || turn || ' ' || role || ': ' || regexp_replace(text[1:40], '\\s+', ' ', 'g') || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS line FROM conversations")
-register("pf25_source_cards", "documents", source_card, "SELECT doc_id, '{\"id\":\"source_' || doc_id || '\",\"chars\":' || n_chars || CASE WHEN n_chars > 200 THEN ',\"truncated\":true' ELSE '' END || ',\"preview\":\"' || md5(text[1:200]) || '\"}' AS card FROM documents")
-register("xs16_extraction_metadata", "pages", lambda p: p.select("page_id", F.to_json(F.struct(F.lit("html").alias("method"), F.when(F.length("html") < 3000, F.lit("thin")).alias("note"))).alias("meta")), "SELECT page_id, '{\"method\":\"html\"' || CASE WHEN length(html) < 3000 THEN ',\"note\":\"thin\"' ELSE '' END || '}' AS meta FROM pages")
-register("xs17_search_envelope", "benchmark", lambda b: b.select("item_id", F.when(F.col("item_id") % 4 == 0, F.to_json(F.struct(F.lit("no terms").alias("error")))).otherwise(F.to_json(F.struct(F.col("item_id").alias("query"), F.array("item_id").alias("passages")))).alias("reply")), "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN '{\"error\":\"no terms\"}' ELSE '{\"query\":' || item_id || ',\"passages\":[' || item_id || ']}' END AS reply FROM benchmark")
 register("xs20_footers", "slot_events", lambda e: e.where("op = 'add'").groupBy("run_id", "importance").agg(F.array_sort(F.collect_set("slot_id")).alias("ids")).groupBy("run_id").agg(F.array_join(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("importance", "ids"))), lambda x: x["ids"])), 1, 6), ",").alias("open_slots")), "SELECT run_id, array_to_string(list(slot_id ORDER BY importance, slot_id)[1:6], ',') AS open_slots FROM (SELECT DISTINCT run_id, importance, slot_id FROM slot_events WHERE op = 'add') GROUP BY 1")
 register("xs03_source_filter", "events", lambda e: e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit('["a","b"]')).otherwise(F.lit('["a",1]')).alias("raw")).select("event_id", F.when(~F.col("raw").rlike(r"[\[,]\s*[^\"\s\]]"), F.array_join(F.from_json("raw", "array<string>"), "|")).alias("domains")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a|b' END AS domains FROM events")
 register("xs11_case_detail", "runs cases", lambda r, c: c.join(r.where("commit_sha = 'k1'").groupBy("case_id").agg(F.max("run_id").alias("run_id")), "case_id", "left").select("case_id", F.when(F.col("run_id").isNotNull(), "run").otherwise("rubric").alias("answer"), F.coalesce("run_id", "problem").alias("key")), "SELECT case_id, CASE WHEN r.run_id IS NOT NULL THEN 'run' ELSE 'rubric' END AS answer, coalesce(r.run_id, problem) AS key FROM cases LEFT JOIN (SELECT case_id, max(run_id) AS run_id FROM runs WHERE commit_sha = 'k1' GROUP BY 1) r USING (case_id)")
