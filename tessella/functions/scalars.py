@@ -115,6 +115,14 @@ register("fn16_final_answer", "benchmark", lambda b: b.select("item_id", final_a
 register("fn17_confidence", "benchmark", lambda b: b.select("item_id", F.regexp_extract(judged_field(F.concat(F.lit("correct: yes\nConfidence: about "), F.col("item_id") * 1.5, F.lit("%")), "confidence"), r"\d+(?:\.\d+)?", 0).cast("double").alias("confidence")), "SELECT item_id, item_id * 1.5::DOUBLE AS confidence FROM benchmark")
 register("fn18_message_code", "events", lambda e: e.select("event_id", message_code(F.concat(F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit(": "))).otherwise(F.lit("? ")), F.col("props"))).alias("code")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'unknown' END AS code FROM events")
 register("fn19_query_jaccard", "benchmark", lambda b: b.select("item_id", rounded(jaccard(query_tokens(F.col("text")), query_tokens(F.concat(F.lit("What of the plan "), F.reverse("text"), F.lit(" "), "text")))).alias("similarity")), r"SELECT item_id, floor(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))) * 10000 + 0.5) / 10000 AS similarity FROM (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '\b(or|and|the|of|in|on|for|to|a|an|site)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS a, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower('What of the plan ' || reverse(text) || ' ' || text), '\b(or|and|the|of|in|on|for|to|a|an|site)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS b FROM benchmark)")
+def title_of_url(url: Column) -> Column:
+    """The last part of a URL's path, decoded, else its host, else the URL."""
+    last = F.try_element_at(F.filter(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), lambda x: x != ""), F.lit(-1))
+    name = F.try_url_decode(F.regexp_replace(last, r"\+", "%2B"))
+    return F.coalesce(F.when(F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull(), F.coalesce(F.when(last.isNotNull() & name.isNull(), url), name, F.try_parse_url(url, F.lit("HOST")))), url)
+
+
+register("fn20_url_titles", "pages", lambda p: p.select("page_id", title_of_url(F.col("url")).alias("title")), "SELECT page_id, coalesce(nullif(url_decode(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]+/(?:.*/)?([^/]+)/*$', 1)), ''), regexp_extract(url, '^[^:]+://([^/?#]+)', 1)) AS title FROM pages")
 register("fn20_titles", "grades", lambda g: g.select("section_id").distinct().select("section_id", title_of_id(F.col("section_id")).alias("title")), "SELECT DISTINCT section_id, array_to_string(list_transform(string_split(section_id, '-'), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM grades")
 register("fn24_call_key", "journal", lambda j: j.select("seq", F.left(F.sha2(F.regexp_replace("data", r"\s+", " "), 256), F.lit(40)).alias("key")), "SELECT seq, sha256(regexp_replace(data, '\\s+', ' ', 'g'))[1:40] AS key FROM journal")
 register("fn25_stable_hash", "documents", lambda d: d.select("doc_id", F.sha2("text", 256).alias("digest")), "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -126,9 +134,7 @@ register("fn31_efforts", "events", lambda e: e.select("event_id", F.element_at(F
 register("fn32_model_window", "usage", lambda u: u.select("id", *model_window(F.when(F.col("id") % 3 == 0, F.concat(F.lit("any-Opus-"), "model_id")).otherwise(F.col("model_id")))), "SELECT id, CASE WHEN regexp_matches(model_id, '(?i)mini|nano') THEN 200000 WHEN id % 3 = 0 AND model_id IS NOT NULL THEN 1000000 ELSE 200000 END::INT AS window, coalesce(regexp_matches(model_id, '(?i)mini|nano'), FALSE) AS small FROM usage")
 register("fn33_trail_caps", "events", lambda e: e.select("event_id", *trail_caps(F.col("event_id") % 400, F.lit(0.5))), "SELECT event_id, greatest(30, ceil(event_id % 400 * 0.5))::BIGINT AS max_searches, greatest(15, ceil(greatest(30, ceil(event_id % 400 * 0.5)) / 2))::BIGINT AS max_dead_ends FROM events")
 register("fn35_collapse", "benchmark", lambda b: b.select("item_id", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("digest"), F.greatest(F.lit(1), F.least(F.lit(25), F.col("item_id"))).alias("limit_")), "SELECT item_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest, greatest(1, least(25, item_id)) AS limit_ FROM benchmark")
-register("fn36_blocks", "conversations", lambda c: c.select("conv_id", "turn", F.transform(F.array("role", "text"), lambda x, i: F.when(i == 0, F.concat(F.lit("role:"), x)).otherwise(F.md5(x))).alias("b")).select("conv_id", "turn", F.array_join("b", "/").alias("blocks")), "SELECT conv_id, turn, 'role:' || role || '/' || md5(text) AS blocks FROM conversations")
 register("fn37_json_or_null", "events", lambda e: e.select("event_id", F.try_variant_get(F.try_parse_json(F.when(F.col("event_id") % 3 == 0, F.lit("{broken")).otherwise(F.col("props"))), "$.k", "bigint").alias("k")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (props->>'$.k')::BIGINT END AS k FROM events")
 register("xs07_clamps", "events", lambda e: e.select("event_id", F.greatest(F.lit(1), F.least(F.lit(20), F.floor("value"))).alias("n")), "SELECT event_id, greatest(1, least(20, floor(value)))::BIGINT AS n FROM events")
 register("xs38_timeout_clamp", "events", lambda e: e.select("event_id", F.least(F.lit(10_000), F.greatest(F.lit(1), F.col("event_id"))).alias("ms")), "SELECT event_id, least(10000, greatest(1, event_id)) AS ms FROM events")
-register("xs32_clamp", "conversations", lambda c: c.select("conv_id", "turn", F.length(F.substring("text", 1, 500)).alias("kept")), "SELECT conv_id, turn, length(text[1:500])::INT AS kept FROM conversations")
 register("xs41_revision", "pages", lambda p: p.select("page_id", F.regexp_extract("url", r"/(\w\w)/(\d+)", 2).alias("revision")), "SELECT page_id, regexp_extract(url, '/(\\w\\w)/(\\d+)', 2) AS revision FROM pages")

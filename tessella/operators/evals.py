@@ -119,6 +119,5 @@ register("so08_unmet_by_weight", "grades", unmet_by_weight, "SELECT * FROM (SELE
 register("so04_seeded_sample", "cases", lambda c: sampled(c, "seed", 25), "SELECT case_id, domain FROM cases ORDER BY sha256(concat('seed', chr(0), case_id)), case_id LIMIT 25")
 register("wn05_stratified", "cases", lambda c: stratified(c, "seed", 23), "SELECT case_id, domain, round FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('seed', chr(0), case_id)), case_id)::INT AS round FROM cases) ORDER BY round, sha256(concat('seed', chr(0), domain)), domain LIMIT 23")
 register("so05_stratified_sizes", "cases", lambda c: stratified(c, "other", 40).groupBy("domain").agg(F.count("*").alias("n"), F.max("round").alias("rounds")), "SELECT domain, count(*) AS n, max(round) AS rounds FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('other', chr(0), case_id)), case_id)::INT AS round FROM cases) ORDER BY round, sha256(concat('other', chr(0), domain)), domain LIMIT 40) GROUP BY 1")
-register("jn18_judge_by_index", "grades", lambda g: g.where("run = 0").select("case_id", "criterion", "verdict").join(g.where("run = 1").select("case_id", "criterion", F.col("verdict").alias("judged")), ["case_id", "criterion"], "left").select("case_id", "criterion", F.coalesce("judged", F.lit("UNMET")).alias("verdict"), F.when(F.col("judged").isNull(), "missing from judge output").alias("judge_error")), "SELECT a.case_id, a.criterion, coalesce(b.verdict, 'UNMET') AS verdict, CASE WHEN b.verdict IS NULL THEN 'missing from judge output' END AS judge_error FROM (SELECT * FROM grades WHERE run = 0) a LEFT JOIN (SELECT * FROM grades WHERE run = 1) b ON a.case_id = b.case_id AND a.criterion = b.criterion")
 register("pf17_case_filter", "cases", lambda c: c.where(F.col("domain").isin("BUILDING", "MACHINERY") | F.col("case_id").isin("c1", "c2", "c3")).select("case_id", "domain"), "SELECT case_id, domain FROM cases WHERE domain IN ('BUILDING', 'MACHINERY') OR case_id IN ('c1', 'c2', 'c3')")
 register("ag12_mean_median", "grades", lambda g: g.groupBy("section_id").agg(rounded(F.coalesce(F.avg("weight"), F.lit(0.0))).alias("mean"), rounded(F.coalesce(F.median("weight"), F.lit(0.0))).alias("median")), "SELECT section_id, floor(coalesce(avg(weight), 0) * 10000 + 0.5) / 10000 AS mean, floor(coalesce(median(weight), 0) * 10000 + 0.5) / 10000 AS median FROM grades GROUP BY 1")

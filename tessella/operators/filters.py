@@ -102,7 +102,6 @@ register("pf07_blocked", "documents", lambda d: d.select("doc_id", looks_blocked
 register("pf08_quality", "documents", lambda d: d.select("doc_id", F.array_join(quality_flags(F.col("text"), F.concat(F.substring("text", 1, 10), F.when(F.col("doc_id") % 9 == 0, " 404 page").when(F.col("doc_id") % 10 == 0, " Search results").otherwise("")), F.col("doc_id") % 2 == 0, LIKE), ",").alias("flags")), """SELECT doc_id, array_to_string(list_filter([CASE WHEN length(title || chr(10) || t) < 2000 AND (contains(lower(title || chr(10) || t), 'the the') OR contains(lower(title || chr(10) || t), 'ofthe') OR contains(lower(title || chr(10) || t), 'tion the')) THEN 'blocked_or_challenge' END,
   CASE WHEN length(t) < 20 THEN 'fatal' END, CASE WHEN length(t) >= 20 AND doc_id % 9 = 0 AND (length(t) < 500 OR doc_id % 2 = 0) THEN 'error_page' END, CASE WHEN length(t) >= 20 AND length(t) < 300 THEN 'thin_content' END, CASE WHEN length(t) >= 20 AND doc_id % 10 = 0 AND doc_id % 9 <> 0 THEN 'search_listing_page' END], lambda x: x IS NOT NULL), ',') AS flags
   FROM (SELECT doc_id, trim(text, ' ') AS t, text[1:10] || CASE WHEN doc_id % 9 = 0 THEN ' 404 page' WHEN doc_id % 10 = 0 THEN ' Search results' ELSE '' END AS title FROM documents)""")
-register("pf09_non_evidence", "documents", lambda d: d.withColumn("w", F.array(F.concat(F.lit("thin_content: "), "lang"), F.concat("source", F.lit(": ok")))).where(~F.exists("w", lambda x: x.rlike("^(thin_content: de|src1:)"))).select("doc_id"), "SELECT doc_id FROM documents WHERE lang <> 'de' AND source <> 'src1'")
 register("pf10_blocked_or_thin", "documents", lambda d: d.where(blocked_or_thin(quality_flags(F.col("text"), F.when(F.col("doc_id") % 10 == 0, "Search results").when(F.col("doc_id") % 7 == 0, "Just a moment").otherwise(""), F.lit(False)))).select("doc_id"), "SELECT doc_id FROM documents WHERE length(trim(text, ' ')) < 300 OR doc_id % 10 <> 0 AND doc_id % 7 = 0 AND length('Just a moment' || chr(10) || trim(text, ' ')) < 2000")
 register("pf14_transcript_slice", "conversations", lambda c: c.where((F.col("role") == "user") & F.col("turn").between(0, 4) & F.col("text").rlike("(?i)the")).orderBy("conv_id", "turn").limit(40).select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND turn BETWEEN 0 AND 4 AND regexp_matches(text, '(?i)the') ORDER BY conv_id, turn LIMIT 40")
 register("pf15_trace_grep", "journal", lambda j: j.where(F.col("data").rlike('"k": 6[0-9]')).select("run_id", "seq"), "SELECT run_id, seq FROM journal WHERE regexp_matches(data, '\"k\": 6[0-9]')")

@@ -169,4 +169,3 @@ register("xs22_draft_ops", "conversations", lambda c: draft_fold(c.select(F.conc
 register("so10_bounded_fifo", "events", lambda e: bounded_fifo(e.select(F.concat(F.lit("r"), F.col("user_id") % 5).alias("run_id"), F.concat(F.lit("u"), F.col("event_id") * 31 % 211).alias("key"), F.col("event_id").alias("seq"))))
 register("xs18_register", "documents", lambda d: registered(d.select("doc_id", "source", F.when(F.length("text") < 300, F.array(F.lit("thin_content: short"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.array(F.struct(F.lit("direct").alias("method"), (F.col("doc_id") % 3 > 0).alias("ok")), F.struct(F.lit("scrape").alias("method"), (F.col("doc_id") % 2 > 0).alias("ok"))).alias("attempts")), "thin_content"), "SELECT 'insert' AS kind, doc_id, source AS note FROM documents UNION ALL SELECT 'dead_end', doc_id, 'thin_content: short' FROM documents WHERE length(text) < 300 UNION ALL SELECT 'escalated', doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'direct' END, CASE WHEN doc_id % 2 = 0 THEN 'scrape' END) FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
 register("xs23_source_list", "hits", lambda h: source_list(h.select(F.col("provider").alias("run_id"), "hit_id", F.when(F.col("hit_id") % 11 > 0, F.concat(F.lit("source_"), F.col("hit_id") % 40)).alias("source_id"), F.when(F.col("hit_id") % 3 == 0, "").otherwise(F.col("title")).alias("title"), "url"), "hit_id"), "SELECT run_id, string_agg('- [' || source_id || '] ' || CASE WHEN hit_id % 3 = 0 THEN url ELSE title END, chr(10) ORDER BY hit_id) AS sources FROM (SELECT provider AS run_id, hit_id, 'source_' || (hit_id % 40) AS source_id, title, url, row_number() OVER (PARTITION BY provider, hit_id % 40 ORDER BY hit_id) AS r FROM hits WHERE hit_id % 11 > 0) WHERE r = 1 GROUP BY 1")
-register("xs09_steps", "conversations", lambda c: c.groupBy("conv_id").agg(F.count("*").alias("steps")), "SELECT conv_id, count(*) AS steps FROM conversations GROUP BY 1")

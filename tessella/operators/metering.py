@@ -156,6 +156,5 @@ register("ag30_run_stats", "journal", lambda j: j.groupBy("run_id").agg(F.count_
 register("ag10_diagnostics", "journal", lambda j: diagnostics(_sourced(j)), f"WITH j AS ({SOURCED}) SELECT run_id, count(*) FILTER (type IN ('search.completed', 'run.error')) AS searches, count(*) FILTER (type = 'run.error') AS search_failures, count(*) FILTER (type = 'source.fetched') AS fetched, count(*) FILTER (type = 'tool.event') AS rejected, coalesce(sum(cents) FILTER (type = 'source.fetched'), 0)::BIGINT AS chars, {', '.join(f'(SELECT coalesce(string_agg(k || chr(58) || n, chr(44) ORDER BY k), chr(45)) FROM (SELECT {e} AS k, count(*) AS n FROM j x WHERE x.run_id = j.run_id AND {w} GROUP BY 1)) AS {n}' for n, e, w in HISTOGRAMS)} FROM j GROUP BY run_id")
 register("ag11_histogram", "journal", lambda j: j.groupBy("run_id", "type").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat_ws(":", x["type"], x["n"].cast("string"))), ",").alias("counts")), "SELECT run_id, string_agg(type || ':' || n, ',' ORDER BY type) AS counts FROM (SELECT run_id, type, count(*) AS n FROM journal GROUP BY 1, 2) GROUP BY 1")
 register("ag08_map_merge", "journal", lambda j: j.groupBy("run_id", "type").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("m")).select(F.explode("m").alias("type", "n")).groupBy("type").agg(F.sum("n").alias("n")), "SELECT type, count(*) AS n FROM journal GROUP BY 1")
-register("ag09_claim_sums", "journal", lambda j: j.groupBy("kind").agg(F.sum(F.when(F.col("type") == "tool.event", F.col("cents")).otherwise(F.lit(0).cast("long"))).alias("extracted"), F.count("call_key").alias("verified")), "SELECT kind, sum(CASE WHEN type = 'tool.event' THEN cents ELSE 0 END)::BIGINT AS extracted, count(call_key) AS verified FROM journal GROUP BY 1")
 register("ag20_tool_histogram", "conversations", lambda c: tool_histogram(_steps(c)), "SELECT conv_id, tool, count(*) AS n FROM (SELECT conv_id, unnest(list_filter([CASE WHEN turn % 2 = 0 THEN 'search' END, CASE WHEN length(text) % 3 = 0 THEN 'fetch' END, CASE WHEN role = 'user' THEN 'note' END], lambda x: x IS NOT NULL)) AS tool FROM conversations) GROUP BY 1, 2")
 register("ag23_role_summary", "conversations", lambda c: c.groupBy("role").agg(F.count("*").alias("steps"), F.min("turn").alias("first"), F.max("turn").alias("last")), "SELECT role, count(*) AS steps, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY 1")

@@ -143,7 +143,6 @@ register("ud01_table_tool", "journal", lambda j: tooled(j.select("run_id", "seq"
 register("ud02_tool_names", "events", lambda e: free_names(e.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, ["search", "read", "grep", "read_source", "search_sources", "9lives", "my tool", "close_slot"])), (F.col("event_id") % 8 + 1).cast("int")).alias("kind")).select("id", F.when(F.col("id") % 3 == 0, F.concat("kind", F.lit("-"), (F.col("id") % 50).cast("string"))).otherwise(F.col("kind")).alias("name"))), "SELECT id, regexp_full_match(name, '[A-Za-z][\\w-]{0,63}') AND name NOT IN ('search', 'fetch', 'read_source', 'search_sources', 'run_code', 'note', 'close_slot', 'add_slot', 'retarget_slot') AND row_number() OVER (PARTITION BY name ORDER BY id) = 1 AS free FROM (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN k || '-' || (event_id % 50) ELSE k END AS name FROM (SELECT event_id, ['search', 'read', 'grep', 'read_source', 'search_sources', '9lives', 'my tool', 'close_slot'][event_id % 8 + 1] AS k FROM events))")
 register("fn34_step_lines", "conversations", lambda c: c.select("conv_id", "turn", step_line(F.col("role"), F.col("turn"), F.col("text")).alias("line")), "SELECT conv_id, turn, '#' || turn || ' ' || role || ': ' || regexp_replace(text[1:40], '\\s+', ' ', 'g') || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS line FROM conversations")
 register("xs20_footers", "slot_events", lambda e: e.where("op = 'add'").groupBy("run_id", "importance").agg(F.array_sort(F.collect_set("slot_id")).alias("ids")).groupBy("run_id").agg(F.array_join(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("importance", "ids"))), lambda x: x["ids"])), 1, 6), ",").alias("open_slots")), "SELECT run_id, array_to_string(list(slot_id ORDER BY importance, slot_id)[1:6], ',') AS open_slots FROM (SELECT DISTINCT run_id, importance, slot_id FROM slot_events WHERE op = 'add') GROUP BY 1")
-register("xs03_source_filter", "events", lambda e: e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit('["a","b"]')).otherwise(F.lit('["a",1]')).alias("raw")).select("event_id", F.when(~F.col("raw").rlike(r"[\[,]\s*[^\"\s\]]"), F.array_join(F.from_json("raw", "array<string>"), "|")).alias("domains")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a|b' END AS domains FROM events")
 register("xs11_case_detail", "runs cases", lambda r, c: c.join(r.where("commit_sha = 'k1'").groupBy("case_id").agg(F.max("run_id").alias("run_id")), "case_id", "left").select("case_id", F.when(F.col("run_id").isNotNull(), "run").otherwise("rubric").alias("answer"), F.coalesce("run_id", "problem").alias("key")), "SELECT case_id, CASE WHEN r.run_id IS NOT NULL THEN 'run' ELSE 'rubric' END AS answer, coalesce(r.run_id, problem) AS key FROM cases LEFT JOIN (SELECT case_id, max(run_id) AS run_id FROM runs WHERE commit_sha = 'k1' GROUP BY 1) r USING (case_id)")
 register("xs10_default_commit", "runs", lambda r: r.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select("commit_sha"), "SELECT commit_sha FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 1")
 register("xs27_scoped_grant", "events", lambda e: e.select("event_id", rounded(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.coalesce(F.when(F.col("event_id") % 5 > 0, F.col("value") / 20), F.lit(0.15)))) * 10).alias("usd")), "SELECT event_id, floor(greatest(0.01::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN event_id % 5 > 0 THEN value / 20 END, 0.15::DOUBLE))) * 10 * 10000 + 0.5) / 10000 AS usd FROM events")

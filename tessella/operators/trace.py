@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import CUT_MARK
 from ..plans.ordered import before_range, in_ranges, max_before, nth_value, numbered
 from ..plans.registry import register, rounded
 from ..plans.scratch import dropped, written
@@ -265,11 +266,16 @@ def digest(spans: DataFrame) -> DataFrame:
     return out.join(anomalies(spans).groupBy("run_id").agg(F.count("*").alias("anomalies")), "run_id", "left")
 
 
+def clamped(text: Column, most: int = FIELD_CHARS) -> Column:
+    """Text of a step, cut with a mark if it is longer than a field may be."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(CUT_MARK))).otherwise(text)
+
+
 def degraded_steps(steps: DataFrame, field: int = FIELD_CHARS, total: int = RUN_CHARS) -> DataFrame:
-    """Steps with their text cut to ``field`` characters, kept while the running sum of the run stays within ``total``.
+    """Steps with their text clamped to ``field`` characters, kept while the running sum of the run stays within ``total``.
 
     The sum is of a range of turns and of those before it, so a long conversation isn't one window."""
-    placed = in_ranges(steps.select("conv_id", "turn", F.substring("text", 1, field).alias("text")), ["conv_id"], [F.col("turn")], "steps")
+    placed = in_ranges(steps.select("conv_id", "turn", clamped(F.col("text"), field).alias("text")), ["conv_id"], [F.col("turn")], "steps")
     before = before_range(placed, ["conv_id"], chars=F.sum(F.length("text"))).select(F.col("conv_id").alias("c"), F.col("__part").alias("p"), "chars")
     here = F.sum(F.length("text")).over(Window.partitionBy("conv_id", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
     joined = placed.withColumn("here", here).join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("__part") == F.col("p")))
@@ -343,7 +349,7 @@ register("tr13_tail_agent", "spans", tail_agent, TAIL)
 register("tr14_ranked_anomalies", "spans", ranked_anomalies, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(severity_ms, 0) DESC, anomaly, span_id NULLS LAST)::INT AS rank FROM ({ALL})) WHERE rank <= 20")
 register("tr01_digest", "spans", digest, f"SELECT * FROM (SELECT run_id, count(*) AS spans, max(t1) - min(t0) AS wall_ms FROM spans GROUP BY 1) LEFT JOIN ({RATIO}) USING (run_id) LEFT JOIN ({COVER}) USING (run_id) LEFT JOIN (SELECT run_id, u AS io_ms FROM {_union_sql('run_id', IO)}) USING (run_id) LEFT JOIN (SELECT run_id, p AS peak_model FROM {_peak_sql(MODEL)}) USING (run_id) LEFT JOIN (SELECT run_id, p AS peak_io FROM {_peak_sql(IO)}) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS anomalies FROM (SELECT run_id FROM ({ALL}) UNION ALL SELECT run_id FROM ({CALLS})) GROUP BY 1) USING (run_id)")
 register("tr15_derivation", "spans", lambda s: s.select("id", F.greatest(F.lit(0).cast("long"), F.col("t1") - F.col("t0")).alias("duration_ms"), F.greatest(F.lit(0).cast("long"), F.col("t1") - F.col("t0") - F.col("wait_ms")).alias("compute_ms")), "SELECT id, greatest(0, t1 - t0) AS duration_ms, greatest(0, t1 - t0 - wait_ms) AS compute_ms FROM spans")
-register("tr16_capture", "conversations", degraded_steps, "SELECT conv_id, turn, CASE WHEN running <= 536870912 THEN text END AS text, running FROM (SELECT conv_id, turn, text[1:262144] AS text, sum(length(text[1:262144])) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations)")
+register("tr16_capture", "conversations", degraded_steps, f"SELECT conv_id, turn, CASE WHEN running <= {RUN_CHARS} THEN text END AS text, running FROM (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT conv_id, turn, CASE WHEN length(text) > {FIELD_CHARS} THEN text[1:{FIELD_CHARS}] || '{CUT_MARK}' ELSE text END AS text FROM conversations))")
 register("tr17_rebuild", "journal", lambda j: j.where("kind = 'trace'").groupBy("run_id").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")), "SELECT run_id, count(*) AS records, min(seq) AS first_seq, max(seq) AS last_seq FROM journal WHERE kind = 'trace' GROUP BY 1")
 register("ag13_percentile", "spans", lambda s: nth_percent(s.where("kind = 'model'"), "run_id", "wait_ms", 95), f"SELECT run_id, p AS p95 FROM {_pct('wait_ms', 95, MODEL)}")
 register("st04_work_union", "spans", lambda s: s.where("kind = 'model'").select("id", "kind").unionByName(s.where("kind = 'io'").select("id", "kind")).unionByName(s.where("kind = 'tool'").select("id", "kind")), f"SELECT id, kind FROM spans WHERE {WORK}")

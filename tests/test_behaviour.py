@@ -169,7 +169,8 @@ def test_reports(spark):
     assert text == "See it [1] and that [2] [3] [1] [other](https://b.org).\n\n## Sources\n\n1. [two](https://a.org/2?x=(y))\n2. [three](https://a.org/1/long)\n3. [one](https://a.org/1)" and order == [2, 3, 1] and unbound == ["source_9"]
     assert one(spark, pages.without_sources_section(F.col("t")), t="x\n\n## Sources\n\n1. y") == "x"
     assert one(spark, pages.without_sources_section(F.col("t")), t="x\n# Resources\ny\n### REFERENCES: z\nw") == "x\n# Resources\ny"
-    assert pages.captions('{"events":[{"segs":[{"utf8":"a"},{"utf8":" b"}]},{}]}') == "a b"
+    assert pages.captions('{"events":[{"segs":[{"utf8":"a"},{"utf8":" b\\n"}]},{},{"segs":[{"utf8":"c"}]}]}') == "a b\nc" and pages.captions("{broken") == ""
+    assert pages.captions("<x><text start='0'>It&amp;#39;s <i>a</i></text><text> </text><text>b</text></x>") == "It's a\nb" and pages.captions("<p t=1>one\ntwo</p>") == "one two"
 
 
 def test_retry_classes(spark):

@@ -104,9 +104,10 @@ def test_agent_trees(spark):
 def test_capture_keeps_texts_within_the_bounds(spark):
     steps = spark.createDataFrame([("c", k, "x" * (300_000 if k == 2 else 10)) for k in range(5)] + [("d", 0, None)], "conv_id string, turn long, text string").repartition(3)
     got = {(x["conv_id"], x["turn"]): x for x in trace.degraded_steps(steps).collect()}
-    assert len(got["c", 2]["text"]) == 256 * 1024 and got["c", 4]["running"] == 40 + 256 * 1024 and got["d", 0]["text"] is None
-    short = {x["turn"]: x["text"] for x in trace.degraded_steps(steps.where("conv_id = 'c'"), 4, 12).collect()}
-    assert [short[k] is not None for k in range(5)] == [True, True, True, False, False]
+    cut = 256 * 1024 + len("…[truncated]")
+    assert len(got["c", 2]["text"]) == cut and got["c", 2]["text"].endswith("x…[truncated]") and got["c", 4]["running"] == 40 + cut and got["d", 0]["text"] is None
+    short = {x["turn"]: x["text"] for x in trace.degraded_steps(steps.where("conv_id = 'c'"), 10, 32).collect()}
+    assert [short[k] is not None for k in range(5)] == [True, True, False, False, False]
 
 
 def test_scratch_tables_go_and_inputs_stay(spark, tmp_path):
