@@ -203,17 +203,21 @@ def index(rows: DataFrame, shards: int) -> DataFrame:
 def search(rows: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", step: int = STEP) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query, the rows whose key is divisible by ``step``, against all rows but itself.
 
-    Vectors are scaled and floored to integers; scores are exact. Which rows take part, null and repeated keys and
+    Vectors are scaled and floored to integers; scores are exact. If a score could leave 64 bits, by the lengths of the longest vector asked for and the longest
+    there is, that is an error before anything is searched: no row is dropped and none is ranked by a wrapped number. Which rows take part, null and repeated keys and
     other lengths: vectors.gathered(). Fewer than k other rows give fewer results, an empty table none. Other columns are left behind.
     Queries are broadcast in blocks of bounded size; a task holds one tree at a time and yields k rows a query and tree.
     """
     ints = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     whole = F.when(F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(None)).otherwise(ints)
     some = gathered(rows, key, whole, True)
-    sizes = some.groupBy("dim").agg(F.count("*").alias("n"), F.sum((F.col("id") % step == 0).cast("long")).alias("asked")).orderBy("dim").collect()
+    square = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sizes = some.groupBy("dim").agg(F.count("*").alias("n"), F.sum((F.col("id") % step == 0).cast("long")).alias("asked"), F.max(square).alias("most"), F.max(F.when(F.col("id") % step == 0, square)).alias("most_asked")).orderBy("dim").collect()
     found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for r in sizes:
         if r["asked"]:
+            if r["most"] * r["most_asked"] >= 2.0**125:  # of their square roots the product bounds a score; a bit is left for rounding
+                raise ValueError(f"inner products of vectors of {r['dim']} components may leave 64 bits")
             own = some.where(F.col("dim") == r["dim"])
             trees = index(own, max(1, -(-r["n"] // SHARD_ROWS)))
             part = searched(trees, own.where(F.col("id") % step == 0).select("row", "id", "v"), r["dim"], r["asked"], FOUND.format("long"), _walk(r["dim"], k), k)

@@ -565,6 +565,26 @@ def test_undeclared_article_is_whole():
     assert tag_paths.main_text(f"<div><p>{three}</p><p>{seven}</p><ul><li>one<li>two</ul></div>").endswith("one\n\ntwo")
 
 
+def test_scores_that_leave_64_bits_are_an_error(spark):
+    big = [(0, [1.0e6, 2.0]), (1, [3.0e7, 0.0]), (2, [-3.0e7, 1.0])]
+    got = mtree.search(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=2).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 64**2 * 30_000_000_000_000), (2, 64**2 * (-30_000_000_000_000 + 2))]
+    for value in (1.9e11, 1e300, -1e300):
+        with pytest.raises(ValueError, match="64 bits"):
+            mtree.search(spark.createDataFrame([(0, [value, value]), (1, [value, 1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_dropped_spares_tables_that_are_not_ours(spark, tmp_path):
+    from tessella.llm.common import dropped, table, written
+
+    folder = tmp_path / "tessella-corpus" / "sf"
+    spark.range(4).write.parquet(f"{folder}/documents.parquet")
+    own = written(spark.range(3).toDF("x"), "some")
+    dropped(table(spark, str(folder), "documents"), own)
+    assert table(spark, str(folder), "documents").count() == 4
+    assert not os.path.exists(own.inputFiles()[0].removeprefix("file://"))
+
+
 def test_articles_that_are_adverts_or_comments():
     story = "".join(f"<p>{x}</p>" for x in STORY)
     want = "\n\n".join(x.strip() for x in STORY)
