@@ -208,7 +208,8 @@ def search(rows: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "emb
     other lengths: vectors.gathered(). Fewer than k other rows give fewer results, an empty table none. Other columns are left behind.
     Queries are broadcast in blocks of bounded size; a task holds one tree at a time and yields k rows a query and tree.
     """
-    ints = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    held = F.lit(2.0**62)  # what is larger stands for itself in the check below, which it can't pass
+    ints = F.transform(F.col(vector), lambda x: F.floor(F.greatest(-held, F.least(held, x.cast("double") * SCALE))).cast("long"))
     whole = F.when(F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(None)).otherwise(ints)
     some = gathered(rows, key, whole, True)
     square = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
