@@ -585,6 +585,40 @@ def test_dropped_spares_tables_that_are_not_ours(spark, tmp_path):
     assert not os.path.exists(own.inputFiles()[0].removeprefix("file://"))
 
 
+@pytest.mark.parametrize("percent", [50, 85])
+def test_links_of_sets_of_many_sizes(spark, percent):
+    r = random.Random(percent)
+    rows = []
+    for i in range(60):
+        base = [f"w{r.randrange(40)}" for _ in range(r.randint(3, 60))]
+        rows.append(base)
+        for _ in range(3):
+            some = list(base)
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(some) + 1)
+                some[at : at + r.randint(0, 2)] = [f"n{r.randrange(9)}"] * r.randint(0, 2)
+            rows.append(some)
+    texts = [" ".join(x) for x in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = {i: ({tuple(w[p : p + 2]) for p in range(len(w) - 1)} if len(w) >= 2 else {tuple(w)} if w else set()) for i, w in ((i, t.split()) for i, t in enumerate(texts))}
+    linked = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    pairs, members = group_join.links(docs, k=2, percent=percent)
+    of = {m["doc_id"]: m["class"] for m in members.collect()}
+    got = {(p["a"], p["b"]) for p in pairs.collect()}
+    want = {(max(of[a], of[b]), min(of[a], of[b])) for a in sets for b in sets if a < b and of[a] is not None and of[b] is not None and of[a] != of[b] and linked(a, b)}
+    assert got == want and want
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if a < b and linked(a, b):
+                    least[a] = least[b] = min(least[a], least[b])
+        if all(least[a] == least[b] for a in sets for b in sets if a < b and linked(a, b)):
+            break
+    found = {x["doc_id"]: x["component_id"] for x in group_join.linked(docs, k=2, percent=percent).collect()}
+    assert found == least
+
+
 def test_articles_that_are_adverts_or_comments():
     story = "".join(f"<p>{x}</p>" for x in STORY)
     want = "\n\n".join(x.strip() for x in STORY)
