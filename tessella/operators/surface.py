@@ -146,7 +146,6 @@ register("xs20_footers", "slot_events", lambda e: e.where("op = 'add'").groupBy(
 register("xs11_case_detail", "runs cases", lambda r, c: c.join(r.where("commit_sha = 'k1'").groupBy("case_id").agg(F.max("run_id").alias("run_id")), "case_id", "left").select("case_id", F.when(F.col("run_id").isNotNull(), "run").otherwise("rubric").alias("answer"), F.coalesce("run_id", "problem").alias("key")), "SELECT case_id, CASE WHEN r.run_id IS NOT NULL THEN 'run' ELSE 'rubric' END AS answer, coalesce(r.run_id, problem) AS key FROM cases LEFT JOIN (SELECT case_id, max(run_id) AS run_id FROM runs WHERE commit_sha = 'k1' GROUP BY 1) r USING (case_id)")
 register("xs10_default_commit", "runs", lambda r: r.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select("commit_sha"), "SELECT commit_sha FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 1")
 register("xs27_scoped_grant", "events", lambda e: e.select("event_id", rounded(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.coalesce(F.when(F.col("event_id") % 5 > 0, F.col("value") / 20), F.lit(0.15)))) * 10).alias("usd")), "SELECT event_id, floor(greatest(0.01::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN event_id % 5 > 0 THEN value / 20 END, 0.15::DOUBLE))) * 10 * 10000 + 0.5) / 10000 AS usd FROM events")
-register("xs35_manifest", "documents", lambda d: d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("r <= 3").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("- doc "), x.cast("string"))), "\n").alias("manifest")), "SELECT source, array_to_string(list_transform(list_sort(list(doc_id))[1:3], lambda x: '- doc ' || x), chr(10)) AS manifest FROM documents GROUP BY 1")
 register("xs45_event_lines", "journal", lambda j: j.where("kind = 'event'").select("seq", F.format_string("[%s] %s %.2f", "run_id", "type", F.col("cents") / 100).alias("line")), "SELECT seq, printf('[%s] %s %.2f', run_id, type, cents / 100) AS line FROM journal WHERE kind = 'event'")
 register("pf12_robots_match", "pages", lambda p: mapped(p.select("page_id"), "page_id long, allowed boolean", lambda i: (i, robots_allowed("User-agent: *\nDisallow: /a*c\nAllow: /abc$", "x", ("/abc", "/abcd", "/b")[i % 3]))), "SELECT page_id, page_id % 3 <> 1 AS allowed FROM pages")
 register("jn12_roster_bind", "documents", lambda d: d.select("doc_id", F.explode(F.array(F.col("doc_id") % 7, F.lit(1), F.lit(9))).alias("ordinal")).join(F.broadcast(d.sparkSession.createDataFrame([(i, f"r{i}") for i in range(1, 6)], "ordinal long, member string")), "ordinal", "left").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("member"))).where("k = 1").select("doc_id", "ordinal", "member"), "SELECT DISTINCT doc_id, o AS ordinal, CASE WHEN o BETWEEN 1 AND 5 THEN 'r' || o END AS member FROM (SELECT doc_id, unnest([doc_id % 7, 1, 9]) AS o FROM documents)")

@@ -30,13 +30,13 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
 
 
 def before_range(placed: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
-    """(keys, __part, __first, sums): of each key in each range its first place and the aggregates over the ranges before it, from one row a range and key.
+    """(keys, __part, __first, sums): of each key in each range its first place and the aggregates over the ranges before it, from one row a range and key, so few that the planner sees them small once they are counted.
 
     The window is over a key's ranges; a table without keys has as many rows here as ranges."""
     own = placed.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), *[c.alias(f"__{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = {n: F.max(f"__{n}").over(earlier) if n.startswith("max") else F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)) for n in sums}
-    return written(own.select(*keys, "__part", "__first", *[c.alias(n) for n, c in totals.items()]), "before")
+    return own.select(*keys, "__part", "__first", *[c.alias(n) for n, c in totals.items()])
 
 
 def numbered(df: DataFrame, number: str, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:

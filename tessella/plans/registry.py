@@ -32,7 +32,7 @@ def rounded(x: Column, places: int = 4) -> Column:
 def _fill() -> None:
     import importlib
 
-    for module in ("operators.trace", "operators.evals", "operators.search", "operators.retrieval", "operators.cards", "operators.steps", "operators.filters", "operators.ledger", "operators.renderers", "operators.metering", "operators.meters", "operators.runs", "operators.surface", "functions.scalars", "functions.pages", "functions.retries", "sources.catalog", "sources.connectors", "sources.fetching", "sources.researchers", "streaming.journal", "streaming.hub", "streaming.subscribe", "streaming.reserve"):
+    for module in ("operators.trace", "operators.evals", "operators.search", "operators.retrieval", "operators.cards", "operators.steps", "operators.filters", "operators.ledger", "operators.renderers", "operators.metering", "operators.meters", "operators.runs", "operators.surface", "functions.scalars", "functions.pages", "functions.retries", "sources.catalog", "sources.connectors", "sources.fetching", "sources.researchers", "sources.registries", "streaming.journal", "streaming.hub", "streaming.subscribe", "streaming.reserve"):
         importlib.import_module(f"tessella.{module}")
 
 

@@ -38,13 +38,6 @@ def pubmed_articles(records: DataFrame, text: str = "xml", most_authors: int = 1
     return records.select("*", article.alias("a")).select(*[c for c in records.columns if c != text], F.col("a.PMID").alias("pmid"), F.col("a.Title").alias("title"), F.concat_ws("\n", parts).alias("abstract"), F.concat_ws(", ", F.slice(F.transform("a.Author", lambda x: x["Last"]), 1, most_authors)).alias("authors"))
 
 
-def study_sources(rows: DataFrame, text: str = "json") -> DataFrame:
-    """Study records from JSON as sources with a sectioned text."""
-    study = F.from_json(text, "id string, title string, phase string, conditions array<string>")
-    s = rows.select("*", study.alias("s"))
-    return s.select(*[c for c in rows.columns if c != text], F.concat(F.lit("https://studies.example/"), "s.id").alias("url"), F.concat_ws("\n\n", F.concat(F.lit("# "), "s.title"), F.concat(F.lit("Phase: "), "s.phase"), F.concat(F.lit("Conditions: "), F.array_join("s.conditions", ", "))).alias("text"))
-
-
 def video_id(url: str) -> str | None:
     """The id in the common forms of a video's address."""
     parts = urlsplit(url)
@@ -126,7 +119,6 @@ def _feed(b: DataFrame) -> DataFrame:
 
 register("sc24_atom", "benchmark", lambda b: atom_entries(_feed(b)).select("item_id", "url", "title", "authors"), "SELECT item_id, 'http://x/' || item_id AS url, trim(regexp_replace(regexp_replace(text, '[^A-Za-z .]', '', 'g'), '\\s+', ' ', 'g')) AS title, 'A B, C' AS authors FROM benchmark")
 register("sc25_pubmed", "benchmark", lambda b: pubmed_articles(b.select("item_id", F.concat(F.lit("<Article><PMID>"), "item_id", F.lit("</PMID><Title>t</Title><Abstract Label=\"AIM\">one</Abstract><Abstract>two</Abstract><Author><Last>X</Last></Author><Author><Last>Y</Last></Author></Article>")).alias("xml"))), "SELECT item_id, item_id::VARCHAR AS pmid, 't' AS title, 'AIM: one' || chr(10) || 'two' AS abstract, 'X, Y' AS authors FROM benchmark")
-register("sc28_studies", "benchmark", lambda b: study_sources(b.select("item_id", F.to_json(F.struct(F.concat(F.lit("N"), "item_id").alias("id"), F.lit("T").alias("title"), F.lit("2").alias("phase"), F.array(F.lit("a"), F.lit("b")).alias("conditions"))).alias("json"))), "SELECT item_id, 'https://studies.example/N' || item_id AS url, '# T' || chr(10) || chr(10) || 'Phase: 2' || chr(10) || chr(10) || 'Conditions: a, b' AS text FROM benchmark")
 register("sc30_video_ids", "pages", lambda p: mapped(p.select("page_id"), "page_id long, video string", lambda i: (i, video_id((f"https://www.youtube.com/watch?v=abcdefghij{i % 10}", f"https://youtu.be/abcdefghij{i % 10}?t=3", f"https://m.youtube.com/shorts/abcdefghij{i % 10}", "https://example.com/watch?v=abcdefghijk")[i % 4]))), "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 'abcdefghij' || (page_id % 10) END AS video FROM pages")
 register("xs13_caption_attempt", "documents", lambda d: mapped(d.select("doc_id", F.col("text").alias("t")), "doc_id long, ok boolean", lambda i, t: (i, len(captions(json.dumps({"events": [{"segs": [{"utf8": t}]}]}))) >= 40)), "SELECT doc_id, length(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) >= 40 AS ok FROM documents")
 register("sc09_table_upsert", "runs", lambda r: upserted(r.select("run_id", "status", "created_at"), r.where("dirty = 1").select(F.when(F.col("created_at") % 3 == 0, F.concat(F.lit("new"), "run_id")).otherwise(F.col("run_id")).alias("run_id"), F.lit("regraded").alias("status"), (F.col("created_at") + 1).alias("created_at")), "run_id"), "SELECT run_id, status, created_at FROM runs WHERE NOT (dirty = 1 AND created_at % 3 <> 0) UNION ALL SELECT CASE WHEN created_at % 3 = 0 THEN 'new' || run_id ELSE run_id END, 'regraded', created_at + 1 FROM runs WHERE dirty = 1")
