@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import EXTRACTIONS, NO_QUERY, RAW_ACCESS
-from ..functions.text import CHUNK, WINDOW, occurrences, query_terms
+from ..functions.text import CHUNK, occurrences, query_terms
 from ..plans.registry import register, rounded
 from ..plans.scratch import written
 from .retrieval import SQL_TERMS, SQL_WINDOWS, K1, B, windows
