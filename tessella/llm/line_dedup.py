@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     A null text is an empty one of a single line. Documents of fewer than ``width`` lines have no
     window and stay whole. Rows with a null key take part, as the last of all. Rows that repeat a key with
     another text are rows of their own; rows equal in key and text are one occurrence and give
-    equal results. An empty table gives an empty table. Columns of ``docs`` with one of the new names are replaced.
+    equal results. A very long text is one row: its lines and windows are arrays of that row until they are exploded. An empty table gives an empty table. Columns of ``docs`` with one of the new names are replaced.
     """
     made = ("n_lines", "n_removed", "kept_text")
     plain = docs.drop(*[c for c in docs.columns if c in made])
@@ -87,7 +87,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document without repeated lines, n_chars counted anew. One that had words and has none left goes.
 
-    Rows that lose nothing are as they were, null and empty texts among them; null and repeated ids as dedup_lines() says. The columns are
+    Rows that lose nothing are as they were, null and empty texts among them; null and repeated ids and very long texts as dedup_lines() says. The columns are
     those of ``docs``, whatever their names; columns named as dedup_lines()' own stay as they were."""
     clash = {c: f"__own_{c}" for c in ("n_lines", "n_removed", "kept_text") if c in docs.columns}
     out = dedup_lines(docs.withColumnsRenamed(clash))

@@ -49,7 +49,7 @@ def allocate(docs: DataFrame, text: str = "text", source: str = "source", key: s
     copies is floor(rate) and one more with the probability of rate's fraction, drawn from a hash of
     ``key``, ``text`` and ``seed``, so that a rerun, a retry or another partitioning takes the same rows, and rows of a null or repeated
     key with different texts draw apart. rate is
-    target / source_size, 0 where the source has no words. Null texts have size 0, a null source is a source,
+    target / source_size, 0 where the source has no words. Null texts have size 0, a very long text counts whole and is taken or not as one, a null source is a source,
     rows equal in key and text draw alike, an empty table gives an empty table. Columns of ``docs`` with one of
     the new names are replaced. The per-source table is written first, so the planner broadcasts it only
     while its known size is under the session's threshold; otherwise it is a sort-merge join, whose

@@ -232,7 +232,7 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     """(key, n_words, n_removed, kept_sha, kept_text) of each row: its words without those that a recurring window covers.
 
     kept_text is given, unless ``texts`` is false, for documents of which a part goes; it is null where all words stay and empty where all go.
-    A null or empty text has no words. Fewer than 35 words have no window. Rows of equal words recur with each
+    A null or empty text has no words. Fewer than 35 words have no window. Of a very long text only the stretches with hot anchors move; it is read whole where it lies and where it is cut. Rows of equal words recur with each
     other, whatever their keys; a null key is kept, and rows that repeat a key are rows of their own. An empty table gives an empty table, other columns are left behind.
     """
     spark = docs.sparkSession

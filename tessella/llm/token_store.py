@@ -152,7 +152,7 @@ def write_store(docs: DataFrame, to: str, path: str, key: str = "doc_id", text:
 
     Texts are dealt out by ranges of ``key`` and a hash of the text, the only shuffle, and sorted within; so a key that many rows have is
     spread over ranges, its rows in the order of the hash. A null text is an empty one and has the end id alone. A null key stays null
-    and comes first. An empty table gives a store without blocks. Other columns are left behind.
+    and comes first. A very long text is encoded whole and is one frame, in a block of its own size. An empty table gives a store without blocks. Other columns are left behind.
     """
     spark = docs.sparkSession
     small_batches(spark)
