@@ -21,7 +21,7 @@ from tessella.llm.toxicity import toxicity_stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as many times as the mix takes it, with the columns of ``docs``.
 
-    Null, empty and repeated rows as mixture.allocate() says; columns with clashing names stay as they were."""
+    Null, empty, very long and repeated rows as mixture.allocate() says; columns with clashing names stay as they were."""
     return mix(docs)
 
 
