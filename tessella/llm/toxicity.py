@@ -167,28 +167,44 @@ class Model:
         return out
 
 
+#: Rows of the fit that are looked at together.
+FIT_ROWS = 4_096
+
+
 def fit_svm(words: list[str], labels: np.ndarray, weights: np.ndarray, landmarks: list[str], cost: float = 20.0, rounds: int = 25) -> Model:
     """Squared-hinge SVM on the Nyström map of the landmarks, by Newton steps."""
     k = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     good = value > 1e-4
     root = vector[:, good] / np.sqrt(value[good])
-    x = np.hstack([kernel(words, landmarks).astype(np.float64) @ root, np.ones((len(words), 1))])
+    # kept in single precision and taken up in blocks, so that the driver never holds it twice
+    x = np.ones((len(words), root.shape[1] + 1), np.float32)
+    parts = [slice(a, a + FIT_ROWS) for a in range(0, len(words), FIT_ROWS)]
+    for part in parts:
+        x[part, :-1] = kernel(words[part], landmarks).astype(np.float64) @ root
     y = np.where(labels > 0, 1.0, -1.0)
     c = cost * weights
     w = np.zeros(x.shape[1])
     penalty = np.ones(len(w))
     penalty[-1] = 1e-6
 
+    def missing(v: np.ndarray) -> np.ndarray:
+        """By how much the rows fall short of a margin of 1."""
+        return np.concatenate([np.maximum(0, 1 - y[part] * (x[part].astype(np.float64) @ v)) for part in parts])
+
     def loss(v: np.ndarray) -> float:
-        return 0.5 * (penalty * v * v).sum() + 0.5 * (c * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+        return 0.5 * (penalty * v * v).sum() + 0.5 * (c * missing(v) ** 2).sum()
 
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        xs = x[on] * c[on][:, None]
-        step = np.linalg.solve(xs.T @ x[on] + np.diag(penalty), xs.T @ y[on]) - w
-        scale = 1.0
-        while scale > 1e-4 and loss(w + scale * step) > loss(w):
+        on = missing(w) > 0
+        square, right = np.diag(penalty), np.zeros(len(w))
+        for part in parts:
+            some = x[part][on[part]].astype(np.float64)
+            square = square + (some * c[part][on[part]][:, None]).T @ some
+            right += some.T @ (c[part] * y[part])[on[part]]
+        step = np.linalg.solve(square, right) - w
+        scale, before = 1.0, loss(w)
+        while scale > 1e-4 and loss(w + scale * step) > before:
             scale /= 2
         w = w + scale * step
         if np.abs(scale * step).max() < 1e-6:
@@ -196,6 +212,20 @@ def fit_svm(words: list[str], labels: np.ndarray, weights: np.ndarray, landmarks
     return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]))
 
 
+def _fitted(spark: SparkSession, words: list[str], labels: np.ndarray, weights: np.ndarray, landmarks: list[str]) -> Model:
+    """fit_svm() in a task: what it holds, bounded by the sample, goes with the task and never was the driver's."""
+    sent = spark.sparkContext.broadcast((words, labels, weights, landmarks))
+
+    def run(batches):
+        for _ in batches:
+            model = fit_svm(*sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array([model.alpha.tobytes()], pa.binary()), pa.array([model.offset], pa.float64())], names=["alpha", "offset"])
+
+    row = spark.range(1, numPartitions=1).mapInArrow(run, "alpha binary, offset double").first()
+    sent.unpersist()
+    return Model(landmarks, np.frombuffer(bytes(row["alpha"]), np.float32), row["offset"])
+
+
 def _embedded(sample: DataFrame) -> np.ndarray:
     """[class, feature]: the mean over the texts of each class of the sum of their distinct windows' maps."""
 
@@ -295,18 +325,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     clean: dict[str, int] = {}
     for k in range(ROUNDS):
         blamed: dict[str, int] = {}
-        for r in _ranked(sample, weights, model.offset, k == 0).collect():
-            into = blamed if r["toxic"] else clean
-            into[r["token"]] = into.get(r["token"], 0) + r["n"]
+        found = _ranked(sample, weights, model.offset, k == 0).toArrow()
+        for toxic, token, n_texts in zip(*(found.column(c).to_pylist() for c in ("toxic", "token", "n")), strict=True):
+            into = blamed if toxic else clean
+            into[token] = into.get(token, 0) + n_texts
         words, negatives = sorted(blamed), sorted(clean)
         if not words or not negatives:
             break
         landmarks = list(dict.fromkeys(_chosen(blamed, LANDMARKS * 3 // 4) + _chosen(clean, LANDMARKS // 4)))
         counts = np.array([min(blamed[w], 20) for w in words] + [min(clean[w], 20) for w in negatives], float)
-        model = fit_svm(words + negatives, np.array([1] * len(words) + [0] * len(negatives)), counts, landmarks)
+        model = _fitted(sample.sparkSession, words + negatives, np.array([1] * len(words) + [0] * len(negatives)), counts, landmarks)
         weights = model.feature_weights()
-    points = margins_of(sample.select("toxic", F.col("t").alias("text")), model, "toxic int", "text").select("toxic", "margin").collect()
-    y, x = np.array([r["toxic"] for r in points], float), np.array([r["margin"] for r in points], float)
+    points = margins_of(sample.select("toxic", F.col("t").alias("text")), model, "toxic int", "text").select("toxic", "margin").toArrow()
+    y, x = points.column("toxic").to_numpy().astype(float), points.column("margin").to_numpy().astype(float)
     cut = _cut(y, x)
     return Model(model.landmarks, model.alpha, model.offset, slope := _slope(y, x - cut), -slope * cut)
 
@@ -374,7 +405,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) of each row; score 0 to 1.
 
-    A null text is an empty one, which has no window and the score of a margin of -2. Rows are independent: repeated
+    A null text is an empty one, which has no window and the score of a margin of -2. A very long text has the score of its worst window, all of them looked at. Rows are independent: repeated
     ones give equal results, a null key stays null, an empty table gives an empty table, other columns are left behind.
     """
     margin = margins_of(docs.select(key, text), model, f"{key} {dict(docs.dtypes)[key]}", text)
@@ -397,6 +428,6 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """First stage of the pipeline: documents that are predicted toxic go. The model learns from ``documents`` and its labels.
 
-    Rows that stay are as they were, with all columns; null and empty texts stay, rows equal in text fare alike, null ids too."""
+    Rows that stay are as they were, with all columns; null and empty texts stay, a very long text goes by its worst window, rows equal in text fare alike, null ids too."""
     model = train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out()))
     return without_toxic(docs, model)
