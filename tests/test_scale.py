@@ -23,3 +23,12 @@ def test_files_of_a_journal_do_not_grow_with_its_runs(spark):
     assert got.count() == 600 and got.select("run_id").distinct().count() == 150
     one = got.where(F.col("bucket") == catalog.journal_bucket(F.lit("run7")))
     assert sorted(r["seq"] for r in one.where("run_id = 'run7'").collect()) == [7, 157, 307, 457]
+
+
+def test_runs_of_a_journal_in_either_layout(spark, tmp_path):
+    some = journal(spark, 30).withColumn("run_id", F.concat("run_id", F.lit("/a b")))
+    want = {f"run{i}_a_b" for i in range(30)}
+    for name, buckets in (("folders", 0), ("buckets", 5)):
+        catalog.append_journal(some, f"{tmp_path}/{name}", buckets)
+        got = catalog.journal_runs(spark, f"{tmp_path}/{name}").collect()
+        assert {r["run"] for r in got} == want and len(got) == 30 and min(r["files"] for r in got) >= 1
