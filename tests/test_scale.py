@@ -32,3 +32,11 @@ def test_runs_of_a_journal_in_either_layout(spark, tmp_path):
         catalog.append_journal(some, f"{tmp_path}/{name}", buckets)
         got = catalog.journal_runs(spark, f"{tmp_path}/{name}").collect()
         assert {r["run"] for r in got} == want and len(got) == 30 and min(r["files"] for r in got) >= 1
+
+
+def test_files_of_two_appends_do_not_grow_with_the_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    some = journal(spark).withColumn("at_ms", F.col("seq"))
+    got = catalog._appended(some).collect()
+    assert len(files_below(str(tmp_path))) <= 4 * catalog.BUCKETS
+    assert len(got) == 150 and {(r["entries"], r["numbers"], r["last"]) for r in got} == {(4, 4, 3)}
