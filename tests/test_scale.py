@@ -1,10 +1,11 @@
 """Work that has to keep in step with its input: files, scans and what an empty group gives."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from tessella.operators import evals
+from tessella.operators import evals, runs
 from tessella.sources import catalog
 
 
@@ -49,3 +50,14 @@ def test_a_suite_of_failed_judges_has_a_row_of_no_tasks(spark):
     assert [tuple(r) for r in evals.suite(grades, cases).collect()] == [("*", 0, None, None, None, None, None)]
     whole = evals.suite(grades.withColumn("judge_error", F.lit(None).cast("string")), cases).collect()
     assert {r["domain"]: r["tasks"] for r in whole} == {"*": 1, "d": 1, "section:citation-quality": 1}
+
+
+def test_evicted_runs_are_those_behind_the_newest(spark):
+    r = random.Random(3)
+    rows = [(f"r{r.randrange(40)}" if i % 9 else None, r.choice([None, *range(30)]), "scored" if i % 7 else "ungraded") for i in range(400)]
+    df = spark.createDataFrame(rows, "run_id string, created_at long, status string").repartition(6)
+    for keep in (0, 1, 50, 343, 1000):
+        want = df.where("status <> 'ungraded'").orderBy(F.desc("created_at"), "run_id").offset(keep).select("run_id")
+        got = runs.evicted(df, keep)
+        assert [x[0] for x in got.collect()] == [x[0] for x in want.collect()]
+    assert "GlobalLimit" not in runs.evicted(df, 50)._jdf.queryExecution().executedPlan().toString()
