@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessella.functions import pages
 from tessella.operators import evals, runs
+from tessella.plans import registry
 from tessella.sources import catalog
 
 
@@ -61,3 +63,13 @@ def test_evicted_runs_are_those_behind_the_newest(spark):
         got = runs.evicted(df, keep)
         assert [x[0] for x in got.collect()] == [x[0] for x in want.collect()]
     assert "GlobalLimit" not in runs.evicted(df, 50)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_reference_without_its_semicolon_stays_in_a_title(spark, tmp_path):
+    head = '<html lang="en"><head><title>a &quot;b&quot; &amp;lt; &amp;&amp%s</title></head><body><p>x &amp y</p></body></html>'
+    rows = [(1, "https://h.example/", head % ""), (2, "https://h.example/", head % " c")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    registry.load()
+    got = registry.QUERIES["fn22_metadata"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, 'a "b" &lt; &&amp', "en"), (2, 'a "b" &lt; &&amp c', "en")]
+    assert pages.read_page(rows[0][2])["title"] == 'a "b" &lt; &&'  # as HTML has it
