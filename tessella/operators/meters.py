@@ -150,28 +150,19 @@ def metered(ops: DataFrame) -> DataFrame:
     return ops.select(*names).repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(fold, DONE)
 
 
-class _Rows(MutableMapping):
-    """Rows of a stream's map state by name."""
+class _Rows(dict):
+    """Rows of a stream's map state by name: read at once, changed here, and what changed is written back by kept()."""
 
     def __init__(self, state):
-        self.state = state
+        super().__init__((k[0], tuple(v)) for k, v in (state.iterator() if state.exists() else ()))
+        self.state, self.before = state, dict(self)
 
-    def __getitem__(self, key):
-        if not self.state.containsKey((key,)):
-            raise KeyError(key)
-        return tuple(self.state.getValue((key,)))
-
-    def __setitem__(self, key, value):
-        self.state.updateValue((key,), value)
-
-    def __delitem__(self, key):
-        self.state.removeKey((key,))
-
-    def __iter__(self):
-        return iter([k[0] for k in self.state.keys()])
-
-    def __len__(self):
-        return sum(1 for _ in self.state.keys())
+    def kept(self) -> None:
+        for name in self.before.keys() - self.keys():
+            self.state.removeKey((name,))
+        for name, row in self.items():
+            if self.before.get(name) != row:
+                self.state.updateValue((name,), row)
 
 
 class Meters(StatefulProcessor):
@@ -182,9 +173,12 @@ class Meters(StatefulProcessor):
         self.holds = handle.getMapState("holds", "name string", HOLD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        tree = MeterTree(_Rows(self.meters), _Rows(self.holds))
+        meters, holds = _Rows(self.meters), _Rows(self.holds)  # the state is asked once a batch, not once an operation
+        tree = MeterTree(meters, holds)
         some = pd.concat(list(rows)).sort_values("seq").astype(object)  # of one run in one batch
         out = [(r.run_id, r.seq, r.op, r.meter, *tree.apply(r.op, *_asked((r.meter, r.other, r.usd, r.fraction, r.max_usd, r.min_usd)))) for r in some.itertuples(index=False)]
+        meters.kept()
+        holds.kept()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
 
     def close(self) -> None:

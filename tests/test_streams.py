@@ -114,3 +114,31 @@ def test_reservations_keep_their_cap_over_a_restart(spark, tmp_path):
             if len(own) <= 12:
                 want.append((run, i, plain_url, len(own)))
     assert got == sorted(want) and sorted(map(tuple, stream.collect())) == got
+
+
+class Asked:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self, rows):
+        self.rows, self.asked = dict(rows), 0
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.asked += 1
+            return {"exists": lambda: bool(self.rows), "iterator": lambda: iter(list(self.rows.items())), "containsKey": lambda: key in self.rows, "getValue": lambda: self.rows.get(key),
+                    "updateValue": lambda: self.rows.update({key: value}), "removeKey": lambda: self.rows.pop(key, None), "keys": lambda: iter(list(self.rows))}[name]()
+
+        return call
+
+
+def test_state_of_meters_is_asked_once_a_batch():
+    state, holds, want = Asked({}), Asked({}), tree()
+    for part in (range(0, 150), range(150, 300)):
+        meters_, holds_ = meters._Rows(state), meters._Rows(holds)
+        t = meters.MeterTree(meters_, holds_)
+        for i in part:
+            op = ("open", "root", None, 900.0, None, None, None) if not i else (("charge", "grant", "charge", "reserve", "settle", "release")[i % 6], "root" if i % 6 < 5 else f"g{i // 12 % 3}", f"g{i // 6 % 3}", 0.5, None, 2.0, None)
+            assert t.apply(*op) == want.apply(*op)
+        meters_.kept(), holds_.kept()
+    assert {k[0]: v for k, v in state.rows.items()} == want.meters and {k[0]: v for k, v in holds.rows.items()} == want.holds
+    assert state.asked + holds.asked < 40
